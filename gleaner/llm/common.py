@@ -22,8 +22,6 @@ from pyspark.sql import types as T
 
 #: Rows of one Arrow batch to Python: whole texts, so far fewer than Spark's default.
 ARROW_ROWS = 1000
-#: A key is heavy if it has more than this share of the rows; so at most 2 / HEAVY keys are.
-HEAVY = 1 / 1000
 #: Words: runs of bytes that are none of the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -107,52 +105,6 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
-def heavy_keys(df: DataFrame, key: str, share: float = HEAVY) -> DataFrame:
-    """Keys (a long or string column) with at least 2 * share of the rows, at most 1 / share of them.
-
-    Each partition names the keys that hold at least share of its own rows; a
-    key with 2 * share of all rows has at least half of them in partitions that
-    name it.  No shuffle but of at most 1 / share rows for each partition.
-    """
-    kind = dict(df.dtypes)[key]
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = 0, {}
-        for b in batches:
-            total += b.num_rows
-            vc = b.column(0).value_counts()
-            for k, n in zip(vc.field(0).to_pylist(), vc.field(1).to_pylist(), strict=True):
-                seen[k] = seen.get(k, 0) + n
-            if len(seen) > 200_000:  # lossy counting: what goes has too small a share of this partition so far
-                least = total * share / 2
-                seen = {k: n for k, n in seen.items() if n >= least} if least > 1 else {k: n for k, n in seen.items() if n > 1}
-        out = {k: n for k, n in seen.items() if k is not None and n > 1 and n >= share * total}
-        yield pa.RecordBatch.from_pydict({"k": pa.array(list(out), pa.int64() if kind == "bigint" else pa.string()), "n": pa.array(list(out.values()), pa.int64()), "t": pa.array([0] * len(out), pa.int64())})
-        yield pa.RecordBatch.from_pydict({"k": pa.array([None], pa.int64() if kind == "bigint" else pa.string()), "n": pa.array([0], pa.int64()), "t": pa.array([total], pa.int64())})
-
-    rows = arrow_map(df.select(key), count, f"k {kind}, n long, t long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    rows = stage(rows.filter("k IS NULL OR n > 1"), "heavy")
-    total = rows.agg(F.sum("t")).head()[0] or 0
-    return rows.filter(F.col("k").isNotNull() & (F.col("n") >= max(2.0, share * total))).select(F.col("k").alias(key))
-
-
-def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", share: float = HEAVY) -> DataFrame:
-    """Join left to right, which has one row for each key, when a key may hold a third of left.
-
-    The at most 1 / share heavy keys are broadcast with their right rows (a
-    bound that doesn't grow with the data); the others are shuffled.
-    """
-    hot = heavy_keys(left, key, share).withColumn("_hot", F.lit(True))
-    marked = left.join(F.broadcast(hot), key, "left")
-    few = F.broadcast(right.join(F.broadcast(hot.select(key)), key, "left_semi"))
-    out = marked.filter("_hot").drop("_hot").join(few, key, how)
-    return out.unionByName(marked.filter("_hot IS NULL").drop("_hot").join(right, key, how))
-
-
-def partitions_for(df_rows: int, per: int, least: int = 1) -> int:
-    return max(least, -(-df_rows // per))
-
-
 def global_order(df: DataFrame, by: list[str], tag: str) -> tuple[DataFrame, str]:
     """df range-sorted by the columns `by` and staged, with long columns _part and _at.
 
@@ -198,3 +150,12 @@ def strings(col: pa.Array) -> list[str]:
 def u64(a: np.ndarray) -> pa.Array:
     """Unsigned 64-bit values as the signed longs Spark has."""
     return pa.array(a.view(np.int64))
+
+
+def sized_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", limit: int = 10_000) -> DataFrame:
+    """Join to a table with one row for each key: broadcast if it has at most limit rows.
+
+    Beyond that it is shuffled; adaptive execution then splits the partition of
+    a key that holds much of left, since right has one row for it.
+    """
+    return left.join(F.broadcast(right) if right.limit(limit + 1).count() <= limit else right, key, how)
