@@ -2,8 +2,11 @@
 
 Unit vectors are cut into two halves, each quantised with its own codebook, so
 that K centroids a half make K * K cells.  A query takes the cells by the sum of
-its two half distances, with a heap, until the cells it has hold TAKE distinct
-vectors; these are ranked by exact cosine of the original vectors.
+its two half distances, with a heap, until they hold a certain share of the
+distinct vectors; these are ranked by exact cosine of the original vectors.  The
+share is what queries of the sample need to find RECALL of their neighbours in
+the sample: little where vectors cluster, much where they don't.  As neighbours
+are nearer in the whole than in a sample, it errs on the side of finding more.
 
 Equal vectors are indexed once, with the few smallest ids that any answer can
 need.  Cells are cut into blocks of bounded size, so a crowded cell is searched
@@ -25,12 +28,12 @@ from pyspark.sql import functions as F
 from .common import arrow_map, stage
 
 TOP = 5
-#: Centroids of each half.
-CENTROIDS = 32
+#: Centroids of each half: the power of two with about PER_CELL vectors a cell, MOST at most.
+PER_CELL, MOST = 256, 256
 #: Vectors that the codebooks are fitted on, at most; every vector is indexed.
 SAMPLE = 20_000
-#: Distinct vectors that the cells of a query hold together, at least.
-TAKE = 4000
+#: Neighbours that the sample's own queries must find, and how many such queries there are.
+RECALL, TRIALS = 0.97, 200
 #: Vectors of a block of a cell, about.
 BLOCK = 4096
 ROUNDS = 12
@@ -80,12 +83,27 @@ def traverse(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, take: int) -> l
     return out
 
 
+def calibrate(u: np.ndarray, books: list[np.ndarray], half: int, top: int) -> float:
+    """Share of the vectors u (unit length) that a query must visit to find RECALL of its neighbours among them."""
+    cell = nearest(u[:, :half], books[0]) * len(books[1]) + nearest(u[:, half:], books[1])
+    counts = np.bincount(cell, minlength=len(books[0]) * len(books[1]))
+    needed = []
+    for q in np.linspace(0, len(u) - 1, min(TRIALS, len(u))).astype(int):
+        s = u @ u[q]
+        s[q] = -2
+        best = np.argsort(-s)[:top]
+        order = traverse(((books[0] - u[q, :half]) ** 2).sum(1), ((books[1] - u[q, half:]) ** 2).sum(1), counts, len(u))
+        done = dict(zip(order, np.cumsum(counts[order]).tolist(), strict=True))
+        needed += [done[c] for c in cell[best].tolist()]
+    return float(np.quantile(needed, RECALL)) / len(u)
+
+
 def cosine(m: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """In double precision; each row is summed by itself, so equal vectors have equal scores."""
-    return (m * q).sum(1) / (np.sqrt((m * m).sum(1)) * np.sqrt((q * q).sum()))
+    """In double precision, row by row, so that equal vectors have equal scores."""
+    return (m * q).sum(1) / (np.sqrt((m * m).sum(1)) * np.sqrt((q * q).sum(1)))
 
 
-def nearest_neighbours(vectors: DataFrame, every: int = 50, top: int = TOP, take: int = TAKE, centroids: int = CENTROIDS) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, every: int = 50, top: int = TOP, share: float | None = None, centroids: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the `top` nearest found of every row whose vec_id is divisible by `every`.
 
     vectors: vec_id, embedding (array of numbers).  Vectors that are null,
@@ -142,8 +160,10 @@ def nearest_neighbours(vectors: DataFrame, every: int = 50, top: int = TOP, take
     sample = unique.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("v") if n > SAMPLE else unique.select("v")
     x = unit(np.array([r[0] for r in sample.collect()], np.float64))  # SAMPLE rows at most
     x = x[np.lexsort(x.T[::-1])]
+    centroids = centroids or max(4, min(MOST, 1 << round(np.log2(max(1.0, n / PER_CELL)) / 2)))
     books = [kmeans(x[:, :half], centroids), kmeans(x[:, half:], centroids)] if half else [np.zeros((1, 0)), kmeans(x, centroids)]
     wide = len(books[1])
+    take = -(-n * (share or calibrate(x, books, half, top)) // 1)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -181,23 +201,34 @@ def nearest_neighbours(vectors: DataFrame, every: int = 50, top: int = TOP, take
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted by cell and salt, index rows first: the block, then the queries against it."""
         at, held, ids, m = None, [], [], None
+
+        def search(q: np.ndarray, own: list[int]) -> Iterator[tuple[int, int, float]]:
+            s = (m @ q.T) / size[:, None]
+            least = np.partition(s, len(s) - keep, axis=0)[len(s) - keep] if len(s) > keep else np.full(len(own), -np.inf)
+            j, k = np.nonzero(s >= least - 1e-9 * (1 + np.abs(least)))
+            exact = cosine(m[j], q[k])
+            for a, b, x in zip(j.tolist(), k.tolist(), exact.tolist(), strict=True):
+                for i in ids[a]:
+                    if i != own[b]:
+                        yield own[b], i, x
+
         for b in batches:
             out: list[tuple[int, int, float]] = []
-            for cell, salt, q, i, v in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
-                if (cell, salt) != at:
-                    at, held, ids, m = (cell, salt), [], [], None
-                if q is None:
+            cell, salt, query = (b.column(c).fill_null(-1).to_numpy() for c in range(3))
+            asks = b.column(2).is_valid().to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (salt[1:] != salt[:-1]) | (asks[1:] != asks[:-1])][: len(cell)])
+            for i, j in zip(first, np.r_[first[1:], len(cell)], strict=True):
+                if (cell[i], salt[i]) != at:
+                    at, held, ids, m = (cell[i], salt[i]), [], [], None
+                v = b.column(4).slice(i, j - i).flatten().to_numpy().reshape(j - i, -1)
+                if not asks[i]:
                     held.append(v)
-                    ids.append(i)
-                    continue
-                if not held:
-                    continue
-                if m is None:
-                    m = np.array(held, np.float64)
-                s = cosine(m, np.array(v, np.float64))
-                best = np.flatnonzero(s >= np.partition(s, len(s) - keep)[len(s) - keep]) if len(s) > keep else np.arange(len(s))
-                found = sorted(((-s[j], k) for j in best.tolist() for k in ids[j] if k != q))[:top]
-                out += [(q, k, -x) for x, k in found]
+                    ids += b.column(3).slice(i, j - i).to_pylist()
+                elif held:
+                    if m is None:
+                        m = np.concatenate(held)
+                        size = np.sqrt((m * m).sum(1))
+                    out += search(v, query[i:j].tolist())
             cols = list(zip(*out, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query_id", "vec_id", "score"])
 

@@ -310,28 +310,34 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> tuple[int, int, str]:
     return n, removed, b"".join(out).decode()
 
 
-def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, text (what is kept, with its own white space) for every row of docs."""
+def remove_spans(docs: DataFrame, spans: DataFrame, extra: dict[str, str] | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed, text (what is kept, with its own white space) and extra for every row of docs.
+
+    extra: further columns of docs that come along, name -> type.
+    """
+    extra = extra or {}
+    tail = "".join(f", {c} {t}" for c, t in extra.items())
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(1)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(0).fill_null(AFTER), pa.array([z.compress(t.encode()) for t in strings(b.column(1))], pa.binary())], ["doc_id", "key", "packed"])
+            packed = pa.array([z.compress(t.encode()) for t in strings(b.column(1))], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(0).fill_null(AFTER), packed, *b.columns[2:]], ["doc_id", "key", "packed", *extra])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
         for b in batches:
             starts, sizes = b.column(2).to_pylist(), b.column(3).to_pylist()
             rows = [cut_words(z.decompress(t).decode(), list(zip(s or [], k or [], strict=True))) for t, s, k in zip(b.column(1).to_pylist(), starts, sizes, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], ["doc_id", "n_words", "n_removed", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string()), *b.columns[4:]], ["doc_id", "n_words", "n_removed", "text", *extra])
 
-    packed = arrow_map(only(docs, doc_id="long", text="string"), pack, "doc_id long, key long, packed binary")
+    packed = arrow_map(only(docs, doc_id="long", text="string", **extra), pack, "doc_id long, key long, packed binary" + tail)
     by_doc = spans.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("sizes"))  # no more than a document's words
-    return arrow_map(packed.join(by_doc, "key", "left").select("doc_id", "packed", "starts", "sizes"), cut, "doc_id long, n_words long, n_removed long, text string")
+    return arrow_map(packed.join(by_doc, "key", "left").select("doc_id", "packed", "starts", "sizes", *extra), cut, "doc_id long, n_words long, n_removed long, text string" + tail)
 
 
-def dedup_corpus(docs: DataFrame, history: float = 0.25) -> DataFrame:
-    """doc_id, n_words, n_removed, text: docs without the words of windows that occur earlier.
+def dedup_corpus(docs: DataFrame, history: float = 0.25, extra: dict[str, str] | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed, text (and extra): docs without the words of windows that occur earlier.
 
     Earlier: in a document with a smaller doc_id, or earlier in the same one.
     The documents with the smallest doc_ids (about the share `history` of them)
@@ -348,4 +354,4 @@ def dedup_corpus(docs: DataFrame, history: float = 0.25) -> DataFrame:
         spans = old.unionByName(new)
     else:
         spans = index.repeated(docs, append=False)
-    return remove_spans(docs, spans)
+    return remove_spans(docs, spans, extra)
