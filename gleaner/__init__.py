@@ -1,0 +1 @@
+"""Spark-native indexing and hybrid retrieval over text corpora."""
