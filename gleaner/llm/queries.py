@@ -92,4 +92,16 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM k
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_warc_revisits": WARC_SQL, "op9_mixing": mixing.PLAN_SQL}
+#: Windows of 20 words, each but its first occurrence removed.
+SUBSTRING_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+k AS (SELECT doc_id, p, n, word, CASE WHEN p <= n - 19 THEN string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) END AS h FROM x),
+r AS (SELECT doc_id, p, word, h IS NOT NULL AND row_number() OVER (PARTITION BY h ORDER BY doc_id, p) > 1 AS again FROM k),
+g AS (SELECT doc_id, p, word, coalesce(bool_or(again) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), false) AS gone FROM r),
+s AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY p) FILTER (NOT gone), '') AS kept FROM g GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN s USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_substring_dedup": SUBSTRING_SQL, "op1_warc_revisits": WARC_SQL, "op9_mixing": mixing.PLAN_SQL}
