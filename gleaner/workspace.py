@@ -14,11 +14,13 @@ from .functions.embedding import hash_embedder
 from .functions.text import embed_query
 from .operators import evaluate, rank, retrieve
 from .operators.catalog import Catalog, absolute_keys
+from .session import ship
 from .sources import files
 
 
 class Workspace:
     def __init__(self, spark: SparkSession, db: str | None = None, embedder: Callable | None = hash_embedder) -> None:
+        ship(spark)
         self.spark = spark
         self.db = os.path.abspath(db or files.default_db(os.environ.get("GLEANER_DB"), os.getcwd()))
         self.root = files.workspace_root(self.db)
