@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, only, strings, worker_cache
 
 #: Entries of one generation of a worker's caches.
-CACHE = 300_000
+CACHE = 200_000
 RANKS = "byte_bpe_50k.tiktoken"
 LIMIT = 512
 #: The string that byte_bpe_50k.json reads as one special token inside texts.
@@ -152,7 +152,7 @@ class Codec:
         key = a << 32 | b
         v = self.pairs.get(key)
         if v is None:
-            if len(self.pairs) >= 4 * CACHE:
+            if len(self.pairs) >= 2 * CACHE:
                 self.pairs.clear()
             v = self.pairs[key] = self._merge(self.token[a] + self.token[b]) == [self.token[a], self.token[b]]
         return v
@@ -268,7 +268,7 @@ def encode_documents(docs: DataFrame, ranks: str | None = None, pattern: str | N
             values = np.concatenate(ids) if ids else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))], ["doc_id", "ids"])
 
-    return arrow_map(only(docs, doc_id="long", text="string"), run, "doc_id long, ids array<int>")
+    return arrow_map(only(docs, doc_id="long", text="string"), run, "doc_id long, ids array<int>", "codec")
 
 
 def decode_documents(tokens: DataFrame, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -283,7 +283,7 @@ def decode_documents(tokens: DataFrame, ranks: str | None = None, pattern: str |
             out = [c.decode(values[i:j].tolist()) for i, j in zip(ends, ends[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return arrow_map(tokens.select(F.col("doc_id").cast("long"), F.coalesce(F.col("ids").cast("array<int>"), F.array().cast("array<int>")).alias("ids")), run, "doc_id long, ids array<int>, decoded binary")
+    return arrow_map(tokens.select(F.col("doc_id").cast("long"), F.coalesce(F.col("ids").cast("array<int>"), F.array().cast("array<int>")).alias("ids")), run, "doc_id long, ids array<int>, decoded binary", "codec")
 
 
 def token_counts(docs: DataFrame, ranks: str | None = None, pattern: str | None = None, limit: int = LIMIT, special: str | None = SPECIAL) -> DataFrame:
@@ -315,4 +315,4 @@ def token_counts(docs: DataFrame, ranks: str | None = None, pattern: str | None
             rows = np.array([of(c, t) for t in strings(b.column(1))], np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 1] > limit), pa.array(rows[:, 2])], ["doc_id", "n_bytes", "n_tokens", "over_limit", "cut_bytes"])
 
-    return arrow_map(only(docs, doc_id="long", text="string"), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, cut_bytes long")
+    return arrow_map(only(docs, doc_id="long", text="string"), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, cut_bytes long", "codec")

@@ -7,6 +7,8 @@ Parquet table in the folder that ``spark.checkpoint.dir`` names.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import sys
 import tempfile
@@ -100,9 +102,34 @@ def only(df: DataFrame, **types: str) -> DataFrame:
     return df.select(*[df[c].cast(t).alias(c) for c, t in types.items()])
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, keeps: str = "") -> DataFrame:
+    """mapInArrow; what workers have cached goes first, but for entries of the kind `keeps`.
+
+    A worker serves one operator after another, and the caches of one would
+    otherwise stay beside the data of the next.
+    """
     prepare(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(keeps)
+        yield from fn(batches)
+
+    return df.mapInArrow(run, schema)
+
+
+def forget(keeps: str = "") -> None:
+    """Drop this worker's cached objects of other kinds, and give the memory back to the system."""
+    cache = worker_cache()
+    gone = [k for k in cache if k[0] != keeps]
+    for k in gone:
+        del cache[k]
+    if gone:
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
 
 
 def global_order(df: DataFrame, by: list[str], tag: str) -> tuple[DataFrame, str]:
@@ -135,7 +162,7 @@ def long_map(values: dict[int, int], key: Column) -> Column:
 
 
 def worker_cache() -> dict:
-    """A dictionary that lives as long as the Python worker."""
+    """A dictionary that outlives tasks of the Python worker; keys are tuples that begin with a kind (see forget)."""
     mod = sys.modules[__name__]
     if not hasattr(mod, "_cache"):
         mod._cache = {}

@@ -200,7 +200,7 @@ def near_links(fps: DataFrame, n: int, distance: int = DISTANCE) -> DataFrame:
         yield forest.links()
 
     spark = fps.sparkSession
-    copies = arrow_map(fps.select("fp"), copy, "anchor long, fp long")
+    copies = arrow_map(fps.select("fp"), copy, "anchor long, fp long", "code")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 50_000)
     return arrow_map(copies.repartition(parts, "anchor").sortWithinPartitions("anchor", "fp"), compare, "a long, b long")
 

@@ -33,6 +33,8 @@ SEED_WORDS = 5
 #: Bytes kept of the second hash of a window.
 TAG = 6
 FANOUT = 4
+#: Texts whose windows a task sorts at once.
+TEXTS = 400
 #: Repeated windows that a task remembers between Arrow batches.
 REMEMBER = 200_000
 #: doc_id of what the index holds: before every document.  A null doc_id comes after all others.
@@ -44,7 +46,7 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         v = self[word] = xxhash.xxh3_64_intdigest(word)
         return v
@@ -152,10 +154,12 @@ _SPANS = "kind int, mini long, doc_id long, start int, n int, tags binary"
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     task = _Task()
-    for b in batches:
-        ids = b.column(0).fill_null(AFTER).to_numpy()
-        if (out := task.batch(ids, strings(b.column(1)))) is not None:
-            yield out
+    for whole in batches:
+        for at in range(0, whole.num_rows, TEXTS):
+            b = whole.slice(at, TEXTS)
+            ids = b.column(0).fill_null(AFTER).to_numpy()
+            if (out := task.batch(ids, strings(b.column(1)))) is not None:
+                yield out
 
 
 def _merge(append: bool):
