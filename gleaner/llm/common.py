@@ -13,15 +13,16 @@ import os
 import sys
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship
+
 #: Rows of one Arrow batch to Python: whole texts, so far fewer than Spark's default.
 ARROW_ROWS = 1000
 #: Words: runs of bytes that are none of the six ASCII white-space characters.
@@ -29,27 +30,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 _own_root: list[str] = []
 _made: list[tuple[SparkSession, str]] = []
-_shipped: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> None:
     """Bound the Arrow batches and make this package importable on executors."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or os.getcwd() == root:
-        return
-    app = spark.sparkContext.applicationId
-    if app in _shipped or root.endswith(".zip"):
-        return
-    _shipped.add(app)
-    at = os.path.join(tempfile.mkdtemp(), "gleaner.zip")  # the driver's file server sends it
-    with zipfile.ZipFile(at, "w") as z:
-        for d, _, names in os.walk(os.path.join(root, "gleaner")):
-            for n in names:
-                if n.endswith(".py"):
-                    z.write(os.path.join(d, n), os.path.relpath(os.path.join(d, n), root))
-    spark.sparkContext.addPyFile(at)
+    ship(spark)
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -133,10 +120,10 @@ def forget(keeps: str = "") -> None:
 
 
 def global_order(df: DataFrame, by: list[str], tag: str) -> tuple[DataFrame, str]:
-    """df range-sorted by the columns `by` and staged, with long columns _part and _at.
+    """df range-sorted by the columns `by` and staged, with columns _part and _at, and the name of the first.
 
-    (_part, _at) rises with the order; _at is the place in the part.  Returns the
-    staged table; ranks need only the count of each part (:func:`part_offsets`).
+    (_part, _at) rises with the order; _at is the place in the part.  Ranks need
+    only the count of each part besides.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     mid = F.monotonically_increasing_id()
@@ -145,22 +132,6 @@ def global_order(df: DataFrame, by: list[str], tag: str) -> tuple[DataFrame, str
     return stage(marked, tag), "_part"
 
 
-def part_offsets(counts: list[tuple[int, int]]) -> dict[int, int]:
-    """Where each part begins, from (part, rows)."""
-    out, at = {}, 0
-    for p, n in sorted(counts):
-        out[p] = at
-        at += n
-    return out
-
-
-def long_map(values: dict[int, int], key: Column) -> Column:
-    """A bounded map (one entry for each partition) as a column expression."""
-    if not values:
-        return F.lit(0).cast("long")
-    return F.create_map(*[F.lit(int(x)).cast("long") for kv in values.items() for x in kv])[key.cast("long")]
-
-
 def worker_cache() -> dict:
     """A dictionary that outlives tasks of the Python worker; keys are tuples that begin with a kind (see forget)."""
     mod = sys.modules[__name__]
