@@ -212,8 +212,15 @@ def nearest_neighbours(vectors: DataFrame, every: int = 50, top: int = TOP, shar
                     if i != own[b]:
                         yield own[b], i, x
 
+        best: dict[int, list[tuple[float, int]]] = {}  # of each query, in all cells of this task
+
+        def told() -> pa.RecordBatch:
+            rows = [(q, i, -x) for q, found in best.items() for x, i in sorted(found)[:top]]
+            cols = list(zip(*rows, strict=True)) or [()] * 3
+            best.clear()
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query_id", "vec_id", "score"])
+
         for b in batches:
-            out: list[tuple[int, int, float]] = []
             cell, salt, query = (b.column(c).fill_null(-1).to_numpy() for c in range(3))
             asks = b.column(2).is_valid().to_numpy(zero_copy_only=False)
             first = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (salt[1:] != salt[:-1]) | (asks[1:] != asks[:-1])][: len(cell)])
@@ -228,9 +235,14 @@ def nearest_neighbours(vectors: DataFrame, every: int = 50, top: int = TOP, shar
                     if m is None:
                         m = np.concatenate(held)
                         size = np.sqrt((m * m).sum(1))
-                    out += search(v, query[i:j].tolist())
-            cols = list(zip(*out, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query_id", "vec_id", "score"])
+                    for q, k, x in search(v, query[i:j].tolist()):
+                        found = best.setdefault(q, [])
+                        found.append((-x, k))
+                        if len(found) > 16 * top:
+                            found[:] = sorted(found)[:top]
+            if len(best) > 100_000:
+                yield told()
+        yield told()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = arrow_map(both.repartition(parts, "cell", "salt").sortWithinPartitions("cell", "salt", F.col("query_id").asc_nulls_first()), rank, "query_id long, vec_id long, score double")
