@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bpe, classifier, mixing, simhash, substring
+from gleaner.llm import bpe, classifier, mixing, resemblance, substring
 from gleaner.llm.common import stage
 
 COLUMNS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
@@ -39,11 +39,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays.
 
+    Near duplicates share 0.8 or more of their five-word shingles, or are linked by such pairs.
     A document without a doc_id stays if none of its group has one.  Rows that
     repeat a doc_id are reduced to one.
     """
     docs = _columns(docs)
-    found = stage(simhash.near_duplicates(docs).select("doc_id", "component_id"), "near-duplicates")
+    found = resemblance.near_duplicates(docs)
     rest = _without(docs, found.filter("NOT (doc_id <=> component_id)"))
     if found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").head(1):
         rest = rest.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(rest.filter("doc_id IS NULL"))

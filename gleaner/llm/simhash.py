@@ -35,19 +35,25 @@ THIRD_FROM = 1 << 24
 PAIRS_UP_TO = 64
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """64 bits; 0 for a text without words."""
+def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """64 bits of every shingle in text order; a shorter text is one shingle, a text without words none."""
     words = text.encode().lower().split()
     n = len(words)
     if not n:
-        return 0
+        return np.empty(0, np.uint64)
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if n <= shingle:
-        h = np.array([digest(joined, SEED)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-        starts = [0, *(ends[: n - shingle] + 1).tolist()]
-        h = np.array([digest(joined[i:j], SEED) for i, j in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
+        return np.array([digest(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+    starts = [0, *(ends[: n - shingle] + 1).tolist()]
+    return np.array([digest(joined[i:j], SEED) for i, j in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    """64 bits; 0 for a text without words."""
+    h = shingle_hashes(text, shingle)
+    if not len(h):
+        return 0
     bits = np.unpackbits(h.astype(">u8").view(np.uint8)).reshape(-1, 64)
     whole = len(bits) // 255 * 255
     total = bits[whole:].sum(0, dtype=np.int64)

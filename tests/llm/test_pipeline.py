@@ -71,3 +71,24 @@ def test_nulls(spark, tables):
     assert three.count() == 5
     four = pipe.source_mixing(spark, docs, sf)
     pipe.byte_bpe(spark, four, sf).collect()
+
+
+def test_near_copies_at_four_fifths(spark, tmp_path):
+    rng = random.Random(5)
+    texts = [prose(rng, rng.randint(40, 200)) for _ in range(60)]
+    for i in range(240):
+        words = texts[rng.randrange(len(texts) if i % 2 else 60)].split()
+        for at in rng.sample(range(len(words)), rng.randint(1, 4)):
+            words[at] = f"changed{i}x{at}"
+        texts.append(" ".join(words))
+    texts += ["a b c", "a b c", "a b d", ""]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    least = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and least[a] != least[b]:
+                low, high = sorted((least[a], least[b]))
+                least = [low if x == high else x for x in least]
+    got = {r.doc_id for r in pipe.simhash_near_dedup(spark, docs, str(tmp_path)).collect()}
+    assert got == set(least) and 60 < len(got) < 280
