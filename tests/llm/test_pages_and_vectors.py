@@ -66,6 +66,13 @@ def test_main_text(spark):
     assert pages.main_text(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_lines_beside_an_article(spark):
+    page = lambda n: f"<body><p>All of our site</p><p>Intro {n}</p><article><p>Shared text</p><p>own {n}</p></article><p>After {n}</p><p>All rights</p></body>"
+    rows = [(n, f"http://h/{n}", page(n)) for n in (1, 2, 3)]
+    got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {n: f"Intro {n}\nShared text\nown {n}\nAfter {n}" for n in (1, 2, 3)}
+
+
 def test_blocks_of_pages(spark):
     rows = [(i, f"http://host/p/{i:04d}", f"<p>menu of all</p><p>own {i}</p>") for i in range(300)]
     got = pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()
