@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import line_label, lines, snippet
 
+#: Up to this context a wanted paragraph is joined by each place around it, beyond by its document.
+EXPLODED = 100
+
 
 def hydrate(ranking: DataFrame, paras: DataFrame) -> DataFrame:
     """query_id, rank, score, doc, para, lines, snippet, heading (null if empty): one join, after ranking.
@@ -45,7 +48,7 @@ def expand_bodies(hits: DataFrame, paras: DataFrame, top: int, budget: int) -> D
 
 def get_documents(documents: DataFrame, paths: DataFrame) -> DataFrame:
     """path, content of each requested path that exists."""
-    return documents.join(F.broadcast(paths.select("path").distinct()), "path").select("path", "content")
+    return documents.join(paths.select("path").distinct(), "path").select("path", "content")
 
 
 def get_paragraphs(paras: DataFrame, wanted: DataFrame, context: int = 0) -> DataFrame:
@@ -55,8 +58,12 @@ def get_paragraphs(paras: DataFrame, wanted: DataFrame, context: int = 0) -> Dat
     """
     if context < 0:
         raise ValueError("context must not be negative")
-    w = F.broadcast(wanted.select("path", "para").filter("para >= 0").distinct())
-    near = paras.join(w, "path").filter(F.col("seq").between(F.col("para") - context, F.col("para") + context))
+    w = wanted.select("path", "para").filter("para >= 0").distinct()
+    if context <= EXPLODED:
+        w = w.withColumn("seq", F.explode(F.sequence(F.greatest(F.col("para") - context, F.lit(0)), F.col("para") + context)))
+        near = paras.join(w, ["path", "seq"])
+    else:
+        near = paras.join(w, "path").filter(F.col("seq").between(F.col("para") - context, F.col("para") + context))
     out = near.groupBy("path", "para").agg(F.sort_array(F.collect_list(F.struct("seq", "text"))).alias("x"), F.max(F.col("seq") == F.col("para")).alias("there"))
     return out.filter("there").select("path", "para", F.array_join(F.transform("x", lambda v: v["text"]), "\n\n").alias("content"))
 

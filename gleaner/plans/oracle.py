@@ -118,6 +118,8 @@ ORACLE: dict[str, str] = {
     "hydrate_hits": f"{_TEXT_HITS} SELECT query_id, rank, score, doc, para, lines, {_SNIP} AS snippet, CAST(NULL AS VARCHAR) AS heading FROM hits",
     "get_document": f"WITH c AS ({_LINES}) SELECT path, md5(content) AS digest FROM c WHERE doc_id % 97 = 1",
     "get_paragraph_context": f"WITH {_split(_LINES)} SELECT path, 1 AS para, string_agg(text, {_NL} || {_NL} ORDER BY seq) AS content FROM paras JOIN (SELECT path FROM corpus WHERE doc_id % 50 = 2) USING (path) WHERE seq BETWEEN 0 AND 2 GROUP BY path HAVING max(CASE WHEN seq = 1 THEN 1 ELSE 0 END) = 1",
+    "get_document_all": f"WITH c AS ({_LINES}) SELECT path, md5(content) AS digest FROM c",
+    "get_paragraph_context_all": f"WITH {_split(_LINES)} SELECT p.path, p.seq AS para, string_agg(q.text, {_NL} || {_NL} ORDER BY q.seq) AS content FROM paras p JOIN paras q ON p.path = q.path AND q.seq BETWEEN p.seq - 1 AND p.seq + 1 GROUP BY p.path, p.seq",
     "get_line_range": f"WITH c AS ({_LINES}), a AS (SELECT path, string_split(content, {_NL}) AS x FROM c) SELECT path, array_to_string(x[3:5], {_NL}) AS content FROM a WHERE len(x) >= 3",
     "expand_bodies_budget": f"""{_TEXT_HITS}, z AS (SELECT *, sum(CASE WHEN rank <= 5 THEN length(text) ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank) AS cum FROM hits),
 y AS (SELECT *, cum - CASE WHEN rank <= 5 THEN length(text) ELSE 0 END AS prev FROM z)

@@ -160,6 +160,18 @@ def get_paragraph_context(s, d):
     return retrieve.get_paragraphs(split_paragraphs(docs), wanted, 1)
 
 
+@query
+def get_document_all(s, d):
+    docs = c.corpus_lines(s, d)
+    return retrieve.get_documents(docs, docs.select("path")).select("path", F.md5("content").alias("digest"))
+
+
+@query
+def get_paragraph_context_all(s, d):
+    paras = split_paragraphs(c.corpus_lines(s, d))
+    return retrieve.get_paragraphs(paras, paras.select("path", F.col("seq").alias("para")), 1)
+
+
 @query
 def get_line_range(s, d):
     return retrieve.get_lines(c.corpus_lines(s, d), None, 3, 5)

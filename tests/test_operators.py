@@ -166,3 +166,17 @@ def test_classify(spark):
     old = spark.createDataFrame([("a", 1, "x"), ("b", 1, "x"), ("c", 1, "x"), ("d", 1, "x")], "path string, mtime long, hash string")
     new = spark.createDataFrame([("a", 1, "x"), ("b", 2, "x"), ("c", 1, "y"), ("e", 1, "x")], "path string, mtime long, hash string")
     assert {r.path: r.status for r in catalog.classify(old, new).collect()} == {"a": "unchanged", "b": "touched", "c": "changed", "d": "absent", "e": "new"}
+
+
+def test_requests_are_not_broadcast(spark):
+    from gleaner.operators import retrieve
+    from gleaner.plans.queries import QUERIES
+
+    docs = spark.createDataFrame([("a", "x")], "path string, content string")
+    paras = spark.createDataFrame([("a", i, f"t{i}") for i in range(4)], "path string, seq int, text string")
+    wanted = paras.select("path", paras["seq"].alias("para"))
+    for df in (retrieve.get_documents(docs, docs), retrieve.get_paragraphs(paras, wanted, 1), retrieve.get_paragraphs(paras, wanted, 1000)):
+        assert "broadcast" not in df._jdf.queryExecution().logical().toString().lower()
+    got = {r.para: r.content for r in retrieve.get_paragraphs(paras, wanted, 1).collect()}
+    assert got == {0: "t0\n\nt1", 1: "t0\n\nt1\n\nt2", 2: "t1\n\nt2\n\nt3", 3: "t2\n\nt3"}
+    assert {"get_document_all", "get_paragraph_context_all"} <= set(QUERIES)
