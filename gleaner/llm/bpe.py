@@ -7,7 +7,8 @@ what is left when it is taken off.  Storing that token for every prefix gives
 
 * encoding, by walking back from the end,
 * appending: only the new bytes are looked at,
-* re-encoding near an edit: prefixes before it stay as they are,
+* re-encoding near an edit: prefixes before it stay as they are, and so do those
+  after it once as many last tokens as can matter are the old ones,
 * the exact token count of every prefix, and with it truncation to a budget.
 
 Pieces are the matches of the split pattern; texts are never cut.
@@ -39,6 +40,8 @@ SPECIAL = "<|endoftext|>"
 #: A blank with white space before it and white space or the end after it:
 #: only then does the split of a text differ from that of its blank-led chunks.
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
+#: White space as the split pattern knows it, and runs of it.
+_SPACE, _RUN = regex.compile(r"\s"), regex.compile(r"\s\s+")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -77,12 +80,34 @@ class PieceDP:
             last[e] = t
             count[e] = count[j] + 1
 
-    def edit(self, start: int, end: int, new: bytes) -> None:
-        """Replace data[start:end]; prefixes up to start are kept."""
-        tail = self.data[end:]
-        self.data = self.data[:start]
-        del self.last[start + 1 :], self.count[start + 1 :]
-        self.append(new + tail)
+    def edit(self, start: int, end: int, new: bytes) -> int:
+        """Replace data[start:end]; how many prefixes were computed anew.
+
+        Prefixes up to start stay.  Beyond the new bytes, a prefix depends on the
+        last tokens of as many prefixes before it as the longest token has bytes:
+        where these are the old ones, and their counts differ from the old ones by
+        one number, all that follows is as it was, but for that number.
+        """
+        shift, reach = len(new) - (end - start), self.codec.longest
+        data = self.data[:start] + new + self.data[end:]
+        old_last, old_count = self.last, self.count
+        self.data, self.last, self.count = data[:start], old_last[: start + 1], old_count[: start + 1]
+        at, step, same, by = start, len(new) + reach, 0, None
+        while at < len(data):
+            stop = min(len(data), at + step)
+            self.append(data[at:stop])
+            for e in range(max(at, start + len(new) + reach) + 1, stop + 1):  # tokens that end here lie in the old bytes
+                d = self.count[e] - old_count[e - shift]
+                same = same + 1 if self.last[e] == old_last[e - shift] and d == by else int(self.last[e] == old_last[e - shift])
+                by = d
+                if same > reach:
+                    del self.last[e + 1 :], self.count[e + 1 :]
+                    self.data = data
+                    self.last += old_last[e - shift + 1 :]
+                    self.count += (np.array(old_count[e - shift + 1 :], np.int64) + d).tolist()
+                    return stop - start
+            at, step = stop, step + reach
+        return len(data) - start
 
     def ids(self, end: int | None = None) -> list[int]:
         i, out = len(self.data) if end is None else end, []
@@ -115,7 +140,7 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks = ranks
-        self.split = regex.compile(pattern).findall
+        self.split, self.scan = regex.compile(pattern).findall, regex.compile(pattern).finditer
         top = max(ranks.values(), default=-1) + 1
         self.token: list[bytes] = [b""] * top
         for b, i in ranks.items():
@@ -130,7 +155,7 @@ class Codec:
         self.pairs: dict[int, bool] = {}
         self.piece = _Cache(self._piece)
         self.ids_of = _Cache(self._chunk)
-        self.count_of = _Cache(lambda chunk: len(self._chunk(chunk)))
+        self.prefixes = _Cache(self._prefixes)
 
     def _merge(self, data: bytes) -> list[bytes]:
         """Plain BPE, for the few bytes of two tokens."""
@@ -189,6 +214,41 @@ class Codec:
             return self.piece[chunk]
         return tuple(self.encode_slow(chunk))
 
+    def piece_counts(self, data: bytes) -> list[int]:
+        """The token count of every byte prefix of a piece: one more than at the place where its last token starts."""
+        last, count, pairs, get = [-1] * (len(data) + 1), [0] * (len(data) + 1), self.pairs, self.pairs.get
+        for e, (t, n) in self.matches(data.decode("latin-1")):
+            e += 1
+            if last[e] < 0:
+                j = e - n
+                if j == 0:
+                    last[e], count[e] = t, 1
+                elif (p := last[j]) >= 0:
+                    v = get(p << 32 | t)
+                    if v or v is None and self.compatible(p, t):
+                        last[e], count[e] = t, count[j] + 1
+        return count
+
+    def _prefixes(self, chunk: str) -> bytes | list[int]:
+        """The token count of every byte prefix of a chunk as a text of its own; the last one is the chunk's.
+
+        A prefix may be split otherwise than the whole: white space at its end is one
+        piece, and the first two characters of three of the contractions are two.
+        """
+        if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
+            count = self.piece_counts(chunk.encode())
+        else:
+            count = [0]
+            for piece in self.split(chunk):
+                own, base = self.piece_counts(piece.encode()), count[-1]
+                if piece in ("'re", "'ve", "'ll"):
+                    own[2] = 2
+                count += [base + n for n in own[1:]]
+            for m in _RUN.finditer(chunk):
+                i, run = len(chunk[: m.start()].encode()), m[0].encode()
+                count[i + 1 : i + len(run) + 1] = [count[i] + n for n in self.piece_counts(run)[1:]]
+        return bytes(count) if max(count) < 256 else count
+
     @staticmethod
     def chunks(text: str) -> list[str] | None:
         """The text cut before each blank, or None where the split pattern sees more than one such chunk."""
@@ -205,42 +265,118 @@ class Codec:
         return b"".join(map(self.token.__getitem__, ids))
 
     def counts(self, text: str) -> tuple[list[str], np.ndarray]:
-        """Chunks of the text that no piece crosses, and the token count of each."""
+        """Chunks of the text that no piece crosses, and the token count of each, which is that of its last prefix."""
         c = self.chunks(text)
         if c is None:
             c = self.split(text)
-            n = [len(self.piece[p]) for p in c]
-        else:
-            n = list(map(self.count_of.__getitem__, c))
-        return c, np.array(n, np.int64)
+        return c, np.array([x[-1] for x in map(self.prefixes.__getitem__, c)], np.int64)
 
 
 class PrefixCounts:
-    """Exact token counts of the prefixes of a text: count(p) and cut(budget) without encoding it again.
+    """Exact token counts of the prefixes of a text: count(p) and cut(budget), from stored counts, without encoding.
 
-    A prefix that ends inside white space or a piece is split there as the
-    text that it is; so the pieces from the last stored boundary before the
-    previous chunk on are looked at again, and no others.
+    A prefix is counted as the text that it is.  Its count is that of the chunks
+    before, and the stored one of its part of the last chunk; only white space
+    at its end that began in an earlier chunk is one piece of its own.
     """
 
-    def __init__(self, codec: Codec, text: str) -> None:
+    def __init__(self, codec: Codec, text: str, counted: tuple[list[str], np.ndarray] | None = None) -> None:
         self.codec, self.text = codec, text
-        chunks, n = codec.counts(text)
-        self.ends = np.cumsum([len(c) for c in chunks], dtype=np.int64)
+        self.chunks, n = counted or codec.counts(text)
+        self.ends = np.cumsum([len(c) for c in self.chunks], dtype=np.int64)
         self.total = np.cumsum(n)
 
+    def _run(self, chars: int) -> int:
+        """Where the white space at the end of text[:chars] starts."""
+        while chars and _SPACE.match(self.text, chars - 1):
+            chars -= 1
+        return chars
+
+    def _within(self, k: int, chars: int) -> int:
+        """Tokens of text[:chars], which ends in chunk k, if no white space at its end began before that."""
+        start = int(self.ends[k - 1]) if k else 0
+        part = self.chunks[k][: chars - start]
+        return (int(self.total[k - 1]) if k else 0) + self.codec.prefixes[self.chunks[k]][len(part) if part.isascii() else len(part.encode())]
+
     def count(self, chars: int) -> int:
         """Tokens of text[:chars]."""
-        k = max(0, int(np.searchsorted(self.ends, chars, "left")) - 1)
-        while k and (self.text[int(self.ends[k - 1])].isspace() and self.text[int(self.ends[k - 1]) - 1].isspace()):
-            k -= 1
-        at, base = (int(self.ends[k - 1]), int(self.total[k - 1])) if k else (0, 0)
-        return base + len(self.codec.encode(self.text[at:chars]))
+        if chars <= 0:
+            return 0
+        k = int(np.searchsorted(self.ends, chars, "left"))
+        start = self._run(chars)
+        if start < chars and start < (int(self.ends[k - 1]) if k else 0):
+            return (self.count(start) if start else 0) + self.codec.piece_counts(self.text[start:chars].encode())[-1]
+        return self._within(k, chars)
 
     def cut(self, budget: int) -> int:
-        """Characters of the longest prefix that ends at a stored boundary and has at most budget tokens."""
-        k = int(np.searchsorted(self.total, budget, "right"))
-        return int(self.ends[k - 1]) if k else 0
+        """Characters of the longest prefix with at most budget tokens.
+
+        It ends in the last chunk that begins below the budget, or in white space
+        that goes on from there.  Counts don't rise with every character, so the
+        places there are tried from the last one back.
+        """
+        k = int(np.searchsorted(np.r_[0, self.total[:-1]], budget - 1, "right")) - 1 if len(self.total) else -1
+        if k < 0 or budget <= 0:
+            return 0
+        start, end = int(self.ends[k - 1]) if k else 0, int(self.ends[k])
+        run = self._run(end)
+        if run < end:  # what goes on from here is one run of white space
+            stop = end
+            while stop < len(self.text) and _SPACE.match(self.text, stop):
+                stop += 1
+            if stop > end:
+                base, own = self.count(run), self.codec.piece_counts(self.text[run:stop].encode())
+                size = len(self.text[run:stop].encode())
+                for i in range(stop, end, -1):
+                    if base + own[size] <= budget:
+                        return i
+                    size -= len(self.text[i - 1].encode())
+        lead = start  # white space that goes on from before is counted with it
+        while lead < end and _SPACE.match(self.text, lead):
+            lead += 1
+        own, size, base = self.codec.prefixes[self.chunks[k]], len(self.chunks[k].encode()), int(self.total[k - 1]) if k else 0
+        for i in range(end, lead, -1):
+            if base + own[size] <= budget:
+                return i
+            size -= len(self.text[i - 1].encode())
+        return next((i for i in range(lead, start, -1) if self.count(i) <= budget), start)
+
+
+class TextTokens:
+    """The pieces of a text with their tokens; appends and edits look only at the pieces around them."""
+
+    def __init__(self, codec: Codec, text: str = "") -> None:
+        self.codec, self.text, self.pieces = codec, text, codec.split(text)
+
+    def ids(self) -> list[int]:
+        return list(chain.from_iterable(map(self.codec.piece.__getitem__, self.pieces)))
+
+    def append(self, more: str) -> int:
+        return self.edit(len(self.text), len(self.text), more)
+
+    def edit(self, start: int, end: int, new: str) -> int:
+        """Replace the characters from start to end; how many pieces were split anew.
+
+        A match depends on two characters after it at most, or on where white
+        space ends, and never on what is before it.  So splitting starts a few
+        pieces before the edit and ends at the first old boundary after it.
+        """
+        ends = np.cumsum([len(p) for p in self.pieces], dtype=np.int64)
+        k = max(0, int(np.searchsorted(ends, start, "left")) - 2)
+        while k and _SPACE.match(self.pieces[k]) and _SPACE.match(self.pieces[k - 1], len(self.pieces[k - 1]) - 1):
+            k -= 1
+        at, shift = int(ends[k - 1]) if k else 0, len(new) - (end - start)
+        self.text = self.text[:start] + new + self.text[end:]
+        got: list[str] = []
+        for m in self.codec.scan(self.text, at):
+            got.append(m[0])
+            if m.end() >= start + len(new):
+                i = int(np.searchsorted(ends, m.end() - shift))
+                if i < len(ends) and ends[i] == m.end() - shift:
+                    self.pieces[k : i + 1] = got
+                    return len(got)
+        self.pieces[k:] = got
+        return len(got)
 
 
 def codec(path: str, pattern: str) -> Codec:
@@ -290,24 +426,28 @@ def token_counts(docs: DataFrame, ranks: str | None = None, pattern: str | None
     """doc_id, n_bytes, n_tokens, over_limit, cut_bytes of every whole text, from stored prefix counts.
 
     special: a string that counts as one token wherever it stands (None: no
-    such string).  cut_bytes: the UTF-8 bytes of the longest prefix that ends
-    between chunks and has at most limit tokens.  A null text is empty: 0 bytes,
+    such string).  cut_bytes: the UTF-8 bytes of the longest prefix (in whole
+    characters) that as a text of its own has at most limit tokens.  A null text is empty: 0 bytes,
     0 tokens.  One row out for each row in.
     """
     path, pat = ranks or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
 
     def of(c: Codec, text: str) -> tuple[int, int, int]:
-        size = len(text.encode())
-        total, chunks, counts = 0, [], []
-        for k, part in enumerate(text.split(special) if special and special in text else [text]):
-            if k:
-                total, chunks, counts = total + 1, [*chunks, special], [*counts, np.ones(1, np.int64)]
-            a, n = c.counts(part)
-            total, chunks, counts = total + int(n.sum()), chunks + a, [*counts, n]
+        size = len(text) if text.isascii() else len(text.encode())
+        parts = text.split(special) if special and special in text else [text]
+        found = [c.counts(p) for p in parts]
+        each = [int(n.sum()) for _, n in found]
+        total = sum(each) + len(parts) - 1
         if total <= limit:
             return size, total, size
-        k = int(np.searchsorted(np.cumsum(np.concatenate(counts)), limit, "right"))
-        return size, total, len("".join(chunks[:k]).encode())
+        left, done = limit, 0
+        for k, part in enumerate(parts[:-1]):
+            if each[k] + 1 > left:  # it ends in this part, or within the string after it
+                tail = part + special[:-1]
+                return size, total, done + len(tail[: PrefixCounts(c, tail).cut(left)].encode())
+            left -= each[k] + 1
+            done += len(part.encode()) + len(special.encode())
+        return size, total, done + len(parts[-1][: PrefixCounts(c, parts[-1], found[-1]).cut(left)].encode())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pat)

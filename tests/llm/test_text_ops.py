@@ -35,14 +35,11 @@ ODD = ["", " ", "a", "  a   b ", "a\n \nb", "it's we'll 'x", "ééé 漢字 😀
 
 def test_bpe_like_the_libraries(codec):
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
-    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     rng = random.Random(1)
     parts = [*ODD, " the", "ing", "\n", "\t", "  ", "ü", "'ll", "9", "_"]
     for text in [*ODD, *("".join(rng.choices(parts, k=rng.randint(0, 8))) for _ in range(1500))]:
         ids = enc.encode_ordinary(text)
         assert codec.encode(text) == ids and codec.decode(ids) == text.encode()
-        n = sum(int(codec.counts(x)[1].sum()) for x in text.split(bpe.SPECIAL)) + text.count(bpe.SPECIAL)
-        assert n == len(tok.encode(text, add_special_tokens=False).ids)
 
 
 def test_bpe_append_edit_and_prefixes(codec):
@@ -55,11 +52,55 @@ def test_bpe_append_edit_and_prefixes(codec):
         assert len(dp.ids(n)) == dp.count[n] == len(enc._encode_single_piece(whole[:n]))
     dp.edit(5, 8, b"XYZ")
     assert dp.data == b"interXYZionalisation" and dp.ids() == bpe.PieceDP(codec, dp.data).ids()
-    text = "we'll  see \n\n it in 12 days, won't we"
-    counts = bpe.PrefixCounts(codec, text)
-    for i in range(len(text) + 1):
-        assert counts.count(i) == len(enc.encode_ordinary(text[:i]))
-    assert len(enc.encode_ordinary(text[: counts.cut(5)])) <= 5
+    rng = random.Random(12)
+    for _ in range(60):
+        data = bytes(rng.choices(b"abcdeilnorst", k=rng.randint(0, 500)))
+        dp = bpe.PieceDP(codec, data)
+        for _ in range(3):
+            i = rng.randint(0, len(data))
+            j, new = rng.randint(i, min(len(data), i + 5)), bytes(rng.choices(b"aeixyz", k=rng.randint(0, 5)))
+            dp.edit(i, j, new)
+            data = data[:i] + new + data[j:]
+            plain = bpe.PieceDP(codec, data)
+            assert (dp.data, dp.last, dp.count) == (data, plain.last, plain.count)
+    assert bpe.PieceDP(codec, whole * 1000).edit(10, 12, b"XYZ") <= 8 * codec.longest  # of 20,000 bytes
+
+
+def test_prefix_counts_and_edits_of_texts(codec):
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    rng = random.Random(13)
+    parts = [*(t for t in ODD if len(t) < 100), "'re", "'r", "''ve", "\n\n x", " the", "\t", "  ", "'"]
+    for _ in range(300):
+        text = "".join(rng.choices(parts, k=rng.randint(0, 8)))
+        counts, want = bpe.PrefixCounts(codec, text), [len(enc.encode_ordinary(text[:i])) for i in range(len(text) + 1)]
+        assert [counts.count(i) for i in range(len(text) + 1)] == want
+        for budget in range(max(want) + 2):
+            assert counts.cut(budget) == max(i for i, n in enumerate(want) if n <= budget)
+        kept = bpe.TextTokens(codec, text)
+        for _ in range(3):
+            i = rng.randint(0, len(text))
+            j, new = rng.randint(i, min(len(text), i + 4)), "".join(rng.choices(parts, k=rng.randint(0, 2)))
+            kept.edit(i, j, new)
+            text = text[:i] + new + text[j:]
+            assert kept.text == text and kept.ids() == enc.encode_ordinary(text)
+        kept.append("'ll x")
+        assert kept.ids() == enc.encode_ordinary(text + "'ll x")
+    assert bpe.TextTokens(codec, "word and more, " * 3000).edit(10, 12, "XY z") < 12
+
+
+def test_token_counts_like_the_library(spark, codec):
+    """The table of counts against the library: whole texts and every prefix of them."""
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rng = random.Random(14)
+    parts = [*(t for t in ODD if len(t) < 400), bpe.SPECIAL, bpe.SPECIAL, "'re", " the", "ab-" * 9, "\n ", "<|endof"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 7))) for _ in range(250)]
+    size = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
+    rows = {r.doc_id: r for r in bpe.token_counts(docs(spark, texts), limit=9).collect()}
+    for i, t in enumerate(texts):
+        cut = max(k for k in range(len(t) + 1) if size(t[:k]) <= 9)
+        assert (rows[i].n_bytes, rows[i].n_tokens, rows[i].over_limit, rows[i].cut_bytes) == (len(t.encode()), size(t), size(t) > 9, len(t[:cut].encode()))
+    again = docs(spark, ["same", "same", None]).withColumn("doc_id", F.lit(4))
+    assert sorted(r.n_tokens for r in bpe.token_counts(again).collect()) == [0, 1, 1] and sorted(len(r.ids) for r in bpe.encode_documents(again).collect()) == [0, 1, 1]
 
 
 def test_bpe_tables(spark, codec):
