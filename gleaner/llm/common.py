@@ -10,6 +10,7 @@ import atexit
 import ctypes
 import gc
 import os
+import re
 import sys
 import tempfile
 import uuid
@@ -23,8 +24,8 @@ from pyspark.sql import types as T
 
 from ..session import ship
 
-#: Rows of one Arrow batch to Python: whole texts, so far fewer than Spark's default.
-ARROW_ROWS = 1000
+#: Rows and bytes of one Arrow batch to Python: whole texts, so far fewer than Spark's default.
+ARROW_ROWS, ARROW_BYTES = 1000, 32 << 20
 #: Words: runs of bytes that are none of the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -33,17 +34,20 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches and make this package importable on executors."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Bound the Arrow batches, by settings of the session where they are the default, and make this package importable on executors."""
+    for name, default, value in (("maxRecordsPerBatch", 10_000, ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES + 1, ARROW_BYTES)):
+        if int(spark.conf.get(f"spark.sql.execution.arrow.{name}", str(default))) >= default:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(value))
     ship(spark)
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir, or our own where it names none."""
+    """The folder that the session names in spark.checkpoint.dir; only on one machine, our own where it names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_root:
         _own_root.append(tempfile.mkdtemp(prefix="gleaner-"))
     return "file://" + _own_root[0]

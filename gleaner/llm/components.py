@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, drop_path, new_path
+from .common import arrow_map, drop_path, new_path, stage
 
 
 class Forest:
@@ -81,3 +81,16 @@ def connected_components(links: DataFrame) -> DataFrame:
         step += 1
         out.write.parquet(f"{base}/{step}")
         drop_path(spark, f"{base}/{step - 1}")
+
+
+def name_components(nodes: DataFrame, links: DataFrame, node: str) -> DataFrame:
+    """nodes (a row for each: the column `node`, and least) with root and component_id: the least `least` of the component.
+
+    Nodes without links are components of their own and take no part in the
+    exchanges by root; one root may have most of the others, so its table is
+    written first and the join, to one row a root, is split where it is skewed.
+    """
+    both = stage(nodes.select(node, "least").join(connected_components(links).withColumnRenamed("node", node), node, "left"), "component-nodes")
+    ids = stage(both.filter("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
+    linked = both.filter("root IS NOT NULL").join(ids, "root").select(node, "root", "component_id")
+    return linked.unionByName(both.filter("root IS NULL").select(node, F.col(node).alias("root"), F.col("least").alias("component_id")))

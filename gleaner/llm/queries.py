@@ -60,7 +60,8 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.plan_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"), F.round("again", 6).alias("again"), "rank", "rank_again")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

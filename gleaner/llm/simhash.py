@@ -22,44 +22,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, only, stage, strings, u64, worker_cache
-from .components import Forest, connected_components
+from .components import Forest, name_components
 
 SHINGLE = 4
 DISTANCE = 4
 SEED = 42
 #: Generator polynomial of the binary Golay code of length 23.
 GOLAY = 0b110001110101
+#: Shingles of a text whose bits are in memory at once.
+AT_ONCE = 1 << 16
 #: From so many distinct fingerprints on, a third block joins the code.
 THIRD_FROM = 1 << 24
 #: Larger groups at an anchor are searched by growing components, not by pairs.
 PAIRS_UP_TO = 64
 
 
-def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
-    """64 bits of every shingle in text order; a shorter text is one shingle, a text without words none."""
+def shingle_blocks(text: str, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
+    """64 bits of every shingle in text order, at most AT_ONCE at a time; a shorter text is one shingle, a text without words none."""
     words = text.encode().lower().split()
     n = len(words)
     if not n:
-        return np.empty(0, np.uint64)
+        return
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if n <= shingle:
-        return np.array([digest(joined, SEED)], np.uint64)
+        yield np.array([digest(joined, SEED)], np.uint64)
+        return
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-    starts = [0, *(ends[: n - shingle] + 1).tolist()]
-    return np.array([digest(joined[i:j], SEED) for i, j in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
+    del words
+    starts = np.r_[0, ends[: n - shingle] + 1]
+    ends = ends[shingle - 1 :]
+    for k in range(0, len(starts), AT_ONCE):
+        i, j = starts[k : k + AT_ONCE].tolist(), ends[k : k + AT_ONCE].tolist()
+        yield np.array([digest(joined[x:y], SEED) for x, y in zip(i, j, strict=True)], np.uint64)
+
+
+def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """64 bits of every shingle in text order."""
+    return np.concatenate([np.empty(0, np.uint64), *shingle_blocks(text, shingle)])
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """64 bits; 0 for a text without words."""
-    h = shingle_hashes(text, shingle)
-    if not len(h):
-        return 0
-    bits = np.unpackbits(h.astype(">u8").view(np.uint8)).reshape(-1, 64)
-    whole = len(bits) // 255 * 255
-    total = bits[whole:].sum(0, dtype=np.int64)
-    if whole:
-        total += np.add.reduce(bits[:whole].reshape(-1, 255, 64), axis=1, dtype=np.uint8).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > len(bits)).tobytes(), "big")
+    """64 bits; 0 for a text without words.  Very long texts are taken AT_ONCE shingles at a time."""
+    total, n = np.zeros(64, np.int64), 0
+    for h in shingle_blocks(text, shingle):
+        bits = np.unpackbits(h.astype(">u8").view(np.uint8)).reshape(-1, 64)
+        whole = len(bits) // 255 * 255
+        total += bits[whole:].sum(0, dtype=np.int64)
+        if whole:
+            total += np.add.reduce(bits[:whole].reshape(-1, 255, 64), axis=1, dtype=np.uint8).sum(0, dtype=np.int64)
+        n += len(h)
+    return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big") if n else 0
 
 
 class Block:
@@ -223,8 +235,5 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     rows = stage(fingerprints(docs, shingle), "fingerprints")
     unique = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     links = stage(near_links(unique, unique.count(), distance), "simhash-links")
-    roots = connected_components(links)
-    named = unique.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stage(named.join(ids, "root").select("fp", "root", "component_id"), "simhash-components")
+    named = stage(name_components(unique, links, "fp"), "simhash-components")
     return rows.join(named, "fp").select("doc_id", "fp", "root", "component_id")

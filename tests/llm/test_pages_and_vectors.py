@@ -3,6 +3,8 @@
 import gzip
 import hashlib
 import random
+import re
+from datetime import UTC, datetime
 
 import numpy as np
 import pytest
@@ -28,12 +30,25 @@ def test_archives(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
 
 
-def test_archive_bytes(spark, tmp_path):
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_archive_bytes(spark, tmp_path, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        _archive_bytes(spark, tmp_path)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def _archive_bytes(spark, tmp_path):
     path = f"file://{tmp_path}/w"
     warc.write_archives(spark.createDataFrame([(1, "http://a/", "p" * 1000), (2, "http://b/", "p" * 1000)], "page_id long, url string, html string"), path)
     data = b"".join(gzip.open(f).read() for f in sorted((tmp_path / "w").glob("*.gz")))
     assert data.count(b"p" * 1000) == 1 and data.count(b"WARC/1.1\r\n") == 2 and data.endswith(b"\r\n\r\n")
-    assert b"WARC-Refers-To: <urn:x-page:2>" in data and new_path(spark, "x") != new_path(spark, "x")
+    ids = [bytes(x) for x in re.findall(rb"WARC-Record-ID: (<urn:uuid:[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}>)", data)]
+    assert len(set(ids)) == 2 and re.search(rb"WARC-Refers-To: (\S+)", data)[1] in ids
+    date = datetime.strptime(re.search(rb"WARC-Date: (\S+)", data)[1].decode(), "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=UTC)
+    assert abs((datetime.now(UTC) - date).total_seconds()) < 600
+    assert new_path(spark, "x") != new_path(spark, "x")
 
 
 def test_common_subsequence(monkeypatch):

@@ -280,11 +280,34 @@ def test_mixing(spark):
     for r in rows:
         assert r["size"] == size[r.doc_id] and r.source_size == total[src[r.doc_id]] and 0 <= r.taken <= 2 * r["size"]
         assert r.target == pytest.approx(target[src[r.doc_id]])
-        assert (r.position is None) == (r.taken == 0) and (r.position is None or 0 <= r.position <= 1)
+        assert (r.position is None) == (r.taken == 0) == (r["rank"] is None) and (r.again is None) == (r.rank_again is None) == (r.taken <= r["size"])
         taken[src[r.doc_id]] += r.taken
     assert all(abs(taken[s] - target[s]) <= 0.5 for s in target)
+    ranks = sorted((k, p) for r in rows for k, p in ((r["rank"], r.position), (r.rank_again, r.again)) if k is not None)
+    assert [k for k, _ in ranks] == list(range(1, len(ranks) + 1)) and [p for _, p in ranks] == sorted(p for _, p in ranks)
+    kinds = {s: mixing.SCHEDULES[k % 3] for k, s in enumerate(order)}
+
+    def demand(schedule, t):  # by small steps
+        x, y = zip(*schedule, strict=True)
+        grid = np.linspace(0, 1, 20_001)
+        w = np.interp(grid, x, y)
+        whole = np.r_[0, np.cumsum((w[1:] + w[:-1]) / 2)]
+        return np.interp(t, grid, whole / whole[-1])
+
+    starts = defaultdict(int)
+    for r in sorted((r for r in rows if r["size"]), key=lambda r: (order.index(src[r.doc_id]), hashlib.md5(str(r.doc_id).encode()).hexdigest())):
+        s = src[r.doc_id]
+        if r.position is not None:
+            grid = np.linspace(0, 1, 4001)
+            t = np.interp(starts[s] / round(target[s]), demand(kinds[s], grid), grid)
+            assert r.position == pytest.approx(sum(round(target[x]) * demand(kinds[x], t) for x in order), abs=0.002 * sum(target.values()))
+        starts[s] += r["size"]
     mix = mixing.mix_documents(d).collect()
+    assert [r.doc_id for r in mix] == [i for _, i in sorted((k, r.doc_id) for r in rows for k in (r["rank"], r.rank_again) if k is not None)]
     assert sum(len(r.text.split()) for r in mix) == sum(taken.values())
+    same = docs(spark, ["w " * 20] * 4 + ["x " * 20] * 3 + [None, ""], source=lambda i: "ab"[i % 2]).withColumn("doc_id", F.when(F.col("doc_id") > 3, F.col("doc_id") % 2))
+    plan = mixing.plan_mix(same).collect()
+    assert len(plan) == 9 and sum(r.taken for r in plan) == sum(len(r.text.split()) for r in mixing.mix_documents(same).collect())
     assert mixing.plan_mix(docs(spark, [])).count() == 0
 
 
