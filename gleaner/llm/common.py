@@ -154,7 +154,7 @@ def u64(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64))
 
 
-def sized_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", limit: int = 10_000) -> DataFrame:
+def sized_join(left: DataFrame, right: DataFrame, key: str | list[str], how: str = "left", limit: int = 10_000) -> DataFrame:
     """Join to a table with one row for each key: broadcast if it has at most limit rows.
 
     Beyond that it is shuffled; adaptive execution then splits the partition of

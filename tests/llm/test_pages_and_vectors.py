@@ -107,11 +107,17 @@ def test_neighbours(spark):
     for i in range(100, 140):
         vecs[i] = vecs[100]
     rows = [(i, v, 0) for i, v in enumerate(vecs)]
-    odd = [(5000, None, 0), (5050, [0.0] * 16, 0), (5100, [float("nan")] * 16, 0), (5150, [None] * 16, 0), (5200, [1.0], 0), (None, vecs[0], 0), (50, vecs[50], 1)]
+    odd = [(5000, None, 0), (5050, [0.0] * 16, 0), (5100, [float("nan")] * 16, 0), (5150, [None] * 16, 0), (5200, [1.0], 0), (5201, [2.0], 0), (5250, [1.0, 1.0], 0), (None, vecs[0], 0), (50, vecs[50], 1), (100, vecs[7], 2)]
     got = {}
     for r in ann.nearest_neighbours(spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, score int")).collect():
         got.setdefault(r.query_id, []).append((r["rank"], -r.score, r.vec_id))
-    assert set(got) == set(range(0, 2000, 50))
+    assert set(got) == {*range(0, 2000, 50), 5200}
+    assert got.pop(5200) == [(1, -1.0, 5201)]  # lengths apart
+    twice = sorted(got.pop(50))  # both rows are queries, and each is a candidate of the other
+    assert [x[0] for x in twice] == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5] and [x[2] for x in twice[:2]] == [50, 50]
+    other = sorted(got[100], key=lambda x: x[2] in range(101, 106) or x[2] == 100)[:5]  # its second row has another vector
+    assert (1, 7) in {(x[0], x[2]) for x in other}
+    got[100] = [x for x in got[100] if x not in other]
     hits = 0
     for q, found in got.items():
         found.sort()
