@@ -1,111 +1,201 @@
 """Quality rules: robust multivariate outliers by minimum covariance determinant.
 
-For each language and source, the mean and covariance of the h share of rows
-that lie closest together are sought by C-steps: distances under the present
-estimate, the h share with the smallest, their mean and covariance, again.
-Each step is a pass over all rows that sums moments before it shuffles; which
-rows are the h share is read from exact counts of rows in narrow bins of the
-distance.  No row is sampled and no group is gathered.
-
-Groups with too few rows are pooled by language, and those pools, if too small
-themselves, into one.
+For each language and source, the h share of rows whose covariance has the least
+determinant is sought by C-steps: distances under the present estimate, the h
+rows with the smallest, their mean and covariance, again until the determinant
+stays.  A group of up to CHUNK rows is solved in one task, from several starts.
+A larger one is dealt to chunks of that size, each solved likewise; the best
+estimates then go through C-steps over all rows of the group, one aggregation a
+step: moments are summed for narrow bins of the distance, so that the bins up to
+the h-th row give the next estimate.  No row is left out.
+
+Groups with fewer rows than LEAST for each dimension are pooled by language, and
+those pools, if too small themselves, into one; least spreads keep the
+covariance of even a single row invertible.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from math import lgamma
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_map, sized_join, stage
+from .common import arrow_map, prepare, sized_join, stage
 from .stats import RATIOS, text_statistics
 
 #: Transformed statistics that make the vector, and the least spread that each is given.
 FEATURES = {"log_words": 0.25, "word_len": 0.05, "symbols": 0.25, "upper": 0.25, "punct": 0.25, "distinct": 0.05, "entropy": 0.05, "compress": 0.05}
 #: Share of a group's rows that its estimate rests on.
 SHARE = 0.6
-#: Rejected: squared distance over CUT for each dimension, five standard deviations in every one.
-CUT = 25.0
-STEPS = 6
-#: Least rows of a group with an estimate of its own.
-LEAST = 200
+#: Distances are held against those of a multivariate t of so many degrees of freedom, since text statistics have heavy tails; rejected: beyond this quantile of them.
+FREEDOM, QUANTILE = 5, 0.999
+#: Rows for each dimension that a group needs for an estimate of its own.
+LEAST = 3
+#: Rows that one task solves at once.
+CHUNK = 8192
+#: Starts of a chunk, of which so many go on after two steps; chunks of a large group from which its C-steps start.
+STARTS, GO_ON, BEST = 8, 2, 2
+#: C-steps at most, and the change of the logarithm of the determinant that ends them (in a chunk, over a large group).
+STEPS, SAME, SAME_LARGE = 40, 1e-9, 1e-3
 #: Bins of the squared distance for each doubling.
-FINE = 64
+FINE = 16
 MIN_WORDS = 20
 MAX_REPEATED = 30
+SEED = 4
 
 
-def _bin(d: Column) -> Column:
-    return F.floor(F.log2(d + F.lit(1e-9)) * FINE).cast("int")
+@cache
+def reference(k: int, quantile: float, freedom: int = FREEDOM) -> float:
+    """Quantile of the squared distance of a multivariate t vector of k dimensions: k times that of F(k, freedom)."""
+    a, b = k / 2, freedom / 2
+    x = np.linspace(0, 1, 200_001)[1:-1]  # of the beta variable k F / (freedom + k F)
+    pdf = np.exp((a - 1) * np.log(x) + (b - 1) * np.log1p(-x) + lgamma(a + b) - lgamma(a) - lgamma(b))
+    cdf = np.cumsum(pdf) * (x[1] - x[0])
+    y = float(np.interp(quantile, cdf, x))
+    return freedom * y / (1 - y)
 
 
-def _edge(rows: DataFrame, share: float) -> DataFrame:
-    """gid, edge: the upper edge of the bin in which the share quantile of d lies."""
-    bins = rows.groupBy("gid", _bin(F.col("d")).alias("bin")).count()
-    w = W.partitionBy("gid")
-    cum = bins.withColumn("c", F.sum("count").over(w.orderBy("bin"))).withColumn("n", F.sum("count").over(w))
-    return cum.filter(F.col("c") >= F.ceil(F.col("n") * share)).groupBy("gid").agg(F.pow(F.lit(2.0), (F.min("bin") + 1) / FINE).alias("edge"))
+def subset_size(n: int, k: int, share: float = SHARE) -> int:
+    """Rows of n that an estimate rests on."""
+    return min(n, max(int(np.ceil(n * share)), (n + k + 1) // 2))
 
 
-def fit_and_score(rows: DataFrame, k: int, floors: list[float]) -> DataFrame:
-    """rows (gid string, row id columns, x array<double> of k) with d: the robust squared distance divided by its dimension.
+def moments(x: np.ndarray, ridge: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Mean, inverse of the covariance, logarithm of its determinant."""
+    m = x.mean(0)
+    o = x - m
+    c = o.T @ o / len(x) + np.diag(ridge)
+    return m, np.linalg.inv(c), float(np.linalg.slogdet(c)[1])
 
-    d is scaled so that its median in a group is that of a normal vector.
-    """
-    med = rows.groupBy("gid").agg(*[F.percentile_approx(F.col("x")[i], 0.5, 10_000).alias(f"m{i}") for i in range(k)])
-    med = stage(med.select("gid", F.array(*[f"m{i}" for i in range(k)]).alias("m")), "mcd-median")
-    wide = sized_join(rows, med, "gid")
-    mad = wide.groupBy("gid").agg(*[F.percentile_approx(F.abs(F.col("x")[i] - F.col("m")[i]), 0.5, 10_000).alias(f"s{i}") for i in range(k)])
-    mad = mad.select("gid", F.array(*[F.greatest(F.col(f"s{i}") * 1.4826, F.lit(floors[i])) for i in range(k)]).alias("s"))
-    scale = stage(med.join(mad, "gid"), "mcd-scale")
-    at = [(F.col("x")[i] - F.col("m")[i]) / F.col("s")[i] for i in range(k)]
-    z = stage(sized_join(rows, scale, "gid").select(*[c for c in rows.columns if c != "x"], F.array(*at).alias("z"), F.col("s")), "mcd-rows")
-    scored = z.withColumn("d", sum((F.col("z")[i] * F.col("z")[i] for i in range(1, k)), F.col("z")[0] * F.col("z")[0]))
+
+def distances(x: np.ndarray, m: np.ndarray, inv: np.ndarray) -> np.ndarray:
+    o = x - m
+    return ((o @ inv) * o).sum(1)
+
+
+def c_steps(x: np.ndarray, d: np.ndarray, h: int, ridge: np.ndarray, steps: int) -> tuple[float, np.ndarray, np.ndarray]:
+    last = np.inf
+    for _ in range(steps):
+        m, inv, det = moments(x[np.argpartition(d, h - 1)[:h]], ridge)
+        if det > last - SAME:
+            break
+        last, d = det, distances(x, m, inv)
+    return det, m, inv
+
+
+def solve(x: np.ndarray, floors: np.ndarray, share: float = SHARE) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log determinant, mean and inverse covariance of the best estimate found; x in a fixed order gives the same one."""
+    n, k = x.shape
+    h, ridge, rng = subset_size(n, k, share), floors * floors, np.random.default_rng(SEED)
+    med = np.median(x, 0)
+    spread = np.maximum(1.4826 * np.median(np.abs(x - med), 0), floors)
+    tries = [(((x - med) / spread) ** 2).sum(1)]
+    for _ in range(STARTS - 1):
+        m, inv, _ = moments(x[rng.choice(n, min(n, k + 1), replace=False)], ridge)
+        tries.append(distances(x, m, inv))
+    begun = sorted((c_steps(x, d, h, ridge, 2) for d in tries), key=lambda t: t[0])[:GO_ON]
+    return min((c_steps(x, distances(x, m, inv), h, ridge, STEPS) for _, m, inv in begun), key=lambda t: t[0])
+
+
+_PARAMS = "gid string, start int, rows long, det double, mu array<double>, inv array<double>, mid double"
+
+
+def _params(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * 7
+    kinds = (pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["gid", "start", "rows", "det", "mu", "inv", "mid"])
+
+
+def _distance(k: int):
+    off = [F.col("x")[i] - F.col("mu")[i] for i in range(k)]
+    terms = [off[i] * off[j] * F.col("inv")[i * k + j] * (1.0 if i == j else 2.0) for i in range(k) for j in range(i, k)]
+    return sum(terms[1:], terms[0])
+
+
+def _large(rows: DataFrame, begun: DataFrame, k: int, floors: np.ndarray) -> DataFrame:
+    """_PARAMS of the groups in begun (estimates of their best chunks) after C-steps over all their rows."""
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    bin_ = F.floor(F.log2(F.col("d") + F.lit(1e-9)) * FINE).cast("int")
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """gid, mean, inverse from the sums of each group."""
         for b in batches:
-            means, invs = [], []
-            n = b.column(1).to_numpy()
-            sums, prods, ridge = (np.array(b.column(c).to_pylist(), np.float64).reshape(b.num_rows, -1) for c in (2, 3, 4))
-            for r in range(b.num_rows):
-                m, cov = sums[r] / n[r], np.zeros((k, k))
-                for (i, j), v in zip(pairs, prods[r] / n[r], strict=True):
-                    cov[i, j] = cov[j, i] = v - m[i] * m[j]
-                cov += np.diag(ridge[r])
-                means.append(m.tolist())
-                invs.append(np.linalg.inv(cov).reshape(-1).tolist())
-            yield pa.RecordBatch.from_pydict({"gid": b.column(0), "mu": pa.array(means, pa.list_(pa.float64())), "inv": pa.array(invs, pa.list_(pa.float64()))})
-
+            out = []
+            for gid, start, rows, n, a, p in zip(*(b.column(c).to_pylist() for c in range(6)), strict=True):
+                m, cov = np.array(a) / n, np.diag(floors * floors)
+                for (i, j), v in zip(pairs, p, strict=True):
+                    cov[i, j] += v / n - m[i] * m[j]
+                    cov[j, i] = cov[i, j]
+                out.append((gid, start, rows, float(np.linalg.slogdet(cov)[1]), m.tolist(), np.linalg.inv(cov).reshape(-1).tolist(), None))
+            yield _params(out)
+
+    mine, cur = stage(sized_join(rows, begun.select("gid").distinct(), "gid", "left_semi"), "mcd-large"), begun
+    centre = begun.filter("start = 0").select("gid", F.col("mu").alias("c"))  # moments are summed about it, and shifted back
     for _ in range(STEPS):
-        near = sized_join(scored, _edge(scored, SHARE), "gid").filter("d <= edge")
-        sums = near.groupBy("gid").agg(
-            F.count("*").cast("double").alias("n"),
-            F.array(*[F.sum(F.col("z")[i]) for i in range(k)]).alias("a"),
-            F.array(*[F.sum(F.col("z")[i] * F.col("z")[j]) for i, j in pairs]).alias("b"),
-            F.array(*[F.max(F.lit(floors[i]) / F.col("s")[i]) for i in range(k)]).alias("f"),
-        )
-        params = stage(arrow_map(sums.withColumn("f", F.transform("f", lambda v: v * v)), estimate, "gid string, mu array<double>, inv array<double>"), "mcd-params")
-        off = [F.col("z")[i] - F.col("mu")[i] for i in range(k)]
-        terms = [off[i] * off[j] * F.col("inv")[i * k + j] * (1.0 if i == j else 2.0) for i, j in pairs]
-        scored = sized_join(z, params, "gid").withColumn("d", sum(terms[1:], terms[0])).drop("mu", "inv")
-    middle = k * (1 - 2 / (9 * k)) ** 3
-    return sized_join(scored, _edge(scored, 0.5), "gid").withColumn("d", F.col("d") / F.col("edge") * (middle / k)).drop("edge", "z", "s")
+        scored = sized_join(sized_join(mine, cur, "gid"), centre, "gid").withColumn("d", _distance(k))
+        y = [F.col("x")[i] - F.col("c")[i] for i in range(k)]
+        bins = scored.groupBy("gid", "start", "rows", bin_.alias("bin")).agg(
+            F.count("*").alias("n"), F.array(*[F.sum(v) for v in y]).alias("a"), F.array(*[F.sum(y[i] * y[j]) for i, j in pairs]).alias("b"))
+        before = F.coalesce(F.sum("n").over(W.partitionBy("gid", "start").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        inner = bins.withColumn("before", before).filter(F.col("before") < F.ceil(F.col("rows") * SHARE))
+        sums = inner.groupBy("gid", "start", "rows").agg(
+            F.sum("n").cast("double").alias("n"), F.array(*[F.sum(F.col("a")[i]) for i in range(k)]).alias("a"), F.array(*[F.sum(F.col("b")[i]) for i in range(len(pairs))]).alias("b"))
+        moved = stage(arrow_map(sums, estimate, _PARAMS), "mcd-params")
+        moved = stage(sized_join(moved, centre, "gid").withColumn("mu", F.zip_with("mu", "c", lambda a, b: a + b)).drop("c"), "mcd-params")
+        change = moved.alias("n").join(cur.alias("o"), (F.col("n.gid") == F.col("o.gid")) & (F.col("n.start") == F.col("o.start"))).agg(F.max(F.abs(F.col("n.det") - F.col("o.det")))).head()[0]
+        cur = moved
+        if change is None or change < SAME_LARGE:
+            break
+    best = cur.withColumn("r", F.row_number().over(W.partitionBy("gid").orderBy("det", "start"))).filter("r = 1").drop("r")
+    scored = sized_join(mine, best, "gid").withColumn("d", _distance(k))
+    bins = scored.groupBy("gid", "rows", F.floor(F.log2(F.col("d") + F.lit(1e-9)) * 16 * FINE).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    upto = bins.withColumn("upto", F.sum("n").over(W.partitionBy("gid").orderBy("bin")))
+    mid = upto.filter(2 * F.col("upto") >= F.col("rows")).groupBy("gid").agg(F.pow(F.lit(2.0), (F.min("bin") + 0.5) / (16 * FINE)).alias("mid"))
+    return stage(sized_join(best.drop("mid"), mid, "gid").select("gid", "start", "rows", "det", "mu", "inv", "mid"), "mcd-large-params")
+
+
+def fit_and_score(rows: DataFrame, k: int, floors: list[float], chunk: int = CHUNK) -> DataFrame:
+    """rows (gid string, x array<double> of k, any others) with d: the robust squared distance.
+
+    d is scaled so that its median in a group is that of the reference.
+    """
+    prepare(rows.sparkSession)
+    least = np.array(floors)
+    rows = stage(rows, "mcd-rows")
+    sizes = stage(rows.groupBy("gid").agg(F.count("*").alias("rows")).withColumn("chunks", F.ceil(F.col("rows") / chunk)), "mcd-groups")
+    dealt = sized_join(rows.select("gid", "x"), sizes, "gid")
+    dealt = dealt.withColumn("start", F.floor(F.rand(SEED) * F.col("chunks")).cast("int"))  # by chance: rows that repeat would have one hash
+
+    def one(table: pa.Table) -> pa.Table:
+        x = table.column("x").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+        x = x[np.lexsort(x.T)]
+        det, m, inv = solve(x, least)
+        row = (table.column("gid")[0].as_py(), table.column("start")[0].as_py(), table.column("rows")[0].as_py(), det, m.tolist(), inv.reshape(-1).tolist(), float(np.median(distances(x, m, inv))))
+        return pa.Table.from_batches([_params([row])])
+
+    solved = stage(dealt.groupBy("gid", "start").applyInArrow(one, _PARAMS), "mcd-chunks")
+    many = sizes.filter("chunks > 1").select("gid")
+    params = solved.join(many, "gid", "left_anti")
+    if many.head(1):
+        begun = sized_join(solved, many, "gid", "left_semi").withColumn("start", (F.row_number().over(W.partitionBy("gid").orderBy("det", "start")) - 1).cast("int"))
+        params = params.unionByName(_large(rows, stage(begun.filter(F.col("start") < BEST), "mcd-begun"), k, least))
+    params = stage(params.withColumn("mid", F.when(F.col("mid") > 1e-9, F.col("mid")).otherwise(F.lit(reference(k, 0.5)))), "mcd-final")
+    scored = sized_join(rows, params.select("gid", "mu", "inv", "mid"), "gid").withColumn("d", _distance(k) / F.col("mid") * F.lit(reference(k, 0.5)))
+    return scored.drop("mu", "inv", "mid", "x")
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept.
 
     Rows that the base rule fails (under 20 words, or over 30 % of the words in
-    repeated windows) take no part in the estimates; their distance is null.
-    A null lang or source is a value like any other; a null text has no words.
-    Where even all small groups together have too few rows for an estimate, the
-    base rule alone decides.  One row out for each row in.
+    repeated windows) take no part in the estimates; their distance (squared)
+    is null.  A null lang or source is a value like any other; a null text has no
+    words.  One row out for each row in.
     """
     k = len(FEATURES)
     st = text_statistics(docs, {"lang": "string", "source": "string"})
@@ -115,20 +205,12 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     st = stage(st.withColumn("lang", name("lang")).withColumn("gid", F.concat_ws("\x1f", "lang", name("source"))).drop("source"), "quality-stats")
     good = st.filter("NOT base_failed")
     sizes = good.groupBy("gid", "lang").count()
-    own = F.col("count") >= LEAST
-    w = W.partitionBy("lang")
-    sizes = sizes.withColumn("rest", F.sum(F.when(~own, F.col("count")).otherwise(0)).over(w))
-    level = sizes.withColumn("to", F.when(own, F.col("gid")).when(F.col("rest") >= LEAST, F.col("lang")).otherwise(F.lit("")))
-    level = stage(level.select("gid", "to", "count"), "quality-groups")
-    few = level.filter("to = ''").agg(F.sum("count")).head()[0] or 0
-    rows = sized_join(good, level.select("gid", "to"), "gid").drop("gid").withColumnRenamed("to", "gid")
-    if few < 2 * k + 2:  # no estimate can be made of these
-        alone, rows = rows.filter("gid = ''").drop("x").withColumn("d", F.lit(None).cast("double")), rows.filter("gid <> ''")
-    else:
-        alone = None
+    own = F.col("count") >= LEAST * k
+    rest = F.sum(F.when(~own, F.col("count")).otherwise(0)).over(W.partitionBy("lang"))
+    to = F.when(own, F.col("gid")).when(F.col("rest") >= LEAST * k, F.col("lang")).otherwise(F.lit(""))
+    level = stage(sizes.withColumn("rest", rest).select("gid", to.alias("to")), "quality-groups")
+    rows = sized_join(good, level, "gid").drop("gid").withColumnRenamed("to", "gid")
     scored = fit_and_score(rows, k, list(FEATURES.values()))
-    if alone is not None:
-        scored = scored.unionByName(alone.select(scored.columns))
     out = scored.unionByName(st.filter("base_failed").withColumn("d", F.lit(None).cast("double")).select(scored.columns))
-    kept = ~F.col("base_failed") & (F.col("d").isNull() | (F.col("d") <= CUT))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("d").alias("distance"), kept.alias("kept"))
+    kept = ~F.col("base_failed") & (F.col("d") <= F.lit(reference(k, QUANTILE)))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("d").alias("distance"), F.coalesce(kept, F.lit(False)).alias("kept"))

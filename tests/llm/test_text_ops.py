@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import defaultdict
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers as P
@@ -226,6 +227,50 @@ def prose(rng, n):
     return " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(n))
 
 
+def plain_mcd(x, h, ridge):
+    """The mean and covariance of the h rows with the least determinant, by trying all."""
+    best = None
+    for some in combinations(range(len(x)), h):
+        y = x[list(some)]
+        c = np.cov(y.T, bias=True) + np.diag(ridge)
+        if best is None or np.linalg.slogdet(c)[1] < best[0]:
+            best = np.linalg.slogdet(c)[1], y.mean(0), c
+    return best
+
+
+def test_determinant_is_the_least():
+    rng = np.random.default_rng(15)
+    floors = np.array([0.05, 0.05])
+    for _ in range(8):
+        x = np.concatenate([rng.standard_normal((8, 2)), 6 + rng.standard_normal((4, 2))])
+        h = outliers.subset_size(12, 2)
+        det, m, c = plain_mcd(x, h, floors**2)
+        got = outliers.solve(x, floors)
+        assert got[0] == pytest.approx(det, abs=1e-6) and got[1] == pytest.approx(m) and np.linalg.inv(got[2]) == pytest.approx(c)
+    t = rng.standard_normal((400_000, 8)) / np.sqrt(rng.chisquare(5, 400_000) / 5)[:, None]
+    assert np.quantile((t * t).sum(1), 0.5) == pytest.approx(outliers.reference(8, 0.5), rel=0.02)
+    assert np.quantile((t * t).sum(1), 0.999) == pytest.approx(outliers.reference(8, 0.999), rel=0.1)
+
+
+def test_large_groups_like_small_ones(spark):
+    """Chunks and C-steps over the whole against one task; a group of one row, repeats, nulls."""
+    rng = np.random.default_rng(16)
+    x = np.concatenate([rng.standard_normal((1700, 3)) * [1, 2, 0.5] + [3, 0, 1], 30 + rng.standard_normal((300, 3))])
+    rows = [("a", i, v.tolist()) for i, v in enumerate(x)] + [("b", i, v.tolist()) for i, v in enumerate(x[:300])] + [("c", 0, [1.0, 2.0, 3.0])] + [("d", i, [1.0, 2.0, 3.0]) for i in range(500)]
+    df = spark.createDataFrame(rows, "gid string, k int, x array<double>").repartition(3)
+    floors = [0.05, 0.05, 0.05]
+    whole = {(r.gid, r.k): r.d for r in outliers.fit_and_score(df, 3, floors).collect()}
+    parts = {(r.gid, r.k): r.d for r in outliers.fit_and_score(df, 3, floors, chunk=256).collect()}
+    assert len(whole) == len(rows) == len(parts)
+    cut = outliers.reference(3, 0.999)
+    assert [whole["a", i] > cut for i in range(2000)] == [parts["a", i] > cut for i in range(2000)] == [i >= 1700 for i in range(2000)]
+    assert np.median([abs(parts["a", i] / whole["a", i] - 1) for i in range(2000)]) < 0.1
+    assert whole["c", 0] <= cut and all(whole["d", i] <= cut and parts["d", i] <= cut for i in range(500))
+    det, m, inv = outliers.solve(x[:300][np.lexsort(x[:300].T)], np.array(floors))
+    d = outliers.distances(x[:300], m, inv)
+    assert [whole["b", i] for i in range(300)] == pytest.approx((d / np.median(d) * outliers.reference(3, 0.5)).tolist())
+
+
 def test_quality_rules_and_classifier(spark):
     rng = random.Random(7)
     good = [prose(rng, rng.randint(60, 200)) + "." for _ in range(260)]
@@ -238,6 +283,9 @@ def test_quality_rules_and_classifier(spark):
     assert outliers.quality_rules(docs(spark, [])).count() == 0
     few = outliers.quality_rules(docs(spark, good[:5])).collect()
     assert all(r.kept for r in few)
+    odd = docs(spark, [*good[:40], good[0], good[0], "word " * 150_000, None]).withColumn("lang", F.lit(None).cast("string")).withColumn("source", F.when(F.col("doc_id") % 2 == 0, "s")).withColumn("doc_id", F.when(F.col("doc_id") < 40, F.col("doc_id")))
+    odd = outliers.quality_rules(odd).collect()
+    assert len(odd) == 44 and sum(r.kept for r in odd) >= 40 and [r.base_failed for r in odd if r.n_words in (0, 150_000)] == [True, True]
     labels = spark.createDataFrame([(i, int(i < 260)) for i in range(290)] + [(None, 1), (3, None)], "doc_id long, quality int")
     rows = {r.doc_id: r for r in classifier.quality_scores(d, labels).collect()}
     import zlib
