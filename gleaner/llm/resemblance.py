@@ -1,11 +1,13 @@
-"""Near-duplicates by the exact resemblance (Jaccard) of their sets of shingles.
-
-Fingerprints of 64 bits don't decide this: pairs at 0.8 differ in about ten
-bits, and no covering of that distance is affordable.  Instead the shingles of
-each set are put in one order, rare ones first.  Two sets that share at least
-0.8 of their union share a shingle among the first fifth of each, so all such
-pairs meet at one; what meets is compared by all its shingles.  Pairs that
-earlier links already connect are not compared.
+"""SimHash near-duplicates whose links are checked by the resemblance (Jaccard) of the sets of shingles.
+
+Anchor-point covering finds what is within a few bits, and the exact check keeps
+the links that are as near as asked.  Pairs at a resemblance of 0.8 differ in
+about ten bits, though, and no covering of that distance is affordable.  So the
+shingles of each set are also put in one order, rare ones first: two sets that
+share at least 0.8 of their union share a shingle among the first fifth of each,
+so all such pairs meet at one.  Of what meets, pairs whose fingerprints differ by
+far more bits than near ones can are passed over, as are those that earlier
+links already connect; the rest is compared by all its shingles.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, drop_path, only, stage, strings, u64
-from .components import connected_components
-from .simhash import shingle_hashes
+from .components import connected_components, name_components
+from .simhash import AT_ONCE, DISTANCE, majority, near_links, shingle_hashes
 
 SHINGLE = 5
 #: Near: |a & b| / |a | b| >= NEAR[0] / NEAR[1].
@@ -34,7 +36,10 @@ FIRST_TRIES = 4
 LARGE = 8
 ONE_IN = 8
 
-_GROUP = "anchor long, sig long, n int, at int, centre long"
+#: Fingerprints of sets with so many shingles (fewer: all are compared) that differ in more bits are not near: at 0.8 more than 24 of 64 differ once in 300,000 pairs.
+FAR_FROM, FAR_BITS = 64, 24
+
+_GROUP = "anchor long, sig long, n int, at int, fp long, centre long"
 
 
 def shingle_set(text: str) -> np.ndarray:
@@ -79,30 +84,36 @@ def possible(n: np.ndarray, at: np.ndarray, m: np.ndarray, bt: np.ndarray) -> np
     return (p + q) * np.minimum(n - at, m - bt) >= p * (n + m)
 
 
+def alike(n: np.ndarray, f: np.ndarray, m: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Whether the fingerprints f and g leave it open that the sets, of sizes n and m, are near."""
+    return (np.minimum(n, m) < FAR_FROM) | (np.bitwise_count((f ^ g).view(np.uint64)) <= FAR_BITS)
+
+
 def near(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return NEAR[1] * both >= NEAR[0] * (len(a) + len(b) - both)
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, sig of every row; n, prefix, packed (the text) once in each partition for a sig."""
+    """doc_id, sig of every row; n, fp, prefix, packed (the text) once in each partition for a sig."""
     common, count = common_shingles(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z, seen = zstandard.ZstdCompressor(3), {0}
         for b in batches:
-            sigs, sizes, firsts, packed = [], [], [], []
+            sigs, sizes, fps, firsts, packed = [], [], [], [], []
             for t in strings(b.column(1)):
                 s = shingle_set(t)
                 sigs.append(signature(s))
                 new = sigs[-1] not in seen
                 seen.add(sigs[-1])
                 sizes.append(len(s))
+                fps.append(majority(s[i : i + AT_ONCE] for i in range(0, len(s), AT_ONCE)) if new else 0)
                 firsts.append(prefix(s, common, count).view(np.int64) if new else None)
                 packed.append(z.compress(t.encode()) if new else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), u64(np.array(sigs, np.uint64)), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(packed, pa.binary())], ["doc_id", "sig", "n", "prefix", "packed"])
+            yield pa.RecordBatch.from_arrays([b.column(0), u64(np.array(sigs, np.uint64)), pa.array(sizes, pa.int32()), u64(np.array(fps, np.uint64)), pa.array(firsts, pa.list_(pa.int64())), pa.array(packed, pa.binary())], ["doc_id", "sig", "n", "fp", "prefix", "packed"])
 
-    return stage(arrow_map(only(docs, doc_id="long", text="string"), run, "doc_id long, sig long, n int, prefix array<long>, packed binary"), "shingles")
+    return stage(arrow_map(only(docs, doc_id="long", text="string"), run, "doc_id long, sig long, n int, fp long, prefix array<long>, packed binary"), "shingles")
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -135,26 +146,26 @@ def _bounds(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of anchors that several sets have, each with another of its group to try first (null: none)."""
-    for k, sig, n, at in _whole_groups(batches):
+    for k, sig, n, at, fp in _whole_groups(batches):
         once = np.r_[True, (k[1:] != k[:-1]) | (sig[1:] != sig[:-1])]
-        k, sig, n, at = k[once], sig[once], n[once], at[once]
+        k, sig, n, at, fp = k[once], sig[once], n[once], at[once], fp[once]
         lo, hi = _bounds(k)
         c = lo + (k.view(np.uint64) % (hi - lo).astype(np.uint64)).astype(np.int64)
         late = (at >= FIRST_TRIES) & ((hi - lo <= LARGE) | ((k ^ sig) % ONE_IN != 0))
-        none = (c == np.arange(len(k))) | late | ~possible(n, 0, n[c], 0)
+        none = (c == np.arange(len(k))) | late | ~possible(n, 0, n[c], 0) | ~alike(n, fp, n[c], fp[c])
         some = hi - lo > 1
-        yield pa.RecordBatch.from_arrays([pa.array(k[some]), pa.array(sig[some]), pa.array(n[some]), pa.array(at[some]), pa.array(sig[c][some], mask=none[some])], ["anchor", "sig", "n", "at", "centre"])
+        yield pa.RecordBatch.from_arrays([pa.array(k[some]), pa.array(sig[some]), pa.array(n[some]), pa.array(at[some]), pa.array(fp[some]), pa.array(sig[c][some], mask=none[some])], ["anchor", "sig", "n", "at", "fp", "centre"])
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by anchor and root: all pairs of an anchor that can be near and have different roots."""
-    for k, root, sig, n, at in _whole_groups(batches):
+    for k, root, sig, n, at, fp in _whole_groups(batches):
         nxt, end = _bounds(k, root)[1], _bounds(k)[1]
         i = np.flatnonzero(nxt < end)
         lag = 0
         while len(i):
             j = nxt[i] + lag
-            ok = possible(n[i], at[i], n[j], at[j])
+            ok = possible(n[i], at[i], n[j], at[j]) & alike(n[i], fp[i], n[j], fp[j])
             a, b = sig[i[ok]], sig[j[ok]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
             lag += 1
@@ -193,7 +204,17 @@ def _drop(staged: DataFrame) -> None:
         drop_path(staged.sparkSession, path)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def covered(rows: DataFrame, distance: int) -> DataFrame:
+    """a, b: pairs of signatures that link fingerprints within `distance` bits, by anchor-point covering, or have the same one."""
+    fps = stage(rows.filter("prefix IS NOT NULL").select("fp", "sig").distinct(), "set-fingerprints")
+    first = stage(fps.groupBy("fp").agg(F.min("sig").alias("a")), "first-of-fingerprints")
+    links = stage(near_links(first, first.count(), distance).distinct(), "set-links")
+    same = fps.join(first, "fp").filter("sig <> a").select("a", F.col("sig").alias("b"))
+    x, y = first.select(F.col("fp").alias("a"), F.col("a").alias("x")), first.select(F.col("fp").alias("b"), F.col("a").alias("y"))
+    return same.unionByName(links.join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """doc_id, component_id for every row of docs.
 
     component_id: the smallest doc_id that links reach (null doc_ids don't
@@ -202,20 +223,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     rows = _sketches(docs)
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // 50_000)
-    copies = rows.filter("prefix IS NOT NULL").select("sig", "n", F.posexplode("prefix").alias("at", "anchor")).select("anchor", "sig", "n", "at")
+    copies = rows.filter("prefix IS NOT NULL").select("sig", "n", "fp", F.posexplode("prefix").alias("at", "anchor")).select("anchor", "sig", "n", "at", "fp")
     shared = stage(arrow_map(copies.repartition(n, "anchor").sortWithinPartitions("anchor", "sig"), _meet, _GROUP), "shared-shingles")
-    tries = stage(shared.filter("centre IS NOT NULL").select(F.least("sig", "centre").alias("a"), F.greatest("sig", "centre").alias("b")).distinct(), "first-pairs")
+    tries = shared.filter("centre IS NOT NULL").select(F.least("sig", "centre").alias("a"), F.greatest("sig", "centre").alias("b"))
+    tries = stage(tries.unionByName(covered(rows, distance)).distinct(), "first-pairs")
     links = _verified(tries, rows, "first")
     roots = connected_components(links)
-    named = shared.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("anchor", F.coalesce("root", "sig").alias("root"), "sig", "n", "at")
+    named = shared.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("anchor", F.coalesce("root", "sig").alias("root"), "sig", "n", "at", "fp")
     pairs = arrow_map(named.repartition(n, "anchor").sortWithinPartitions("anchor", "root", "sig"), _pairs, "a long, b long").distinct()
     links = links.union(_verified(stage(pairs.join(tries, ["a", "b"], "left_anti"), "other-pairs"), rows, "other"))
-    roots = connected_components(links)
-    unique = rows.groupBy("sig").agg(F.min("doc_id").alias("least"))
-    named = unique.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stage(named.join(ids, "root").select("sig", "component_id"), "components")
+    _drop(shared)
+    named = stage(name_components(stage(rows.groupBy("sig").agg(F.min("doc_id").alias("least")), "signatures"), links, "sig"), "components")
     out = stage(rows.select("doc_id", "sig").join(named, "sig").select("doc_id", "component_id"), "near-duplicates")
-    for df in (rows, shared):
-        _drop(df)
+    _drop(rows)
     return out

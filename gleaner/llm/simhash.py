@@ -12,7 +12,7 @@ meets at an anchor is compared exactly, and only a forest of the links is kept.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations, product
 
 import numpy as np
@@ -61,10 +61,10 @@ def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
     return np.concatenate([np.empty(0, np.uint64), *shingle_blocks(text, shingle)])
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """64 bits; 0 for a text without words.  Very long texts are taken AT_ONCE shingles at a time."""
+def majority(blocks: Iterable[np.ndarray]) -> int:
+    """64 bits, each set if it is set in over half of the hashes; 0 for none."""
     total, n = np.zeros(64, np.int64), 0
-    for h in shingle_blocks(text, shingle):
+    for h in blocks:
         bits = np.unpackbits(h.astype(">u8").view(np.uint8)).reshape(-1, 64)
         whole = len(bits) // 255 * 255
         total += bits[whole:].sum(0, dtype=np.int64)
@@ -74,6 +74,11 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big") if n else 0
 
 
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    """64 bits; 0 for a text without words.  Very long texts are taken AT_ONCE shingles at a time."""
+    return majority(shingle_blocks(text, shingle))
+
+
 class Block:
     """A perfect binary code: what error vectors lead from a word to the code words near it."""
 
@@ -224,7 +229,7 @@ def near_links(fps: DataFrame, n: int, distance: int = DISTANCE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """doc_id, fp, root, component_id for every row of docs.
+    """doc_id, fp, root, component_id for every row of docs.  (Links of a stated resemblance: resemblance.near_duplicates.)
 
     component_id: the smallest doc_id that links reach (null doc_ids don't
     count); root: the smallest fingerprint of the component, as a long.  Texts
