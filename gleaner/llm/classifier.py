@@ -2,9 +2,12 @@
 
 Document statistics, standardised, go through random cosines that approximate
 a Gaussian kernel.  Each partition sums its part of the normal equations; the
-sums are added in a tree on the executors, and the driver solves one system
-whose size is the number of cosines.  Scores are calibrated by isotonic
-regression on counts in narrow score bins.  All labelled training rows count.
+sums are added in a tree on the executors, and the driver solves systems whose
+size is the number of cosines.  The sums are kept by fold, so that each row can
+be scored by a ridge that did not see it; isotonic regression on counts of these
+scores in narrow bins calibrates the ridge of all rows.  Its steps are joined by
+lines between their centres, so that scores keep their order within a step.
+All labelled training rows count.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ RIDGE = 1e-3
 SEED = 8
 #: Score bins of the calibration, over [LOW, HIGH].
 BINS, LOW, HIGH = 4096, -1.0, 2.0
+#: Parts of the training rows; each is scored by the ridge of the others.
+FOLDS = 4
 #: Standardised statistics are held to this range.
 CLIP = 8.0
 
@@ -51,6 +56,19 @@ def pool_adjacent(total: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(n), t / c) for t, c, n in blocks]) if blocks else np.empty(0)
 
 
+def calibration(x: np.ndarray, total: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Knots and rising values: the centres of the steps of the isotonic regression at x, ends at 0 and 1.
+
+    A step's mean counts half a row of each label besides, so that none is 0 or 1.
+    """
+    step = np.r_[0, np.cumsum(np.diff(pool_adjacent(total, count)) > 0)]
+    t, c, m = (np.bincount(step, v) for v in (total, count, count * x))
+    again = pool_adjacent(t + 0.5, c + 1)
+    step = np.r_[0, np.cumsum(np.diff(again) > 0)]
+    c, m, v = np.bincount(step, c), np.bincount(step, m), np.bincount(step, (c + 1) * again) / np.bincount(step, c + 1)
+    return np.r_[LOW - 1, m / c, HIGH + 1], np.r_[0.0, v, 1.0]
+
+
 @dataclass
 class Model:
     mean: np.ndarray
@@ -73,51 +91,63 @@ def _matrix(col: pa.ListArray) -> np.ndarray:
 
 
 def fit(train: DataFrame) -> Model:
-    """train: vec array<double>, y double (0 to 1)."""
+    """train: vec array<double>, y double (0 to 1), fold int (0 to FOLDS - 1)."""
     k = len(RATIOS)
-    m = train.agg(F.count("*"), *[F.avg(F.col("vec")[i]) for i in range(k)], *[F.stddev_pop(F.col("vec")[i]) for i in range(k)], F.min("y"), F.max("y")).head()
+    m = train.agg(F.count("*"), *[F.avg(F.col("vec")[i]) for i in range(k)], *[F.stddev_pop(F.col("vec")[i]) for i in range(k)]).head()
     none = np.empty(0)
     if not m[0]:
         return Model(np.zeros(k), np.ones(k), np.zeros(COSINES + 1), none, none)
     mean, sd = np.array(m[1 : k + 1]), np.array(m[k + 1 : 2 * k + 1])
     sd = np.where(sd > 1e-9, sd, 1.0)
     size = COSINES + 1
+    shape = FOLDS, size + 2, size  # the last row: how many
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc = np.zeros((size + 1, size))
+        acc = np.zeros(shape)
         for b in batches:
-            z = fourier(_matrix(b.column(0)), mean, sd)
-            acc[:size] += z.T @ z
-            acc[size] += z.T @ b.column(1).to_numpy()
+            z, y, fold = fourier(_matrix(b.column(0)), mean, sd), b.column(1).to_numpy(), b.column(2).to_numpy()
+            for f in range(FOLDS):
+                zf = z[fold == f]
+                acc[f, :size] += zf.T @ zf
+                acc[f, size] += zf.T @ y[fold == f]
+                acc[f, size + 1, 0] += len(zf)
         if acc.any():
             yield pa.RecordBatch.from_pydict({"sums": pa.array([acc.tobytes()], pa.binary())})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc = np.zeros((size + 1, size))
+        acc = np.zeros(shape)
         for b in batches:
             for x in b.column(0):
-                acc += np.frombuffer(x.as_py()).reshape(acc.shape)
+                acc += np.frombuffer(x.as_py()).reshape(shape)
         if acc.any():
             yield pa.RecordBatch.from_pydict({"sums": pa.array([acc.tobytes()], pa.binary())})
 
-    parts = arrow_map(train.select("vec", "y"), partial, "sums binary")
+    def ridge(acc: np.ndarray) -> np.ndarray:
+        return np.linalg.solve(acc[:size] + RIDGE * max(1.0, acc[size + 1, 0]) * np.eye(size) / size, acc[size])
+
+    parts = arrow_map(train.select("vec", "y", "fold"), partial, "sums binary")
     for n in (64, 8):
         parts = arrow_map(parts.repartition(n), add, "sums binary")
-    acc = sum(np.frombuffer(r[0]).reshape(size + 1, size) for r in parts.collect())  # 8 rows at most
-    model = Model(mean, sd, np.linalg.solve(acc[:size] + RIDGE * m[0] * np.eye(size) / size, acc[size]), none, none)
+    acc = np.zeros(shape)
+    for r in parts.toLocalIterator():  # 8 rows at most, one after another
+        acc += np.frombuffer(r[0]).reshape(shape)
+    whole = acc.sum(0)
+    model = Model(mean, sd, ridge(whole), none, none)
+    others = np.array([ridge(whole - acc[f]) for f in range(FOLDS)]).T
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, c = np.zeros(BINS), np.zeros(BINS)
         for b in batches:
-            at = np.clip(((model.raw(_matrix(b.column(0))) - LOW) / (HIGH - LOW) * BINS).astype(int), 0, BINS - 1)
+            fold = b.column(2).to_numpy()
+            raw = (fourier(_matrix(b.column(0)), mean, sd) @ others)[np.arange(len(fold)), fold]
+            at = np.clip(((raw - LOW) / (HIGH - LOW) * BINS).astype(int), 0, BINS - 1)
             np.add.at(t, at, b.column(1).to_numpy())
             np.add.at(c, at, 1)
         i = np.flatnonzero(c)
         yield pa.RecordBatch.from_pydict({"bin": pa.array(i), "t": pa.array(t[i]), "c": pa.array(c[i])})
 
-    rows = arrow_map(train.select("vec", "y"), bins, "bin long, t double, c double").groupBy("bin").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).orderBy("bin").collect()  # BINS at most
-    values = pool_adjacent(np.array([r.t for r in rows]), np.array([r.c for r in rows]))
-    model.knots, model.values = LOW + (np.array([r.bin for r in rows]) + 0.5) * (HIGH - LOW) / BINS, values
+    rows = arrow_map(train.select("vec", "y", "fold"), bins, "bin long, t double, c double").groupBy("bin").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).orderBy("bin").collect()  # BINS at most
+    model.knots, model.values = calibration(LOW + (np.array([r.bin for r in rows]) + 0.5) * (HIGH - LOW) / BINS, np.array([r.t for r in rows]), np.array([r.c for r in rows]))
     return model
 
 
@@ -135,7 +165,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, model: Model | None = Non
     if model is None:
         y = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("double").alias("y")).dropna().groupBy("doc_id").agg(F.avg("y").alias("y"))
         y = y.filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
-        model = fit(stage(st.join(y, "doc_id").select("vec", "y"), "quality-train"))
+        fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
+        model = fit(stage(st.join(y, "doc_id").select("vec", "y", fold), "quality-train"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

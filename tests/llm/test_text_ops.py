@@ -298,6 +298,38 @@ def test_quality_rules_and_classifier(spark):
     assert {r.score for r in none} == {0.5}
 
 
+def test_classifier_like_plain_ridge(spark):
+    """Sums over partitions against one system of all rows; folds; held-out order; repeats."""
+    rng = np.random.default_rng(17)
+    k = len(stats.RATIOS)
+    x = rng.standard_normal((900, k))
+    y = (x[:, 0] + 0.5 * x[:, 1] ** 2 + 0.7 * rng.standard_normal(900) > 0.4).astype(float)
+    train = spark.createDataFrame([(v.tolist(), float(t), i % classifier.FOLDS) for i, (v, t) in enumerate(zip(x, y, strict=True))], "vec array<double>, y double, fold int")
+    model = classifier.fit(train.repartition(5))
+    z = classifier.fourier(x, x.mean(0), x.std(0))
+    size = classifier.COSINES + 1
+    plain = lambda i: np.linalg.solve(z[i].T @ z[i] + classifier.RIDGE * len(z[i]) / size * np.eye(size), z[i].T @ y[i])
+    assert model.raw(x) == pytest.approx(z @ plain(np.arange(900)), abs=1e-5)
+    fold = np.arange(900) % classifier.FOLDS
+    raw = np.array([z[i] @ plain(np.flatnonzero(fold != fold[i])) for i in range(900)])
+    at = np.clip(((raw - classifier.LOW) / (classifier.HIGH - classifier.LOW) * classifier.BINS).astype(int), 0, classifier.BINS - 1)
+    u, inv = np.unique(at, return_inverse=True)
+    knots, values = classifier.calibration(classifier.LOW + (u + 0.5) * (classifier.HIGH - classifier.LOW) / classifier.BINS, np.bincount(inv, y), np.bincount(inv).astype(float))
+    new = rng.standard_normal((3000, k))
+    got = model.score(new)
+    assert got == pytest.approx(np.interp(model.raw(new), knots, values), abs=0.02) and (np.diff(values) > 0).all()
+    order = np.argsort(model.raw(new))
+    assert (np.diff(got[order]) >= 0).all() and len(np.unique(got)) > 2900
+    truth = (new[:, 0] + 0.5 * new[:, 1] ** 2 + 0.7 * rng.standard_normal(3000) > 0.4).astype(float)
+    for lo, hi in ((0, 0.25), (0.25, 0.5), (0.5, 0.75), (0.75, 1)):  # what is said comes about
+        some = (got >= lo) & (got < hi)
+        assert abs(truth[some].mean() - got[some].mean()) < 0.1
+    same = docs(spark, ["a b c"] * 4).withColumn("doc_id", F.lit(6))
+    labels = spark.createDataFrame([(6, 1)], "doc_id long, quality int")
+    assert len({(r.score, r.predicted) for r in classifier.quality_scores(same, labels).collect()}) == 1
+    assert classifier.quality_scores(docs(spark, []), labels).count() == 0
+
+
 def test_isotonic():
     assert classifier.pool_adjacent(np.array([1.0, 0, 3, 2]), np.array([1.0, 1, 3, 4])).tolist() == [0.5, 0.5, 5 / 7, 5 / 7]
 
