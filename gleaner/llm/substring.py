@@ -3,53 +3,73 @@
 A window is WINDOW consecutive words of a document.  Each window is filed under
 its minimiser, the least of the hashes of its SEED_WORDS-word runs: equal
 windows have equal minimisers, and neighbouring windows mostly share one, so one
-row carries the hashes of several windows.  A batch of documents is sorted by
-minimiser and merged with the historical runs of the index, which are sorted
-the same way and never change; a window whose second hash is found again under
-its minimiser (64 + 48 bits from independent sums) has occurred earlier.  What
-is new becomes the next run.  Runs of one level are compacted into one of the
-next when there are FANOUT of them.
-
-Repeats inside one task are settled there, before anything is shuffled, so that
-a passage in a third of all documents reaches the shuffle once a task.
+row carries the hashes of several windows.  Rows are dealt to buckets by
+minimiser.  The index is a table for each level, bucketed and sorted by
+minimiser; each batch appended is an immutable run, a sorted file in each
+bucket.  A batch of documents is dealt to the same buckets and merge-joined with
+the runs of each level where they lie, so that history is read but never
+shuffled.  Runs of one level are compacted into one of the next, bucket by
+bucket, when there are FANOUT of them.
+
+A window whose minimiser and hash are found again is a candidate, with the place
+where it was found.  Candidates are verified: the words of both places, from
+the documents themselves, must have the same 128-bit digest.  Hashes for which
+that fails are settled by digests of all their windows.
+
+Repeats inside one task are settled there, word by word, before anything is
+shuffled, so that a passage in a third of all documents reaches the shuffle once
+a task.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, drop_path, new_path, only, strings
+from .common import arrow_map, drop_path, new_path, only, stage, strings
 
 WINDOW = 20
-SEED_WORDS = 5
-#: Bytes kept of the second hash of a window.
+SEED_WORDS = 8
+#: Bytes kept of the hash of a window.
 TAG = 6
-FANOUT = 4
+FANOUT = 3
 #: Texts whose windows a task sorts at once.
 TEXTS = 400
-#: Repeated windows that a task remembers between Arrow batches.
-REMEMBER = 200_000
-#: doc_id of what the index holds: before every document.  A null doc_id comes after all others.
-BEFORE, AFTER = -(1 << 63), (1 << 63) - 1
+#: Repeated windows, and words, that a task remembers between Arrow batches.
+REMEMBER = 100_000
+#: Bytes of text for each bucket, about.
+BUCKET = 12 << 20
+#: A null doc_id comes after all others.
+AFTER = (1 << 63) - 1
 #: Odd multipliers of the two hashes.
 _M, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-class _Hashes(dict):
+class _Words(dict):
+    """Numbers of words, and their hashes by number."""
+
+    def __init__(self) -> None:
+        self.hashes = np.empty(1024, np.uint64)
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        v = self[word] = xxhash.xxh3_64_intdigest(word)
-        return v
+        n = self[word] = len(self)
+        if n >= len(self.hashes):
+            self.hashes = np.concatenate([self.hashes, np.empty(n, np.uint64)])
+        self.hashes[n] = xxhash.xxh3_64_intdigest(word)
+        return n
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -57,10 +77,9 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def windows(words: list[bytes], cache: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window start: minimiser hash, place of the minimiser, window hash."""
-    n = len(words)
-    h = np.fromiter(map(cache.__getitem__, words), np.uint64, n)
+def windows(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From the hashes of words, for each window start: minimiser hash, place of the minimiser, window hash."""
+    n = len(h)
     with np.errstate(over="ignore"):
         m2 = _M * _M
         m4 = m2 * m2
@@ -69,7 +88,7 @@ def windows(words: list[bytes], cache: dict) -> tuple[np.ndarray, np.ndarray, np
         h8 = h4[:-4] * m4 + h4[4:]
         h16 = h8[:-8] * (m4 * m4) + h8[8:]
         whole = _mix(h16[: n - WINDOW + 1] * m4 + h4[16 : 16 + n - WINDOW + 1])
-        runs = _mix(h4[: n - SEED_WORDS + 1] * _C + h[SEED_WORDS - 1 :])
+        runs = _mix(h8 * _C)
     view = np.lib.stride_tricks.sliding_window_view(runs, WINDOW - SEED_WORDS + 1)
     at = view.argmin(1) + np.arange(len(view))
     return runs[at], at, whole
@@ -87,41 +106,67 @@ def _runs(flags: np.ndarray, *breaks: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return idx[first], np.diff(np.r_[first, len(idx)])
 
 
+def _tag_bytes(whole: np.ndarray) -> np.ndarray:
+    return whole.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TAG]
+
+
+def _blobs(tags: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The rows of tags (bytes) as binary values of so many tags each."""
+    ends = np.r_[0, np.cumsum(sizes)].astype(np.int32) * TAG
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(tags).tobytes())])
+
+
+_ROWS = "mini long, doc_id long, start int, n int, tags binary"
+_NAMES = ["mini", "doc_id", "start", "n", "tags"]
+
+
 class _Task:
     """The windows of one task's documents, less those that it can itself tell are repeated."""
 
     def __init__(self) -> None:
-        self.cache = _Hashes()
+        self.forget()
+
+    def forget(self) -> None:
         none = np.empty(0, np.uint64)
-        self.hot = (none, none, np.empty(0, np.int64), np.empty(0, np.int64))  # sorted by window hash: hash, minimiser, doc, start
+        self.words = _Words()
+        # repeated windows, sorted by hash: hash, minimiser, doc, start, the numbers of the words
+        self.hot = (none, none, np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, WINDOW), np.int32))
 
     def batch(self, ids: np.ndarray, texts: list[str]) -> pa.RecordBatch | None:
-        parts = []
+        """Rows of windows not known to be repeated, and of stretches (tags null, n windows) that are."""
+        if len(self.words) > 2 * REMEMBER:
+            self.forget()
+        parts, said, at_word = [], [], 0
         for i in np.argsort(ids, kind="stable"):
             words = texts[i].encode().split()
             if len(words) >= WINDOW:
-                m, at, w = windows(words, self.cache)
-                parts.append((m, at, w, np.full(len(w), ids[i]), np.arange(len(w)), np.full(len(w), i)))
+                numbers = self.words.numbers(words)
+                m, at, w = windows(self.words.hashes[numbers])
+                parts.append((m, at, w, np.full(len(w), ids[i]), np.arange(len(w)), np.full(len(w), i), at_word + np.arange(len(w))))
+                said.append(numbers)
+                at_word += len(words)
         if not parts:
             return None
-        mini, at, whole, doc, start, row = (np.concatenate(x) for x in zip(*parts, strict=True))
+        mini, at, whole, doc, start, row, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        view = np.lib.stride_tricks.sliding_window_view(np.concatenate(said), WINDOW)
         order = np.argsort(whole, kind="stable")
         s = whole[order]
-        same = np.r_[False, (s[1:] == s[:-1]) & (mini[order[1:]] == mini[order[:-1]])]
+        same = np.r_[False, s[1:] == s[:-1]]
         first = np.maximum.accumulate(np.where(same, 0, np.arange(len(s))))  # in sorted order, of each group
         head = order[first]
-        later = same & ((doc[order] > doc[head]) | (start[order] > start[head]))
+        later = np.flatnonzero(same & ((doc[order] > doc[head]) | (start[order] > start[head])))
+        later = later[(view[place[order[later]]] == view[place[head[later]]]).all(1)]
         repeated = np.zeros(len(whole), bool)
         repeated[order[later]] = True
-        hw, hm, hd, hs = self.hot
+        hw, hm, hd, hs, hv = self.hot
         if len(hw):
             p = np.minimum(np.searchsorted(hw, whole), len(hw) - 1)
-            known = (hw[p] == whole) & (hm[p] == mini)
-            repeated |= known & ((doc > hd[p]) | (doc == hd[p]) & (start > hs[p]))
+            known = np.flatnonzero((hw[p] == whole) & ((doc > hd[p]) | (doc == hd[p]) & (start > hs[p])))
+            repeated[known[(view[place[known]] == hv[p[known]]).all(1)]] = True
         lead = np.unique(head[later])
         lead = lead[~repeated[lead]]
         if len(lead):
-            hot = [np.concatenate(x) for x in zip((whole[lead], mini[lead], doc[lead], start[lead].astype(np.int64)), self.hot, strict=True)]
+            hot = [np.concatenate(x) for x in zip((whole[lead], mini[lead], doc[lead], start[lead].astype(np.int64), view[place[lead]]), self.hot, strict=True)]
             keep = np.lexsort((hot[3], hot[2], hot[0]))  # by hash, the earliest first
             hot = [x[keep] for x in hot]
             keep = np.r_[True, hot[0][1:] != hot[0][:-1]]
@@ -130,10 +175,6 @@ class _Task:
                 hot = [x[len(x) - REMEMBER :] for x in hot]
             self.hot = tuple(hot)
         p, n = _runs(~repeated, row, at)
-        tags = whole.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TAG]
-        data = np.ascontiguousarray(tags[~repeated]).tobytes()
-        ends = np.r_[0, np.cumsum(n)].astype(np.int32) * TAG
-        blobs = pa.Array.from_buffers(pa.binary(), len(p), [None, pa.py_buffer(ends), pa.py_buffer(data)])
         q, m = _runs(repeated, row)
         spread = _mix(doc[q].astype(np.uint64) + q.astype(np.uint64))
         return pa.RecordBatch.from_arrays(
@@ -142,153 +183,262 @@ class _Task:
                 pa.array(np.concatenate([doc[p], doc[q]])),
                 pa.array(np.concatenate([start[p], start[q]]).astype(np.int32)),
                 pa.array(np.concatenate([np.zeros(len(n)), m]).astype(np.int32)),
-                pa.concat_arrays([blobs, pa.nulls(len(q), pa.binary())]),
+                pa.concat_arrays([_blobs(_tag_bytes(whole)[~repeated], n), pa.nulls(len(q), pa.binary())]),
             ],
-            ["mini", "doc_id", "start", "n", "tags"],
+            _NAMES,
         )
 
 
-_ROWS = "mini long, doc_id long, start int, n int, tags binary"
-_SPANS = "kind int, mini long, doc_id long, start int, n int, tags binary"
-
-
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     task = _Task()
     for whole in batches:
         for at in range(0, whole.num_rows, TEXTS):
             b = whole.slice(at, TEXTS)
-            ids = b.column(0).fill_null(AFTER).to_numpy()
-            if (out := task.batch(ids, strings(b.column(1)))) is not None:
+            if (out := task.batch(b.column(0).fill_null(AFTER).to_numpy(), strings(b.column(1)))) is not None:
                 yield out
 
 
-def _merge(append: bool):
-    """Over rows sorted by mini, doc_id, start: spans of repeated windows (kind 0) and, if append, new index rows (kind 1)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, seen = None, {}
-        for b in batches:
-            told = b.filter(b.column(4).is_null())
-            b = b.filter(b.column(4).is_valid())
-            rows: list[list] = [told.column(1).to_pylist(), told.column(2).to_pylist(), told.column(3).to_pylist()]
-            new_m, new_t = [], []
-            if b.num_rows:
-                mini, doc, start = (b.column(i).to_numpy() for i in range(3))
-                edge = np.r_[True, mini[1:] != mini[:-1], True]
-                alone = edge[:-1] & edge[1:]
-                alone[-1] = False  # may go on
-                if mini[0] == current:
-                    alone[0] = False
-                if append:
-                    put = b.filter(pa.array(alone & (doc != BEFORE)))
-                    new_m, new_t = put.column(0).to_pylist(), put.column(4).to_pylist()
-                tags = b.column(4)
-                for i in np.flatnonzero(~alone).tolist():
-                    if mini[i] != current:
-                        current, seen = mini[i], {}
-                    blob, d, s = tags[i].as_py(), int(doc[i]), int(start[i])
-                    n, fresh = 0, []
-                    for k in range(len(blob) // TAG):
-                        t = blob[k * TAG : (k + 1) * TAG]
-                        f = seen.setdefault(t, (d, s + k))
-                        if f < (d, s + k):
-                            n += 1
-                            continue
-                        fresh.append(t)
-                        if n:
-                            for x, v in zip(rows, (d, s + k - n, n), strict=True):
-                                x.append(v)
-                            n = 0
-                    if n:
-                        for x, v in zip(rows, (d, s + len(blob) // TAG - n, n), strict=True):
-                            x.append(v)
-                    if append and fresh and d != BEFORE:
-                        new_m.append(int(mini[i]))
-                        new_t.append(b"".join(fresh))
-            k, j = len(rows[0]), len(new_m)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([0] * k + [1] * j, pa.int32()),
-                    pa.array([None] * k + new_m, pa.int64()),
-                    pa.array(rows[0] + [None] * j, pa.int64()),
-                    pa.array(rows[1] + [None] * j, pa.int32()),
-                    pa.array(rows[2] + [None] * j, pa.int32()),
-                    pa.array([None] * k + new_t, pa.binary()),
-                ],
-                ["kind", "mini", "doc_id", "start", "n", "tags"],
-            )
+class _Flat:
+    """The windows of rows, one each: of a bucket's batch, or of its runs."""
+
+    def __init__(self, table: pa.Table, shared: np.ndarray | None = None) -> None:
+        mini = table.column("mini").to_numpy()
+        if shared is not None:
+            keep = np.isin(mini, shared)
+            table, mini = table.filter(pa.array(keep)), mini[keep]
+        blobs = table.column("tags").combine_chunks()
+        blobs = blobs if isinstance(blobs, pa.Array) else pa.concat_arrays(blobs.chunks)
+        ends = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1] if len(blobs) else np.zeros(1, np.int32)
+        data = np.frombuffer(blobs.buffers()[2], np.uint8)[ends[0] : ends[-1]] if len(blobs) and blobs.buffers()[2] is not None else np.empty(0, np.uint8)
+        size = np.diff(ends) // TAG
+        self.bytes = data.reshape(-1, TAG)
+        wide = np.zeros((len(self.bytes), 8), np.uint8)
+        wide[:, :TAG] = self.bytes
+        self.tag, self.row = wide.view("<u8").ravel(), np.repeat(np.arange(len(size)), size)
+        within = np.arange(len(self.row)) - np.repeat(np.cumsum(size) - size, size)
+        self.mini, self.doc = mini[self.row], table.column("doc_id").to_numpy()[self.row]
+        self.start = table.column("start").to_numpy()[self.row].astype(np.int64) + within
+
+
+_SPANS = "kind int, mini long, doc_id long, start int, n int, doc0 long, start0 int, tags binary"
+
+
+def _spans(doc=(), start=(), n=(), doc0=None, start0=None, kind=0, mini=None, tags=None) -> pa.Table:
+    """kind 0: told by the task; 1: a candidate, found at doc0, start0; 2: rows of a run."""
+    k = len(doc)
+    fill = lambda v, t: pa.nulls(k, t) if v is None else pa.array(v, t) if not isinstance(v, pa.Array) else v
+    cols = [pa.array(np.full(k, kind), pa.int32()), fill(mini, pa.int64()), fill(doc, pa.int64()), fill(start, pa.int32()), fill(n, pa.int32()), fill(doc0, pa.int64()), fill(start0, pa.int32()), fill(tags, pa.binary())]
+    return pa.Table.from_arrays(cols, [c.split()[0] for c in _SPANS.split(", ")])
+
+
+def _found(new: _Flat, old: _Flat | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of windows of new with a key that comes earlier (in old, or in new): where, whether in old, and of what."""
+    j = lambda c: np.concatenate([getattr(old, c), getattr(new, c)]) if old is not None else getattr(new, c)
+    mini, tag, doc, start = (j(c) for c in ("mini", "tag", "doc", "start"))
+    k = len(old.tag) if old is not None else 0
+    order = np.lexsort((start, doc, np.arange(len(tag)) >= k, tag, mini))
+    same = np.r_[False, (mini[order[1:]] == mini[order[:-1]]) & (tag[order[1:]] == tag[order[:-1]])][: len(order)]
+    head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))] if len(order) else order
+    at = (order >= k) & same & ((head < k) | (doc[order] != doc[head]) | (start[order] != start[head]))
+    if old is not None:
+        at &= head < k
+    i, h = order[at] - k, head[at]
+    return i, doc[h], start[h], np.isin(np.arange(len(new.tag)), i)
+
+
+def _as_spans(new: _Flat, i: np.ndarray, doc0: np.ndarray, start0: np.ndarray) -> pa.Table:
+    """Candidates as stretches that go on in both places."""
+    order = np.lexsort((new.start[i], new.doc[i]))
+    i, doc0, start0 = i[order], doc0[order], start0[order]
+    d, s = new.doc[i], new.start[i]
+    if not len(i):
+        return _spans()
+    first = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (s[1:] != s[:-1] + 1) | (doc0[1:] != doc0[:-1]) | (start0[1:] != start0[:-1] + 1)])
+    n = np.diff(np.r_[first, len(i)])
+    return _spans(d[first], s[first].astype(np.int32), n.astype(np.int32), doc0[first], start0[first].astype(np.int32), 1)
+
+
+def _shared(mini: np.ndarray) -> np.ndarray:
+    u, n = np.unique(mini, return_counts=True)
+    return u[n > 1]
+
+
+def _own(append: bool):
+    """Over the rows of a bucket: repeats within the batch, and if append the rows of its run."""
+
+    def run(table: pa.Table) -> pa.Table:
+        told = table.filter(pa.compute.is_null(table.column("tags")))
+        rows = table.filter(pa.compute.is_valid(table.column("tags")))
+        out = [_spans(*(told.column(c).to_numpy() for c in ("doc_id", "start", "n")))]
+        many = _shared(rows.column("mini").to_numpy())
+        new = _Flat(rows, many)
+        i, doc0, start0, again = _found(new, None)
+        out.append(_as_spans(new, i, doc0, start0))
+        if append:
+            lone = rows.filter(pa.array(~np.isin(rows.column("mini").to_numpy(), many)))
+            out.append(_spans(lone.column("doc_id").to_numpy(), lone.column("start").to_numpy(), None, kind=2, mini=lone.column("mini").to_numpy(), tags=pa.concat_arrays(lone.column("tags").chunks) if lone.num_rows else None))
+            p, n = _runs(~again, new.row)
+            out.append(_spans(new.doc[p], new.start[p].astype(np.int32), None, kind=2, mini=new.mini[p], tags=_blobs(new.bytes[~again], n)))
+        return pa.concat_tables(out)
 
     return run
 
 
+def _with_level(batch: pa.Table, runs: pa.Table) -> pa.Table:
+    """Over a bucket of the batch and of a level: windows of the batch that are in a run."""
+    batch = batch.filter(pa.compute.is_valid(batch.column("tags")))
+    both = np.intersect1d(batch.column("mini").to_numpy(), runs.column("mini").to_numpy())
+    if not len(both):
+        return _spans()
+    new = _Flat(batch, both)
+    i, doc0, start0, _ = _found(new, _Flat(runs, both))
+    return _as_spans(new, i, doc0, start0)
+
+
 class FingerprintIndex:
-    """Sorted immutable runs of the windows of earlier batches, in a folder that all executors share."""
+    """Sorted immutable runs of the windows of earlier batches, bucketed, in a folder that all executors share."""
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None) -> None:
+        """buckets: of a new index; an existing one keeps its own (about BUCKET bytes of text for each suit)."""
         self.spark, self.path = spark, path.rstrip("/")
+        have = [int(n[8:]) for n in self._list() if n.startswith("buckets-")]
+        self.buckets = have[0] if have else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(self.path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def runs(self) -> list[tuple[int, str]]:
-        """(level, path) of the runs that were written to their end."""
+    def _list(self, at: str = "") -> list[str]:
         fs, path = self._fs()
-        if not fs.exists(path(self.path)):
-            return []
-        found = [(s.getPath().getName(), s.getPath().toString()) for s in fs.listStatus(path(self.path))]
-        return sorted((int(m[1]), p) for n, p in found if (m := re.fullmatch(r"run-(\d+)-\w+", n)))
+        return [s.getPath().getName() for s in fs.listStatus(path(self.path + at))] if fs.exists(path(self.path + at)) else []
+
+    def levels(self) -> list[int]:
+        return sorted(int(n[6:]) for n in self._list(f"/buckets-{self.buckets}") if n.startswith("level-"))
 
     def _name(self, level: int) -> str:
-        return f"{self.path}/run-{level}-{new_path(self.spark, '').rsplit('/', 1)[1].rstrip('-')}"
+        return f"gleaner_windows_{hashlib.md5(self.path.encode()).hexdigest()}_{level}"
 
-    def history(self) -> DataFrame | None:
-        paths = [p for _, p in self.runs()]
-        if not paths:
-            return None
-        old = self.spark.read.schema("mini long, tags binary").parquet(*paths)
-        return old.select("mini", F.lit(BEFORE).alias("doc_id"), F.lit(0).alias("start"), F.lit(0).alias("n"), "tags")
+    def table(self, level: int) -> DataFrame:
+        """The runs of a level, read where they lie: bucketed and sorted."""
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {self._name(level)} (bucket INT, run STRING, mini BIGINT, doc_id BIGINT, start INT, tags BINARY) "
+            f"USING parquet CLUSTERED BY (bucket) SORTED BY (bucket, mini) INTO {self.buckets} BUCKETS LOCATION '{self.path}/buckets-{self.buckets}/level-{level}'"
+        )
+        return self.spark.table(self._name(level))
+
+    def runs(self, level: int) -> list[str]:
+        return sorted(r[0] for r in self.table(level).select("run").distinct().collect())  # FANOUT at most
+
+    def _append(self, rows: DataFrame, level: int) -> None:
+        """A new run: rows (bucket, mini, doc_id, start, tags), dealt by bucket already."""
+        run = new_path(self.spark, "run").rsplit("/", 1)[1]
+        self.table(level)
+        rows.select("bucket", F.lit(run).alias("run"), "mini", "doc_id", "start", "tags").write.insertInto(self._name(level))
+        self.spark.catalog.refreshTable(self._name(level))
+
+    def _bucket(self, mini: str = "mini") -> Column:
+        return F.pmod(F.xxhash64(mini), F.lit(self.buckets)).cast("int")
 
-    def repeated(self, docs: DataFrame, append: bool = True) -> DataFrame:
+    def repeated(self, docs: DataFrame, corpus: DataFrame, append: bool = True) -> DataFrame:
         """doc_id, start, n: the windows of docs (n from word start on) that occur earlier, in the index or in docs.
 
-        A null doc_id comes back as the greatest long.  With append, the other
-        windows become a new run, for later batches.
+        corpus: doc_id, text of docs and of all documents in the index, against
+        which candidates are verified.  A null doc_id comes back as the greatest
+        long.  With append, the windows that are new to the batch become a run.
         """
-        rows = arrow_map(only(docs, doc_id="long", text="string"), _scan, _ROWS)
-        if (old := self.history()) is not None:
-            rows = rows.unionByName(old)
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        merged = arrow_map(rows.repartition(parts, "mini").sortWithinPartitions("mini", "doc_id", "start"), _merge(append), _SPANS)
+        rows = arrow_map(only(docs, doc_id="long", text="string"), _scan, _ROWS).withColumn("bucket", self._bucket())
+        own = rows.groupBy("bucket").applyInArrow(_own(append), _SPANS)
+        for level in self.levels():
+            own = own.unionByName(rows.groupBy("bucket").cogroup(self.table(level).groupBy("bucket")).applyInArrow(_with_level, _SPANS))
         out = new_path(self.spark, "substring-merge")
+        own.withColumn("part", F.when(F.col("kind") == 2, "run").otherwise("spans")).write.partitionBy("part").parquet(out)
+        fs, path = self._fs()
+        read = lambda part: self.spark.read.schema(_SPANS).parquet(f"{out}/part={part}") if fs.exists(path(f"{out}/part={part}")) else self.spark.createDataFrame([], _SPANS)
+        spans = self._verified(read("spans"), corpus)
         if append:
-            merged.sortWithinPartitions("kind", "mini").write.partitionBy("kind").parquet(out)
-            fs, path = self._fs()
-            if fs.exists(path(f"{out}/kind=1")):
-                fs.mkdirs(path(self.path))
-                fs.rename(path(f"{out}/kind=1"), path(self._name(0)))  # seen whole or not at all
+            fresh = read("run").withColumn("bucket", self._bucket())
+            self._append(fresh.repartition(self.buckets, "bucket"), 0)
             self.compact()
-            if not fs.exists(path(f"{out}/kind=0")):
-                return self.spark.createDataFrame([], "doc_id long, start int, n int")
-            return self.spark.read.schema("doc_id long, start int, n int").parquet(f"{out}/kind=0")
-        merged.select("doc_id", "start", "n").write.parquet(out)
-        return self.spark.read.schema("doc_id long, start int, n int").parquet(out)
+        return spans
+
+    def _verified(self, spans: DataFrame, corpus: DataFrame) -> DataFrame:
+        """doc_id, start, n of the spans whose words are those of the places where they were found."""
+        texts = only(corpus, doc_id="long", text="string")
+        told, new = spans.filter("kind = 0").select("doc_id", "start", "n"), spans.filter("kind = 1").select("doc_id", "start", "n", "doc0", "start0")
+        wanted = new.select("doc_id", "start", "n").union(new.select("doc0", "start0", "n")).distinct()
+        wanted = wanted.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("sizes"))  # no more than a document's places
+
+        def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            z = zstandard.ZstdDecompressor()
+            for b in batches:
+                out = []
+                for key, packed, starts, sizes in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
+                    words = z.decompress(packed).split()
+                    out += [(key, s, n, xxhash.xxh3_128_digest(b" ".join(words[s : s + n + WINDOW - 1]))) for s, n in zip(starts, sizes, strict=True) if s + n + WINDOW - 1 <= len(words)]
+                cols = list(zip(*out, strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "start", "n", "words"])
+
+        pieces = arrow_map(packed_texts(texts).join(wanted, "key").select("key", "packed", "starts", "sizes"), digests, "doc_id long, start int, n int, words binary")
+        pieces = stage(pieces.groupBy("doc_id", "start", "n").agg(F.collect_set("words").alias("words")), "window-words")  # several where a doc_id repeats
+        there = pieces.select(F.col("doc_id").alias("doc0"), F.col("start").alias("start0"), "n", F.col("words").alias("words0"))
+        checked = new.join(pieces, ["doc_id", "start", "n"], "left").join(there, ["doc0", "start0", "n"], "left")
+        checked = stage(checked.select("doc_id", "start", "n", F.coalesce(F.arrays_overlap("words", "words0"), F.lit(False)).alias("ok")), "window-checks")
+        out = told.unionByName(checked.filter("ok").drop("ok"))
+        bad = checked.filter("NOT ok").select("doc_id", "start", "n")
+        return out if not bad.head(1) else out.unionByName(self._settled(bad, texts, new.select("doc_id").distinct()))
+
+    def _settled(self, bad: DataFrame, texts: DataFrame, batch: DataFrame) -> DataFrame:
+        """Of windows whose hash stands for several sequences of words: those with the words of an earlier one."""
+
+        def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = _Words()
+            for b in batches:
+                for doc, t in zip(b.column(0).fill_null(AFTER).to_pylist(), strings(b.column(1)), strict=True):
+                    words = t.encode().split()
+                    if len(words) < WINDOW:
+                        continue
+                    numbers = known.numbers(words)
+                    m, _, w = windows(known.hashes[numbers])
+                    of = [xxhash.xxh3_128_digest(b" ".join(words[i : i + WINDOW])) for i in range(len(w))]
+                    tags = _tag_bytes(w)
+                    yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array([x.tobytes() for x in tags], pa.binary()), pa.array(of, pa.binary()), pa.array([doc] * len(w), pa.int64()), pa.array(np.arange(len(w), dtype=np.int32))], ["mini", "tag", "words", "doc_id", "start"])
+
+        every = arrow_map(texts, exploded, "mini long, tag binary, words binary, doc_id long, start int")
+        spots = bad.select("doc_id", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("start")).distinct()
+        keys = every.join(spots, ["doc_id", "start"], "left_semi").select("mini", "tag").distinct()
+        some = stage(every.join(keys, ["mini", "tag"], "left_semi").select("words", "doc_id", "start"), "window-collisions")
+        least = some.groupBy("words").agg(F.min(F.struct("doc_id", "start")).alias("least"))
+        again = some.join(least, "words").filter(F.struct("doc_id", "start") > F.col("least"))
+        return again.join(batch, "doc_id", "left_semi").select("doc_id", "start", F.lit(1).alias("n"))
 
     def compact(self) -> None:
-        """Merge the runs of a level into one of the next wherever there are FANOUT of them."""
-        level = 0
-        while any(x >= level for x, _ in self.runs()):
-            of = [p for x, p in self.runs() if x == level]
-            if len(of) >= FANOUT:
-                tmp = new_path(self.spark, "compact")
-                parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-                self.spark.read.schema("mini long, tags binary").parquet(*of).repartition(parts, "mini").sortWithinPartitions("mini").write.parquet(tmp)
-                fs, path = self._fs()
-                fs.rename(path(tmp), path(self._name(level + 1)))  # a crash here leaves windows twice, which does no harm
-                for p in of:
-                    drop_path(self.spark, p)
-            level += 1
+        """Merge the runs of a level into one of the next wherever there are FANOUT of them; buckets stay where they are."""
+        for level in range(64):
+            if level not in self.levels():
+                return
+            if len(self.runs(level)) >= FANOUT:
+                self._append(self.table(level), level + 1)  # a crash here leaves windows twice, which does no harm
+                self.spark.sql(f"DROP TABLE {self._name(level)}")
+                drop_path(self.spark, f"{self.path}/buckets-{self.buckets}/level-{level}")
+
+    def close(self) -> None:
+        """Forget the tables' names; the runs stay."""
+        for level in self.levels():
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._name(level)}")
+
+
+def packed_texts(docs: DataFrame, extra: dict[str, str] | None = None) -> DataFrame:
+    """doc_id, key (doc_id, or the greatest long for null), packed (the compressed text) and extra."""
+    extra = extra or {}
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(1)
+        for b in batches:
+            packed = pa.array([z.compress(t.encode()) for t in strings(b.column(1))], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(0).fill_null(AFTER), packed, *b.columns[2:]], ["doc_id", "key", "packed", *extra])
+
+    return arrow_map(only(docs, doc_id="long", text="string", **extra), pack, "doc_id long, key long, packed binary" + "".join(f", {c} {t}" for c, t in extra.items()))
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> tuple[int, int, str]:
@@ -322,12 +472,6 @@ def remove_spans(docs: DataFrame, spans: DataFrame, extra: dict[str, str] | None
     extra = extra or {}
     tail = "".join(f", {c} {t}" for c, t in extra.items())
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(1)
-        for b in batches:
-            packed = pa.array([z.compress(t.encode()) for t in strings(b.column(1))], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(0).fill_null(AFTER), packed, *b.columns[2:]], ["doc_id", "key", "packed", *extra])
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
         for b in batches:
@@ -335,27 +479,31 @@ def remove_spans(docs: DataFrame, spans: DataFrame, extra: dict[str, str] | None
             rows = [cut_words(z.decompress(t).decode(), list(zip(s or [], k or [], strict=True))) for t, s, k in zip(b.column(1).to_pylist(), starts, sizes, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string()), *b.columns[4:]], ["doc_id", "n_words", "n_removed", "text", *extra])
 
-    packed = arrow_map(only(docs, doc_id="long", text="string", **extra), pack, "doc_id long, key long, packed binary" + tail)
     by_doc = spans.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("sizes"))  # no more than a document's words
-    return arrow_map(packed.join(by_doc, "key", "left").select("doc_id", "packed", "starts", "sizes", *extra), cut, "doc_id long, n_words long, n_removed long, text string" + tail)
+    return arrow_map(packed_texts(docs, extra).join(by_doc, "key", "left").select("doc_id", "packed", "starts", "sizes", *extra), cut, "doc_id long, n_words long, n_removed long, text string" + tail)
 
 
-def dedup_corpus(docs: DataFrame, history: float = 0.25, extra: dict[str, str] | None = None) -> DataFrame:
+def dedup_corpus(docs: DataFrame, batches: int = 4, extra: dict[str, str] | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, text (and extra): docs without the words of windows that occur earlier.
 
     Earlier: in a document with a smaller doc_id, or earlier in the same one.
-    The documents with the smallest doc_ids (about the share `history` of them)
-    enter an empty index as its first batch, the others are merged with it.
-    Null texts have no words; a null doc_id comes after all others; rows with one
-    doc_id count as one document, a word being removed from each row if its place
-    is removed in any.  One row out for each row in.
+    The documents go through an empty index in about `batches` batches of like
+    size, by doc_id; each is appended for those after it.  Null texts have no
+    words; a null doc_id comes after all others; rows with one doc_id count as one
+    document, a word being removed from each row if its place is removed in any.
+    One row out for each row in.
     """
-    index = FingerprintIndex(docs.sparkSession, new_path(docs.sparkSession, "window-index"))
-    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id")).approxQuantile("doc_id", [history], 0.01) if history > 0 else []
-    if cut:
-        old = index.repeated(docs.filter(F.col("doc_id") <= int(cut[0])))
-        new = index.repeated(docs.filter(F.col("doc_id").isNull() | (F.col("doc_id") > int(cut[0]))), append=False)
-        spans = old.unionByName(new)
-    else:
-        spans = index.repeated(docs, append=False)
+    spark = docs.sparkSession
+    size, ends = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(F.col("text").cast("string")).alias("n")).agg(
+        F.sum("n"), F.percentile_approx("doc_id", [k / batches for k in range(1, batches)] or [1.0], 1000)).head()
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (size or 0) // BUCKET)
+    index = FingerprintIndex(spark, new_path(spark, "window-index"), buckets)
+    cuts = sorted(set(ends or [])) if batches > 1 else []
+    key, spans = F.col("doc_id").cast("long"), None
+    for k in range(len(cuts) + 1):
+        low, high = (key > cuts[k - 1]) if k else F.lit(True), (key <= cuts[k]) if k < len(cuts) else F.lit(True)
+        part = docs.filter((low & high) if k < len(cuts) else (low | key.isNull()))
+        got = index.repeated(part, docs, append=k < len(cuts))
+        spans = got if spans is None else spans.unionByName(got)
+    index.close()
     return remove_spans(docs, spans, extra)

@@ -172,6 +172,10 @@ def test_components(spark):
     assert all(up[x] == r for x, r in got.items()) and {x for a, b in links if a != b for x in (a, b)} == set(got)
 
 
+def prose(rng, n):
+    return " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(n))
+
+
 def plain_windows(rows, size=20):
     seen, out = {}, {}
     for d, t in sorted(rows):
@@ -195,18 +199,45 @@ def test_substring(spark, tmp_path):
         texts.append(rng.choice([" ", "\n", "  "]).join(w))
     texts += [None, "", "same " * 400, texts[0]]
     want = plain_windows(list(enumerate(texts)))
-    for history in (0.25, 0.0):
-        got = {r.doc_id: (r.n_words, r.n_removed, (r.text or "").split()) for r in substring.dedup_corpus(docs(spark, texts).repartition(3), history).collect()}
+    for batches in (5, 1):
+        got = {r.doc_id: (r.n_words, r.n_removed, (r.text or "").split()) for r in substring.dedup_corpus(docs(spark, texts).repartition(3), batches).collect()}
         assert got == want
     assert substring.dedup_corpus(docs(spark, [])).count() == 0
-    # batch after batch, with compaction, as in one go
-    index = substring.FingerprintIndex(spark, f"file://{tmp_path}/ix")
+    # batch after batch, with compaction, as in one go; the index is opened anew for each
     removed = {}
-    for at in range(0, 64, 11):
-        part = docs(spark, texts[at : at + 11], at)
-        removed |= {r.doc_id: r.n_removed for r in substring.remove_spans(part, index.repeated(part)).collect()}
+    for at in range(0, 64, 9):
+        part = docs(spark, texts[at : at + 9], at)
+        index = substring.FingerprintIndex(spark, f"file://{tmp_path}/ix", 4)
+        removed |= {r.doc_id: r.n_removed for r in substring.remove_spans(part, index.repeated(part, docs(spark, texts))).collect()}
     assert removed == {d: n for d, (_, n, _) in want.items()}
-    assert len(index.runs()) < 6 and max(x for x, _ in index.runs()) >= 1
+    assert index.buckets == 4 and max(index.levels()) == 1 and all(len(index.runs(k)) < 3 for k in index.levels())
+    plan = spark.table(index._name(1)).groupBy("bucket").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # history stays in its buckets
+    index.close()
+
+
+def test_substring_with_colliding_hashes(spark, monkeypatch):
+    """Tags of one byte stand for many windows: verification and digests still tell them apart."""
+    rng = random.Random(18)
+    passage = prose(rng, 30)
+    texts = [" ".join([prose(rng, rng.randint(0, 30)), passage * (i % 7 == 0), "same " * 30 * (i % 5 == 0), prose(rng, 10)]) for i in range(60)]
+    want = plain_windows(list(enumerate(texts)))
+    monkeypatch.setattr(substring, "TAG", 1)
+    monkeypatch.setattr(substring, "windows", lambda h, f=substring.windows: (lambda m, at, w: (m % np.uint64(3), at, w % np.uint64(2)))(*f(h)))
+    got = {r.doc_id: (r.n_words, r.n_removed, (r.text or "").split()) for r in substring.dedup_corpus(docs(spark, texts).repartition(3), 3).collect()}
+    assert got == want
+
+
+def test_substring_of_odd_rows(spark):
+    rng = random.Random(19)
+    text = prose(rng, 40)
+    rows = [(1, text), (None, text), (None, None), (2, text + " end"), (2, "x " * 5), (2, prose(rng, 30)), (3, "")]
+    got = substring.dedup_corpus(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert len(got) == len(rows) and sorted((r.n_words, r.n_removed) for r in got if r.doc_id is None) == [(0, 0), (40, 40)]
+    assert [(r.n_words, r.n_removed) for r in got if r.doc_id == 1] == [(40, 0)] and (41, 40) in [(r.n_words, r.n_removed) for r in got if r.doc_id == 2]
+    long = " ".join(str(i) for i in range(400_000))
+    got = {r.doc_id: r.n_removed for r in substring.dedup_corpus(docs(spark, [long, long + " tail", None])).collect()}
+    assert got == {0: 0, 1: 400_000, 2: 0}
 
 
 def test_statistics():
@@ -223,10 +254,6 @@ def test_statistics():
     assert stats.counts("")[0] == [0] * 5
 
 
-def prose(rng, n):
-    return " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(n))
-
-
 def plain_mcd(x, h, ridge):
     """The mean and covariance of the h rows with the least determinant, by trying all."""
     best = None
