@@ -33,7 +33,7 @@ from .common import arrow_map, sized_join, stage
 
 TOP = 5
 #: Centroids of each half: the power of two with about PER_CELL vectors a cell, MOST at most.
-PER_CELL, MOST = 3, 256
+PER_CELL, MOST = 8, 256
 #: Vectors that the codebooks are fitted on, at most; every vector is indexed.
 SAMPLE = 20_000
 #: Neighbours that the sample's own queries must find, and how many such queries there are.
@@ -72,20 +72,26 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return ((c * c).sum(1)[None] - 2 * x @ c.T).argmin(1)
 
 
-def traverse(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, take: int) -> list[int]:
-    """Cells i * len(d2) + j in order of d1[i] + d2[j] until they hold `take` vectors; empty ones are passed over."""
+def traverse(d1: np.ndarray, d2: np.ndarray, counts: list[int], take: int) -> list[int]:
+    """Cells i * len(d2) + j in order of d1[i] + d2[j] until they hold `take` vectors; empty ones are passed over.
+
+    The heap holds the next cell of each row of the grid that has been begun.
+    """
     o1, o2 = np.argsort(d1, kind="stable"), np.argsort(d2, kind="stable")
-    heap, seen, out, got = [(d1[o1[0]] + d2[o2[0]], 0, 0)], {(0, 0)}, [], 0
+    a, b, row, col = d1[o1].tolist(), d2[o2].tolist(), (o1 * len(d2)).tolist(), o2.tolist()
+    heap, out, got, last = [(a[0] + b[0], 0, 0)], [], 0, len(b) - 1
     while heap and got < take:
-        _, i, j = heapq.heappop(heap)
-        cell = int(o1[i]) * len(d2) + int(o2[j])
-        if counts[cell]:
+        _, i, j = heap[0]
+        cell = row[i] + col[j]
+        if n := counts[cell]:
             out.append(cell)
-            got += int(counts[cell])
-        for a, b in ((i + 1, j), (i, j + 1)):
-            if a < len(d1) and b < len(d2) and (a, b) not in seen:
-                seen.add((a, b))
-                heapq.heappush(heap, (d1[o1[a]] + d2[o2[b]], a, b))
+            got += n
+        if j < last:
+            heapq.heapreplace(heap, (a[i] + b[j + 1], i, j + 1))
+        else:
+            heapq.heappop(heap)
+        if j == 0 and i + 1 < len(a):
+            heapq.heappush(heap, (a[i + 1] + b[0], i + 1, 0))
     return out
 
 
@@ -117,7 +123,7 @@ class Index:
     books: list[np.ndarray]
     halves: list[np.ndarray]
     share: float
-    counts: np.ndarray | None = None
+    counts: list[int] | None = None
     take: int = 0
     shelf: np.ndarray | None = None  # the first shelf of each cell
     copies: np.ndarray | None = None  # how many it has
@@ -135,7 +141,7 @@ class Index:
 
     def lay(self, counts: np.ndarray, at: int) -> int:
         """Give the cells their shelves from number `at` on; the next free number."""
-        self.counts, self.take = counts, int(-(-counts.sum() * self.share // 1))
+        self.counts, self.take = counts.tolist(), int(-(-counts.sum() * self.share // 1))
         self.copies = np.maximum(1, -(-counts // BLOCK))
         self.shelf, self.first = np.empty(len(counts), np.int64), np.empty(len(counts), np.int64)
         held, first = 0, 0
@@ -264,7 +270,7 @@ def nearest_neighbours(vectors: DataFrame, every: int = 50, top: int = TOP, shar
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.nulls(len(out), pa.list_(pa.int64())), lists(vecs), pa.nulls(len(out), pa.int32()), pa.array(cols[3], pa.binary())], names)
 
     queries = stage(rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id", "key").agg(F.first("n").alias("n"), F.first("v").alias("v"), F.count("*").alias("times")), "queries")
-    both = arrow_map(index, file, shape).unionByName(arrow_map(queries.select("vec_id", "key", "n", "v"), ask, shape))
+    both = arrow_map(index, file, shape).unionByName(arrow_map(queries.select("vec_id", "key", "n", "v").repartition(parts), ask, shape))
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted by shelf, index rows first, by cell: the shelf, then the queries against their cells of it."""

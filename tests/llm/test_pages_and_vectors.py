@@ -135,7 +135,7 @@ def test_neighbours(spark):
 def test_traversal_is_in_order():
     rng = np.random.default_rng(1)
     a, b = rng.random(6), rng.random(7)
-    cells = ann.traverse(a, b, np.ones(42, int), 42)
+    cells = ann.traverse(a, b, [1] * 42, 42)
     sums = [a[c // 7] + b[c % 7] for c in cells]
     assert sums == sorted(sums) and len(set(cells)) == 42
 
