@@ -106,13 +106,13 @@ def _runs(flags: np.ndarray, *breaks: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return idx[first], np.diff(np.r_[first, len(idx)])
 
 
-def _tag_bytes(whole: np.ndarray) -> np.ndarray:
-    return whole.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TAG]
+def _tag_bytes(whole: np.ndarray, tag: int) -> np.ndarray:
+    return whole.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :tag]
 
 
 def _blobs(tags: np.ndarray, sizes: np.ndarray) -> pa.Array:
     """The rows of tags (bytes) as binary values of so many tags each."""
-    ends = np.r_[0, np.cumsum(sizes)].astype(np.int32) * TAG
+    ends = np.r_[0, np.cumsum(sizes)].astype(np.int32) * tags.shape[1]
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(tags).tobytes())])
 
 
@@ -123,7 +123,8 @@ _NAMES = ["mini", "doc_id", "start", "n", "tags"]
 class _Task:
     """The windows of one task's documents, less those that it can itself tell are repeated."""
 
-    def __init__(self) -> None:
+    def __init__(self, tag: int) -> None:
+        self.tag = tag
         self.forget()
 
     def forget(self) -> None:
@@ -183,39 +184,42 @@ class _Task:
                 pa.array(np.concatenate([doc[p], doc[q]])),
                 pa.array(np.concatenate([start[p], start[q]]).astype(np.int32)),
                 pa.array(np.concatenate([np.zeros(len(n)), m]).astype(np.int32)),
-                pa.concat_arrays([_blobs(_tag_bytes(whole)[~repeated], n), pa.nulls(len(q), pa.binary())]),
+                pa.concat_arrays([_blobs(_tag_bytes(whole, self.tag)[~repeated], n), pa.nulls(len(q), pa.binary())]),
             ],
             _NAMES,
         )
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    task = _Task()
-    for whole in batches:
-        for at in range(0, whole.num_rows, TEXTS):
-            b = whole.slice(at, TEXTS)
-            if (out := task.batch(b.column(0).fill_null(AFTER).to_numpy(), strings(b.column(1)))) is not None:
-                yield out
+def _scan(tag: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = _Task(tag)
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS):
+                b = whole.slice(at, TEXTS)
+                if (out := task.batch(b.column(0).fill_null(AFTER).to_numpy(), strings(b.column(1)))) is not None:
+                    yield out
+
+    return run
 
 
 class _Flat:
     """The windows of rows, one each: of a bucket's batch, or of its runs."""
 
-    def __init__(self, table: pa.Table, shared: np.ndarray | None = None) -> None:
+    def __init__(self, table: pa.Table, shared: np.ndarray, size: int) -> None:
+        """shared: minimisers that count.  size: bytes of a tag."""
         mini = table.column("mini").to_numpy()
-        if shared is not None:
-            keep = np.isin(mini, shared)
-            table, mini = table.filter(pa.array(keep)), mini[keep]
+        keep = np.isin(mini, shared)
+        table, mini = table.filter(pa.array(keep)), mini[keep]
         blobs = table.column("tags").combine_chunks()
         blobs = blobs if isinstance(blobs, pa.Array) else pa.concat_arrays(blobs.chunks)
         ends = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1] if len(blobs) else np.zeros(1, np.int32)
         data = np.frombuffer(blobs.buffers()[2], np.uint8)[ends[0] : ends[-1]] if len(blobs) and blobs.buffers()[2] is not None else np.empty(0, np.uint8)
-        size = np.diff(ends) // TAG
-        self.bytes = data.reshape(-1, TAG)
+        many = np.diff(ends) // size
+        self.bytes = data.reshape(-1, size)
         wide = np.zeros((len(self.bytes), 8), np.uint8)
-        wide[:, :TAG] = self.bytes
-        self.tag, self.row = wide.view("<u8").ravel(), np.repeat(np.arange(len(size)), size)
-        within = np.arange(len(self.row)) - np.repeat(np.cumsum(size) - size, size)
+        wide[:, :size] = self.bytes
+        self.tag, self.row = wide.view("<u8").ravel(), np.repeat(np.arange(len(many)), many)
+        within = np.arange(len(self.row)) - np.repeat(np.cumsum(many) - many, many)
         self.mini, self.doc = mini[self.row], table.column("doc_id").to_numpy()[self.row]
         self.start = table.column("start").to_numpy()[self.row].astype(np.int64) + within
 
@@ -263,7 +267,7 @@ def _shared(mini: np.ndarray) -> np.ndarray:
     return u[n > 1]
 
 
-def _own(append: bool):
+def _own(append: bool, tag: int):
     """Over the rows of a bucket: repeats within the batch, and if append the rows of its run."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -271,7 +275,7 @@ def _own(append: bool):
         rows = table.filter(pa.compute.is_valid(table.column("tags")))
         out = [_spans(*(told.column(c).to_numpy() for c in ("doc_id", "start", "n")))]
         many = _shared(rows.column("mini").to_numpy())
-        new = _Flat(rows, many)
+        new = _Flat(rows, many, tag)
         i, doc0, start0, again = _found(new, None)
         out.append(_as_spans(new, i, doc0, start0))
         if append:
@@ -284,23 +288,27 @@ def _own(append: bool):
     return run
 
 
-def _with_level(batch: pa.Table, runs: pa.Table) -> pa.Table:
+def _with_level(tag: int):
     """Over a bucket of the batch and of a level: windows of the batch that are in a run."""
-    batch = batch.filter(pa.compute.is_valid(batch.column("tags")))
-    both = np.intersect1d(batch.column("mini").to_numpy(), runs.column("mini").to_numpy())
-    if not len(both):
-        return _spans()
-    new = _Flat(batch, both)
-    i, doc0, start0, _ = _found(new, _Flat(runs, both))
-    return _as_spans(new, i, doc0, start0)
+
+    def run(batch: pa.Table, runs: pa.Table) -> pa.Table:
+        batch = batch.filter(pa.compute.is_valid(batch.column("tags")))
+        both = np.intersect1d(batch.column("mini").to_numpy(), runs.column("mini").to_numpy())
+        if not len(both):
+            return _spans()
+        new = _Flat(batch, both, tag)
+        i, doc0, start0, _ = _found(new, _Flat(runs, both, tag))
+        return _as_spans(new, i, doc0, start0)
+
+    return run
 
 
 class FingerprintIndex:
     """Sorted immutable runs of the windows of earlier batches, bucketed, in a folder that all executors share."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None) -> None:
-        """buckets: of a new index; an existing one keeps its own (about BUCKET bytes of text for each suit)."""
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, tag: int = TAG) -> None:
+        """buckets: of a new index; an existing one keeps its own (about BUCKET bytes of text for each suit).  tag: bytes of a hash, the same each time."""
+        self.spark, self.path, self.tag = spark, path.rstrip("/"), tag
         have = [int(n[8:]) for n in self._list() if n.startswith("buckets-")]
         self.buckets = have[0] if have else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -347,10 +355,10 @@ class FingerprintIndex:
         which candidates are verified.  A null doc_id comes back as the greatest
         long.  With append, the windows that are new to the batch become a run.
         """
-        rows = arrow_map(only(docs, doc_id="long", text="string"), _scan, _ROWS).withColumn("bucket", self._bucket())
-        own = rows.groupBy("bucket").applyInArrow(_own(append), _SPANS)
+        rows = arrow_map(only(docs, doc_id="long", text="string"), _scan(self.tag), _ROWS).withColumn("bucket", self._bucket())
+        own = rows.groupBy("bucket").applyInArrow(_own(append, self.tag), _SPANS)
         for level in self.levels():
-            own = own.unionByName(rows.groupBy("bucket").cogroup(self.table(level).groupBy("bucket")).applyInArrow(_with_level, _SPANS))
+            own = own.unionByName(rows.groupBy("bucket").cogroup(self.table(level).groupBy("bucket")).applyInArrow(_with_level(self.tag), _SPANS))
         out = new_path(self.spark, "substring-merge")
         own.withColumn("part", F.when(F.col("kind") == 2, "run").otherwise("spans")).write.partitionBy("part").parquet(out)
         fs, path = self._fs()
@@ -391,6 +399,8 @@ class FingerprintIndex:
     def _settled(self, bad: DataFrame, texts: DataFrame, batch: DataFrame) -> DataFrame:
         """Of windows whose hash stands for several sequences of words: those with the words of an earlier one."""
 
+        size = self.tag
+
         def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = _Words()
             for b in batches:
@@ -401,7 +411,7 @@ class FingerprintIndex:
                     numbers = known.numbers(words)
                     m, _, w = windows(known.hashes[numbers])
                     of = [xxhash.xxh3_128_digest(b" ".join(words[i : i + WINDOW])) for i in range(len(w))]
-                    tags = _tag_bytes(w)
+                    tags = _tag_bytes(w, size)
                     yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array([x.tobytes() for x in tags], pa.binary()), pa.array(of, pa.binary()), pa.array([doc] * len(w), pa.int64()), pa.array(np.arange(len(w), dtype=np.int32))], ["mini", "tag", "words", "doc_id", "start"])
 
         every = arrow_map(texts, exploded, "mini long, tag binary, words binary, doc_id long, start int")
@@ -483,7 +493,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame, extra: dict[str, str] | None
     return arrow_map(packed_texts(docs, extra).join(by_doc, "key", "left").select("doc_id", "packed", "starts", "sizes", *extra), cut, "doc_id long, n_words long, n_removed long, text string" + tail)
 
 
-def dedup_corpus(docs: DataFrame, batches: int = 4, extra: dict[str, str] | None = None) -> DataFrame:
+def dedup_corpus(docs: DataFrame, batches: int = 4, extra: dict[str, str] | None = None, tag: int = TAG) -> DataFrame:
     """doc_id, n_words, n_removed, text (and extra): docs without the words of windows that occur earlier.
 
     Earlier: in a document with a smaller doc_id, or earlier in the same one.
@@ -497,7 +507,7 @@ def dedup_corpus(docs: DataFrame, batches: int = 4, extra: dict[str, str] | None
     size, ends = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(F.col("text").cast("string")).alias("n")).agg(
         F.sum("n"), F.percentile_approx("doc_id", [k / batches for k in range(1, batches)] or [1.0], 1000)).head()
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (size or 0) // BUCKET)
-    index = FingerprintIndex(spark, new_path(spark, "window-index"), buckets)
+    index = FingerprintIndex(spark, new_path(spark, "window-index"), buckets, tag)
     cuts = sorted(set(ends or [])) if batches > 1 else []
     key, spans = F.col("doc_id").cast("long"), None
     for k in range(len(cuts) + 1):

@@ -217,15 +217,15 @@ def test_substring(spark, tmp_path):
 
 
 def test_substring_with_colliding_hashes(spark, monkeypatch):
-    """Tags of one byte stand for many windows: verification and digests still tell them apart."""
+    """Hashes of one byte stand for many windows: verification and digests still tell them apart."""
     rng = random.Random(18)
-    passage = prose(rng, 30)
-    texts = [" ".join([prose(rng, rng.randint(0, 30)), passage * (i % 7 == 0), "same " * 30 * (i % 5 == 0), prose(rng, 10)]) for i in range(60)]
-    want = plain_windows(list(enumerate(texts)))
-    monkeypatch.setattr(substring, "TAG", 1)
-    monkeypatch.setattr(substring, "windows", lambda h, f=substring.windows: (lambda m, at, w: (m % np.uint64(3), at, w % np.uint64(2)))(*f(h)))
-    got = {r.doc_id: (r.n_words, r.n_removed, (r.text or "").split()) for r in substring.dedup_corpus(docs(spark, texts).repartition(3), 3).collect()}
-    assert got == want
+    phrases = [prose(rng, 8) for _ in range(3)]
+    texts = [" ".join([rng.choice(phrases) + " " + prose(rng, rng.randint(1, 12)) + " " + rng.choice(phrases) for _ in range(3)]) for _ in range(90)]
+    texts += [texts[i] + " " + prose(rng, 5) for i in range(0, 90, 9)]
+    settled = []
+    monkeypatch.setattr(substring.FingerprintIndex, "_settled", lambda self, bad, *a, f=substring.FingerprintIndex._settled: settled.append(bad.count()) or f(self, bad, *a))
+    got = {r.doc_id: (r.n_words, r.n_removed, (r.text or "").split()) for r in substring.dedup_corpus(docs(spark, texts).repartition(3), 3, tag=1).collect()}
+    assert got == plain_windows(list(enumerate(texts))) and sum(settled) > 50
 
 
 def test_substring_of_odd_rows(spark):
