@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 from datetime import UTC, datetime
 
 import numpy as np
@@ -94,6 +95,48 @@ def test_blocks_of_pages(spark):
     assert all(r.text == f"own {r.page_id}" and r.n_shared == 1 for r in got) and len(got) == 300
 
 
+def test_pairing_against_all_pairs(spark):
+    """Pairs, alignment and text by trying every page of the host; copies are passed over; markup without hints."""
+    rng = random.Random(20)
+    rows = []
+    for host in range(6):
+        site = [f"site {host} line {k}" for k in range(4)]
+        for n in range(rng.randint(1, 8)):
+            lines = [f"own {host} {n} {k}" for k in range(rng.randint(0, 4))] + rng.sample(site, rng.randint(0, 4))
+            rng.shuffle(lines)
+            body = "".join(f"<div>{x}</div>" for x in lines)
+            rows += [(len(rows) + k, f"http://h{host}/{rng.choice('ab')}/{rng.choice('ab')}{n}", body) for k in range(1 + (n == 2))]
+    got = {r.page_id: r for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    cut = 0
+    for host in range(6):
+        groups = {}  # pages with the same lines are one
+        for i, url, html in rows:
+            if url.startswith(f"http://h{host}/"):
+                lines = tuple(x for x, _, _ in pages.lines_of(html))
+                groups.setdefault(lines, []).append((url.split("/", 3)[3], i))
+        order = sorted(groups, key=lambda x: min(groups[x]))
+        for place, mine in enumerate(order):
+            path = min(groups[mine])[0]
+            near = [((pages._closeness(min(groups[o])[0], path), -abs(k - place), -k), o) for k, o in enumerate(order) if k != place and len(set(o) & set(mine)) <= pages.COPY * max(len(set(o)), len(set(mine)))]
+            text = list(mine)
+            if near and mine:
+                gone = pages.shared_lines([hash(x) for x in mine], [hash(x) for x in max(near)[1]])
+                text = [x for i, x in enumerate(mine) if i not in gone] or text
+            for _, i in groups[mine]:
+                assert got[i].text == "\n".join(text)
+                cut += got[i].n_cut
+    assert cut > 20
+
+
+def test_hostile_markup_takes_linear_time():
+    for part in ("<a \"", "<a ='>' =\"", "</script", "<!--", "<", "<div>", "</p>"):
+        for lead in ("", "<script>", "<div>" * 1000):
+            t = time.process_time()
+            pages.lines_of(lead + part * (200_000 // len(part)))
+            assert time.process_time() - t < 3
+    assert [x for x, _, _ in pages.lines_of("<p title='a>b'>x<p>y <b c=\"> z</b>")] == ["x", "y z"]
+
+
 def exact(ids, vecs, q, top=5):
     m = np.array(vecs)
     s = (m * m[q]).sum(1) / np.sqrt((m * m).sum(1)) / np.sqrt((m[q] * m[q]).sum())
