@@ -8,72 +8,108 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from .sources.output import hit_lines, hits_array
+from .sources.output import hit_json, hit_lines, json_array
 from .workspace import Workspace
 
 
-def parser() -> argparse.ArgumentParser:
-    p = argparse.ArgumentParser("gleaner")
-    p.add_argument("--db")
-    sub = p.add_subparsers(dest="command", required=True)
-    sub.add_parser("init").add_argument("root", nargs="?", default=".")
-    c = sub.add_parser("index")
-    c.add_argument("roots", nargs="+")
-    c.add_argument("--include-code", action="store_true")
-    c.add_argument("--prune", action="store_true")
-    c = sub.add_parser("search")
-    c.add_argument("query", nargs="+")
-    c.add_argument("--mode", default="hybrid", choices=["text", "vector", "hybrid"])
-    c.add_argument("-k", type=int, default=10)
-    c.add_argument("--tag", action="append", default=[])
-    c.add_argument("--json", action="store_true")
-    c.add_argument("--expand-top", type=int, default=0)
-    c.add_argument("--expand-budget", type=int, default=0)
-    c = sub.add_parser("get")
-    c.add_argument("key")
-    c.add_argument("--lines")
-    c.add_argument("--para", type=int)
-    c.add_argument("--context", type=int, default=0)
-    c = sub.add_parser("add")
-    c.add_argument("key")
-    c.add_argument("--tag", action="append", default=[])
-    c = sub.add_parser("eval")
-    c.add_argument("cases")
-    c.add_argument("--mode", default="hybrid", choices=["text", "vector", "hybrid"])
-    c.add_argument("-k", type=int, default=10)
-    return p
+MODES = ("hybrid", "vector", "text")
+#: The flags of each command (all take --db), and how many arguments it takes.
+COMMANDS = {
+    "init": ((), (0, 1)),
+    "index": (("include-code!", "prune!"), (1, None)),
+    "search": (("mode", "k#", "tag*", "json!", "expand-top#", "expand-budget#"), (1, 1)),
+    "get": (("lines", "para#", "context#"), (1, 1)),
+    "add": (("tag*",), (1, 1)),
+    "eval": (("mode", "k#"), (1, 1)),
+}
+USAGE = "usage: gleaner " + "|".join(COMMANDS) + " [flags] [arguments]\n" + "".join(f"  {c}: --db " + " ".join("--" + f.rstrip("!#*") for f in flags) + "\n" for c, (flags, _) in COMMANDS.items())
+
+
+class Arguments(argparse.ArgumentParser):
+    """Flags and arguments of one command, in any order; -- ends the flags; what is wrong is an exception, not an exit."""
+
+    def __init__(self, command: str) -> None:
+        super().__init__(f"gleaner {command}", add_help=False, allow_abbrev=False)
+        flags, (least, most) = COMMANDS[command]
+        self.add_argument("-h", "-help", "--help", dest="help", action="store_true")
+        self.add_argument("-db", "--db")
+        for f in flags:
+            name = f.rstrip("!#*")
+            dest = {"dest": name.replace("-", "_")}
+            both = (f"-{name}", f"--{name}")
+            if f.endswith("!"):
+                self.add_argument(*both, action="store_true", **dest)
+            elif f.endswith("#"):
+                self.add_argument(*both, type=int, default={"k": 10, "para": None}.get(name, 0), **dest)
+            elif f.endswith("*"):
+                self.add_argument(*both, action="append", default=[], **dest)
+            else:
+                self.add_argument(*both, default="hybrid" if name == "mode" else None, **dest)
+        self.add_argument("args", nargs="*")
+        self.command, self.least, self.most = command, least, most
+
+    def error(self, message: str) -> None:
+        raise ValueError(message)
+
+    def of(self, argv: list[str]) -> argparse.Namespace:
+        cut = argv.index("--") if "--" in argv else len(argv)
+        a = self.parse_intermixed_args(argv[:cut])
+        a.args += argv[cut + 1 :]
+        if not a.help and not self.least <= len(a.args) <= (self.most or len(a.args)):
+            raise ValueError(f"{self.command}: wrong number of arguments")
+        return a
 
 
 def run(argv: list[str], spark: SparkSession | None = None, stdin=None) -> int:
-    a = parser().parse_args(argv)
-    if a.command == "init":
-        print(Workspace.init(a.root))
+    if argv and argv[0] in ("-h", "-help", "--help"):
+        print(USAGE, end="", file=sys.stderr)
         return 0
-    if a.command == "search" and (a.expand_top or a.expand_budget) and not a.json:
-        raise ValueError("expansion needs --json")
-    if a.command == "add" and os.path.exists(a.key):
-        raise FileExistsError(a.key)
+    if not argv or argv[0] not in COMMANDS:
+        print(USAGE, end="", file=sys.stderr)
+        return 1
+    command, a = argv[0], Arguments(argv[0]).of(argv[1:])
+    if a.help:
+        print(USAGE, end="", file=sys.stderr)
+        return 0
+    if command == "init":
+        print(Workspace.init(*a.args or ["."]))
+        return 0
+    if command in ("search", "eval") and a.mode not in MODES:
+        raise ValueError(f"unknown mode {a.mode!r}")
+    if command == "search":
+        if a.expand_top < 0 or a.expand_budget < 0:
+            raise ValueError("expand-top and expand-budget must not be negative")
+        if (a.expand_top == 0) != (a.expand_budget == 0):
+            raise ValueError("expansion needs both expand-top and expand-budget")
+        if a.expand_top and not a.json:
+            raise ValueError("expansion needs --json")
+    if command == "add" and os.path.exists(a.args[0]):
+        raise FileExistsError(a.args[0])
     spark = spark or SparkSession.builder.master("local[*]").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.shuffle.partitions", "8").getOrCreate()
     ws = Workspace(spark, a.db)
-    if a.command == "index":
-        print(", ".join(f"{n} {what}" for what, n in ws.index(a.roots, a.include_code, a.prune).items()))
-    elif a.command == "search":
-        hits = ws.search(" ".join(a.query), a.mode, a.k, a.tag, a.expand_top, a.expand_budget)
-        out = [r[0] for r in hits.orderBy("rank").select(hit_lines(hits)).collect()] if not a.json else []
-        print(hits_array(hits) if a.json else "\n".join(out))
-        return 0 if a.json or out else 2
-    elif a.command == "get":
+    if command == "index":
+        print(", ".join(f"{n} {what}" for what, n in ws.index(a.args, a.include_code, a.prune).items()))
+    elif command == "search":
+        hits = ws.search(a.args[0], a.mode, a.k, a.tag, a.expand_top, a.expand_budget)
+        rows = hits.orderBy("rank").select("stale", hit_json(hits).alias("json"), hit_lines(hits).alias("text")).collect()  # k rows
+        if not rows:
+            print("no hits", file=sys.stderr)
+            return 2
+        if n := sum(r.stale for r in rows):
+            print(f"warning: {n} of the hits are of files that have changed since they were indexed; index them again", file=sys.stderr)
+        print(json_array([r.json for r in rows]) if a.json else "\n".join(r.text for r in rows))
+    elif command == "get":
         span = tuple(map(int, a.lines.split("-"))) if a.lines else None
-        got = ws.get(a.key, span, a.para, a.context)
+        got = ws.get(a.args[0], span, a.para, a.context)
         if got is None:
             print("not found", file=sys.stderr)
             return 2
         print(got)
-    elif a.command == "add":
+    elif command == "add":
         text = (stdin or sys.stdin).read()
-        ws.add(os.path.relpath(os.path.abspath(a.key), ws.root), text, a.tag)
-    elif a.command == "eval":
-        recall, hits, cases, missed = ws.eval(a.cases, a.mode, a.k)
+        ws.add(os.path.relpath(os.path.abspath(a.args[0]), ws.root), text, a.tag)
+    elif command == "eval":
+        recall, hits, cases, missed = ws.eval(a.args[0], a.mode, a.k)
         for query, doc, para in missed:
             print(f"miss: {query} -> {doc}" + (f"#{para}" if para is not None else ""))
         print(f"recall@{a.k}: {recall:.3f} ({hits}/{cases})")

@@ -1,20 +1,27 @@
 """Text ranking (BM25 over trigrams), vector ranking (L2) and their weighted fusion, for many queries at once.
 
 A query table has query_id, and query (text) or qvec (array).  Query sets are
-stated and small beside the corpus: their size is checked, and larger sets take
-another way (text: a join on trigrams; vectors: blocks of queries).
+stated and small beside the corpus.  All their words are looked for in one pass
+over the texts, by one automaton; vectors are ranked by matrix products, and of
+each batch only what can be among the first k goes on.  Sets beyond a block's
+size take a pass for each block.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import ahocorasick
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.embedding import l2_distance
-from ..functions.text import fold, occurrences, score_from_distance, score_from_rank, trigrams, words
+from ..functions.text import fold, score_from_distance, score_from_rank, trigrams, words
 
 K1, B = 1.2, 0.75
 #: Inverse document frequencies are at least this.
@@ -25,9 +32,8 @@ RRF_K, TEXT_WEIGHT, VECTOR_WEIGHT = 60, 0.5, 1.0
 FETCH = 50
 #: Scores are rounded before they are ranked, so that sums in another order rank alike.
 DIGITS = 9
-#: Distinct words of a query set that are looked for in one pass over the texts.
-MAX_WORDS = 512
-#: Query vectors that are broadcast at once.
+#: Distinct words, and vectors, of a query set that one pass looks for.
+MAX_WORDS = 100_000
 MAX_VECTORS = 4096
 
 
@@ -52,29 +58,61 @@ def query_words(queries: DataFrame) -> DataFrame:
     return w.filter(F.length("word") >= MIN_WORD).groupBy("query_id", "word").agg(F.count("*").alias("times"))
 
 
+def blocks(rows: DataFrame, key: str, size: int) -> Iterator[list[Row]]:
+    """The rows on the driver, about `size` of them at a time, by a hash of their key."""
+    n = max(1, -(-rows.count() // size))
+    for b in range(n):
+        yield (rows if n == 1 else rows.filter(F.pmod(F.xxhash64(key), F.lit(n)) == b)).orderBy(key).collect()
+
+
+_FOUND = "para_id {}, n_tri long, word string, tf int"
+
+
 def term_frequencies(paras: DataFrame, qwords: DataFrame, text: str = "text") -> DataFrame:
-    """para_id, n_tri, word, tf of every match of a word in a paragraph."""
-    distinct = qwords.select("word").distinct()
-    known = [r[0] for r in distinct.limit(MAX_WORDS + 1).collect()]
-    base = paras.select("para_id", fold(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
-    if len(known) <= MAX_WORDS:
-        if not known:
-            return base.filter("false").select("para_id", trigrams(F.col("_t")).alias("n_tri"), F.lit("").alias("word"), F.lit(0).alias("tf"))
-        any_word = reduce(lambda a, b: a | b, [F.contains("_t", F.lit(w)) for w in sorted(known)]) if len(known) <= 32 else F.lit(True)
-        found = F.filter(F.transform(F.array(*[F.lit(w) for w in sorted(known)]), lambda w: F.struct(w.alias("word"), occurrences(F.col("_t"), w).alias("tf"))), lambda x: x["tf"] > 0)
-        return base.filter(any_word).select("para_id", trigrams(F.col("_t")).alias("n_tri"), F.explode(found).alias("_x")).select("para_id", "n_tri", "_x.word", "_x.tf")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_t") - 2, F.lit(1))), lambda i: F.substring(F.col("_t"), i, F.lit(3))))
-    postings = base.select("para_id", "_t", F.explode(grams).alias("_g"))
-    pairs = postings.join(distinct.withColumn("_g", F.substring("word", 1, 3)), "_g")
-    return pairs.select("para_id", trigrams(F.col("_t")).alias("n_tri"), "word", occurrences(F.col("_t"), F.col("word")).alias("tf")).filter("tf > 0")
+    """para_id, n_tri, word, tf of every match of a word in a paragraph, overlapping ones too.
+
+    Of each batch of paragraphs there is also a row with a null word (and
+    para_id), with their number as tf and the sum of their n_tri.
+    """
+    base = paras.select("para_id", fold(F.coalesce(F.col(text), F.lit(""))).alias("_t"), trigrams(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("_n"))
+    kind = base.schema["para_id"].dataType.simpleString()
+
+    def of(known: list[str], counts: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            auto = ahocorasick.Automaton()
+            for w in known:
+                auto.add_word(w, w)
+            auto.make_automaton()
+            for b in batches:
+                at, word, tf = [], [], []
+                for i, t in enumerate(b.column(1).to_pylist()):
+                    found = Counter(w for _, w in auto.iter(t)) if known else {}
+                    at += [i] * len(found)
+                    word += found.keys()
+                    tf += found.values()
+                n = b.column(2)
+                if counts:
+                    at, word, tf = [*at, None], [*word, None], [*tf, b.num_rows]
+                at = pa.array(at, pa.int64())
+                sums = n.take(at) if not counts else pa.concat_arrays([n.take(at.slice(0, len(at) - 1)), pa.array([pc.sum(n).as_py() or 0], pa.int64())])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), sums, pa.array(word, pa.string()), pa.array(tf, pa.int32())], ["para_id", "n_tri", "word", "tf"])
+
+        return run
+
+    out = [base.mapInArrow(of([r.word for r in block], i == 0), _FOUND.format(kind)) for i, block in enumerate(blocks(qwords.select("word").distinct(), "word", MAX_WORDS))]
+    return reduce(DataFrame.unionByName, out)
 
 
 def bm25(paras: DataFrame, queries: DataFrame, text: str = "text") -> DataFrame:
-    """query_id, para_id, score of every paragraph that matches; statistics are over all of paras."""
+    """query_id, para_id, score of every paragraph that matches; statistics are over all of paras.
+
+    Frequencies, document frequencies and lengths come from one pass over the
+    texts: its rows are dealt by paragraph once, and read from there by both.
+    """
     qw = query_words(queries)
-    tf = term_frequencies(paras, qw, text)
-    stats = paras.agg(F.count("*").alias("_N"), F.avg(trigrams(F.coalesce(F.col(text), F.lit("")))).alias("_avg"))
-    df = tf.groupBy("word").agg(F.count("*").alias("_df"))
+    tf = term_frequencies(paras, qw, text).repartition("para_id")
+    stats = tf.filter("word IS NULL").agg(F.sum("tf").alias("_N"), (F.sum("n_tri") / F.sum("tf")).alias("_avg"))
+    df = tf.filter("word IS NOT NULL").groupBy("word").agg(F.count("*").alias("_df"))
     idf = F.greatest(F.log((F.col("_N") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)), F.lit(MIN_IDF))
     weights = qw.join(df, "word").join(F.broadcast(stats)).select("query_id", "word", "times", idf.alias("_idf"), "_avg")
     part = F.col("times") * F.col("_idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_tri") / F.col("_avg")))
@@ -104,15 +142,43 @@ def vector_candidates(vectors: DataFrame, queries: DataFrame, k: int, paras: Dat
     """query_id, para_id, distance, rank by L2 distance among the rows that have the tags."""
     if tags:
         vectors = _allowed(vectors, paras, doc_tags, tags)
-    blocks = -(-queries.count() // MAX_VECTORS)
+    check_k(k)
+    rows = vectors.select("para_id", "embedding").filter("embedding IS NOT NULL")
+    types = {c: queries.schema[c].dataType.simpleString() for c in ("query_id",)} | {"para_id": rows.schema["para_id"].dataType.simpleString()}
     out = []
-    for b in range(max(1, blocks)):  # one block unless the query set is very large
-        part = queries if blocks <= 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        d = vectors.select("para_id", "embedding").crossJoin(F.broadcast(part.select("query_id", "qvec")))
-        out.append(ranked(d.select("query_id", "para_id", F.round(l2_distance(F.col("embedding"), F.col("qvec")), DIGITS).alias("distance")), [F.col("distance")], k))
+    for block in blocks(queries.select("query_id", "qvec").filter("qvec IS NOT NULL"), "query_id", MAX_VECTORS):
+        near = rows.mapInArrow(_nearest([r.query_id for r in block], [list(r.qvec) for r in block], k), f"query_id {types['query_id']}, para_id {types['para_id']}, distance double")
+        out.append(ranked(near.withColumn("distance", F.round("distance", DIGITS)), [F.col("distance")], k))
     return reduce(DataFrame.unionByName, out)
 
 
+def _nearest(ids: list, vecs: list[list[float]], k: int):
+    """Over (para_id, embedding): for each query the first k of a batch, and what ties with them."""
+    by_size: dict[int, list[int]] = {}
+    for i, v in enumerate(vecs):
+        by_size.setdefault(len(v), []).append(i)
+    sets = {n: (np.array(at), np.array([vecs[i] for i in at], np.float64)) for n, at in by_size.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who = pa.array(ids)
+        for b in batches:
+            sizes = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
+            for n, (at, q) in sets.items():
+                rows = np.flatnonzero(sizes == n)
+                if not len(rows) or not k:
+                    continue
+                m = b.column(1).take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), n)
+                for first in range(0, len(q), 256):
+                    some = q[first : first + 256]
+                    d = np.maximum((m * m).sum(1)[:, None] + (some * some).sum(1) - 2 * (m @ some.T), 0)
+                    last = np.partition(d, k - 1, axis=0)[k - 1] if len(rows) > k else np.full(len(some), np.inf)
+                    i, j = np.nonzero(d <= last + 1e-7 * (1 + np.where(np.isinf(last), 0, last)))
+                    exact = np.sqrt(((m[i] - some[j]) ** 2).sum(1))
+                    yield pa.RecordBatch.from_arrays([who.take(pa.array(at[first + j])), b.column(0).take(pa.array(rows[i])), pa.array(exact)], ["query_id", "para_id", "distance"])
+
+    return run
+
+
 def fuse(text: DataFrame, vector: DataFrame, k: int) -> DataFrame:
     """query_id, para_id, score, rank: reciprocal ranks of both lists, weighted and summed."""
     one = lambda df, weight: df.select("query_id", "para_id", (F.lit(weight) / (F.lit(float(RRF_K)) + F.col("rank"))).alias("part"))

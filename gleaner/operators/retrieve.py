@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,6 +29,12 @@ def mark_stale(hits: DataFrame, documents: DataFrame, listing: DataFrame) -> Dat
     return joined.withColumn("stale", F.col("_f").isNull() | ~F.col("_f").eqNullSafe(F.col("_m"))).drop("_m", "_f")
 
 
+def stale_by(hits: DataFrame, documents: DataFrame, modified: Column) -> DataFrame:
+    """hits with stale, from a column with the mtime of a hit's file (null: missing) and the mtimes of the index."""
+    indexed = documents.select(F.col("path").alias("doc"), F.col("mtime").alias("_m"))
+    return hits.join(indexed, "doc", "left").withColumn("stale", ~modified.eqNullSafe(F.col("_m")) | F.col("_m").isNull()).drop("_m")
+
+
 def expand_bodies(hits: DataFrame, paras: DataFrame, top: int, budget: int) -> DataFrame:
     """hits with body and body_truncated: paragraph texts of the first `top`, until `budget` code points are used.
 

@@ -1,8 +1,8 @@
 """Paragraphs with line numbers and heading breadcrumbs.
 
-All of it happens within a row, without a shuffle: places where paragraphs start
-and end are picked from the array of lines.  Only documents with very many
-headings, for which folding arrays would take quadratic time, go to Python.
+Each document is read once, line by line, in Arrow batches and without a
+shuffle: folding arrays of lines in expressions takes several times as long, and
+quadratic time where there are many headings.
 """
 
 from __future__ import annotations
@@ -11,15 +11,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.markup import hidden_lines
-from ..functions.text import let, lines, trim
+from ..functions.markup import hide_frontmatter
 
-#: Headings of a document that are folded as an array.
-MAX_FOLDED = 500
-_PARAS = "array<struct<start_line:int,end_line:int,text:string,heading:string>>"
 _HEADING = regex.compile(r"(#{1,6}) (.*)", regex.S)
 #: Unicode's White_Space.
 _SPACE = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
@@ -37,45 +34,11 @@ def paragraphs_of(content: str) -> list[tuple[int, int, str, str]]:
                 block = []
             continue
         block.append(line)
-        if (m := _HEADING.match(line)) and (title := m[2].strip(_SPACE)):
+        if line[0] == "#" and (m := _HEADING.match(line)) and (title := m[2].strip(_SPACE)):
             crumbs = [*crumbs[: len(m[1]) - 1], title]
     return out
 
 
-def _headings(x: Column) -> Column:
-    """(line, level, title) of the headings among the lines x."""
-    level = lambda line: F.length(F.regexp_extract(line, "^(#{1,6}) ", 1))
-    each = F.transform(x, lambda line, i: F.struct((i + 1).alias("i"), line.alias("line")))
-    marked = F.filter(each, lambda h: F.startswith(h["line"], F.lit("#")) & (level(h["line"]) > 0))
-    heads = F.transform(marked, lambda h: F.struct(h["i"].alias("i"), level(h["line"]).alias("level"), trim(F.regexp_replace(h["line"], "^#{1,6} ", "")).alias("title")))
-    return F.filter(heads, lambda h: h["title"] != "")
-
-
-def _crumbs(heads: Column) -> Column:
-    """(line, breadcrumb) after each heading."""
-    start = F.struct(F.array().cast("array<string>").alias("stack"), F.array().cast("array<struct<i:int,crumb:string>>").alias("out"))
-
-    def step(acc: Column, h: Column) -> Column:
-        stack = F.concat(F.slice(acc["stack"], F.lit(1), F.least(h["level"] - 1, F.size(acc["stack"]))), F.array(h["title"]))
-        return F.struct(stack.alias("stack"), F.concat(acc["out"], F.array(F.struct(h["i"].alias("i"), F.array_join(stack, " > ").alias("crumb")))).alias("out"))
-
-    return F.aggregate(heads, start, step, lambda acc: acc["out"])
-
-
-def _paragraphs(x: Column, crumbs: Column) -> Column:
-    """Paragraphs of the lines x: stretches of lines that aren't blank."""
-
-    def of(full: Column) -> Column:
-        seq = F.when(F.size(x) > 0, F.sequence(F.lit(1), F.size(x)))
-        before = lambda i: F.when(i > 1, F.get(full, F.greatest(i - 2, F.lit(0)))).otherwise(F.lit(False))
-        starts = F.filter(seq, lambda i: F.get(full, i - 1) & ~before(i))
-        ends = F.filter(seq, lambda i: F.get(full, i - 1) & ~F.coalesce(F.get(full, i), F.lit(False)))
-        heading = lambda e: F.coalesce(F.try_element_at(F.filter(crumbs, lambda c: c["i"] <= e), F.lit(-1))["crumb"], F.lit(""))
-        return F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("start_line"), e.alias("end_line"), F.array_join(F.slice(x, s, e - s + 1), "\n").alias("text"), heading(e).alias("heading")))
-
-    return let(F.transform(x, lambda line: trim(line) != ""), of).cast(_PARAS)
-
-
 def split_paragraphs(docs: DataFrame, content: str = "content", frontmatter: bool = True) -> DataFrame:
     """The columns of docs but `content`, and seq, start_line, end_line, text, heading: a row for each paragraph.
 
@@ -84,17 +47,17 @@ def split_paragraphs(docs: DataFrame, content: str = "content", frontmatter: boo
     """
     keys = [c for c in docs.columns if c != content]
     text = F.coalesce(F.col(content), F.lit(""))
-    d = docs.select(*keys, (hidden_lines(text) if frontmatter else lines(text)).alias("_lines"))
-    small = d.select(*keys, "_lines", let(_headings(F.col("_lines")), lambda h: F.when(F.size(h) <= MAX_FOLDED, let(_crumbs(h), lambda c: _paragraphs(F.col("_lines"), c)))).alias("_p"))
-    large = small.filter("_p IS NULL").select(*keys, F.array_join("_lines", "\n").alias("_body"))
-    small = small.filter("_p IS NOT NULL").select(*keys, "_p")
+    if frontmatter:
+        text = F.when(text.rlike(r"(?U)^\s*---"), hide_frontmatter(text)).otherwise(text)
+    tail = (("seq", pa.int32()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("text", pa.string()), ("heading", pa.string()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = ("start_line", "end_line", "text", "heading")
-        kind = pa.list_(pa.struct([("start_line", pa.int32()), ("end_line", pa.int32()), ("text", pa.string()), ("heading", pa.string())]))
         for b in batches:
-            found = [[dict(zip(fields, p, strict=True)) for p in paragraphs_of(t)] for t in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, kind)], [*keys, "_p"])
-
-    both = small.unionByName(large.mapInArrow(run, small.schema))
-    return both.select(*keys, F.posexplode("_p").alias("seq", "_one")).select(*keys, "seq", "_one.*")
+            rows = [(i, n, *p) for i, t in enumerate(b.column(b.num_columns - 1).to_pylist()) for n, p in enumerate(paragraphs_of(t))]
+            at, *cols = list(zip(*rows, strict=True)) or [()] * 6
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in b.columns[:-1]), *(pa.array(c, t) for c, (_, t) in zip(cols, tail, strict=True))], [*keys, *(n for n, _ in tail)])
+
+    d = docs.select(*keys, text.alias("_text"))
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in d.schema.fields[:-1]), *(T.StructField(n, T.StringType() if t == pa.string() else T.IntegerType()) for n, t in tail)])
+    return d.mapInArrow(run, schema)

@@ -51,17 +51,18 @@ def para_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("para_id")), "para_id", "left_semi")
 
 
-#: The queries of the registered searches; the vector of a query is that of row query_id * 10.
-QUERY_TEXTS = [(1, "Thing licensed"), (2, "tion ouch en"), (3, "mente ción"), (4, "dich eron thing")]
+#: The queries of the registered searches: rows whose id is divisible by EVERY, with the first words of the text and the vector.
+EVERY, QUERY_WORDS = 100, 4
 
 
-def text_queries(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(QUERY_TEXTS, "query_id long, query string")
+def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").filter((F.col("doc_id") % EVERY == 0) & F.col("text").isNotNull())
+    return d.select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, QUERY_WORDS), " ").alias("query"))
 
 
 def queries_with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vec = table(spark, sf_dir, "embeddings").filter(F.col("vec_id").isin([q * 10 for q, _ in QUERY_TEXTS]))
-    return text_queries(spark).join(vec.select((F.col("vec_id") / 10).cast("long").alias("query_id"), F.col("embedding").alias("qvec")), "query_id")
+    vec = table(spark, sf_dir, "embeddings").filter((F.col("vec_id") % EVERY == 0) & F.col("embedding").isNotNull())
+    return text_queries(spark, sf_dir).join(vec.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), "query_id")
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

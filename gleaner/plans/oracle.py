@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .corpora import QUERY_TEXTS
+from .corpora import EVERY, QUERY_WORDS
 from .queries import K, TAGS
 
 _NL = "chr(10)"
@@ -30,27 +30,24 @@ paras AS (SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY min(i)
   string_agg(line, {_NL} ORDER BY i) AS text, arg_max({crumb}, i) AS heading FROM l6 WHERE NOT blank GROUP BY path, g)"""
 
 
-def _words() -> str:
-    rows = []
-    for q, t in QUERY_TEXTS:
-        w = [x for x in t.lower().split() if len(x) >= 3]
-        rows += [f"({q}, '{x}', {w.count(x)})" for x in sorted(set(w))]
-    return f"q(query_id, word, times) AS (VALUES {', '.join(rows)})"
+#: The words of the registered queries.
+_WORDS = f"""q0 AS (SELECT doc_id AS query_id, array_to_string(string_split(text, ' ')[1:{QUERY_WORDS}], ' ') AS query FROM documents WHERE doc_id % {EVERY} = 0 AND text IS NOT NULL),
+q1 AS (SELECT query_id, unnest(regexp_split_to_array(lower(query), '\\s+')) AS word FROM q0),
+q AS (SELECT query_id, word, count(*) AS times FROM q1 WHERE length(word) >= 3 GROUP BY ALL)"""
 
 
 _SNIP = "CASE WHEN length(o) > 120 THEN substr(o, 1, 120) || '…' ELSE o END"
 _ONE = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
 _PARA = f"para AS (SELECT doc_id AS para_id, 'd/' || doc_id || '.txt' AS path, coalesce(text, '') AS text, 1 AS a, len(string_split(text, {_NL})) AS b FROM documents)"
-#: Words of the registered queries can't overlap themselves, so that replacing counts them.
-_COUNT = "(length(t) - length(replace(t, word, ''))) // length(word)"
-#: Overlapping occurrences of any word.
-_OVERLAP = "len(list_filter(range(1, length(t) - length(word) + 2), lambda x: substr(t, x, length(word)) = word))"
+#: Overlapping occurrences: of a word that ends as it begins, place by place; of others, by what replacing takes away.
+_BORDER = "len(list_filter(range(1, length(word)), lambda k: starts_with(word, right(word, k)))) > 0"
+_COUNT = f"CASE WHEN {_BORDER} THEN len(list_filter(range(1, length(t) - length(word) + 2), lambda x: substr(t, x, length(word)) = word)) ELSE (length(t) - length(replace(t, word, ''))) // length(word) END"
 
 
-def _bm25(q: str, count: str = _COUNT) -> str:
+def _bm25(q: str) -> str:
     return f"""{q},
 p AS (SELECT doc_id AS para_id, lower(coalesce(text, '')) AS t, greatest(0, length(coalesce(text, '')) - 2) AS n FROM documents),
-tf AS (SELECT para_id, n, word, {count} AS tf FROM p, (SELECT DISTINCT word FROM q) WHERE contains(t, word)),
+tf AS (SELECT para_id, n, word, {_COUNT} AS tf FROM p, (SELECT DISTINCT word FROM q) WHERE contains(t, word)),
 st AS (SELECT count(*) AS cn, avg(n) AS av FROM p),
 df AS (SELECT word, count(*) AS df FROM tf GROUP BY word),
 bm AS (SELECT query_id, para_id, round(sum(times * greatest(ln((cn - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / av))), 9) AS score
@@ -58,7 +55,7 @@ bm AS (SELECT query_id, para_id, round(sum(times * greatest(ln((cn - df + 0.5) /
 
 
 _TAGGED = f"(SELECT doc_id FROM documents WHERE lower(lang) = '{TAGS[0]}' AND lower(source) = '{TAGS[1]}')"
-_QV = "qv AS (SELECT CAST(vec_id // 10 AS BIGINT) AS query_id, embedding AS qvec FROM embeddings WHERE vec_id IN (" + ", ".join(str(q * 10) for q, _ in QUERY_TEXTS) + "))"
+_QV = f"qv AS (SELECT vec_id AS query_id, embedding AS qvec FROM embeddings WHERE vec_id % {EVERY} = 0 AND embedding IS NOT NULL AND vec_id IN (SELECT doc_id FROM documents WHERE text IS NOT NULL))"
 
 
 def _vec(where: str = "") -> str:
@@ -72,13 +69,13 @@ def _top(source: str, order: str, k: int, cols: str = "*", where: str = "") -> s
 
 
 def _hybrid(k: int, bm_where: str = "", vec_where: str = "") -> str:
-    return f"""WITH {_bm25(_words())}, {_vec(vec_where)},
+    return f"""WITH {_bm25(_WORDS)}, {_vec(vec_where)},
 tc AS ({_top('bm', 'score DESC', 50, where=bm_where)}), vc AS ({_top('vd', 'distance', 50)}),
 f AS (SELECT query_id, para_id, sum(w) AS s FROM (SELECT query_id, para_id, 0.5::DOUBLE / (60.0::DOUBLE + rank) AS w FROM tc UNION ALL SELECT query_id, para_id, 1.0::DOUBLE / (60.0::DOUBLE + rank) FROM vc) GROUP BY ALL)
 {_top('f', 's DESC', k, 'query_id, para_id, rank, round(s, 9) AS score')}"""
 
 
-_TEXT_HITS = f"""WITH {_bm25(_words())}, {_PARA},
+_TEXT_HITS = f"""WITH {_bm25(_WORDS)}, {_PARA},
 h AS ({_top('bm', 'score DESC', K, 'query_id, para_id, rank, CAST(1.0 AS DOUBLE) / rank AS score')}),
 hits AS (SELECT query_id, rank, h.score, path AS doc, 0 AS para, a || '-' || b AS lines, {_ONE} AS o, text FROM h JOIN para USING (para_id))"""
 
@@ -90,7 +87,7 @@ _SNAPS = f"old AS ({_OLD}), new AS ({_NEW})"
 _EVAL = f"""WITH b AS (SELECT item_id, text FROM benchmark WHERE length(text) > 0),
 w0 AS (SELECT item_id AS query_id, list_filter(string_split(text, ' '), lambda w: length(w) >= 5)[1:2] AS ws FROM b),
 w1 AS (SELECT query_id, unnest(regexp_split_to_array(lower(array_to_string(ws, ' ')), '\\s+')) AS word FROM w0),
-{_bm25("q AS (SELECT query_id, word, count(*) AS times FROM w1 WHERE length(word) >= 3 GROUP BY ALL)", _OVERLAP)},
+{_bm25("q AS (SELECT query_id, word, count(*) AS times FROM w1 WHERE length(word) >= 3 GROUP BY ALL)")},
 h AS ({_top('bm', 'score DESC', K)}),
 cases AS (SELECT item_id || '|d/' || doc_id || '.txt' AS case_id, item_id AS query_id, doc_id FROM documents d JOIN b ON contains(d.text, b.text)),
 j AS (SELECT case_id, EXISTS (SELECT 1 FROM h WHERE h.query_id = cases.query_id AND h.para_id = cases.doc_id) AS recalled FROM cases)"""
@@ -107,19 +104,17 @@ ORACLE: dict[str, str] = {
     "snippet": f"SELECT doc_id, {_SNIP} AS snippet FROM (SELECT doc_id, {_ONE} AS o FROM documents)",
     "fts_query_string": """SELECT item_id, array_to_string(list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''), lambda w: '"' || replace(w, '"', '""') || '"'), ' OR ') AS fts FROM benchmark""",
     "embed_text": f"WITH {_split(_CONV)} SELECT path, seq, md5('title: ' || CASE WHEN heading = '' THEN 'none' ELSE heading END || ' | text: ' || text) AS digest FROM paras",
-    "bm25_scores": f"WITH {_bm25(_words())} SELECT query_id, para_id, score FROM bm",
-    "text_search_topk": f"WITH {_bm25(_words())} {_top('bm', 'score DESC', K, 'query_id, para_id, rank, CAST(1.0 AS DOUBLE) / rank AS score')}",
-    "text_search_tagged": f"WITH {_bm25(_words())} {_top('bm', 'score DESC', K, 'query_id, para_id, rank, CAST(1.0 AS DOUBLE) / rank AS score', f'WHERE para_id IN {_TAGGED}')}",
+    "bm25_scores": f"WITH {_bm25(_WORDS)} SELECT query_id, para_id, score FROM bm",
+    "text_search_topk": f"WITH {_bm25(_WORDS)} {_top('bm', 'score DESC', K, 'query_id, para_id, rank, CAST(1.0 AS DOUBLE) / rank AS score')}",
+    "text_search_tagged": f"WITH {_bm25(_WORDS)} {_top('bm', 'score DESC', K, 'query_id, para_id, rank, CAST(1.0 AS DOUBLE) / rank AS score', f'WHERE para_id IN {_TAGGED}')}",
     "vector_search_topk": f"WITH {_vec()} {_top('vd', 'distance', K, 'query_id, para_id, rank, distance')}",
     "vector_search_tagged": f"WITH {_vec(f'AND vec_id IN {_TAGGED}')} {_top('vd', 'distance', K, 'query_id, para_id, rank, distance')}",
     "hybrid_search_topk": _hybrid(K),
     "hybrid_search_tagged": _hybrid(K, f"WHERE para_id IN {_TAGGED}", f"AND vec_id IN {_TAGGED}"),
     "rrf_fuse": _hybrid(100),
     "hydrate_hits": f"{_TEXT_HITS} SELECT query_id, rank, score, doc, para, lines, {_SNIP} AS snippet, CAST(NULL AS VARCHAR) AS heading FROM hits",
-    "get_document": f"WITH c AS ({_LINES}) SELECT path, md5(content) AS digest FROM c WHERE doc_id % 97 = 1",
-    "get_paragraph_context": f"WITH {_split(_LINES)} SELECT path, 1 AS para, string_agg(text, {_NL} || {_NL} ORDER BY seq) AS content FROM paras JOIN (SELECT path FROM corpus WHERE doc_id % 50 = 2) USING (path) WHERE seq BETWEEN 0 AND 2 GROUP BY path HAVING max(CASE WHEN seq = 1 THEN 1 ELSE 0 END) = 1",
-    "get_document_all": f"WITH c AS ({_LINES}) SELECT path, md5(content) AS digest FROM c",
-    "get_paragraph_context_all": f"WITH {_split(_LINES)} SELECT p.path, p.seq AS para, string_agg(q.text, {_NL} || {_NL} ORDER BY q.seq) AS content FROM paras p JOIN paras q ON p.path = q.path AND q.seq BETWEEN p.seq - 1 AND p.seq + 1 GROUP BY p.path, p.seq",
+    "get_document": f"WITH c AS ({_LINES}) SELECT path, md5(content) AS digest FROM c",
+    "get_paragraph_context": f"WITH {_split(_LINES)} SELECT p.path, p.seq AS para, string_agg(q.text, {_NL} || {_NL} ORDER BY q.seq) AS content FROM paras p JOIN paras q ON p.path = q.path AND q.seq BETWEEN p.seq - 1 AND p.seq + 1 GROUP BY p.path, p.seq",
     "get_line_range": f"WITH c AS ({_LINES}), a AS (SELECT path, string_split(content, {_NL}) AS x FROM c) SELECT path, array_to_string(x[3:5], {_NL}) AS content FROM a WHERE len(x) >= 3",
     "expand_bodies_budget": f"""{_TEXT_HITS}, z AS (SELECT *, sum(CASE WHEN rank <= 5 THEN length(text) ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank) AS cum FROM hits),
 y AS (SELECT *, cum - CASE WHEN rank <= 5 THEN length(text) ELSE 0 END AS prev FROM z)

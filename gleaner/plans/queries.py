@@ -91,17 +91,17 @@ def embed_text(s, d):
 
 @query
 def bm25_scores(s, d):
-    return rank.bm25(c.paragraphs(s, d), c.text_queries(s))
+    return rank.bm25(c.paragraphs(s, d), c.text_queries(s, d))
 
 
 @query
 def text_search_topk(s, d):
-    return rank.search("text", c.paragraphs(s, d), c.text_queries(s), K).select("query_id", "para_id", "rank", "score")
+    return rank.search("text", c.paragraphs(s, d), c.text_queries(s, d), K).select("query_id", "para_id", "rank", "score")
 
 
 @query
 def text_search_tagged(s, d):
-    return rank.search("text", c.paragraphs(s, d), c.text_queries(s), K, doc_tags=doc_tags(s, d), tags=TAGS).select("query_id", "para_id", "rank", "score")
+    return rank.search("text", c.paragraphs(s, d), c.text_queries(s, d), K, doc_tags=doc_tags(s, d), tags=TAGS).select("query_id", "para_id", "rank", "score")
 
 
 def _vector(s, d, tags=None):
@@ -144,30 +144,19 @@ def rrf_fuse(s, d):
 @query
 def hydrate_hits(s, d):
     p = c.paragraphs(s, d)
-    return retrieve.hydrate(rank.search("text", p, c.text_queries(s), K), p)
+    return retrieve.hydrate(rank.search("text", p, c.text_queries(s, d), K), p)
 
 
 @query
 def get_document(s, d):
-    docs = c.corpus_lines(s, d)
-    return retrieve.get_documents(docs, docs.filter(F.col("doc_id") % 97 == 1).select("path")).select("path", F.md5("content").alias("digest"))
-
-
-@query
-def get_paragraph_context(s, d):
-    docs = c.corpus_lines(s, d)
-    wanted = docs.filter(F.col("doc_id") % 50 == 2).select("path", F.lit(1).alias("para"))
-    return retrieve.get_paragraphs(split_paragraphs(docs), wanted, 1)
-
-
-@query
-def get_document_all(s, d):
+    """Every document is asked for."""
     docs = c.corpus_lines(s, d)
     return retrieve.get_documents(docs, docs.select("path")).select("path", F.md5("content").alias("digest"))
 
 
 @query
-def get_paragraph_context_all(s, d):
+def get_paragraph_context(s, d):
+    """Every paragraph is asked for, with those on both sides."""
     paras = split_paragraphs(c.corpus_lines(s, d))
     return retrieve.get_paragraphs(paras, paras.select("path", F.col("seq").alias("para")), 1)
 
@@ -180,7 +169,7 @@ def get_line_range(s, d):
 @query
 def expand_bodies_budget(s, d):
     p = c.paragraphs(s, d)
-    hits = retrieve.hydrate(rank.search("text", p, c.text_queries(s), K), p)
+    hits = retrieve.hydrate(rank.search("text", p, c.text_queries(s, d), K), p)
     return retrieve.expand_bodies(hits, p, 5, 4000).select("query_id", "rank", "body", "body_truncated")
 
 
@@ -248,8 +237,7 @@ def _judged(s, d):
     """A case for each benchmark passage and document that holds it; the query is two long words of the passage."""
     bench = c.table(s, d, "benchmark").filter("length(text) > 0")
     docs = c.table(s, d, "documents").select(F.concat(F.lit("d/"), "doc_id", F.lit(".txt")).alias("doc"), "text")
-    few = bench.select("item_id", F.col("text").alias("passage"))
-    pairs = docs.join(F.broadcast(few), F.contains(docs["text"], few["passage"])) if few.count() <= 4096 else docs.join(few, F.contains(docs["text"], few["passage"]))
+    pairs = evaluate.containing(docs, bench.select("item_id", F.col("text").alias("passage")))
     cases = pairs.select(F.concat_ws("|", F.col("item_id").cast("string"), "doc").alias("case_id"), F.col("item_id").alias("query_id"), "doc", F.lit(None).cast("int").alias("para"))
     long_words = F.slice(F.filter(F.split("text", " "), lambda w: F.length(w) >= 5), 1, 2)
     q = bench.select(F.col("item_id").alias("query_id"), F.array_join(long_words, " ").alias("query"))

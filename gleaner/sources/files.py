@@ -97,7 +97,10 @@ def walk(roots: list[str], root: str) -> list[tuple[str, str, int, int]]:
                 dirs[:] = sorted(x for x in dirs if not x.startswith("."))
                 found += [os.path.join(d, n) for n in sorted(names)]
         for f in found:
-            st = os.stat(f)
+            try:
+                st = os.stat(f)
+            except FileNotFoundError:  # a link to nothing, or removed meanwhile
+                continue
             out.append((normalize_path(f, root), os.path.abspath(f), int(st.st_mtime), st.st_size))
     return out
 
@@ -106,6 +109,31 @@ def _abort(e: OSError) -> None:
     raise e
 
 
+def gone(file: str) -> bool:
+    """Whether a file isn't there; any other reason that it can't be looked at is raised, for it may well be there."""
+    try:
+        os.stat(file)
+        return False
+    except FileNotFoundError:
+        return True
+
+
+def modified(path: Column, root: str) -> Column:
+    """mtime (seconds) of the files that keys stand for, null for those that can't be looked at: only these are, not the tree."""
+
+    @F.pandas_udf("long")
+    def run(keys: pd.Series) -> pd.Series:
+        def of(key: str) -> int | None:
+            try:
+                return int(os.stat(os.path.join(root, key)).st_mtime)
+            except OSError:
+                return None
+
+        return pd.Series([of(k) for k in keys], dtype="Int64")
+
+    return run(path)
+
+
 def listing(spark: SparkSession, roots: list[str], root: str) -> DataFrame:
     return spark.createDataFrame(walk(roots, root), "path string, file string, mtime long, size long").dropDuplicates(["path"])
 
@@ -143,7 +171,7 @@ def read_files(files: DataFrame, config: Config | None = None, include_code: boo
     that of the source bytes, and those whose hash is known are not converted
     again (content null).  A converter that fails skips its file alone.
     """
-    converters = (config or Config()).converters
+    settings = config or Config()
     known = known or {}
     code = () if include_code else CODE_EXTENSIONS
 
@@ -158,7 +186,7 @@ def read_files(files: DataFrame, config: Config | None = None, include_code: boo
                 verdict = "indexed"
                 if ext in code:
                     verdict = "excluded"
-                elif argv := converters.get(ext):
+                elif argv := settings.converter_for(ext):
                     with open(file, "rb") as f:
                         digest = hashlib.sha256(b"v4\0" + f.read()).hexdigest()
                     if known.get(path) != digest:

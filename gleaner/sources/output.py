@@ -13,15 +13,13 @@ def hit_json(hits: DataFrame) -> Column:
     return F.to_json(F.struct(*[v.alias(c) for c, v in value.items()]))
 
 
-def hits_array(hits: DataFrame) -> str:
-    """The hits of one query as one JSON array."""
-    rows = hits.orderBy("rank").select(hit_json(hits).alias("j")).collect()  # k rows
-    return "[" + ",".join(r.j for r in rows).replace("<", "\\u003c").replace(">", "\\u003e").replace("&", "\\u0026") + "]"
+def json_array(objects: list[str]) -> str:
+    """Objects as one JSON array; what HTML would read as markup is escaped."""
+    return "[" + ",".join(objects).replace("<", "\\u003c").replace(">", "\\u003e").replace("&", "\\u0026") + "]"
 
 
 def hit_lines(hits: DataFrame) -> Column:
-    """doc#para (lines a-b, score 0.0000)[ stale], then heading and snippet on lines of their own."""
-    head = F.format_string("%s#%d (lines %s, score %.4f)", F.col("doc"), F.col("para"), F.col("lines"), F.col("score"))
-    if "stale" in hits.columns:
-        head = F.concat(head, F.when(F.col("stale"), " stale").otherwise(""))
-    return F.concat_ws("\n", head, F.when(F.coalesce("heading", F.lit("")) != "", F.concat(F.lit("  "), F.col("heading"))), F.concat(F.lit("  "), F.col("snippet")))
+    """doc#para (lines a-b, score 0.0000)[ [stale]][ | heading], and the snippet on a line of its own."""
+    stale = F.when(F.col("stale"), " [stale]").otherwise("") if "stale" in hits.columns else F.lit("")
+    heading = F.when(F.coalesce("heading", F.lit("")) != "", F.concat(F.lit(" | "), F.col("heading"))).otherwise("")
+    return F.concat(F.format_string("%s#%d (lines %s, score %.4f)", F.col("doc"), F.col("para"), F.col("lines"), F.col("score")), stale, heading, F.lit("\n  "), F.col("snippet"))

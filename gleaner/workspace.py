@@ -75,8 +75,7 @@ class Workspace:
         paras = cat.table("paragraphs")
         q = self.queries([texts] if isinstance(texts, str) else texts)
         hits = retrieve.hydrate(rank.search(mode, paras, q, k, cat.table("vectors"), cat.table("doc_tags"), tags), paras)
-        here = self.spark.createDataFrame([(p, m) for p, _, m, _ in files.walk([self.root], self.root)], "path string, mtime long")
-        hits = retrieve.mark_stale(hits, cat.table("documents"), here)
+        hits = retrieve.stale_by(hits, cat.table("documents"), files.modified(F.col("doc"), self.root))
         return retrieve.expand_bodies(hits, paras, expand_top, expand_budget) if expand_top else hits
 
     def get(self, key: str, lines: tuple[int, int] | None = None, para: int | None = None, context: int = 0) -> str | None:

@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions import embedding, markup, text
-from gleaner.operators import segment
 from gleaner.operators.segment import paragraphs_of, split_paragraphs
 
 SPLIT = [
@@ -26,9 +25,7 @@ def rows(spark, cases):
     return spark.createDataFrame(list(enumerate(cases)), "id int, content string")
 
 
-@pytest.mark.parametrize("folded", [500, 0])
-def test_split(spark, monkeypatch, folded):
-    monkeypatch.setattr(segment, "MAX_FOLDED", folded)  # 0: every document with a heading goes the other way
+def test_split(spark):
     got = {}
     for r in split_paragraphs(rows(spark, [c for c, _ in SPLIT])).orderBy("id", "seq").collect():
         got.setdefault(r.id, []).append((r.start_line, r.end_line, r.text, r.heading))

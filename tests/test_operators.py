@@ -23,9 +23,9 @@ def asked(spark, *texts):
     return spark.createDataFrame(list(enumerate(texts)), "query_id long, query string")
 
 
-@pytest.mark.parametrize("words", [512, 0])
+@pytest.mark.parametrize("words", [512, 2])
 def test_bm25_like_sqlite(spark, monkeypatch, words):
-    monkeypatch.setattr(rank, "MAX_WORDS", words)  # 0: by a join on trigrams
+    monkeypatch.setattr(rank, "MAX_WORDS", words)  # 2: in several passes
     texts = ["the config file is parsed at startup", "zzzzzz zzz", "Config config CONFIG", "", "x", "nothing here", "parsed parsed"]
     db = sqlite3.connect(":memory:")
     try:
@@ -108,7 +108,7 @@ def test_stale(spark):
     assert {r.doc: r.stale for r in got.collect()} == {"a": False, "b": True, "c": True}
 
 
-def test_workspace(spark, tmp_path, monkeypatch):
+def test_workspace(spark, tmp_path, monkeypatch, capsys):
     monkeypatch.chdir(tmp_path)
     Workspace.init(".")
     (tmp_path / "docs").mkdir()
@@ -142,7 +142,34 @@ def test_workspace(spark, tmp_path, monkeypatch):
     assert ws.index(["docs"], prune=True)["pruned"] == 1
     from gleaner.__main__ import run
 
-    assert run(["search", "retry", "--mode", "text", "--json"], spark) == 0 and run(["get", "docs/none"], spark) == 2
+    capsys.readouterr()
+    assert run(["search", "--json", "retry", "-mode=text"], spark) == 0 and run(["get", "docs/none"], spark) == 2
+    assert [h["doc"] for h in json.loads(capsys.readouterr().out)] == ["docs/a.md"]
+    assert run(["search", "--mode", "text", "--", "retry"], spark) == 0
+    assert capsys.readouterr().out == "docs/a.md#1 (lines 3-3, score 1.0000) | Auth\n  retry the config\n"
+    os.utime(tmp_path / "docs/a.md", (1, 1))
+    assert run(["search", "retry", "--mode", "text", "-k", "1"], spark) == 0
+    said = capsys.readouterr()
+    assert " [stale] | Auth" in said.out and said.err.startswith("warning: 1 ")
+    for flags in ([], ["--json"]):
+        assert run(["search", "absent", "--mode", "text", *flags], spark) == 2
+        assert capsys.readouterr() == ("", "no hits\n")
+    assert run([]) == run(["bogus"]) == 1 and run(["search", "-h"]) == run(["--help"]) == 0
+    for bad in (["search"], ["search", "two", "words"], ["search", "--bogus", "x"], ["search", "x", "--mode", "no"], ["search", "x", "--expand-top", "1"], ["get", "x", "--para", "y"]):
+        with pytest.raises(ValueError):
+            run(bad, spark)
+    os.symlink(tmp_path / "nowhere", tmp_path / "docs/link.md")  # a link to nothing is passed over
+    assert ws.index(["docs"])["indexed"] == 0 and files.gone(str(tmp_path / "docs/link.md"))
+    with pytest.raises(NotADirectoryError):
+        files.gone(str(tmp_path / "docs/a.md/x"))
+
+
+def test_usage_errors_exit_1():
+    import subprocess
+    import sys
+
+    for argv, code in (([], 1), (["bogus"], 1), (["search", "a", "b"], 1), (["-h"], 0)):
+        assert subprocess.run([sys.executable, "-m", "gleaner", *argv], capture_output=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__)))).returncode == code
 
 
 def test_bad_cases(spark, tmp_path):
@@ -179,4 +206,35 @@ def test_requests_are_not_broadcast(spark):
         assert "broadcast" not in df._jdf.queryExecution().logical().toString().lower()
     got = {r.para: r.content for r in retrieve.get_paragraphs(paras, wanted, 1).collect()}
     assert got == {0: "t0\n\nt1", 1: "t0\n\nt1\n\nt2", 2: "t1\n\nt2\n\nt3", 3: "t2\n\nt3"}
-    assert {"get_document_all", "get_paragraph_context_all"} <= set(QUERIES)
+    assert {"get_document", "get_paragraph_context"} <= set(QUERIES)
+
+
+def test_vectors_like_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    vecs = rng.integers(-3, 4, (400, 6)).astype(float)  # many ties
+    rows = [(i, v.tolist()) for i, v in enumerate(vecs)] + [(900, None), (901, [1.0])]
+    v = spark.createDataFrame(rows, "para_id long, embedding array<float>").repartition(5)
+    q = spark.createDataFrame([(i, vecs[i].tolist()) for i in range(0, 400, 20)], "query_id long, qvec array<float>")
+    want = {}
+    for i in range(0, 400, 20):
+        d = np.round(np.sqrt(((vecs - vecs[i]) ** 2).sum(1)), 9)
+        want[i] = sorted(zip(d.tolist(), range(400), strict=True))[:7]
+    for size in (4096, 6):
+        monkeypatch.setattr(rank, "MAX_VECTORS", size)
+        got = {}
+        for r in rank.vector_candidates(v, q, 7).collect():
+            got.setdefault(r.query_id, []).append((r.distance, r.para_id))
+        assert {i: sorted(x) for i, x in got.items()} == want
+    assert rank.vector_candidates(v, q.filter("false"), 7).count() == 0
+
+
+def test_passages_in_documents(spark, monkeypatch):
+    from gleaner.operators import evaluate
+
+    docs = spark.createDataFrame([("a", "one two three"), ("b", "two three"), ("c", None), ("d", "")], "doc string, text string")
+    passages = spark.createDataFrame([(1, "two"), (2, "two three"), (3, "two"), (4, ""), (5, None), (6, "e two t")], "item_id long, passage string")
+    for size in (100, 1):
+        monkeypatch.setattr(evaluate, "MAX_PASSAGES", size)
+        assert {(r.doc, r.item_id) for r in evaluate.containing(docs, passages).collect()} == {("a", 1), ("a", 2), ("a", 3), ("a", 6), ("b", 1), ("b", 2), ("b", 3)}
