@@ -5,9 +5,10 @@ determinant is sought by C-steps: distances under the present estimate, the h
 rows with the smallest, their mean and covariance, again until the determinant
 stays.  A group of up to CHUNK rows is solved in one task, from several starts.
 A larger one is dealt to chunks of that size, each solved likewise; the best
-estimates then go through C-steps over all rows of the group, one aggregation a
+estimate then goes through C-steps over all rows of the group, one aggregation a
 step: moments are summed for narrow bins of the distance, so that the bins up to
-the h-th row give the next estimate.  No row is left out.
+the h-th row give the next estimate, until the determinant gains no more.  No row
+is left out.
 
 Groups with fewer rows than LEAST for each dimension are pooled by language, and
 those pools, if too small themselves, into one; least spreads keep the
@@ -38,11 +39,12 @@ FREEDOM, QUANTILE = 5, 0.999
 #: Rows for each dimension that a group needs for an estimate of its own.
 LEAST = 3
 #: Rows that one task solves at once.
-CHUNK = 8192
-#: Starts of a chunk, of which so many go on after two steps; chunks of a large group from which its C-steps start.
-STARTS, GO_ON, BEST = 8, 2, 2
-#: C-steps at most, and the change of the logarithm of the determinant that ends them (in a chunk, over a large group).
-STEPS, SAME, SAME_LARGE = 40, 1e-9, 1e-3
+CHUNK = 4096
+#: Starts of a chunk, of which so many go on after two steps.
+STARTS, GO_ON = 8, 2
+#: C-steps at most, and the gain of the logarithm of the determinant below which they end: in a chunk, over a large group.
+STEPS, SAME = 40, 1e-9
+STEPS_LARGE, SAME_LARGE = 8, 5e-3
 #: Bins of the squared distance for each doubling.
 FINE = 16
 MIN_WORDS = 20
@@ -119,39 +121,38 @@ def _distance(k: int):
 
 
 def _large(rows: DataFrame, begun: DataFrame, k: int, floors: np.ndarray) -> DataFrame:
-    """_PARAMS of the groups in begun (estimates of their best chunks) after C-steps over all their rows."""
+    """_PARAMS of the groups in begun (the estimate of the best chunk) after C-steps over all their rows; begun has one row a group."""
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     bin_ = F.floor(F.log2(F.col("d") + F.lit(1e-9)) * FINE).cast("int")
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for gid, start, rows, n, a, p in zip(*(b.column(c).to_pylist() for c in range(6)), strict=True):
+            out, gain = [], []
+            for gid, rows, n, a, p, mu, was in zip(*(b.column(c).to_pylist() for c in range(7)), strict=True):
                 m, cov = np.array(a) / n, np.diag(floors * floors)
                 for (i, j), v in zip(pairs, p, strict=True):
                     cov[i, j] += v / n - m[i] * m[j]
                     cov[j, i] = cov[i, j]
-                out.append((gid, start, rows, float(np.linalg.slogdet(cov)[1]), m.tolist(), np.linalg.inv(cov).reshape(-1).tolist(), None))
-            yield _params(out)
-
-    mine, cur = stage(sized_join(rows, begun.select("gid").distinct(), "gid", "left_semi"), "mcd-large"), begun
-    centre = begun.filter("start = 0").select("gid", F.col("mu").alias("c"))  # moments are summed about it, and shifted back
-    for _ in range(STEPS):
-        scored = sized_join(sized_join(mine, cur, "gid"), centre, "gid").withColumn("d", _distance(k))
-        y = [F.col("x")[i] - F.col("c")[i] for i in range(k)]
-        bins = scored.groupBy("gid", "start", "rows", bin_.alias("bin")).agg(
+                out.append((gid, 0, rows, float(np.linalg.slogdet(cov)[1]), (m + mu).tolist(), np.linalg.inv(cov).reshape(-1).tolist(), None))
+                gain.append(was - out[-1][3])
+            got = _params(out)
+            yield pa.RecordBatch.from_arrays([*got.columns, pa.array(gain, pa.float64())], [*got.schema.names, "gain"])
+
+    mine, cur = stage(sized_join(rows, begun.select("gid"), "gid", "left_semi"), "mcd-large"), begun
+    for _ in range(STEPS_LARGE):
+        scored = sized_join(mine, cur, "gid").withColumn("d", _distance(k))
+        y = [F.col("x")[i] - F.col("mu")[i] for i in range(k)]  # moments are summed about the last mean
+        bins = scored.groupBy("gid", "rows", bin_.alias("bin")).agg(
             F.count("*").alias("n"), F.array(*[F.sum(v) for v in y]).alias("a"), F.array(*[F.sum(y[i] * y[j]) for i, j in pairs]).alias("b"))
-        before = F.coalesce(F.sum("n").over(W.partitionBy("gid", "start").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        before = F.coalesce(F.sum("n").over(W.partitionBy("gid").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
         inner = bins.withColumn("before", before).filter(F.col("before") < F.ceil(F.col("rows") * SHARE))
-        sums = inner.groupBy("gid", "start", "rows").agg(
+        sums = inner.groupBy("gid", "rows").agg(
             F.sum("n").cast("double").alias("n"), F.array(*[F.sum(F.col("a")[i]) for i in range(k)]).alias("a"), F.array(*[F.sum(F.col("b")[i]) for i in range(len(pairs))]).alias("b"))
-        moved = stage(arrow_map(sums, estimate, _PARAMS), "mcd-params")
-        moved = stage(sized_join(moved, centre, "gid").withColumn("mu", F.zip_with("mu", "c", lambda a, b: a + b)).drop("c"), "mcd-params")
-        change = moved.alias("n").join(cur.alias("o"), (F.col("n.gid") == F.col("o.gid")) & (F.col("n.start") == F.col("o.start"))).agg(F.max(F.abs(F.col("n.det") - F.col("o.det")))).head()[0]
-        cur = moved
-        if change is None or change < SAME_LARGE:
+        moved = sized_join(sums, cur.select("gid", "mu", F.col("det").alias("was")), "gid").select("gid", "rows", "n", "a", "b", "mu", "was")
+        cur = stage(arrow_map(moved, estimate, _PARAMS + ", gain double"), "mcd-params")
+        if not cur.filter(F.col("gain") > SAME_LARGE).head(1):
             break
-    best = cur.withColumn("r", F.row_number().over(W.partitionBy("gid").orderBy("det", "start"))).filter("r = 1").drop("r")
+    best = cur
     scored = sized_join(mine, best, "gid").withColumn("d", _distance(k))
     bins = scored.groupBy("gid", "rows", F.floor(F.log2(F.col("d") + F.lit(1e-9)) * 16 * FINE).cast("int").alias("bin")).agg(F.count("*").alias("n"))
     upto = bins.withColumn("upto", F.sum("n").over(W.partitionBy("gid").orderBy("bin")))
@@ -182,8 +183,8 @@ def fit_and_score(rows: DataFrame, k: int, floors: list[float], chunk: int = CHU
     many = sizes.filter("chunks > 1").select("gid")
     params = solved.join(many, "gid", "left_anti")
     if many.head(1):
-        begun = sized_join(solved, many, "gid", "left_semi").withColumn("start", (F.row_number().over(W.partitionBy("gid").orderBy("det", "start")) - 1).cast("int"))
-        params = params.unionByName(_large(rows, stage(begun.filter(F.col("start") < BEST), "mcd-begun"), k, least))
+        begun = sized_join(solved, many, "gid", "left_semi").withColumn("start", F.row_number().over(W.partitionBy("gid").orderBy("det", "start")))
+        params = params.unionByName(_large(rows, stage(begun.filter("start = 1").withColumn("det", F.lit(float("inf"))), "mcd-begun"), k, least))  # a chunk's own determinant is no measure
     params = stage(params.withColumn("mid", F.when(F.col("mid") > 1e-9, F.col("mid")).otherwise(F.lit(reference(k, 0.5)))), "mcd-final")
     scored = sized_join(rows, params.select("gid", "mu", "inv", "mid"), "gid").withColumn("d", _distance(k) / F.col("mid") * F.lit(reference(k, 0.5)))
     return scored.drop("mu", "inv", "mid", "x")
