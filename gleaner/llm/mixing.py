@@ -98,11 +98,11 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def place_documents(docs: DataFrame) -> DataFrame:
-    """A row for each pass over a document, and one for each document without any, in order of position.
+    """A row for each pass over a document, and one for each document without any.
 
     doc_id, key, size, h, source_size, target, rid (of the row of docs), pass (0
     or 1), n (words taken in it), position (words of the mix by then, expected;
-    null if the pass takes none), and _part, _at: the order.
+    null if there is no pass), and _part, _at: the order by position (null if none).
     """
     draw = F.md5(F.coalesce(F.col("_id").cast("string"), F.col("text"), F.lit("")))
     rows = stage(_rows(docs).select(F.col("_id").alias("doc_id"), F.col("_key").alias("key"), F.col("_size").alias("size"), F.col("_h").alias("h"), draw.alias("draw")), "mix-sizes")
@@ -125,7 +125,8 @@ def place_documents(docs: DataFrame) -> DataFrame:
     time, position = (_double(x) for x in sql_position("share", "rank", [f"CAST({n} AS DOUBLE)" for n in kinds]))
     out = out.withColumn("share", F.col("start").cast("double") / F.col("whole").cast("double")).withColumn("time", F.expr(time)).withColumn("position", F.expr(position))
     out = out.withColumn("n", F.when(F.col("start").isNull(), 0).otherwise(F.least(F.col("size"), F.col("whole") - F.col("start"))).cast("long")).drop("whole", "rank", "share", "time")
-    return global_order(out, ["position", "key", "start"], "mix-positions")[0]
+    none = stage(out.filter("position IS NULL"), "mix-rest").select("*", F.lit(None).cast("long").alias("_part"), F.lit(None).cast("long").alias("_at"))
+    return global_order(out.filter("position IS NOT NULL"), ["position", "key", "start"], "mix-positions")[0].unionByName(none)
 
 
 def plan_mix(docs: DataFrame) -> DataFrame:
@@ -142,11 +143,11 @@ def plan_mix(docs: DataFrame) -> DataFrame:
     part.  One row out for each row in; reruns agree.
     """
     passes = place_documents(docs)
-    counts = passes.groupBy("_part").agg(F.count("position").alias("n"), F.count("*").alias("rows")).orderBy("_part").collect()  # a row for each partition
+    counts = passes.filter("position IS NOT NULL").groupBy("_part").count().orderBy("_part").collect()  # a row for each partition
     starts, done = [], 0
     for r in counts:
-        starts.append((r["_part"], done - (r["rows"] - r["n"])))  # those without a position come first
-        done += r["n"]
+        starts.append((r["_part"], done))
+        done += r["count"]
     starts = docs.sparkSession.createDataFrame(starts, "_part long, _off long")
     passes = passes.withColumn("_part", F.col("_part").cast("long")).join(F.broadcast(starts), "_part", "left")
     first, second = F.col("pass") == 0, F.col("pass") == 1
