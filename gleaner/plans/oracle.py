@@ -70,7 +70,7 @@ def _top(source: str, order: str, k: int, cols: str = "*", where: str = "") -> s
 
 def _hybrid(k: int, bm_where: str = "", vec_where: str = "") -> str:
     return f"""WITH {_bm25(_WORDS)}, {_vec(vec_where)},
-tc AS ({_top('bm', 'score DESC', 50, where=bm_where)}), vc AS ({_top('vd', 'distance', 50)}),
+tc AS ({_top('bm', 'score DESC', 50, where='WHERE query_id IN (SELECT query_id FROM qv)' + bm_where)}), vc AS ({_top('vd', 'distance', 50)}),
 f AS (SELECT query_id, para_id, sum(w) AS s FROM (SELECT query_id, para_id, 0.5::DOUBLE / (60.0::DOUBLE + rank) AS w FROM tc UNION ALL SELECT query_id, para_id, 1.0::DOUBLE / (60.0::DOUBLE + rank) FROM vc) GROUP BY ALL)
 {_top('f', 's DESC', k, 'query_id, para_id, rank, round(s, 9) AS score')}"""
 
@@ -108,9 +108,12 @@ ORACLE: dict[str, str] = {
     "text_search_topk": f"WITH {_bm25(_WORDS)} {_top('bm', 'score DESC', K, 'query_id, para_id, rank, CAST(1.0 AS DOUBLE) / rank AS score')}",
     "text_search_tagged": f"WITH {_bm25(_WORDS)} {_top('bm', 'score DESC', K, 'query_id, para_id, rank, CAST(1.0 AS DOUBLE) / rank AS score', f'WHERE para_id IN {_TAGGED}')}",
     "vector_search_topk": f"WITH {_vec()} {_top('vd', 'distance', K, 'query_id, para_id, rank, distance')}",
+    "vector_search_scores": f"WITH {_vec()}, t AS ({_top('vd', 'distance', K, 'query_id, para_id, rank, distance')}) SELECT query_id, para_id, rank, round(1.0::DOUBLE / (1.0::DOUBLE + distance), 9) AS score FROM t",
+    "query_embed_text": "SELECT item_id, md5('task: search result | query: ' || text) AS digest FROM benchmark",
+    "document_hashes": f"WITH {_SNAPS} SELECT coalesce(new.path, old.path) AS path, coalesce(new.hash, old.hash) AS hash, coalesce(coalesce(new.hash, old.hash) = old.hash, false) AS same FROM old FULL JOIN new ON old.path = new.path",
     "vector_search_tagged": f"WITH {_vec(f'AND vec_id IN {_TAGGED}')} {_top('vd', 'distance', K, 'query_id, para_id, rank, distance')}",
     "hybrid_search_topk": _hybrid(K),
-    "hybrid_search_tagged": _hybrid(K, f"WHERE para_id IN {_TAGGED}", f"AND vec_id IN {_TAGGED}"),
+    "hybrid_search_tagged": _hybrid(K, f" AND para_id IN {_TAGGED}", f"AND vec_id IN {_TAGGED}"),
     "rrf_fuse": _hybrid(100),
     "hydrate_hits": f"{_TEXT_HITS} SELECT query_id, rank, score, doc, para, lines, {_SNIP} AS snippet, CAST(NULL AS VARCHAR) AS heading FROM hits",
     "get_document": f"WITH c AS ({_LINES}) SELECT path, md5(content) AS digest FROM c",
@@ -123,7 +126,7 @@ SELECT query_id, rank, CASE WHEN rank <= 5 AND cum <= 4000 THEN text WHEN rank <
     "upsert_classify": f"WITH {_SNAPS} SELECT coalesce(old.path, new.path) AS path, CASE WHEN new.hash IS NULL THEN 'absent' WHEN old.hash IS NULL THEN 'new' WHEN old.hash <> new.hash THEN 'changed' WHEN old.mtime <> new.mtime THEN 'touched' ELSE 'unchanged' END AS status FROM old FULL JOIN new ON old.path = new.path",
     "upsert_apply": f"WITH {_SNAPS} SELECT coalesce(new.path, old.path) AS path, coalesce(new.mtime, old.mtime) AS mtime, coalesce(new.hash, old.hash) AS hash FROM old FULL JOIN new ON old.path = new.path",
     "touch_mtime": f"WITH {_SNAPS} SELECT new.path AS path, new.mtime AS mtime FROM old JOIN new ON old.path = new.path WHERE old.hash = new.hash AND old.mtime <> new.mtime",
-    "delete_cascade": f"WITH {_SNAPS}, {_split('SELECT path, content FROM old WHERE path IN (SELECT path FROM new)')} SELECT path, count(*) AS paragraphs FROM paras GROUP BY path",
+    "delete_cascade": f"WITH {_SNAPS}, {_split('SELECT path, content FROM old WHERE path IN (SELECT path FROM new)')} SELECT path, count(*) AS paragraphs, 2 AS tags, count(*) AS vectors FROM paras GROUP BY path",
     "prune_missing": f"WITH {_SNAPS} SELECT path FROM old WHERE path NOT IN (SELECT path FROM new)",
     "mark_stale": f"WITH {_SNAPS} SELECT old.path AS doc, new.path IS NULL OR new.mtime <> old.mtime AS stale FROM old LEFT JOIN new ON old.path = new.path",
     "list_paths": f"WITH f AS ({_FM}) SELECT path FROM f",
@@ -133,10 +136,13 @@ SELECT query_id, rank, CASE WHEN rank <= 5 AND cum <= 4000 THEN text WHEN rank <
     "l2_normalize_vectors": """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x * 3 AS FLOAT)) AS v FROM embeddings WHERE embedding IS NOT NULL),
 n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS m FROM e),
 u AS (SELECT vec_id, list_transform(v, lambda x: CAST(CAST(x AS DOUBLE) / m AS FLOAT)) AS v FROM n)
-SELECT vec_id, round(list_sum(list_transform(v, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 5) AS norm, round(CAST(v[1] AS DOUBLE), 5) AS first FROM u""",
+SELECT vec_id, round(list_sum(list_transform(v, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 5) AS norm, round(CAST(v[1] AS DOUBLE), 5) AS first, CAST(list_sum(list_transform(range(1, len(v) + 1), lambda i: CAST(round(CAST(v[i] AS DOUBLE) * 1e6) AS BIGINT) * i)) AS BIGINT) AS weighted FROM u""",
     "ingest_filter_files": """WITH f AS (SELECT doc_id, 'd/' || doc_id || ['.md', '.py', '.txt', '.GO', ''][CAST(doc_id % 5 + 1 AS INTEGER)] AS path, length(text) AS n FROM documents)
 SELECT path, CASE WHEN doc_id % 5 IN (1, 3) THEN 'excluded' WHEN doc_id % 7 = 0 OR doc_id % 11 = 0 OR n = 0 THEN 'skipped' ELSE 'indexed' END AS verdict FROM f""",
     "html_convert": r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(coalesce(html, ''), '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>', ' ', 'g'),
   '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\n\r]+', ' ', 'g')) AS text FROM pages""",
-    "hash_embed": "SELECT doc_id, 768 AS dim, CAST(coalesce(list_sum(list_transform(string_split(text, ''), lambda x: unicode(x) % 13)), 0) AS BIGINT) AS total FROM documents",
+    "hash_embed": """WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS x, unnest(range(1, length(text) + 1)) AS i FROM documents WHERE length(text) > 0),
+o AS (SELECT doc_id, unicode(x) % 13 AS v, coalesce(sum(octet_length(encode(x))) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM c),
+s AS (SELECT doc_id, sum(v) AS total, sum((place % 768) * v) AS weighted FROM o GROUP BY doc_id)
+SELECT doc_id, 768 AS dim, CAST(coalesce(total, 0) AS BIGINT) AS total, CAST(coalesce(weighted, 0) AS BIGINT) AS weighted FROM documents LEFT JOIN s USING (doc_id)""",
 }

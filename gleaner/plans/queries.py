@@ -113,6 +113,25 @@ def vector_search_topk(s, d):
     return _vector(s, d)
 
 
+@query
+def vector_search_scores(s, d):
+    hits = rank.search("vector", c.paragraphs(s, d), c.queries_with_vectors(s, d), K, c.para_vec(s, d))
+    return hits.select("query_id", "para_id", "rank", F.round("score", 9).alias("score"))
+
+
+@query
+def query_embed_text(s, d):
+    return c.table(s, d, "benchmark").select("item_id", F.md5(text.embed_query(F.col("text"))).alias("digest"))
+
+
+@query
+def document_hashes(s, d):
+    """The hash that the index holds for each path after an upsert, and whether a caller's copy is up to date."""
+    old, new = c.snapshots(s, d)
+    held = catalog.merge_documents(_hashed(old), _hashed(new)).select("path", "hash")
+    return held.join(_hashed(old).select("path", F.col("hash").alias("was")), "path", "left").select("path", "hash", F.coalesce(F.col("hash") == F.col("was"), F.lit(False)).alias("same"))
+
+
 @query
 def vector_search_tagged(s, d):
     return _vector(s, d, TAGS)
@@ -204,9 +223,16 @@ def touch_mtime(s, d):
 
 @query
 def delete_cascade(s, d):
+    """What is left of each kept document: paragraphs, tags, and vectors (by the paragraphs they belong to)."""
     old, new = c.snapshots(s, d)
     gone = old.join(new, "path", "left_anti").select("path")
-    return catalog.without_paths(split_paragraphs(old.select("path", "content")), gone).groupBy("path").agg(F.count("*").alias("paragraphs"))
+    paras = split_paragraphs(old.select("path", "content")).withColumn("para_id", catalog.para_key("path", "seq"))
+    vectors = paras.select("para_id", F.col("path").alias("of"))
+    tags = old.select("path", F.explode(markup.merged_tags(F.col("content"), F.col("path"))).alias("tag"))
+    kept = catalog.without_paths(paras, gone)
+    n = lambda df, name: df.groupBy("path").agg(F.count("*").alias(name))
+    left = vectors.join(kept.select("para_id"), "para_id", "left_semi").withColumnRenamed("of", "path")
+    return n(kept, "paragraphs").join(n(catalog.without_paths(tags, gone), "tags"), "path").join(n(left, "vectors"), "path")
 
 
 @query
@@ -260,7 +286,8 @@ def l2_normalize_vectors(s, d):
     e = c.table(s, d, "embeddings").filter("embedding IS NOT NULL")
     v = e.select("vec_id", l2_normalize(F.transform("embedding", lambda x: x * 3)).alias("v"))
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    return v.select("vec_id", F.round(norm, 5).alias("norm"), F.round(F.col("v")[0].cast("double"), 5).alias("first"))
+    weighted = F.aggregate(F.transform("v", lambda x, i: F.round(x.cast("double") * 1e6).cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x)  # every component at its place
+    return v.select("vec_id", F.round(norm, 5).alias("norm"), F.round(F.col("v")[0].cast("double"), 5).alias("first"), weighted.alias("weighted"))
 
 
 @query
@@ -280,6 +307,6 @@ def html_convert(s, d):
 
 @query
 def hash_embed(s, d):
-    """The embedder of tests over whole texts: dimensions and the sum of the vector."""
+    """The embedder of tests over whole texts: dimensions, the sum of the vector, and the sum weighted by place."""
     v = c.table(s, d, "documents").select("doc_id", embed(F.col("text")).alias("v"))
-    return v.select("doc_id", F.size("v").alias("dim"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double")).cast("long").alias("total"))
+    return v.select("doc_id", F.size("v").alias("dim"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double")).cast("long").alias("total"), F.aggregate(F.transform("v", lambda x, i: x.cast("double") * i), F.lit(0.0), lambda a, x: a + x).cast("long").alias("weighted"))
