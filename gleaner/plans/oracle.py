@@ -136,7 +136,7 @@ SELECT query_id, rank, CASE WHEN rank <= 5 AND cum <= 4000 THEN text WHEN rank <
     "l2_normalize_vectors": """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x * 3 AS FLOAT)) AS v FROM embeddings WHERE embedding IS NOT NULL),
 n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS m FROM e),
 u AS (SELECT vec_id, list_transform(v, lambda x: CAST(CAST(x AS DOUBLE) / m AS FLOAT)) AS v FROM n)
-SELECT vec_id, round(list_sum(list_transform(v, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 5) AS norm, round(CAST(v[1] AS DOUBLE), 5) AS first, CAST(list_sum(list_transform(range(1, len(v) + 1), lambda i: CAST(round(CAST(v[i] AS DOUBLE) * 1e6) AS BIGINT) * i)) AS BIGINT) AS weighted FROM u""",
+SELECT vec_id, round(list_sum(list_transform(v, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 5) AS norm, round(CAST(v[1] AS DOUBLE), 5) AS first, CAST(list_sum(list_transform(range(1, len(v) + 1), lambda i: CAST(round(CAST(v[i] AS DOUBLE) * 1e3) AS BIGINT) * i)) AS BIGINT) AS weighted FROM u""",
     "ingest_filter_files": """WITH f AS (SELECT doc_id, 'd/' || doc_id || ['.md', '.py', '.txt', '.GO', ''][CAST(doc_id % 5 + 1 AS INTEGER)] AS path, length(text) AS n FROM documents)
 SELECT path, CASE WHEN doc_id % 5 IN (1, 3) THEN 'excluded' WHEN doc_id % 7 = 0 OR doc_id % 11 = 0 OR n = 0 THEN 'skipped' ELSE 'indexed' END AS verdict FROM f""",
     "html_convert": r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(coalesce(html, ''), '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>', ' ', 'g'),
