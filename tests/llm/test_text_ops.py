@@ -140,6 +140,11 @@ def test_simhash(spark, monkeypatch):
         assert [got[i].fp % (1 << 64) for i in range(len(texts))] == want
         assert [got[i].component_id for i in range(len(texts))] == up
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
+    long = " ".join(str(i % 999) for i in range(150_000))  # more shingles than are held at once
+    same = docs(spark, [long, long, "a b", "a b", None]).withColumn("doc_id", F.when(F.col("doc_id") < 4, F.col("doc_id") % 2 + 5))
+    rows = simhash.near_duplicates(same).collect()
+    assert sorted((r.component_id or 0) for r in rows) == [0, 5, 5, 5, 5] and simhash.AT_ONCE < 149_997
+    assert {r.fp % (1 << 64) for r in rows} == {plain_fingerprint(long), plain_fingerprint("a b"), 0}
 
 
 @pytest.mark.parametrize("third", [False, True])
