@@ -348,12 +348,10 @@ class FingerprintIndex:
     def _bucket(self, mini: str = "mini") -> Column:
         return F.pmod(F.xxhash64(mini), F.lit(self.buckets)).cast("int")
 
-    def repeated(self, docs: DataFrame, corpus: DataFrame, append: bool = True) -> DataFrame:
-        """doc_id, start, n: the windows of docs (n from word start on) that occur earlier, in the index or in docs.
+    def candidates(self, docs: DataFrame, append: bool = True) -> DataFrame:
+        """Spans of windows of docs that seem to occur earlier, in the index or in docs, and where (see verified).
 
-        corpus: doc_id, text of docs and of all documents in the index, against
-        which candidates are verified.  A null doc_id comes back as the greatest
-        long.  With append, the windows that are new to the batch become a run.
+        With append, the windows that are new to the batch become a run.
         """
         rows = arrow_map(only(docs, doc_id="long", text="string"), _scan(self.tag), _ROWS).withColumn("bucket", self._bucket())
         own = rows.groupBy("bucket").applyInArrow(_own(append, self.tag), _SPANS)
@@ -363,14 +361,22 @@ class FingerprintIndex:
         own.withColumn("part", F.when(F.col("kind") == 2, "run").otherwise("spans")).write.partitionBy("part").parquet(out)
         fs, path = self._fs()
         read = lambda part: self.spark.read.schema(_SPANS).parquet(f"{out}/part={part}") if fs.exists(path(f"{out}/part={part}")) else self.spark.createDataFrame([], _SPANS)
-        spans = self._verified(read("spans"), corpus)
-        if append:
-            fresh = read("run").withColumn("bucket", self._bucket())
-            self._append(fresh.repartition(self.buckets, "bucket"), 0)
+        if append:  # what a task wrote is of few buckets: no need to deal it again
+            self._append(read("run").withColumn("bucket", self._bucket()), 0)
+            drop_path(self.spark, f"{out}/part=run")
             self.compact()
-        return spans
+        return read("spans")
+
+    def repeated(self, docs: DataFrame, corpus: DataFrame, append: bool = True) -> DataFrame:
+        """doc_id, start, n: the windows of docs (n from word start on) that occur earlier, in the index or in docs.
+
+        corpus: doc_id, text of docs and of all documents in the index, against
+        which candidates are verified.  A null doc_id comes back as the greatest
+        long.
+        """
+        return self.verified(self.candidates(docs, append), corpus)
 
-    def _verified(self, spans: DataFrame, corpus: DataFrame) -> DataFrame:
+    def verified(self, spans: DataFrame, corpus: DataFrame) -> DataFrame:
         """doc_id, start, n of the spans whose words are those of the places where they were found."""
         texts = only(corpus, doc_id="long", text="string")
         told, new = spans.filter("kind = 0").select("doc_id", "start", "n"), spans.filter("kind = 1").select("doc_id", "start", "n", "doc0", "start0")
@@ -513,7 +519,8 @@ def dedup_corpus(docs: DataFrame, batches: int = 4, extra: dict[str, str] | None
     for k in range(len(cuts) + 1):
         low, high = (key > cuts[k - 1]) if k else F.lit(True), (key <= cuts[k]) if k < len(cuts) else F.lit(True)
         part = docs.filter((low & high) if k < len(cuts) else (low | key.isNull()))
-        got = index.repeated(part, docs, append=k < len(cuts))
+        got = index.candidates(part, append=k < len(cuts))
         spans = got if spans is None else spans.unionByName(got)
     index.close()
-    return remove_spans(docs, spans, extra)
+    drop_path(spark, index.path)
+    return remove_spans(docs, index.verified(spans, docs), extra)
