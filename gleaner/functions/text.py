@@ -34,7 +34,7 @@ def lines(content: Column) -> Column:
 
 
 def trim(s: Column) -> Column:
-    return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(s, r"(?U)^\s++|(?<!\s)\s++$", "")  # each run of blanks is read once
 
 
 def fold(s: Column) -> Column:

@@ -1,13 +1,16 @@
 """Incremental maintenance: which documents are new, changed, touched or unchanged, and snapshots of the tables.
 
-A snapshot is a folder of Parquet tables; CURRENT names the one that counts and
-is replaced by rename once a new one is complete, so readers never see half a
-change.  Children (paragraphs, tags, vectors) of documents that didn't change
-are copied as they are.
+Every table is dealt to buckets by document, each a folder of Parquet files.  A
+snapshot is a manifest: a file CURRENT-n that names the folder of each bucket.
+A change writes only the buckets of the documents that it concerns, and then a
+manifest that names these in place of the old ones, so readers never see half a
+change, and what is written grows with the change and not with the index.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -20,6 +23,9 @@ from ..functions.text import content_hash, embed_text, is_absolute_key
 from ..schemas import TABLES
 from .segment import split_paragraphs
 
+#: Buckets of a new index.
+BUCKETS = 64
+
 
 def classify(old: DataFrame, new: DataFrame) -> DataFrame:
     """path, status of every path: new, changed, touched (only the mtime differs), unchanged, or absent (only in old).
@@ -71,51 +77,104 @@ def _names(table: str) -> list[str]:
 class Catalog:
     """The tables of one index in a folder that Hadoop's file systems can reach."""
 
-    def __init__(self, spark: SparkSession, path: str, embedder: Callable | None = None) -> None:
-        self.spark, self.path, self.embedder = spark, path.rstrip("/"), embedder
+    def __init__(self, spark: SparkSession, path: str, embedder: Callable | None = None, buckets: int = BUCKETS) -> None:
+        """buckets: of a new index; an existing one keeps its own."""
+        self.spark, self.path, self.embedder, self._buckets = spark, path.rstrip("/"), embedder, buckets
 
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
         fs_path = jvm.org.apache.hadoop.fs.Path
         return fs_path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), fs_path
 
-    def current(self) -> str | None:
-        """Folder of the snapshot that counts."""
+    def _manifests(self) -> list[int]:
         fs, p = self._fs()
         found = [f.getPath().getName() for f in fs.listStatus(p(self.path))] if fs.exists(p(self.path)) else []
-        done = sorted(int(n[8:]) for n in found if n.startswith("CURRENT-"))
-        return f"{self.path}/snap-{done[-1]:08d}" if done else None
+        return sorted(int(n[8:]) for n in found if n.startswith("CURRENT-"))
 
-    def table(self, name: str) -> DataFrame:
-        at = self.current()
-        return self.spark.read.schema(TABLES[name]).parquet(f"{at}/{name}") if at else self.spark.createDataFrame([], TABLES[name])
+    def _manifest(self, n: int) -> dict | None:
+        """None if its writer was lost half way."""
+        fs, p = self._fs()
+        stream = fs.open(p(f"{self.path}/CURRENT-{n:08d}"))
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        except ValueError:
+            return None
+        finally:
+            stream.close()
+
+    def current(self) -> dict:
+        """The snapshot that counts: buckets, and the folder of each bucket of each table."""
+        for n in reversed(self._manifests()):
+            if found := self._manifest(n):
+                return found
+        return {"buckets": self._buckets, "tables": {t: {} for t in TABLES}}
+
+    def _read(self, name: str, folders: list[str]) -> DataFrame:
+        at = [f"{self.path}/{f}" for f in folders]
+        return self.spark.read.schema(TABLES[name]).parquet(*at) if at else self.spark.createDataFrame([], TABLES[name])
+
+    def table(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        """All of a table, or some of its buckets."""
+        folders = self.current()["tables"][name]
+        return self._read(name, [f for b, f in sorted(folders.items()) if buckets is None or int(b) in buckets])
+
+    def bucket(self, path: str = "path") -> Column:
+        return F.pmod(doc_key(path), F.lit(self.current()["buckets"])).cast("int")
+
+    def _put(self, name: str, rows: DataFrame, bucket: Column) -> dict[str, str]:
+        """Write rows to a new folder; the folder of each bucket that has any."""
+        fs, p = self._fs()
+        at = f"data-{uuid.uuid4().hex}/{name}"
+        rows.select(*_names(name), bucket.alias("bucket")).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{at}")
+        found = [f.getPath().getName() for f in fs.listStatus(p(f"{self.path}/{at}"))]
+        return {n[7:]: f"{at}/{n}" for n in found if n.startswith("bucket=")}
 
-    def _commit(self, tables: dict[str, DataFrame]) -> None:
+    def _commit(self, changes: dict[str, tuple[list[int], dict[str, str]]]) -> None:
+        """changes: for each table the buckets that were written anew, and the folders of those that aren't empty."""
         fs, p = self._fs()
-        at = self.current()
-        n = int(at[-8:]) + 1 if at else 1
-        snap = f"{self.path}/snap-{n:08d}"
-        if fs.exists(p(snap)):  # left by a run that was lost
-            fs.delete(p(snap), True)
-        for name, df in tables.items():
-            df.write.parquet(f"{snap}/{name}")
-        if not fs.createNewFile(p(f"{self.path}/CURRENT-{n:08d}")):
-            raise RuntimeError("another writer has committed this snapshot")
-        for old in fs.listStatus(p(self.path)):  # readers of the last two may still be at work
-            name = old.getPath().getName()
-            if name[-8:].isdigit() and int(name[-8:]) < n - 1:
-                fs.delete(old.getPath(), True)
-
-    def children(self, docs: DataFrame) -> dict[str, DataFrame]:
-        """Paragraphs, tags and vectors of documents (path, content)."""
+        old = self.current()
+        tables = {t: {b: f for b, f in old["tables"][t].items() if t not in changes or int(b) not in changes[t][0]} | (changes[t][1] if t in changes else {}) for t in TABLES}
+        have = self._manifests()
+        n = have[-1] + 1 if have else 1
+        try:
+            out = fs.create(p(f"{self.path}/CURRENT-{n:08d}"), False)
+        except Exception as e:
+            raise RuntimeError("another writer has committed this snapshot") from e
+        out.write(bytearray(json.dumps({"buckets": old["buckets"], "tables": tables}).encode()))
+        out.close()
+        used = {f for t in (old["tables"], tables) for x in t.values() for f in x.values()}  # readers of the last one may still be at work
+        for k in have[:-1]:
+            for x in ((self._manifest(k) or {}).get("tables") or {}).values():
+                for f in set(x.values()) - used:
+                    fs.delete(p(f"{self.path}/{f}"), True)
+            fs.delete(p(f"{self.path}/CURRENT-{k:08d}"), False)
+
+    def tags_of(self, docs: DataFrame) -> DataFrame:
+        return docs.select(doc_key("path").alias("doc_id"), "path", F.explode(merged_tags(F.col("content"), F.col("path"))).alias("tag"))
+
+    def paragraphs_of(self, docs: DataFrame) -> DataFrame:
         paras = split_paragraphs(docs.select(doc_key("path").alias("doc_id"), "path", "content"))
-        paras = paras.select(para_key("path", "seq").alias("para_id"), "doc_id", "path", "seq", "start_line", "end_line", "text", "heading")
-        tags = docs.select(doc_key("path").alias("doc_id"), "path", F.explode(merged_tags(F.col("content"), F.col("path"))).alias("tag"))
-        out = {"paragraphs": paras, "doc_tags": tags}
-        if self.embedder:
-            out["vectors"] = paras.select("para_id", embed(embed_text(F.col("heading"), F.col("text")), self.embedder).alias("embedding"))
+        return paras.select(para_key("path", "seq").alias("para_id"), "doc_id", "path", "seq", "start_line", "end_line", "text", "heading")
+
+    def _children(self, buckets: list[int], gone: DataFrame, docs: DataFrame | None) -> dict[str, tuple[list[int], dict[str, str]]]:
+        """Write the buckets of paragraphs, tags and vectors without those of the paths in gone, and with those of docs."""
+        out = {}
+        for name, of in (("paragraphs", self.paragraphs_of), ("doc_tags", self.tags_of)):
+            rows = without_paths(self.table(name, buckets), gone).select(_names(name))
+            rows = rows.unionByName(of(docs)) if docs is not None else rows
+            out[name] = buckets, self._put(name, rows, self.bucket())
+        paras = self._read("paragraphs", list(out["paragraphs"][1].values()))  # as written
+        mine = paras.select("para_id", "path", "heading", "text")
+        rows = self.table("vectors", buckets).join(without_paths(mine, gone).select("para_id", "path"), "para_id")
+        if docs is not None and self.embedder:
+            fresh = mine.join(docs.select("path"), "path", "left_semi")
+            rows = rows.unionByName(fresh.select("para_id", embed(embed_text(F.col("heading"), F.col("text")), self.embedder).alias("embedding"), "path"))
+        out["vectors"] = buckets, self._put("vectors", rows, self.bucket())
         return out
 
+    def _buckets_of(self, paths: DataFrame) -> list[int]:
+        return sorted(r[0] for r in paths.select(self.bucket().alias("b")).distinct().collect())  # no more than there are buckets
+
     def upsert(self, docs: DataFrame) -> DataFrame:
         """Merge docs (path, content, mtime, and source_hash if their hash isn't that of the content); path, status of each.
 
@@ -123,34 +182,37 @@ class Catalog:
         """
         hashed = F.coalesce("source_hash", content_hash(F.col("content"))) if "source_hash" in docs.columns else content_hash(F.col("content"))
         new = docs.select("path", "content", F.col("mtime").cast("long").alias("mtime"), hashed.alias("hash"))
-        old = self.table("documents")
-        status = classify(old, new)
-        work = status.filter("status IN ('new', 'changed')").select("path")
-        merged = merge_documents(old, new).select(doc_key("path").alias("doc_id"), "path", "content", "mtime", "hash")
-        fresh = self.children(new.join(work, "path", "left_semi"))
-        kept = {t: without_paths(self.table(t), work) for t in ("paragraphs", "doc_tags")}
-        tables = {"documents": merged} | {t: kept[t].unionByName(fresh[t]).select(_names(t)) for t in kept}
-        vectors = self.table("vectors").join(kept["paragraphs"].select("para_id"), "para_id", "left_semi")
-        tables["vectors"] = vectors.unionByName(fresh["vectors"]) if self.embedder else vectors
-        self._commit(tables | {"report": status.join(new.select("path"), "path", "left_semi")})
-        return self.spark.read.schema("path string, status string").parquet(f"{self.current()}/report")
+        at = f"{self.path}/data-{uuid.uuid4().hex}/report"
+        classify(self.table("documents"), new).filter("status <> 'absent'").write.parquet(at)
+        report = self.spark.read.schema("path string, status string").parquet(at)
+        moved, work = self._buckets_of(report.filter("status <> 'unchanged'")), report.filter("status IN ('new', 'changed')").select("path")
+        if not moved:
+            return report
+        mine = new.join(report.filter("status <> 'unchanged'"), "path", "left_semi")
+        merged = merge_documents(self.table("documents", moved), mine).select(doc_key("path").alias("doc_id"), "path", "content", "mtime", "hash")
+        changes = {"documents": (moved, self._put("documents", merged, self.bucket()))}
+        if of := self._buckets_of(work):
+            changes |= self._children(of, work, new.join(work, "path", "left_semi"))
+        self._commit(changes)
+        return report
 
     def touch(self, path: str, mtime: int) -> None:
-        d = self.table("documents")
-        self._commit({"documents": d.withColumn("mtime", F.when(F.col("path") == path, F.lit(mtime).cast("long")).otherwise(F.col("mtime")))} | {t: self.table(t) for t in TABLES if t != "documents"})
+        of = self._buckets_of(self.spark.createDataFrame([(path,)], "path string"))
+        rows = self.table("documents", of).withColumn("mtime", F.when(F.col("path") == path, F.lit(mtime).cast("long")).otherwise(F.col("mtime")))
+        self._commit({"documents": (of, self._put("documents", rows, self.bucket()))})
 
     def delete(self, paths: list[str] | DataFrame) -> None:
         """Remove documents and their children; KeyError if a listed path isn't there."""
         if isinstance(paths, list):
             df = self.spark.createDataFrame([(p,) for p in paths], "path string")
-            gone = df.join(self.table("documents"), "path", "left_anti").head()
+            gone = df.join(self.table("documents", self._buckets_of(df)), "path", "left_anti").head()
             if gone:
                 raise KeyError(gone[0])
         else:
             df = paths
-        kept = {t: without_paths(self.table(t), df) for t in ("documents", "paragraphs", "doc_tags")}
-        kept = {t: x.select(_names(t)) for t, x in kept.items()}
-        self._commit(kept | {"vectors": self.table("vectors").join(kept["paragraphs"].select("para_id"), "para_id", "left_semi")})
+        of = self._buckets_of(df)
+        kept = without_paths(self.table("documents", of), df)
+        self._commit({"documents": (of, self._put("documents", kept, self.bucket()))} | self._children(of, df, None))
 
     def prune(self, listing: DataFrame, roots: list[str]) -> int:
         gone = missing_under(self.table("documents"), listing, roots)
@@ -160,7 +222,8 @@ class Catalog:
         return n
 
     def doc_hash(self, path: str) -> str:
-        row = self.table("documents").filter(F.col("path") == path).select("hash").head()
+        of = self._buckets_of(self.spark.createDataFrame([(path,)], "path string"))
+        row = self.table("documents", of).filter(F.col("path") == path).select("hash").head()
         return row[0] if row else ""
 
     def list_paths(self) -> DataFrame:

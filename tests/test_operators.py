@@ -99,6 +99,17 @@ def test_catalog(spark, tmp_path):
     assert cat.prune(listing, ["a.md"]) == 0 and cat.prune(listing, ["b"]) == 1
     assert [r.path for r in cat.list_paths().collect()] == ["a.md"] and cat.table("vectors").count() == 1
     assert cat.doc_hash("none") == "" and len(cat.doc_hash("a.md")) == 64
+    # a change writes its own buckets alone, and a lost writer's manifest doesn't count
+    put(*((f"d/{i}.md", f"text {i}", 1) for i in range(40)))
+    before = cat.current()["tables"]
+    put(("d/3.md", "other", 2))
+    after = cat.current()["tables"]
+    assert all(sum(after[t][b] != f for b, f in before[t].items()) == 1 for t in before)
+    (tmp_path / "ix/CURRENT-00000099").write_text("{half")
+    assert cat.current()["tables"] == after and put(("d/4.md", "again", 2)) == {"d/4.md": "changed"}
+    assert cat.table("documents").count() == 41 == cat.table("paragraphs").select("path").distinct().count() and cat.table("vectors").count() == 41
+    folders = {str(f.parent.relative_to(tmp_path / "ix")) for f in (tmp_path / "ix").glob("data-*/*/bucket=*/*.parquet")}
+    assert {f for x in cat.current()["tables"].values() for f in x.values()} <= folders
 
 
 def test_stale(spark):
