@@ -27,10 +27,15 @@ def corpus_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("doc_id", F.concat(F.lit("c/"), "doc_id", F.lit(".md")).alias("path"), F.array_join(F.transform("x", lambda v: v["t"]), "\n\n").alias("content"))
 
 
+#: How the frontmatter of a document is written, by doc_id: inline; a list; quoted; with CRLF; not closed, and so none.
+FORMS = ("---\ntags: [{0}, {1}]\n---\n", "---\ntitle: x\ntags:\n  - {0}\n  - {1}\nend: y\n---\n", "---\ntags: [\"{0}\", '{1}']\n---\n", "---\r\ntags: [{0}, {1}, {0}]\r\n---\r\n", "---\ntags: [{0}, {1}]\n")
+
+
 def corpus_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with frontmatter, in folders by source and language."""
+    """Documents with frontmatter in FORMS, in folders by source and language."""
     d = table(spark, sf_dir, "documents")
-    head = F.concat(F.lit("---\ntags: ["), "lang", F.lit(", "), "source", F.lit("]\n---\n"))
+    of = lambda form: F.replace(F.replace(F.lit(form), F.lit("{0}"), F.col("lang")), F.lit("{1}"), F.col("source"))
+    head = F.element_at(F.array(*[of(f) for f in FORMS]), (F.col("doc_id") % len(FORMS) + 1).cast("int"))
     return d.select("doc_id", F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("path"), F.concat(head, "text").alias("content"), "text")
 
 

@@ -95,10 +95,11 @@ j AS (SELECT case_id, EXISTS (SELECT 1 FROM h WHERE h.query_id = cases.query_id
 ORACLE: dict[str, str] = {
     "para_split": f"WITH {_split(_LINES + ' UNION ALL ' + _CONV)} SELECT path, seq, start_line, end_line, text FROM paras",
     "heading_breadcrumb": f"WITH {_split(_CONV)} SELECT path, seq, heading FROM paras",
-    "frontmatter_tags": "SELECT doc_id, CASE WHEN lower(lang) = lower(source) THEN lower(lang) ELSE lower(lang) || ',' || lower(source) END AS tags FROM documents",
+    "frontmatter_tags": "SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN '' WHEN lower(lang) = lower(source) THEN lower(lang) ELSE lower(lang) || ',' || lower(source) END AS tags FROM documents",
     "auto_tags": "SELECT doc_id, lower(source) || ',' || lower(lang) || ',md' AS tags FROM documents",
     "doc_tags_merged": f"WITH f AS ({_FM}) SELECT DISTINCT doc_id, path, unnest([lower(lang), lower(source), 'md']) AS tag FROM f",
-    "frontmatter_body_lines": f"SELECT doc_id, 3 AS n_front, sha256('v4' || chr(0) || {_NL} || {_NL} || {_NL} || replace(text, chr(13) || chr(10), {_NL})) AS body_hash FROM documents",
+    "frontmatter_body_lines": f"""WITH n AS (SELECT *, [3, 7, 3, 3, 0][doc_id % 5 + 1] AS n_front, replace(text, chr(13) || chr(10), {_NL}) AS t FROM documents)
+SELECT doc_id, CAST(n_front AS INTEGER) AS n_front, sha256('v4' || chr(0) || repeat({_NL}, n_front) || CASE WHEN n_front = 0 THEN '---' || {_NL} || 'tags: [' || lang || ', ' || source || ']' || {_NL} ELSE '' END || t) AS body_hash FROM n""",
     "add_frontmatter": f"SELECT doc_id, md5(CASE WHEN starts_with(text, '---') THEN text ELSE '---' || {_NL} || 'tags: [' || lang || ', ' || source || ']' || {_NL} || '---' || {_NL} || text END) AS digest FROM documents",
     "content_hash": "SELECT doc_id, sha256('v4' || chr(0) || text) AS hash FROM documents",
     "snippet": f"SELECT doc_id, {_SNIP} AS snippet FROM (SELECT doc_id, {_ONE} AS o FROM documents)",
