@@ -21,6 +21,7 @@ from ..functions.embedding import embed
 from ..functions.markup import merged_tags
 from ..functions.text import content_hash, embed_text, is_absolute_key
 from ..schemas import TABLES
+from .postings import build
 from .segment import split_paragraphs
 
 #: Buckets of a new index.
@@ -121,11 +122,11 @@ class Catalog:
     def bucket(self, path: str = "path") -> Column:
         return F.pmod(doc_key(path), F.lit(self.current()["buckets"])).cast("int")
 
-    def _put(self, name: str, rows: DataFrame, bucket: Column) -> dict[str, str]:
+    def _put(self, name: str, rows: DataFrame, bucket: Column, *by: str) -> dict[str, str]:
         """Write rows to a new folder; the folder of each bucket that has any."""
         fs, p = self._fs()
         at = f"data-{uuid.uuid4().hex}/{name}"
-        rows.select(*_names(name), bucket.alias("bucket")).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{at}")
+        rows.select(*_names(name), bucket.alias("bucket")).repartition("bucket").sortWithinPartitions("bucket", *by).write.partitionBy("bucket").parquet(f"{self.path}/{at}")
         found = [f.getPath().getName() for f in fs.listStatus(p(f"{self.path}/{at}"))]
         return {n[7:]: f"{at}/{n}" for n in found if n.startswith("bucket=")}
 
@@ -157,13 +158,14 @@ class Catalog:
         return paras.select(para_key("path", "seq").alias("para_id"), "doc_id", "path", "seq", "start_line", "end_line", "text", "heading")
 
     def _children(self, buckets: list[int], gone: DataFrame, docs: DataFrame | None) -> dict[str, tuple[list[int], dict[str, str]]]:
-        """Write the buckets of paragraphs, tags and vectors without those of the paths in gone, and with those of docs."""
+        """Write the buckets of paragraphs, tags, postings and vectors without those of the paths in gone, and with those of docs."""
         out = {}
         for name, of in (("paragraphs", self.paragraphs_of), ("doc_tags", self.tags_of)):
             rows = without_paths(self.table(name, buckets), gone).select(_names(name))
             rows = rows.unionByName(of(docs)) if docs is not None else rows
             out[name] = buckets, self._put(name, rows, self.bucket())
         paras = self._read("paragraphs", list(out["paragraphs"][1].values()))  # as written
+        out["postings"] = buckets, self._put("postings", build(paras, ("path",)), self.bucket(), "gram")
         mine = paras.select("para_id", "path", "heading", "text")
         rows = self.table("vectors", buckets).join(without_paths(mine, gone).select("para_id", "path"), "para_id")
         if docs is not None and self.embedder:

@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, score_from_distance, score_from_rank, trigrams, words
+from .postings import candidates, lengths
 
 K1, B = 1.2, 0.75
 #: Inverse document frequencies are at least this.
@@ -103,15 +104,23 @@ def term_frequencies(paras: DataFrame, qwords: DataFrame, text: str = "text") ->
     return reduce(DataFrame.unionByName, out)
 
 
-def bm25(paras: DataFrame, queries: DataFrame, text: str = "text") -> DataFrame:
+def bm25(paras: DataFrame, queries: DataFrame, text: str = "text", postings: DataFrame | None = None) -> DataFrame:
     """query_id, para_id, score of every paragraph that matches; statistics are over all of paras.
 
     Frequencies, document frequencies and lengths come from one pass over the
     texts: its rows are dealt by paragraph once, and read from there by both.
+    With postings (of paras), only paragraphs that can hold a word are read, and
+    the lengths come from the postings.
     """
     qw = query_words(queries)
-    tf = term_frequencies(paras, qw, text).repartition("para_id")
-    stats = tf.filter("word IS NULL").agg(F.sum("tf").alias("_N"), (F.sum("n_tri") / F.sum("tf")).alias("_avg"))
+    if postings is None:
+        tf = term_frequencies(paras, qw, text).repartition("para_id")
+        stats = tf.filter("word IS NULL").agg(F.sum("tf").alias("_N"), (F.sum("n_tri") / F.sum("tf")).alias("_avg"))
+    else:
+        found = [candidates(paras.sparkSession, postings, [r.word for r in b]) for b in blocks(qw.select("word").distinct(), "word", MAX_WORDS)]
+        some = paras.join(reduce(DataFrame.union, found), "para_id", "left_semi")
+        tf = term_frequencies(some, qw, text).filter("word IS NOT NULL").repartition("para_id")
+        stats = lengths(postings)
     df = tf.filter("word IS NOT NULL").groupBy("word").agg(F.count("*").alias("_df"))
     idf = F.greatest(F.log((F.col("_N") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)), F.lit(MIN_IDF))
     weights = qw.join(df, "word").join(F.broadcast(stats)).select("query_id", "word", "times", idf.alias("_idf"), "_avg")
@@ -133,9 +142,9 @@ def _allowed(rows: DataFrame, paras: DataFrame, doc_tags: DataFrame | None, tags
     return rows.join(with_all_tags(paras.select("para_id", "doc_id"), doc_tags, tags, "doc_id"), "para_id", "left_semi")
 
 
-def text_candidates(paras: DataFrame, queries: DataFrame, k: int, doc_tags: DataFrame | None = None, tags: list[str] | None = None) -> DataFrame:
+def text_candidates(paras: DataFrame, queries: DataFrame, k: int, doc_tags: DataFrame | None = None, tags: list[str] | None = None, postings: DataFrame | None = None) -> DataFrame:
     """query_id, para_id, rank by BM25; tags restrict the ranking, not its statistics."""
-    return ranked(_allowed(bm25(paras, queries), paras, doc_tags, tags), [F.desc("score")], k).select("query_id", "para_id", "rank")
+    return ranked(_allowed(bm25(paras, queries, postings=postings), paras, doc_tags, tags), [F.desc("score")], k).select("query_id", "para_id", "rank")
 
 
 def vector_candidates(vectors: DataFrame, queries: DataFrame, k: int, paras: DataFrame | None = None, doc_tags: DataFrame | None = None, tags: list[str] | None = None) -> DataFrame:
@@ -186,15 +195,15 @@ def fuse(text: DataFrame, vector: DataFrame, k: int) -> DataFrame:
     return ranked(both.groupBy("query_id", "para_id").agg(F.sum("part").alias("score")), [F.desc("score")], k)
 
 
-def search(mode: str, paras: DataFrame, queries: DataFrame, k: int = 10, vectors: DataFrame | None = None, doc_tags: DataFrame | None = None, tags: list[str] | None = None, fetch: int = FETCH) -> DataFrame:
+def search(mode: str, paras: DataFrame, queries: DataFrame, k: int = 10, vectors: DataFrame | None = None, doc_tags: DataFrame | None = None, tags: list[str] | None = None, fetch: int = FETCH, postings: DataFrame | None = None) -> DataFrame:
     """query_id, para_id, score, rank.  Modes: text, vector, hybrid (which returns 2 * fetch rows a query at most)."""
     check_k(k)
     if mode == "text":
-        return text_candidates(paras, queries, k, doc_tags, tags).withColumn("score", score_from_rank(F.col("rank")))
+        return text_candidates(paras, queries, k, doc_tags, tags, postings).withColumn("score", score_from_rank(F.col("rank")))
     if mode not in ("vector", "hybrid"):
         raise ValueError(f"unknown mode {mode!r}: text, vector or hybrid")
     if vectors is None:
         raise ValueError(f"mode {mode} needs vectors")
     if mode == "vector":
         return vector_candidates(vectors, queries, k, paras, doc_tags, tags).withColumn("score", score_from_distance(F.col("distance"))).drop("distance")
-    return fuse(text_candidates(paras, queries, fetch, doc_tags, tags), vector_candidates(vectors, queries, fetch, paras, doc_tags, tags), k)
+    return fuse(text_candidates(paras, queries, fetch, doc_tags, tags, postings), vector_candidates(vectors, queries, fetch, paras, doc_tags, tags), k)

@@ -6,7 +6,8 @@ DOCUMENTS = "doc_id long, path string, content string, mtime long, hash string"
 PARAGRAPHS = "para_id long, doc_id long, path string, seq int, start_line int, end_line int, text string, heading string"
 DOC_TAGS = "doc_id long, path string, tag string"
 VECTORS = "para_id long, embedding array<float>"
+POSTINGS = "gram string, para_id long, n int"
 QUERIES = "query_id long, query string"
 CASES = "query string, doc string, para int"
-TABLES = {"documents": DOCUMENTS, "paragraphs": PARAGRAPHS, "doc_tags": DOC_TAGS, "vectors": VECTORS}
+TABLES = {"documents": DOCUMENTS, "paragraphs": PARAGRAPHS, "doc_tags": DOC_TAGS, "vectors": VECTORS, "postings": POSTINGS}
 EMBED_DIM = 768

@@ -74,7 +74,7 @@ class Workspace:
         cat = self._checked()
         paras = cat.table("paragraphs")
         q = self.queries([texts] if isinstance(texts, str) else texts)
-        hits = retrieve.hydrate(rank.search(mode, paras, q, k, cat.table("vectors"), cat.table("doc_tags"), tags), paras)
+        hits = retrieve.hydrate(rank.search(mode, paras, q, k, cat.table("vectors"), cat.table("doc_tags"), tags, postings=cat.table("postings")), paras)
         hits = retrieve.stale_by(hits, cat.table("documents"), files.modified(F.col("doc"), self.root))
         return retrieve.expand_bodies(hits, paras, expand_top, expand_budget) if expand_top else hits
 

@@ -7,7 +7,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.operators import catalog, rank, retrieve
+from gleaner.operators import catalog, postings, rank, retrieve
 from gleaner.operators.catalog import Catalog
 from gleaner.sources import files
 from gleaner.streaming import ingest as stream
@@ -37,6 +37,10 @@ def test_bm25_like_sqlite(spark, monkeypatch, words):
     got = {}
     for r in rank.bm25(paras(spark, texts), asked(spark, *queries)).collect():
         got.setdefault(r.query_id, {})[r.para_id] = r.score
+    stored = postings.build(paras(spark, texts))
+    some = postings.candidates(spark, stored, ["parse", "zzz", "absent"])
+    assert sorted(r[0] for r in some.collect()) == [0, 1, 6]  # no other texts are read
+    assert sorted(map(tuple, rank.bm25(paras(spark, texts), asked(spark, *queries), postings=stored).collect())) == sorted(map(tuple, rank.bm25(paras(spark, texts), asked(spark, *queries)).collect()))
     for i, q in enumerate(queries):
         match = " OR ".join(f'"{w}"' for w in q.split())
         want = {a: -b for a, b in db.execute("select rowid, bm25(f) from f where f match ?", (match,))}
