@@ -34,9 +34,9 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches, by settings of the session where they are the default, and make this package importable on executors."""
-    for name, default, value in (("maxRecordsPerBatch", 10_000, ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES + 1, ARROW_BYTES)):
-        if int(spark.conf.get(f"spark.sql.execution.arrow.{name}", str(default))) >= default:
+    """Bound the Arrow batches, by settings of the session where it has none of its own, and make this package importable on executors."""
+    for name, value in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", None) is None:
             spark.conf.set(f"spark.sql.execution.arrow.{name}", str(value))
     ship(spark)
 
