@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, classifier, mixing, outliers, simhash, substring, warc
+from . import ann, audit, bpe, classifier, ctw, mixing, outliers, resampling, simhash, substring, warc
 from . import pages as html_pages
 
 
@@ -69,6 +69,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_texts(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_revisits": op1_warc_revisits,
     "op2_main_text": op2_main_text,
@@ -80,6 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
+    "op11_lm_scoring": op11_lm_scoring,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 #: Records with equal payloads of at least 1000 bytes refer to the greatest page_id among them.
@@ -105,4 +120,4 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0)
 FROM d LEFT JOIN s USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_substring_dedup": SUBSTRING_SQL, "op1_warc_revisits": WARC_SQL, "op9_mixing": mixing.PLAN_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_substring_dedup": SUBSTRING_SQL, "op1_warc_revisits": WARC_SQL, "op9_mixing": mixing.PLAN_SQL, "op12_importance_resampling": resampling.RESAMPLING_SQL, "op13_filter_audit": audit.AUDIT_SQL}
