@@ -59,10 +59,10 @@ def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     rows = only(docs, doc_id="long", text="string", lang="string").withColumn("lang", F.coalesce("lang", F.lit("")))
     rows = stage(arrow_map(rows, run, "doc_id long, part string, A boolean, B boolean, C boolean, D boolean, digest binary"), "audit-rows")
-    first = rows.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    first = stage(rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "audit-repeated")
     marks = only(labels, doc_id="long", quality="int", toxic="int").dropna(subset=["doc_id"])
     marks = marks.groupBy("doc_id").agg(*[F.coalesce(F.max(F.col(c) == 1), F.lit(False)).alias(a) for c, a in (("quality", "good"), ("toxic", "toxic"))])
-    both = rows.join(first, "digest").join(marks, "doc_id", "left")
+    both = rows.join(first, "digest", "left").join(marks, "doc_id", "left")
     flags = [F.coalesce(F.col(c), F.lit(False)).alias(c) for c in ("good", "toxic")]
     return stage(both.select("part", *"ABCD", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("E"), *flags), "audit-verdicts")
 
