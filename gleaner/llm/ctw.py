@@ -315,6 +315,26 @@ class Model:
         return out
 
 
+def _gathered(model: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The keys and values of a model of bounded size, brought to the driver a packed block at a time."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= ROWS:
+                yield packed(held)
+                held = []
+        if held:
+            yield packed(held)
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({n: pa.array([b"".join(x.column(n).to_numpy().tobytes() for x in held)], pa.binary()) for n in ("key", "lp")})
+
+    rows = list(arrow_map(model.coalesce(8), pack, "key binary, lp binary").toLocalIterator())
+    return np.frombuffer(b"".join(r["key"] for r in rows), np.int64), np.frombuffer(b"".join(r["lp"] for r in rows))
+
+
 def _words(texts: list[str], rids: np.ndarray, learn: np.ndarray) -> Iterator[pa.RecordBatch]:
     """word, n (in training texts), rids, counts: the words of these texts, and " " once in each as its end."""
     some: list[bytes] = []
@@ -414,9 +434,8 @@ def score_texts(docs: DataFrame, sent: int = SENT) -> DataFrame:
     model = learn(string_counts(rows))
     rows = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "train", "text")
     if model.count() <= sent:
-        table = model.toPandas()
         name = "byte-model", uuid.uuid4().hex
-        found = docs.sparkSession.sparkContext.broadcast((table["key"].to_numpy(), table["lp"].to_numpy()))
+        found = docs.sparkSession.sparkContext.broadcast(_gathered(model))
 
         def score(texts: list[str]) -> np.ndarray:
             cache = worker_cache()
