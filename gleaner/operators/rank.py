@@ -2,9 +2,8 @@
 
 A query table has query_id, and query (text) or qvec (array).  Query sets are
 stated and small beside the corpus.  All their words are looked for in one pass
-over the texts, by one automaton; vectors are ranked by matrix products, and of
-each batch only what can be among the first k goes on.  Sets beyond a block's
-size take a pass for each block.
+over the texts, by one automaton (sets beyond a block's size take a pass for
+each block); vectors are joined by pivots (see knn).
 """
 
 from __future__ import annotations
@@ -14,7 +13,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import ahocorasick
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row
@@ -22,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, score_from_distance, score_from_rank, trigrams, words
+from .knn import knn_join
 from .postings import candidates, lengths
 
 K1, B = 1.2, 0.75
@@ -33,9 +32,8 @@ RRF_K, TEXT_WEIGHT, VECTOR_WEIGHT = 60, 0.5, 1.0
 FETCH = 50
 #: Scores are rounded before they are ranked, so that sums in another order rank alike.
 DIGITS = 9
-#: Distinct words, and vectors, of a query set that one pass looks for.
+#: Distinct words of a query set that one pass looks for.
 MAX_WORDS = 100_000
-MAX_VECTORS = 4096
 
 
 def check_k(k: int) -> int:
@@ -151,41 +149,7 @@ def vector_candidates(vectors: DataFrame, queries: DataFrame, k: int, paras: Dat
     """query_id, para_id, distance, rank by L2 distance among the rows that have the tags."""
     if tags:
         vectors = _allowed(vectors, paras, doc_tags, tags)
-    check_k(k)
-    rows = vectors.select("para_id", "embedding").filter("embedding IS NOT NULL")
-    types = {c: queries.schema[c].dataType.simpleString() for c in ("query_id",)} | {"para_id": rows.schema["para_id"].dataType.simpleString()}
-    out = []
-    for block in blocks(queries.select("query_id", "qvec").filter("qvec IS NOT NULL"), "query_id", MAX_VECTORS):
-        near = rows.mapInArrow(_nearest([r.query_id for r in block], [list(r.qvec) for r in block], k), f"query_id {types['query_id']}, para_id {types['para_id']}, distance double")
-        out.append(ranked(near.withColumn("distance", F.round("distance", DIGITS)), [F.col("distance")], k))
-    return reduce(DataFrame.unionByName, out)
-
-
-def _nearest(ids: list, vecs: list[list[float]], k: int):
-    """Over (para_id, embedding): for each query the first k of a batch, and what ties with them."""
-    by_size: dict[int, list[int]] = {}
-    for i, v in enumerate(vecs):
-        by_size.setdefault(len(v), []).append(i)
-    sets = {n: (np.array(at), np.array([vecs[i] for i in at], np.float64)) for n, at in by_size.items()}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        who = pa.array(ids)
-        for b in batches:
-            sizes = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
-            for n, (at, q) in sets.items():
-                rows = np.flatnonzero(sizes == n)
-                if not len(rows) or not k:
-                    continue
-                m = b.column(1).take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), n)
-                for first in range(0, len(q), 256):
-                    some = q[first : first + 256]
-                    d = np.maximum((m * m).sum(1)[:, None] + (some * some).sum(1) - 2 * (m @ some.T), 0)
-                    last = np.partition(d, k - 1, axis=0)[k - 1] if len(rows) > k else np.full(len(some), np.inf)
-                    i, j = np.nonzero(d <= last + 1e-7 * (1 + np.where(np.isinf(last), 0, last)))
-                    exact = np.sqrt(((m[i] - some[j]) ** 2).sum(1))
-                    yield pa.RecordBatch.from_arrays([who.take(pa.array(at[first + j])), b.column(0).take(pa.array(rows[i])), pa.array(exact)], ["query_id", "para_id", "distance"])
-
-    return run
+    return knn_join(vectors, queries, k).drop("compared")
 
 
 def fuse(text: DataFrame, vector: DataFrame, k: int) -> DataFrame:

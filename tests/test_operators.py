@@ -224,27 +224,6 @@ def test_requests_are_not_broadcast(spark):
     assert {"get_document", "get_paragraph_context"} <= set(QUERIES)
 
 
-def test_vectors_like_brute_force(spark, monkeypatch):
-    import numpy as np
-
-    rng = np.random.default_rng(2)
-    vecs = rng.integers(-3, 4, (400, 6)).astype(float)  # many ties
-    rows = [(i, v.tolist()) for i, v in enumerate(vecs)] + [(900, None), (901, [1.0])]
-    v = spark.createDataFrame(rows, "para_id long, embedding array<float>").repartition(5)
-    q = spark.createDataFrame([(i, vecs[i].tolist()) for i in range(0, 400, 20)], "query_id long, qvec array<float>")
-    want = {}
-    for i in range(0, 400, 20):
-        d = np.round(np.sqrt(((vecs - vecs[i]) ** 2).sum(1)), 9)
-        want[i] = sorted(zip(d.tolist(), range(400), strict=True))[:7]
-    for size in (4096, 6):
-        monkeypatch.setattr(rank, "MAX_VECTORS", size)
-        got = {}
-        for r in rank.vector_candidates(v, q, 7).collect():
-            got.setdefault(r.query_id, []).append((r.distance, r.para_id))
-        assert {i: sorted(x) for i, x in got.items()} == want
-    assert rank.vector_candidates(v, q.filter("false"), 7).count() == 0
-
-
 def test_passages_in_documents(spark, monkeypatch):
     from gleaner.operators import evaluate
 
