@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fold, score_from_distance, score_from_rank, trigrams, words
 from .knn import knn_join
-from .postings import candidates, lengths
+from .postings import lengths, matches
+from .topk import Ranking, saturated
 
 K1, B = 1.2, 0.75
 #: Inverse document frequencies are at least this.
@@ -102,30 +103,41 @@ def term_frequencies(paras: DataFrame, qwords: DataFrame, text: str = "text") ->
     return reduce(DataFrame.unionByName, out)
 
 
+def _idf(n: Column, df: Column) -> Column:
+    return F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(MIN_IDF))
+
+
+_impact = saturated(K1, B)
+
+
 def bm25(paras: DataFrame, queries: DataFrame, text: str = "text", postings: DataFrame | None = None) -> DataFrame:
     """query_id, para_id, score of every paragraph that matches; statistics are over all of paras.
 
     Frequencies, document frequencies and lengths come from one pass over the
     texts: its rows are dealt by paragraph once, and read from there by both.
-    With postings (of paras), only paragraphs that can hold a word are read, and
-    the lengths come from the postings.
+    With postings (of paras) they come from these alone, and no text is read.
     """
     qw = query_words(queries)
     if postings is None:
         tf = term_frequencies(paras, qw, text).repartition("para_id")
         stats = tf.filter("word IS NULL").agg(F.sum("tf").alias("_N"), (F.sum("n_tri") / F.sum("tf")).alias("_avg"))
     else:
-        found = [candidates(paras.sparkSession, postings, [r.word for r in b]) for b in blocks(qw.select("word").distinct(), "word", MAX_WORDS)]
-        some = paras.join(reduce(DataFrame.union, found), "para_id", "left_semi")
-        tf = term_frequencies(some, qw, text).filter("word IS NOT NULL").repartition("para_id")
-        stats = lengths(postings)
+        tf, stats = matches(postings, qw), lengths(postings)
     df = tf.filter("word IS NOT NULL").groupBy("word").agg(F.count("*").alias("_df"))
-    idf = F.greatest(F.log((F.col("_N") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)), F.lit(MIN_IDF))
-    weights = qw.join(df, "word").join(F.broadcast(stats)).select("query_id", "word", "times", idf.alias("_idf"), "_avg")
-    part = F.col("times") * F.col("_idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_tri") / F.col("_avg")))
+    weights = qw.join(df, "word").join(F.broadcast(stats)).select("query_id", "word", "times", _idf(F.col("_N"), F.col("_df")).alias("_idf"), "_avg")
+    part = F.col("times") * F.col("_idf") * _impact(F.col("tf"), F.col("n_tri"), F.col("_avg"))
     return tf.join(weights, "word").groupBy("query_id", "para_id").agg(F.round(F.sum(part), DIGITS).alias("score"))
 
 
+def text_topk(paras: DataFrame, queries: DataFrame, k: int, text: str = "text", postings: DataFrame | None = None) -> Ranking:
+    """The ranking of the first k by bm25, which opens only blocks of paragraphs that can hold one of them."""
+    qw = query_words(queries)
+    if postings is None:
+        return Ranking(term_frequencies(paras, qw, text), qw, check_k(k), None, _idf, _impact, DIGITS)
+    found = matches(postings, qw)
+    return Ranking(found.repartition("para_id").sortWithinPartitions("para_id"), qw, check_k(k), lengths(postings), _idf, _impact, DIGITS)
+
+
 def ranked(rows: DataFrame, order: list[Column], k: int) -> DataFrame:
     """The first k of each query, with rank from 1; ties go to the smaller para_id."""
     w = W.partitionBy("query_id").orderBy(*order, "para_id")
@@ -142,6 +154,8 @@ def _allowed(rows: DataFrame, paras: DataFrame, doc_tags: DataFrame | None, tags
 
 def text_candidates(paras: DataFrame, queries: DataFrame, k: int, doc_tags: DataFrame | None = None, tags: list[str] | None = None, postings: DataFrame | None = None) -> DataFrame:
     """query_id, para_id, rank by BM25; tags restrict the ranking, not its statistics."""
+    if not tags:
+        return text_topk(paras, queries, k, postings=postings).first().select("query_id", "para_id", "rank")
     return ranked(_allowed(bm25(paras, queries, postings=postings), paras, doc_tags, tags), [F.desc("score")], k).select("query_id", "para_id", "rank")
 
 

@@ -38,8 +38,10 @@ def test_bm25_like_sqlite(spark, monkeypatch, words):
     for r in rank.bm25(paras(spark, texts), asked(spark, *queries)).collect():
         got.setdefault(r.query_id, {})[r.para_id] = r.score
     stored = postings.build(paras(spark, texts))
-    some = postings.candidates(spark, stored, ["parse", "zzz", "absent"])
-    assert sorted(r[0] for r in some.collect()) == [0, 1, 6]  # no other texts are read
+    some = postings.matches(stored, rank.query_words(asked(spark, "parse zzz absent")))
+    assert sorted(map(tuple, some.select("para_id", "word", "tf").collect())) == [(0, "parse", 1), (1, "zzz", 5), (6, "parse", 2)]
+    plan = rank.bm25(paras(spark, texts), asked(spark, *queries), postings=spark.createDataFrame(stored.collect(), stored.schema))._jdf.queryExecution().optimizedPlan().toString()
+    assert "heading" not in plan and "start_line" not in plan  # texts are not read
     assert sorted(map(tuple, rank.bm25(paras(spark, texts), asked(spark, *queries), postings=stored).collect())) == sorted(map(tuple, rank.bm25(paras(spark, texts), asked(spark, *queries)).collect()))
     for i, q in enumerate(queries):
         match = " OR ".join(f'"{w}"' for w in q.split())
