@@ -88,7 +88,8 @@ def run(argv: list[str], spark: SparkSession | None = None, stdin=None) -> int:
     spark = spark or SparkSession.builder.master("local[*]").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.shuffle.partitions", "8").getOrCreate()
     ws = Workspace(spark, a.db)
     if command == "index":
-        print(", ".join(f"{n} {what}" for what, n in ws.index(a.args, a.include_code, a.prune).items()))
+        say = lambda what, text: print(f"pruned {text}") if what == "pruned" else print(text, file=sys.stderr)
+        print(", ".join(f"{n} {what}" for what, n in ws.index(a.args, a.include_code, a.prune, say).items()))
     elif command == "search":
         hits = ws.search(a.args[0], a.mode, a.k, a.tag, a.expand_top, a.expand_budget)
         rows = hits.orderBy("rank").select("stale", hit_json(hits).alias("json"), hit_lines(hits).alias("text")).collect()  # k rows

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 from ..schemas import EMBED_DIM
 from .text import let
 
+#: Tokens of a text that are embedded: what a model of 1024 has room for beside its two marks.
+BUDGET = 1022
+_TOKEN = re.compile(r"\w+|[^\w\s]")
 Embedder = Callable[[list[str]], np.ndarray]
 
 
@@ -26,6 +30,27 @@ def hash_embedder(texts: list[str], dim: int = EMBED_DIM) -> np.ndarray:
     return out
 
 
+def truncated(text: str, budget: int = BUDGET) -> str:
+    """The text up to the end of its token number `budget`; tokens are runs of letters and digits, and other characters one by one."""
+    if len(text) <= budget:
+        return text
+    for n, m in enumerate(_TOKEN.finditer(text), 1):
+        if n == budget:
+            return text[: m.end()]
+    return text
+
+
+def prepared(embedder: Embedder, budget: int = BUDGET) -> Embedder:
+    """The embedder with texts held to a budget of tokens and vectors of length one (a zero vector stays zero)."""
+
+    def run(texts: list[str]) -> np.ndarray:
+        v = np.asarray(embedder([truncated(t, budget) for t in texts]), np.float64)
+        norm = np.sqrt((v * v).sum(1, keepdims=True)) if len(v) else v
+        return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0).astype(np.float32)
+
+    return run
+
+
 def embed(text: Column, embedder: Embedder = hash_embedder) -> Column:
     """Arrow batches to the embedder, which a worker can build once and keep."""
 
@@ -41,8 +66,3 @@ def l2_normalize(v: Column) -> Column:
     """Unit length, summed in double; a zero vector stays zero."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     return let(norm, lambda n: F.when(n == 0, v).otherwise(F.transform(v, lambda x: (x.cast("double") / n).cast("float"))))
-
-
-def l2_distance(a: Column, b: Column) -> Column:
-    sq = F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    return F.sqrt(sq)

@@ -77,12 +77,6 @@ def trigrams(text: Column) -> Column:
     return F.greatest(F.lit(0), F.length(text) - 2)
 
 
-def occurrences(text: Column, word: Column) -> Column:
-    """Overlapping occurrences of word in text, both folded."""
-    quoted = F.concat(F.lit(r"(?=\Q"), F.replace(word, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
-    return F.when(F.contains(text, word), F.regexp_count(text, quoted)).otherwise(F.lit(0))
-
-
 def is_absolute_key(path: Column) -> Column:
     return path.rlike(r"^(/|[A-Za-z]:[/\\])")
 

@@ -20,6 +20,8 @@ from ..functions.text import content_hash
 CODE_EXTENSIONS = (".go", ".py", ".js", ".ts", ".java", ".c", ".cpp", ".h", ".rs")
 MAX_FILE_BYTES = 10 * 1024 * 1024
 SNIFF_BYTES = 8192
+#: Seconds after which a converter is stopped.
+CONVERT_SECONDS = 300
 CONFIG_NAME = "config.json"
 FOLDER = ".gleaner"
 DEFAULT_DB = "index"
@@ -118,6 +120,16 @@ def gone(file: str) -> bool:
         return True
 
 
+def is_gone(path: Column, root: str) -> Column:
+    """gone for the files that keys stand for, looked at by the executors."""
+
+    @F.pandas_udf("boolean")
+    def run(keys: pd.Series) -> pd.Series:
+        return pd.Series([gone(os.path.join(root, k)) for k in keys], dtype=bool)
+
+    return run(path)
+
+
 def modified(path: Column, root: str) -> Column:
     """mtime (seconds) of the files that keys stand for, null for those that can't be looked at: only these are, not the tree."""
 
@@ -158,21 +170,29 @@ def ingest_filter(files: DataFrame, include_code: bool = False) -> DataFrame:
     return files.withColumn("verdict", verdict)
 
 
-def convert(argv: list[str], file: str) -> str:
-    """What the converter writes for a file; {input} in its arguments is the file."""
-    done = subprocess.run([argv[0], *[a.replace("{input}", file) for a in argv[1:]]], capture_output=True, check=True)
-    return done.stdout.decode("utf-8", "replace")
+def convert(argv: list[str], file: str, seconds: float = CONVERT_SECONDS) -> tuple[str | None, str | None]:
+    """What the converter writes for a file (None if it fails or takes too long), and to its standard error; {input} in its arguments is the file."""
+    try:
+        done = subprocess.run([argv[0], *[a.replace("{input}", file) for a in argv[1:]]], capture_output=True, timeout=seconds)
+    except subprocess.TimeoutExpired as e:
+        return None, ((e.stderr or b"").decode("utf-8", "replace") + f"stopped after {seconds} s").strip()
+    except OSError as e:
+        return None, str(e)
+    said = done.stderr.decode("utf-8", "replace").strip()
+    if done.returncode:
+        return None, said or f"exit code {done.returncode}"
+    return done.stdout.decode("utf-8", "replace"), said or None
 
 
-def read_files(files: DataFrame, config: Config | None = None, include_code: bool = False, known: dict[str, str] | None = None) -> DataFrame:
-    """path, content, mtime, source_hash, verdict of listed files, read by the executors.
+def read_files(files: DataFrame, config: Config | None = None, include_code: bool = False) -> DataFrame:
+    """path, content, mtime, source_hash, verdict, note of listed files, read by the executors.
 
     Files with a converter are converted, whatever their size; their hash is
-    that of the source bytes, and those whose hash is known are not converted
-    again (content null).  A converter that fails skips its file alone.
+    that of the source bytes, and those whose hash is known (a column of files) are not converted
+    again (content null).  A converter that fails skips its file alone; what it
+    writes to its standard error is the note.
     """
     settings = config or Config()
-    known = known or {}
     code = () if include_code else CODE_EXTENSIONS
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -180,20 +200,18 @@ def read_files(files: DataFrame, config: Config | None = None, include_code: boo
 
         for b in batches:
             rows = []
-            for path, file, mtime, size in b[["path", "file", "mtime", "size"]].itertuples(index=False):
+            for path, file, mtime, size, known in b[["path", "file", "mtime", "size", "known"]].itertuples(index=False):
                 ext = extension(path)
-                content = digest = None
+                content = digest = note = None
                 verdict = "indexed"
                 if ext in code:
                     verdict = "excluded"
                 elif argv := settings.converter_for(ext):
                     with open(file, "rb") as f:
                         digest = hashlib.sha256(b"v4\0" + f.read()).hexdigest()
-                    if known.get(path) != digest:
-                        try:
-                            content = convert(argv, file)
-                        except (OSError, subprocess.CalledProcessError):
-                            verdict = "skipped"
+                    if known != digest:
+                        content, note = convert(argv, file)
+                        verdict = "skipped" if content is None else verdict
                 elif size > MAX_FILE_BYTES:
                     verdict = "skipped"
                 else:
@@ -203,10 +221,11 @@ def read_files(files: DataFrame, config: Config | None = None, include_code: boo
                         verdict = "skipped"
                     else:
                         content = raw.decode("utf-8", "replace")
-                rows.append((path, content, mtime, digest, verdict))
-            yield pd.DataFrame(rows, columns=["path", "content", "mtime", "source_hash", "verdict"])
+                rows.append((path, content, mtime, digest, verdict, note))
+            yield pd.DataFrame(rows, columns=["path", "content", "mtime", "source_hash", "verdict", "note"])
 
-    out = files.mapInPandas(run, "path string, content string, mtime long, source_hash string, verdict string")
+    known = F.col("known") if "known" in files.columns else F.lit(None).cast("string").alias("known")
+    out = files.select("path", "file", "mtime", "size", known).mapInPandas(run, "path string, content string, mtime long, source_hash string, verdict string, note string")
     return out.withColumn("source_hash", F.coalesce("source_hash", content_hash(F.col("content"))))
 
 

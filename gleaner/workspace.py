@@ -7,15 +7,16 @@ import os
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.embedding import hash_embedder
+from .functions.embedding import hash_embedder, prepared
 from .functions.text import embed_query
 from .operators import evaluate, rank, retrieve
-from .operators.catalog import Catalog, absolute_keys
+from .operators.catalog import Catalog
 from .session import ship
 from .sources import files
+from .staging import stage
 
 
 class Workspace:
@@ -25,8 +26,8 @@ class Workspace:
         self.db = os.path.abspath(db or files.default_db(os.environ.get("GLEANER_DB"), os.getcwd()))
         self.root = files.workspace_root(self.db)
         self.config = files.load_config(self.root)
-        self.embedder = embedder
-        self.catalog = Catalog(spark, f"file://{self.db}", embedder)
+        self.embedder = embedder and prepared(embedder)
+        self.catalog = Catalog(spark, f"file://{self.db}", self.embedder)
 
     @staticmethod
     def init(root: str) -> str:
@@ -37,25 +38,31 @@ class Workspace:
             (at / files.CONFIG_NAME).write_text(json.dumps({"db": files.DEFAULT_DB, "converters": {}}, indent=2) + "\n")
         return str(at)
 
-    def _checked(self) -> Catalog:
-        if bad := absolute_keys(self.catalog.table("documents")).head():
-            raise ValueError(f"the index has an absolute key ({bad[0]}); make it anew")
-        return self.catalog
+    def index(self, roots: list[str], include_code: bool = False, prune: bool = False, say: Callable[[str, str], None] | None = None) -> dict[str, int]:
+        """Counts of indexed, skipped, excluded, unchanged and pruned files.
 
-    def index(self, roots: list[str], include_code: bool = False, prune: bool = False) -> dict[str, int]:
-        """Counts of indexed, skipped, excluded, unchanged and pruned files."""
+        say gets ("pruned", key) for each key that is pruned, and ("note", text) for what converters wrote to their standard error.
+        """
         found = files.listing(self.spark, roots, self.root)
-        cat = self._checked()
-        known = {r.path: r.hash for r in cat.table("documents").select("path", "hash").collect()} if self.config.converters else {}
-        rows = files.read_files(found, self.config, include_code, known).cache()
-        n = {r.verdict: r["count"] for r in rows.groupBy("verdict").count().collect()}
-        old = cat.table("documents").select("path", F.col("content").alias("_old"))
-        docs = rows.filter("verdict = 'indexed'").join(old, "path", "left").select("path", F.coalesce("content", "_old").alias("content"), "mtime", "source_hash")
+        cat = self.catalog.checked()
+        old = cat.table("documents")
+        known = found.join(old.select("path", F.col("hash").alias("known")), "path", "left") if self.config.converters else found
+        seen = Observation()
+        verdicts = ("indexed", "skipped", "excluded")
+        rows = stage(files.read_files(known, self.config, include_code).observe(seen, *[F.count_if(F.col("verdict") == v).alias(v) for v in verdicts], F.count("note").alias("notes")), "files")
+        docs = rows.filter("verdict = 'indexed'").join(old.select("path", F.col("content").alias("_old")), "path", "left").select("path", F.coalesce("content", "_old").alias("content"), "mtime", "source_hash")
         status = {r.status: r["count"] for r in cat.upsert(docs).groupBy("status").count().collect()}
-        out = {"indexed": status.get("new", 0) + status.get("changed", 0), "unchanged": status.get("touched", 0) + status.get("unchanged", 0), "skipped": n.get("skipped", 0), "excluded": n.get("excluded", 0), "pruned": 0}
+        n = seen.get
+        out = {"indexed": status.get("new", 0) + status.get("changed", 0), "unchanged": status.get("touched", 0) + status.get("unchanged", 0), "skipped": n["skipped"], "excluded": n["excluded"], "pruned": 0}
+        if say and n["notes"]:
+            for r in rows.filter("note IS NOT NULL").select("path", "note").toLocalIterator():
+                say("note", f"{r.path}: {r.note}")
         if prune:
-            out["pruned"] = cat.prune(found, [files.normalize_path(r, self.root) for r in roots])
-        rows.unpersist()
+            pruned = cat.prune(found, [files.normalize_path(r, self.root) for r in roots], lambda path: files.is_gone(path, self.root))
+            out["pruned"] = pruned.count()
+            if say and out["pruned"]:
+                for r in pruned.orderBy("path").toLocalIterator():
+                    say("pruned", r.path)
         return out
 
     def queries(self, texts: list[str]) -> DataFrame:
@@ -71,7 +78,7 @@ class Workspace:
         """Hits of one or many queries: query_id, rank, score, doc, para, lines, snippet, heading, stale (and body)."""
         if (expand_top, expand_budget) != (0, 0) and (expand_top <= 0 or expand_budget <= 0):
             raise ValueError("expand_top and expand_budget must both be positive")
-        cat = self._checked()
+        cat = self.catalog.checked()
         paras = cat.table("paragraphs")
         q = self.queries([texts] if isinstance(texts, str) else texts)
         hits = retrieve.hydrate(rank.search(mode, paras, q, k, cat.table("vectors"), cat.table("doc_tags"), tags, postings=cat.table("postings")), paras)
@@ -80,7 +87,7 @@ class Workspace:
 
     def get(self, key: str, lines: tuple[int, int] | None = None, para: int | None = None, context: int = 0) -> str | None:
         """By the key as it stands, else by its path within the workspace."""
-        cat = self._checked()
+        cat = self.catalog.checked()
         docs, paras = cat.table("documents"), cat.table("paragraphs")
         got = retrieve.get_content(docs, paras, files.clean_key(key), lines, para, context)
         if got is None and (rel := files.normalize_path(key, self.root)) != files.clean_key(key):

@@ -69,8 +69,6 @@ def test_text_functions(spark):
     assert one(text.fts_query, " \u3000") == ""
     assert one(text.snippet, " a\n\u3000 b ") == "a b"
     assert one(text.snippet, "é" * 121) == "é" * 120 + "…"
-    assert one(lambda c: text.occurrences(c, F.lit("zzz")), "zzzzzz") == 4
-    assert one(lambda c: text.occurrences(c, F.lit("a\\Eb")), "xa\\Eb") == 1
     assert one(lambda c: markup.with_frontmatter(c, F.array(F.lit("a"), F.lit("b"))), "t") == "---\ntags: [a, b]\n---\nt"
     assert [one(text.is_absolute_key, k) for k in ("/x", "C:/x", "x/y")] == [True, True, False]
 

@@ -102,7 +102,7 @@ def test_catalog(spark, tmp_path):
     with pytest.raises(KeyError):
         cat.delete(["none"])
     listing = spark.createDataFrame([("a.md",)], "path string")
-    assert cat.prune(listing, ["a.md"]) == 0 and cat.prune(listing, ["b"]) == 1
+    assert cat.prune(listing, ["a.md"]).count() == 0 and [r.path for r in cat.prune(listing, ["b"]).collect()] == ["b/c.md"]
     assert [r.path for r in cat.list_paths().collect()] == ["a.md"] and cat.table("vectors").count() == 1
     assert cat.doc_hash("none") == "" and len(cat.doc_hash("a.md")) == 64
     # a change writes its own buckets alone, and a lost writer's manifest doesn't count
