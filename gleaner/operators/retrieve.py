@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import line_label, lines, snippet
 
-#: Up to this context a wanted paragraph is joined by each place around it, beyond by its document.
-EXPLODED = 100
-
 
 def hydrate(ranking: DataFrame, paras: DataFrame) -> DataFrame:
     """query_id, rank, score, doc, para, lines, snippet, heading (null if empty): one join, after ranking.
@@ -60,18 +57,20 @@ def get_documents(documents: DataFrame, paths: DataFrame) -> DataFrame:
 def get_paragraphs(paras: DataFrame, wanted: DataFrame, context: int = 0) -> DataFrame:
     """path, para, content: for each (path, para) wanted, that paragraph and `context` on both sides, joined by a blank line.
 
-    A wanted paragraph that doesn't exist gives no row.
+    A wanted paragraph that doesn't exist gives no row.  The paragraphs of a
+    document lie in bands of context + 1, so a wanted one is joined to three bands
+    at most, whatever the context.
     """
     if context < 0:
         raise ValueError("context must not be negative")
+    width = context + 1
     w = wanted.select("path", "para").filter("para >= 0").distinct()
-    if context <= EXPLODED:
-        w = w.withColumn("seq", F.explode(F.sequence(F.greatest(F.col("para") - context, F.lit(0)), F.col("para") + context)))
-        near = paras.join(w, ["path", "seq"])
-    else:
-        near = paras.join(w, "path").filter(F.col("seq").between(F.col("para") - context, F.col("para") + context))
-    out = near.groupBy("path", "para").agg(F.sort_array(F.collect_list(F.struct("seq", "text"))).alias("x"), F.max(F.col("seq") == F.col("para")).alias("there"))
-    return out.filter("there").select("path", "para", F.array_join(F.transform("x", lambda v: v["text"]), "\n\n").alias("content"))
+    bands = paras.groupBy("path", F.floor(F.col("seq") / width).alias("band")).agg(F.collect_list(F.struct("seq", "text")).alias("x"))
+    first, last = F.floor(F.greatest(F.col("para") - context, F.lit(0)) / width), F.floor((F.col("para") + context) / width)
+    near = w.withColumn("band", F.explode(F.sequence(first, last))).join(bands, ["path", "band"])
+    out = near.groupBy("path", "para").agg(F.flatten(F.collect_list("x")).alias("x")).filter(F.exists("x", lambda v: v["seq"] == F.col("para")))
+    inside = F.sort_array(F.filter("x", lambda v: v["seq"].between(F.col("para") - context, F.col("para") + context)))
+    return out.select("path", "para", F.array_join(F.transform(inside, lambda v: v["text"]), "\n\n").alias("content"))
 
 
 def get_lines(documents: DataFrame, path: str | None, first: int, last: int) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash
+from .folder import NAME, FolderSource
 
 #: Source code, left out unless asked for.
 CODE_EXTENSIONS = (".go", ".py", ".js", ".ts", ".java", ".c", ".cpp", ".h", ".rs")
@@ -83,34 +84,6 @@ def extension(path: str) -> str:
     return name[name.rindex(".") :].lower() if "." in name else ""
 
 
-def walk(roots: list[str], root: str) -> list[tuple[str, str, int, int]]:
-    """(key, file, mtime in seconds, bytes) of all files, in order; folders that start with a dot are passed over."""
-    for r in roots:  # all of them before anything is read
-        normalize_path(r, root)
-        if not os.path.exists(r):
-            raise FileNotFoundError(r)
-    out = []
-    for r in roots:
-        if os.path.isfile(r):
-            found = [r]
-        else:
-            found = []
-            for d, dirs, names in os.walk(r, onerror=_abort):
-                dirs[:] = sorted(x for x in dirs if not x.startswith("."))
-                found += [os.path.join(d, n) for n in sorted(names)]
-        for f in found:
-            try:
-                st = os.stat(f)
-            except FileNotFoundError:  # a link to nothing, or removed meanwhile
-                continue
-            out.append((normalize_path(f, root), os.path.abspath(f), int(st.st_mtime), st.st_size))
-    return out
-
-
-def _abort(e: OSError) -> None:
-    raise e
-
-
 def gone(file: str) -> bool:
     """Whether a file isn't there; any other reason that it can't be looked at is raised, for it may well be there."""
     try:
@@ -146,8 +119,18 @@ def modified(path: Column, root: str) -> Column:
     return run(path)
 
 
-def listing(spark: SparkSession, roots: list[str], root: str) -> DataFrame:
-    return spark.createDataFrame(walk(roots, root), "path string, file string, mtime long, size long").dropDuplicates(["path"])
+def listing(spark: SparkSession, roots: list[str], root: str, stream: bool = False) -> DataFrame:
+    """path (the key), file, mtime in seconds, size of all files; folders that start with a dot are passed over.
+
+    The executors list and look at the files.  As a stream: files as they are changed.
+    """
+    for r in roots:  # all of them before anything is read
+        normalize_path(r, root)
+        if not os.path.exists(r):
+            raise FileNotFoundError(r)
+    spark.dataSource.register(FolderSource)
+    reader = (spark.readStream if stream else spark.read).format(NAME).option("roots", "\n".join(map(os.path.abspath, roots))).option("root", os.path.abspath(root))
+    return reader.load() if stream else reader.load().dropDuplicates(["path"])
 
 
 def is_code(path: Column) -> Column:
