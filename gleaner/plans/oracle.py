@@ -146,4 +146,15 @@ SELECT path, CASE WHEN doc_id % 5 IN (1, 3) THEN 'excluded' WHEN doc_id % 7 = 0
 o AS (SELECT doc_id, unicode(x) % 13 AS v, coalesce(sum(octet_length(encode(x))) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM c),
 s AS (SELECT doc_id, sum(v) AS total, sum((place % 768) * v) AS weighted FROM o GROUP BY doc_id)
 SELECT doc_id, 768 AS dim, CAST(coalesce(total, 0) AS BIGINT) AS total, CAST(coalesce(weighted, 0) AS BIGINT) AS weighted FROM documents LEFT JOIN s USING (doc_id)""",
+    "knn_join": """WITH q AS (SELECT vec_id AS query_id, embedding AS qvec FROM embeddings WHERE vec_id % 100 = 0 AND embedding IS NOT NULL),
+d AS (SELECT query_id, vec_id, round(sqrt(list_sum(list_transform(range(1, len(qvec) + 1), lambda i: (CAST(embedding[i] AS DOUBLE) - CAST(qvec[i] AS DOUBLE)) * (CAST(embedding[i] AS DOUBLE) - CAST(qvec[i] AS DOUBLE))))), 9) AS distance
+  FROM embeddings, q WHERE len(embedding) = len(qvec))
+SELECT * FROM (SELECT query_id, vec_id, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM d) WHERE rank <= 10""",
+    "bm25_from_postings": f"WITH {_bm25(_WORDS)} SELECT query_id, para_id, score FROM bm",
+    "text_topk_from_postings": f"WITH {_bm25(_WORDS)} {_top('bm', 'score DESC', K, 'query_id, para_id, rank, score')}",
+    "get_paragraph_context_wide": f"WITH {_split(_LINES)} SELECT p.path, p.seq AS para, md5(string_agg(q.text, {_NL} || {_NL} ORDER BY q.seq)) AS digest FROM paras p JOIN paras q ON p.path = q.path AND q.seq BETWEEN p.seq - 50 AND p.seq + 50 GROUP BY p.path, p.seq",
+    "catalog_state": f"""WITH {_SNAPS}, {_split('SELECT path, content FROM new')}, n AS (SELECT path, count(*) AS paragraphs, CAST(sum(greatest(0, length(text) - 2)) AS BIGINT) AS places FROM paras GROUP BY path)
+SELECT path, mtime, hash, coalesce(paragraphs, 0) AS paragraphs, coalesce(places, 0) AS places FROM new LEFT JOIN n USING (path)""",
+    "catalog_statuses": f"WITH {_SNAPS} SELECT new.path AS path, CASE WHEN old.hash IS NULL THEN 'new' WHEN old.hash <> new.hash THEN 'changed' WHEN old.mtime <> new.mtime THEN 'touched' ELSE 'unchanged' END AS status FROM new LEFT JOIN old ON old.path = new.path",
+    "track_listings": f"WITH {_SNAPS} SELECT coalesce(old.path, new.path) AS path, CASE WHEN new.hash IS NULL THEN 'absent' WHEN old.hash IS NULL THEN 'new' WHEN old.hash <> new.hash THEN 'changed' WHEN old.mtime <> new.mtime THEN 'touched' ELSE 'unchanged' END AS status FROM old FULL JOIN new ON old.path = new.path",
 }

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import markup, text
 from ..functions.embedding import embed, l2_normalize
-from ..operators import catalog, evaluate, rank, retrieve
+from ..operators import catalog, evaluate, knn, postings, rank, retrieve
 from ..operators.segment import split_paragraphs
 from ..sources.convert import strip_html
 from ..sources.files import ingest_filter
+from ..staging import new_path, stage
+from ..streaming import track
 from . import corpora as c
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -310,3 +312,82 @@ def hash_embed(s, d):
     """The embedder of tests over whole texts: dimensions, the sum of the vector, and the sum weighted by place."""
     v = c.table(s, d, "documents").select("doc_id", embed(F.col("text")).alias("v"))
     return v.select("doc_id", F.size("v").alias("dim"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double")).cast("long").alias("total"), F.aggregate(F.transform("v", lambda x, i: x.cast("double") * i), F.lit(0.0), lambda a, x: a + x).cast("long").alias("weighted"))
+
+
+@query
+def knn_join(s, d):
+    """The nearest of all vectors to every hundredth, by the join of pivots."""
+    v = c.table(s, d, "embeddings")
+    q = v.filter(F.col("vec_id") % c.EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    return knn.knn_join(v.select(F.col("vec_id").alias("para_id"), "embedding"), q, K).select("query_id", F.col("para_id").alias("vec_id"), "rank", "distance")
+
+
+def _postings(s, d):
+    return stage(postings.build(c.paragraphs(s, d)), "postings")
+
+
+@query
+def bm25_from_postings(s, d):
+    """Scores from places in postings alone."""
+    return rank.bm25(c.paragraphs(s, d), c.text_queries(s, d), postings=_postings(s, d))
+
+
+@query
+def text_topk_from_postings(s, d):
+    return rank.text_topk(c.paragraphs(s, d), c.text_queries(s, d), K, postings=_postings(s, d)).first()
+
+
+@query
+def get_paragraph_context_wide(s, d):
+    """Every paragraph is asked for, with fifty on both sides."""
+    paras = split_paragraphs(c.corpus_lines(s, d))
+    return retrieve.get_paragraphs(paras, paras.select("path", F.col("seq").alias("para")), 50).select("path", "para", F.md5("content").alias("digest"))
+
+
+def _index(s, d):
+    """An index of the first snapshot, brought to the second: upserts, growth of buckets, prune."""
+    old, new = c.snapshots(s, d)
+    cat = catalog.Catalog(s, new_path(s, "index"), buckets=2, load=max(64, old.count() // 12))
+    cat.upsert(old)
+    cat.upsert(new)
+    return cat, new
+
+
+@query
+def catalog_state(s, d):
+    """Documents of an index after two snapshots and a prune, with the number of their paragraphs and of the places of their trigrams."""
+    cat, new = _index(s, d)
+    cat.prune(new, ["d"])
+    paras = cat.table("paragraphs").groupBy("path").agg(F.count("*").alias("paragraphs"))
+    places = cat.table("postings").filter("gram <> ''").groupBy("path").agg(F.sum(F.size("places")).alias("places"))
+    docs = cat.table("documents").select("path", "mtime", "hash")
+    return docs.join(paras, "path", "left").join(places, "path", "left").fillna(0, ["paragraphs", "places"])
+
+
+@query
+def catalog_statuses(s, d):
+    """What an upsert of the second snapshot says about its documents."""
+    old, new = c.snapshots(s, d)
+    cat = catalog.Catalog(s, new_path(s, "index"))
+    cat.upsert(old)
+    return cat.upsert(new)
+
+
+@query
+def track_listings(s, d):
+    """Both snapshots as a stream of sightings, the second one's first: the statuses of its time."""
+    at, old = new_path(s, "listings"), {k: s.conf.get(k, None) for k in track.STORE}
+    for k, x in enumerate((*reversed(c.snapshots(s, d)), None, None)):
+        seen = F.timestamp_seconds(F.lit(3600 * (101, 100, 150, 151)[k]))
+        rows = _hashed(x).select("path", "mtime", "hash") if x is not None else s.range(1).select(F.lit("end").alias("path"), F.lit(0).cast("long").alias("mtime"), F.lit("").alias("hash"))
+        rows.withColumn("seen", seen).write.mode("append").parquet(f"{at}/in/k={k}")
+    for k, v in track.STORE.items():
+        s.conf.set(k, v)
+    try:
+        rows = s.readStream.schema(track.LISTING + ", k int").parquet(f"{at}/in").drop("k")
+        out = track.track(rows, 3_600_000, "2 hours").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint")
+        out.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in old.items():
+            s.conf.set(k, v) if v is not None else s.conf.unset(k)
+    return s.read.schema(track.STATUS).parquet(f"{at}/out").filter((F.col("path") != "end") & (F.unix_timestamp("seen") == 3600 * 101)).select("path", "status")
