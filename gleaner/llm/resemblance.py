@@ -5,9 +5,12 @@ the links that are as near as asked.  Pairs at a resemblance of 0.8 differ in
 about ten bits, though, and no covering of that distance is affordable.  So the
 shingles of each set are also put in one order, rare ones first: two sets that
 share at least 0.8 of their union share a shingle among the first fifth of each,
-so all such pairs meet at one.  Of what meets, pairs whose fingerprints differ by
-far more bits than near ones can are passed over, as are those that earlier
-links already connect; the rest is compared by all its shingles.
+so all such pairs meet at one.  Of what meets, the pairs whose sizes and places leave
+it open that they are near are compared by all their shingles.  That goes in
+rounds, the first of which compare each set to a few others; pairs that links
+found earlier connect already are passed over.  The last round takes all that
+are left, but for those that parity bits exclude: each shingle turns one of so many bits of
+its set over, so two sets differ in at least as many shingles as their bits differ.
 """
 
 from __future__ import annotations
@@ -36,10 +39,14 @@ FIRST_TRIES = 4
 LARGE = 8
 ONE_IN = 8
 
-#: Fingerprints of sets with so many shingles (fewer: all are compared) that differ in more bits are not near: at 0.8 more than 24 of 64 differ once in 300,000 pairs.
-FAR_FROM, FAR_BITS = 64, 24
+#: Others that a set is compared to at each of its shingles, by round (None: all), and what orders the components in each.
+ROUNDS = (2, 2, None)
+ORDERS = (0, 0x5DEECE66D1234567, 0x2545F4914F6CDD1D)
 
-_GROUP = "anchor long, sig long, n int, at int, fp long, centre long"
+#: Parity bits of a set.
+BITS = 2048
+
+_GROUP = "anchor long, sig long, n int, at int, centre long"
 
 
 def shingle_set(text: str) -> np.ndarray:
@@ -84,9 +91,14 @@ def possible(n: np.ndarray, at: np.ndarray, m: np.ndarray, bt: np.ndarray) -> np
     return (p + q) * np.minimum(n - at, m - bt) >= p * (n + m)
 
 
-def alike(n: np.ndarray, f: np.ndarray, m: np.ndarray, g: np.ndarray) -> np.ndarray:
-    """Whether the fingerprints f and g leave it open that the sets, of sizes n and m, are near."""
-    return (np.minimum(n, m) < FAR_FROM) | (np.bitwise_count((f ^ g).view(np.uint64)) <= FAR_BITS)
+def parity(s: np.ndarray) -> bytes:
+    return np.packbits((np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
+
+
+def parity_allows(n: np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether sets of sizes n and m with parity bits x and y (rows of 64-bit words) can be near: they differ in (n + m) (q - p) / (q + p) shingles at most then."""
+    p, q = NEAR
+    return (p + q) * np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= (q - p) * (n.astype(np.int64) + m)
 
 
 def near(a: np.ndarray, b: np.ndarray) -> bool:
@@ -117,12 +129,16 @@ def _sketches(docs: DataFrame) -> DataFrame:
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Batches sorted by their first column, cut so that no group is in two."""
+    """Batches sorted by their first column, cut so that no group is in two; binary columns become rows of 64-bit words."""
     held: list[list[np.ndarray]] = []
+
+    def plain(c: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(len(c), -1) if pa.types.is_binary(c.type) else c.to_numpy()
+
     for b in batches:
         if not b.num_rows:
             continue
-        held.append([c.to_numpy() for c in b.columns])
+        held.append([plain(c) for c in b.columns])
         if held[0][0][0] == held[-1][0][-1]:
             continue  # one group so far
         cols = [np.concatenate(x) for x in zip(*held, strict=True)]
@@ -146,30 +162,70 @@ def _bounds(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of anchors that several sets have, each with another of its group to try first (null: none)."""
-    for k, sig, n, at, fp in _whole_groups(batches):
+    for k, sig, n, at in _whole_groups(batches):
         once = np.r_[True, (k[1:] != k[:-1]) | (sig[1:] != sig[:-1])]
-        k, sig, n, at, fp = k[once], sig[once], n[once], at[once], fp[once]
+        k, sig, n, at = k[once], sig[once], n[once], at[once]
         lo, hi = _bounds(k)
         c = lo + (k.view(np.uint64) % (hi - lo).astype(np.uint64)).astype(np.int64)
         late = (at >= FIRST_TRIES) & ((hi - lo <= LARGE) | ((k ^ sig) % ONE_IN != 0))
-        none = (c == np.arange(len(k))) | late | ~possible(n, 0, n[c], 0) | ~alike(n, fp, n[c], fp[c])
+        none = (c == np.arange(len(k))) | late | ~possible(n, 0, n[c], 0)
         some = hi - lo > 1
-        yield pa.RecordBatch.from_arrays([pa.array(k[some]), pa.array(sig[some]), pa.array(n[some]), pa.array(at[some]), pa.array(fp[some]), pa.array(sig[c][some], mask=none[some])], ["anchor", "sig", "n", "at", "fp", "centre"])
+        yield pa.RecordBatch.from_arrays([pa.array(k[some]), pa.array(sig[some]), pa.array(n[some]), pa.array(at[some]), pa.array(sig[c][some], mask=none[some])], ["anchor", "sig", "n", "at", "centre"])
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor and root: all pairs of an anchor that can be near and have different roots."""
-    for k, root, sig, n, at, fp in _whole_groups(batches):
+def _open(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Over rows (anchor, root, sig, n, at, and parity bits if known) sorted by anchor and root: groups, and the places of pairs there that can be near.
+
+    Pairs of one root are passed over; all others come, or so many of each row.
+    """
+    for cols in _whole_groups(batches):
+        k, root, _, n, at, *bits = cols
         nxt, end = _bounds(k, root)[1], _bounds(k)[1]
         i = np.flatnonzero(nxt < end)
+        made = np.zeros(len(k), np.int64)
         lag = 0
         while len(i):
             j = nxt[i] + lag
-            ok = possible(n[i], at[i], n[j], at[j]) & alike(n[i], fp[i], n[j], fp[j])
-            a, b = sig[i[ok]], sig[j[ok]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            ok = possible(n[i], at[i], n[j], at[j])
+            a, b = i[ok], j[ok]
+            if bits:
+                fits = parity_allows(n[a], bits[0][a], n[b], bits[0][b])
+                a, b = a[fits], b[fits]
+            yield cols, a, b
+            made[a] += 1
             lag += 1
-            i = i[nxt[i] + lag < end[i]]
+            i = i[(nxt[i] + lag < end[i]) & (most is None or made[i] < most)]
+
+
+def _pairs(most: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, _, sig, *_), i, j in _open(batches, most):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sig[i], sig[j])), pa.array(np.maximum(sig[i], sig[j]))], ["a", "b"])
+
+    return run
+
+
+def _in_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that some pair needs."""
+    last, needed = None, np.empty(0, bool)
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c[needed]) for c in last], ["anchor", "root", "sig", "n", "at"])
+
+    for cols, i, j in _open(batches, None):
+        if cols is not last:
+            if last is not None:
+                yield out()
+            last, needed = cols, np.zeros(len(cols[0]), bool)
+        needed[i] = needed[j] = True
+    if last is not None:
+        yield out()
+
+
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    z = zstandard.ZstdDecompressor()
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([parity(shingle_set(z.decompress(x).decode())) for x in b.column(1).to_pylist()], pa.binary())], ["sig", "bits"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,11 +243,15 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok, pa.bool_())), b.column(1).filter(pa.array(ok, pa.bool_()))], ["a", "b"])
 
 
+def _texts(sketches: DataFrame, sigs: DataFrame, tag: str) -> DataFrame:
+    """sig, packed: one text of each of the sets."""
+    texts = sketches.filter("packed IS NOT NULL").select("sig", "packed").join(sigs.distinct(), "sig", "left_semi")
+    return stage(texts.groupBy("sig").agg(F.min("packed").alias("packed")), f"{tag}-texts")
+
+
 def _verified(pairs: DataFrame, sketches: DataFrame, tag: str) -> DataFrame:
     """Those of the pairs (a, b) that are near."""
-    wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
-    texts = sketches.filter("packed IS NOT NULL").select("sig", "packed").join(wanted, "sig", "left_semi")
-    texts = stage(texts.groupBy("sig").agg(F.min("packed").alias("packed")), f"{tag}-texts")
+    texts = _texts(sketches, pairs.select(F.col("a").alias("sig")).union(pairs.select("b")), tag)
     left, right = texts.select(F.col("sig").alias("a"), F.col("packed").alias("s")), texts.select(F.col("sig").alias("b"), F.col("packed").alias("t"))
     links = stage(arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t"), _compare, "a long, b long"), f"{tag}-links")
     _drop(texts)
@@ -223,15 +283,23 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """
     rows = _sketches(docs)
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // 50_000)
-    copies = rows.filter("prefix IS NOT NULL").select("sig", "n", "fp", F.posexplode("prefix").alias("at", "anchor")).select("anchor", "sig", "n", "at", "fp")
+    copies = rows.filter("prefix IS NOT NULL").select("sig", "n", F.posexplode("prefix").alias("at", "anchor")).select("anchor", "sig", "n", "at")
     shared = stage(arrow_map(copies.repartition(n, "anchor").sortWithinPartitions("anchor", "sig"), _meet, _GROUP), "shared-shingles")
     tries = shared.filter("centre IS NOT NULL").select(F.least("sig", "centre").alias("a"), F.greatest("sig", "centre").alias("b"))
     tries = stage(tries.unionByName(covered(rows, distance)).distinct(), "first-pairs")
     links = _verified(tries, rows, "first")
-    roots = connected_components(links)
-    named = shared.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("anchor", F.coalesce("root", "sig").alias("root"), "sig", "n", "at", "fp")
-    pairs = arrow_map(named.repartition(n, "anchor").sortWithinPartitions("anchor", "root", "sig"), _pairs, "a long, b long").distinct()
-    links = links.union(_verified(stage(pairs.join(tries, ["a", "b"], "left_anti"), "other-pairs"), rows, "other"))
+    for k, (most, order) in enumerate(zip(ROUNDS, ORDERS, strict=True)):
+        roots = connected_components(links).withColumnRenamed("node", "sig")
+        named = shared.join(roots, "sig", "left").select("anchor", F.coalesce("root", "sig").bitwiseXOR(F.lit(order)).alias("root"), "sig", "n", "at")
+        dealt = lambda df: df.repartition(n, "anchor").sortWithinPartitions("anchor", "root", "sig")
+        if most is None:
+            named = stage(arrow_map(dealt(named), _in_pairs, "anchor long, root long, sig long, n int, at int"), "undecided")
+            texts = _texts(rows, named.select("sig"), "undecided")
+            bits = stage(arrow_map(texts, _parities, "sig long, bits binary"), "parities")
+            named = named.join(bits, "sig").select("anchor", "root", "sig", "n", "at", "bits")
+        pairs = arrow_map(dealt(named), _pairs(most), "a long, b long").distinct()
+        pairs = stage(pairs.join(tries, ["a", "b"], "left_anti"), f"pairs-{k}")
+        links, tries = links.union(_verified(pairs, rows, f"round-{k}")), tries.union(pairs)
     _drop(shared)
     named = stage(name_components(stage(rows.groupBy("sig").agg(F.min("doc_id").alias("least")), "signatures"), links, "sig"), "components")
     out = stage(rows.select("doc_id", "sig").join(named, "sig").select("doc_id", "component_id"), "near-duplicates")
