@@ -32,7 +32,7 @@ def found(spark, texts):
     return [got[i] for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("rounds", [(2, 2, None), (1, 1, None)])
+@pytest.mark.parametrize("rounds", [(2, None), (1, None)])
 def test_pairs_at_the_limit(spark, monkeypatch, rounds):
     """Pairs that share 57 of 71 shingles (0.803) are linked, those that share 56 of 72 are not: bits of fingerprints decide nothing."""
     monkeypatch.setattr(r, "ROUNDS", rounds)
