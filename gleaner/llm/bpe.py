@@ -422,6 +422,20 @@ def decode_documents(tokens: DataFrame, ranks: str | None = None, pattern: str |
     return arrow_map(tokens.select(F.col("doc_id").cast("long"), F.coalesce(F.col("ids").cast("array<int>"), F.array().cast("array<int>")).alias("ids")), run, "doc_id long, ids array<int>, decoded binary", "codec")
 
 
+def round_trip_documents(docs: DataFrame, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
+    """doc_id, ids, decoded binary of every row of docs: encode_documents and decode_documents with one codec in a task instead of two."""
+    path, pat = ranks or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path, pat)
+        for b in batches:
+            ids = [c.encode(t) for t in strings(b.column(1))]
+            decoded = [c.decode(x) for x in ids]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
+
+    return arrow_map(only(docs, doc_id="long", text="string"), run, "doc_id long, ids array<int>, decoded binary", "codec")
+
+
 def token_counts(docs: DataFrame, ranks: str | None = None, pattern: str | None = None, limit: int = LIMIT, special: str | None = SPECIAL) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit, cut_bytes of every whole text, from stored prefix counts.
 

@@ -74,3 +74,11 @@ def test_parity_never_excludes_a_near_pair():
         assert allowed or not r.near(a, b)
         excluded += not allowed
     assert excluded > 50
+
+
+def test_round_trip_in_one_pass(spark):
+    from gleaner.llm import bpe
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["", None, "a  b", "é漢字 it's", "x" * 3000])] + [(None, "again"), (None, "again")], "doc_id long, text string")
+    rows = lambda df: sorted((str(r.doc_id), list(r.ids), bytes(r.decoded)) for r in df.collect())
+    assert rows(bpe.round_trip_documents(docs)) == rows(bpe.decode_documents(bpe.encode_documents(docs)))
