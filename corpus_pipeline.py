@@ -65,7 +65,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, decoded_sha256: the tokens, and the digest of the bytes that they decode to."""
-    rows = bpe.decode_documents(bpe.encode_documents(_columns(docs)))
+    rows = bpe.round_trip_documents(_columns(docs))
     return rows.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
