@@ -3,7 +3,7 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
@@ -303,6 +303,114 @@ def test_large_groups_like_small_ones(spark):
     assert [whole["b", i] for i in range(300)] == pytest.approx((d / np.median(d) * outliers.reference(3, 0.5)).tolist())
 
 
+def plain_large(x, start, floors, steps=outliers.STEPS):
+    """Estimate and scaled distances of one group: C-steps from a start over all rows, exact sums by fractions of the sorted rows, no bins."""
+    _, m, inv = start
+    h, last = outliers.subset_size(len(x), x.shape[1]), np.inf
+    for _ in range(steps):
+        d = np.array([(r - m) @ inv @ (r - m) for r in x])
+        y = x[np.argsort(d, kind="stable")[:h]]
+        c = np.cov(y.T, bias=True) + np.diag(np.square(floors))
+        if np.linalg.slogdet(c)[1] > last - 1e-9:
+            break
+        last, m, inv = np.linalg.slogdet(c)[1], y.mean(0), np.linalg.inv(c)
+    return np.array([(r - m) @ inv @ (r - m) for r in x])
+
+
+def test_large_groups_don_t_depend_on_partitions(spark):
+    """Bit by bit the same distances however rows are dealt out; near those of a plain version; copies count each; slices of groups."""
+    rng = np.random.default_rng(21)
+    x = np.concatenate([rng.standard_normal((2400, 3)) * [1, 2, 0.5] + [3, 0, 1], 9 + rng.standard_normal((600, 3))])
+    x[:300] = x[0]
+    rows = [("a", i, v.tolist()) for i, v in enumerate(x)] + [("b", i, (v * 2).tolist()) for i, v in enumerate(x[:1500])]
+    floors = [0.05, 0.05, 0.05]
+    got = []
+    for parts in (1, 5):
+        df = spark.createDataFrame(random.Random(parts).sample(rows, len(rows)), "gid string, k int, x array<double>").repartition(parts)
+        got.append({(r.gid, r.k): r.d for r in outliers.fit_and_score(df, 3, floors, chunk=500).collect()})
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    d = plain_large(x, outliers.solve(x[np.lexsort(x.T)], np.array(floors)), np.array(floors))
+    d = d / np.median(d) * outliers.reference(3, 0.5)
+    ours, cut = np.array([got[0]["a", i] for i in range(3000)]), outliers.reference(3, 0.999)
+    assert np.abs(ours / d - 1).max() < 0.05 and ((ours > cut) == (d > cut)).mean() > 0.999
+
+
+def test_slices_of_groups(spark, monkeypatch):
+    rng = np.random.default_rng(22)
+    rows = [(f"g{g}", i, v.tolist()) for g in range(5) for i, v in enumerate(rng.standard_normal((120, 2)) * (g + 1))]
+    df = spark.createDataFrame(rows, "gid string, k int, x array<double>")
+    once = {(r.gid, r.k): r.d for r in outliers.fit_and_score(df, 2, [0.05, 0.05], chunk=50).collect()}
+    monkeypatch.setattr(outliers, "GROUPS", 2)
+    assert once == {(r.gid, r.k): r.d for r in outliers.fit_and_score(df, 2, [0.05, 0.05], chunk=50).collect()} and len(once) == 600
+
+
+def test_step_of_bins_is_that_of_rows():
+    """Whole numbers in bins against the rows themselves."""
+    rng = np.random.default_rng(23)
+    x, floors, scale = rng.standard_normal((700, 3)) * 3, np.array([0.05, 0.1, 0.2]), 2.0**20
+    m, inv = np.zeros(3), np.eye(3)
+    parts = [outliers.binned(outliers.whole_numbers(y, scale), scale, m, inv) for y in np.array_split(x, 7)]
+    bins, sums = outliers.fold(*(np.concatenate(p) for p in zip(*parts, strict=True)))
+    det, mean, got, mid = outliers.next_estimate(bins, sums, scale, floors)
+    d = (x * x).sum(1)
+    h = outliers.subset_size(700, 3)
+    y = x[np.argsort(d)[:h]]
+    c = np.cov(y.T, bias=True) + np.diag(floors**2)
+    assert sums[:, 0].sum() == 700 and mid == pytest.approx(np.median(d), rel=0.02)
+    assert det == pytest.approx(np.linalg.slogdet(c)[1], abs=0.02) and mean == pytest.approx(y.mean(0), abs=0.02) and np.linalg.inv(got) == pytest.approx(c, abs=0.05)
+    exact = outliers.binned(outliers.whole_numbers(x, scale), scale, m, inv)
+    assert (exact[0] == bins).all() and outliers.next_estimate(*exact, scale, floors)[0] == det
+    assert outliers.median(np.array([3.0, 1.0, 2.0]), np.array([1, 1, 2])) == 2.0 and outliers.median(np.array([1.0, 4.0]), np.array([1, 1])) == 2.5
+
+
+def plain_rules(rows):
+    """{doc_id: (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept)} word by word and group by group; rows are (doc_id, text, lang, source)."""
+    out, vec = {}, {}
+    for i, text, lang, source in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        lines, seen, dup = (text or "").split("\n"), set(), 0
+        for line in lines:
+            if re.search(r"[^\x20\x09-\x0D]", line):
+                dup += line in seen
+                seen.add(line)
+        wins = [tuple(words[j : j + 8]) for j in range(len(words) - 7)]
+        many = {w for w, n in Counter(wins).items() if n > 1}
+        cover = {j + o for j, w in enumerate(wins) if w in many for o in range(8)}
+        base = [len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(cover)]
+        failed = base[0] < 20 or 100 * base[4] > 30 * base[0]
+        out[i] = [*base, failed, False]
+        if not failed:
+            vec[i] = (lang, source)
+    return out, vec
+
+
+def test_quality_rules_like_a_plain_version(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(420):
+        lang, source = (("en", "web"), ("en", "books"), ("de", "web"), (None, "few"))[0 if i < 200 else 1 if i < 300 else 2 if i < 405 else 3]
+        text = prose(rng, rng.randint(30, 160)) + ".\n" + "same line\n" * (i % 3)
+        rows.append((i, text if i % 20 else "".join(w + "$# " for w in prose(rng, 60).upper().split()), lang, source))
+    rows += [(420, None, "en", "web"), (421, "", "en", "web"), (422, "one two three four five six seven eight " * 9, "en", "web")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in outliers.quality_rules(df).collect()}
+    want, vec = plain_rules(rows)
+    st = {r.doc_id: r.vec for r in stats.text_statistics(df, {}).collect()}
+    groups = {}
+    for i, g in vec.items():
+        groups.setdefault(g, []).append(i)
+    k, floors, cut = len(outliers.FEATURES), np.array(list(outliers.FEATURES.values())), outliers.reference(len(outliers.FEATURES), outliers.QUANTILE)
+    small = [i for g, ids in groups.items() if len(ids) < outliers.LEAST * k for i in ids]
+    for ids in [small, *[v for v in groups.values() if len(v) >= outliers.LEAST * k]]:
+        x = np.array([[st[i][stats.RATIOS.index(f)] for f in outliers.FEATURES] for i in ids])
+        d = plain_large(x, outliers.solve(x[np.lexsort(x.T)], floors), floors)
+        mid = np.median(d)
+        for i, v in zip(ids, d / mid * outliers.reference(k, 0.5), strict=True):
+            want[i][6] = bool(v <= cut)
+    assert {i: [r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept] for i, r in got.items()} == want
+    assert sum(w[6] for w in want.values()) > 380 and not any(want[i][6] for i in range(0, 300, 20))
+
+
 def test_quality_rules_and_classifier(spark):
     rng = random.Random(7)
     good = [prose(rng, rng.randint(60, 200)) + "." for _ in range(260)]
