@@ -92,6 +92,17 @@ h AS ({_top('bm', 'score DESC', K)}),
 cases AS (SELECT item_id || '|d/' || doc_id || '.txt' AS case_id, item_id AS query_id, doc_id FROM documents d JOIN b ON contains(d.text, b.text)),
 j AS (SELECT case_id, EXISTS (SELECT 1 FROM h WHERE h.query_id = cases.query_id AND h.para_id = cases.doc_id) AS recalled FROM cases)"""
 
+_MARKUP = r"(?si)<script[ \t\n\f\r/>].*?(</script[^>]*>|$)|<style[ \t\n\f\r/>].*?(</style[^>]*>|$)|<!--.*?(-->|$)|<[a-z/!?][^>]*(>|$)"
+
+
+def _page_text(head: str) -> str:
+    """Text of the pages behind a text; markup first, then the references that pages hold, & last."""
+    x = f"regexp_replace(coalesce(html, ''), '{_MARKUP}', ' ', 'g')"
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        x = f"regexp_replace({x}, '&{name};?', '{char}', 'g')"
+    return f"SELECT page_id, trim(regexp_replace('{head}' || {x}, '[ \\t\\n\\f\\r]+', ' ', 'g')) AS text FROM pages"
+
+
 ORACLE: dict[str, str] = {
     "para_split": f"WITH {_split(_LINES + ' UNION ALL ' + _CONV)} SELECT path, seq, start_line, end_line, text FROM paras",
     "heading_breadcrumb": f"WITH {_split(_CONV)} SELECT path, seq, heading FROM paras",
@@ -142,6 +153,8 @@ SELECT vec_id, round(list_sum(list_transform(v, lambda x: CAST(x AS DOUBLE) * CA
 SELECT path, CASE WHEN doc_id % 5 IN (1, 3) THEN 'excluded' WHEN doc_id % 7 = 0 OR doc_id % 11 = 0 OR n = 0 THEN 'skipped' ELSE 'indexed' END AS verdict FROM f""",
     "html_convert": r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(coalesce(html, ''), '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>', ' ', 'g'),
   '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\n\r]+', ' ', 'g')) AS text FROM pages""",
+    "html_text_pages": _page_text(""),
+    "html_text_hard": _page_text("1 < 2 a <b>bold</b> ééé…¬areference;"),
     "hash_embed": """WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS x, unnest(range(1, length(text) + 1)) AS i FROM documents WHERE length(text) > 0),
 o AS (SELECT doc_id, unicode(x) % 13 AS v, coalesce(sum(octet_length(encode(x))) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM c),
 s AS (SELECT doc_id, sum(v) AS total, sum((place % 768) * v) AS weighted FROM o GROUP BY doc_id)

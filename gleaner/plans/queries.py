@@ -11,7 +11,7 @@ from ..functions import markup, text
 from ..functions.embedding import embed, l2_normalize
 from ..operators import catalog, evaluate, knn, postings, rank, retrieve
 from ..operators.segment import split_paragraphs
-from ..sources.convert import strip_html
+from ..sources.convert import html_texts, strip_html
 from ..sources.files import ingest_filter
 from ..staging import new_path, stage
 from ..streaming import track
@@ -307,6 +307,22 @@ def html_convert(s, d):
     return c.table(s, d, "pages").select("page_id", strip_html(F.col("html")).alias("text"))
 
 
+def _hard_pages(s, d):
+    """Each page behind markup with a > in a comment, in a value and in a script, tags in text, an open quote of a script, and references of all kinds."""
+    head = """<!-- a > b --><a title="x > y" href='<b>'>1 < 2</a><SCRIPT>if (a<b) "</b>"</SCRIPT ><title>a <b>bold</b></title>&eacute;&#233;&#xE9;&hellip;&notareference;"""
+    return c.table(s, d, "pages").select("page_id", F.concat(F.lit(head), F.coalesce("html", F.lit(""))).alias("html"))
+
+
+@query
+def html_text_pages(s, d):
+    return c.table(s, d, "pages").select("page_id", html_texts(F.col("html")).alias("text"))
+
+
+@query
+def html_text_hard(s, d):
+    return _hard_pages(s, d).select("page_id", html_texts(F.col("html")).alias("text"))
+
+
 @query
 def hash_embed(s, d):
     """The embedder of tests over whole texts: dimensions, the sum of the vector, and the sum weighted by place."""

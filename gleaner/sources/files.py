@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash
+from .convert import BUILT_IN
 from .folder import NAME, FolderSource
 
 #: Source code, left out unless asked for.
@@ -154,7 +155,12 @@ def ingest_filter(files: DataFrame, include_code: bool = False) -> DataFrame:
 
 
 def convert(argv: list[str], file: str, seconds: float = CONVERT_SECONDS) -> tuple[str | None, str | None]:
-    """What the converter writes for a file (None if it fails or takes too long), and to its standard error; {input} in its arguments is the file."""
+    """What the converter writes for a file (None if it fails or takes too long), and to its standard error; {input} in its arguments is the file, a name of BUILT_IN stands for a converter of our own."""
+    if argv[0] in BUILT_IN:
+        try:
+            return BUILT_IN[argv[0]](Path(file).read_bytes()), None
+        except OSError as e:
+            return None, str(e)
     try:
         done = subprocess.run([argv[0], *[a.replace("{input}", file) for a in argv[1:]]], capture_output=True, timeout=seconds)
     except subprocess.TimeoutExpired as e:

@@ -1,10 +1,17 @@
 """Paragraphs, frontmatter, tags and other column functions, on small inputs with known results."""
 
+import random
+import re
+import time
+from html.parser import HTMLParser
+
 import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions import embedding, markup, text
 from gleaner.operators.segment import paragraphs_of, split_paragraphs
+from gleaner.sources import files
+from gleaner.sources.convert import html_text, html_texts
 
 SPLIT = [
     ("a\nb\n\nc\n", [(1, 2, "a\nb", ""), (4, 4, "c", "")]),
@@ -78,3 +85,67 @@ def test_embedding(spark):
     assert v.tolist() == [[97 % 13, 233 % 13, 0, 0], [0, 0, 0, 0]]
     got = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<float>").select(embedding.l2_normalize(F.col("v"))).collect()
     assert [round(x, 6) for x in got[0][0]] == [0.6, 0.8] and got[1][0] == [0, 0]
+
+
+class PlainText(HTMLParser):
+    """What the parser of the standard library takes for text, a space for each tag, comment and declaration."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.hidden = [], False
+
+    def handle_starttag(self, tag, attrs):
+        self.out.append(" ")
+        self.hidden = tag in ("script", "style")
+
+    def handle_endtag(self, tag):
+        self.out.append(" ")
+        self.hidden = False
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.out.append(data)
+
+    def handle_comment(self, data):
+        self.out.append(" ")
+
+    handle_decl = handle_pi = unknown_decl = handle_comment
+
+
+def test_html_like_the_standard_parser():
+    rng = random.Random(4)
+    parts = ["<p>", "</p>", "<a href='x>y'>", '<b title="1 > 2" c=d>', "<br/>", "text ", "ä<", " < 3 ", "<!-- a > b -- c -->", "<!DOCTYPE html>", "&amp;", "&lt;b&gt;", "&eacute;", "&#65;", "&#x1F600;", "&nbsp;", "&ampx", "&nothing;", "& ", "\n\t ", "<script>if (a<b) '</p>' </script>", "<STYLE>p > a {}</STYLE >", "<?php 1 ?>", "<hr\n>"]
+    for _ in range(3000):
+        page = "".join(rng.choice(parts) + " " * rng.randint(0, 1) for _ in range(rng.randint(0, 14))) + "<end>"
+        plain = PlainText()
+        plain.feed(page)
+        plain.close()
+        want = re.sub(r"[ \t\n\f\r]+", " ", "".join(plain.out)).strip(" ")
+        assert html_text(page) == want, page
+
+
+def test_html_odd_pages():
+    for page, want in (("", ""), ("a", "a"), ("a<", "a<"), ("a</", "a"), ("a<b", "a"), ("a<!--x", "a"), ("a<script>x", "a"), ("<title>x<i>y</i></title>z", "x<i>y</i> z"), ('<a b="c>d', ""), ("<a =>x", "x"), ("1<2", "1<2"), ("<script></scripty></script>x", "x"), ("&amp;lt;", "&lt;"), ("&am<b>p;", "&am p;")):
+        assert html_text(page) == want, page
+
+
+@pytest.mark.parametrize("bit", ["<", "<a", "<a ", "<!--", "<!", "</", "<script>", "<script", "<title>", '<a b="', "<a b=' ", "<a =", "= ", "&", "&#", "&#1", "<a>", "<?", "<title></titl", '="'])
+def test_html_is_linear(bit):
+    def seconds(n):
+        best = 9e9
+        for _ in range(3):
+            t = time.perf_counter()
+            html_text("<a " * (bit in ("= ", '="')) + bit * n)
+            best = min(best, time.perf_counter() - t)
+        return best
+
+    assert seconds(160_000) < 4 + 30 * seconds(20_000) and seconds(160_000) < 5
+
+
+def test_html_column_and_converter(spark, tmp_path):
+    df = spark.createDataFrame([(1, "<p>a&nbsp;b</p>"), (2, None), (3, "")], "k int, html string")
+    assert {r.k: r.t for r in df.select("k", html_texts(F.col("html")).alias("t")).collect()} == {1: "a b", 2: "", 3: ""}
+    at = tmp_path / "x.html"
+    at.write_bytes(b"<h1>T</h1>\xff<p>b")
+    assert files.convert(["builtin:html"], str(at)) == ("T � b", None)
+    assert files.convert(["builtin:html"], str(tmp_path / "none"))[0] is None
