@@ -18,9 +18,18 @@ def _closing(x: Column) -> Column:
     return F.when(trim(F.get(x, F.lit(0))) == "---", let(F.transform(x, trim), of)).otherwise(F.lit(0))
 
 
+#: A closed block at the start, whole lines: one pass, and one probe of each line.
+_BLOCK = r"(?sU)\A[^\S\n]*+---[^\S\n]*+\n(?:.*?\n)??[^\S\n]*+---[^\S\n]*+(?:\n|\z)"
+
+
+def _front(content: Column) -> Column:
+    """The lines of the closed block at the start alone, so that the rest of a text isn't cut into lines; one empty line without a block."""
+    return lines(F.regexp_extract(content, _BLOCK, 0))
+
+
 def frontmatter_lines(content: Column) -> Column:
     """How many lines a closed frontmatter block at the start has; 0 without one."""
-    return let(lines(content), _closing)
+    return let(_front(content), _closing)
 
 
 def hidden_lines(content: Column) -> Column:
@@ -61,7 +70,7 @@ def parse_tags(content: Column) -> Column:
     def of(x: Column) -> Column:
         return let(_closing(x), lambda n: F.when(n > 2, let(F.transform(F.slice(x, F.lit(2), F.greatest(n - 2, F.lit(0))), trim), in_block)).otherwise(none))
 
-    return let(lines(content), of)
+    return let(_front(content), of)
 
 
 def auto_tags(path: Column) -> Column:

@@ -149,3 +149,17 @@ def test_html_column_and_converter(spark, tmp_path):
     at.write_bytes(b"<h1>T</h1>\xff<p>b")
     assert files.convert(["builtin:html"], str(at)) == ("T � b", None)
     assert files.convert(["builtin:html"], str(tmp_path / "none"))[0] is None
+
+
+def test_block_is_cut_as_lines_are(spark):
+    """The block alone gives what all lines of the text give."""
+    rng = random.Random(6)
+    parts = ["---", " ---\t", "---\r", "\u2003---", "--- x", "----", "tags: [a, b]", "tags:", "- c", " - d", "", "  ", "text", "\x85---", "é"]
+    texts = ["\n".join(rng.choice(parts) for _ in range(rng.randint(0, 7))) for _ in range(6000)] + ["---\n" + "x\n" * n + e for n in (0, 1, 200_000) for e in ("", "---", "---\n", " --- \r\ny")]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, t string")
+    whole = text.let(text.lines(F.col("t")), markup._closing)
+    assert df.filter(~markup.frontmatter_lines(F.col("t")).eqNullSafe(whole)).count() == 0
+    assert df.filter(markup.frontmatter_lines(F.col("t")) > 0).count() > 100
+    assert df.filter((markup.frontmatter_lines(F.col("t")) == 0) & (F.size(markup.parse_tags(F.col("t"))) > 0)).count() == 0
+    tagged = df.filter(F.size(markup.parse_tags(F.col("t"))) > 0)
+    assert tagged.count() > 20 and tagged.filter(~markup.parse_tags(F.concat("t", F.lit("\nmore\n"))).eqNullSafe(markup.parse_tags(F.col("t")))).count() == 0
