@@ -3,9 +3,12 @@
 A page is cut into lines, one for each block.  Menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments go by
 their elements and class names.  Each page is paired with the page of its host
-whose URL path is nearest to its own and that is not a copy or near copy of it,
-their lines are aligned by longest common subsequence, and shared lines go, since
-what two pages of a site share is the site's and not the article's.  Lines inside
+whose URL path is nearest to its own, their lines are aligned by longest common
+subsequence, and shared lines go, since what two pages of a site share is the
+site's and not the article's.  In the order of URLs, pages of a host each of
+which is a copy or near copy of the one before are a run, however long, and a
+run is passed over as one: the pair of its pages is the page before it or the
+page after it, whichever is nearer and no copy itself.  Lines inside
 an <article> or <main> stay even if shared: articles of one host share paragraphs
 that are theirs.
 """
@@ -22,13 +25,13 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, drop_path, global_order, stage
 
-#: Pages of a block that one task compares in order, and places to each side among which a page's pair is sought.
-BLOCK, REACH = 64, 8
+#: Pages of a block that one task compares in order.
+BLOCK = 64
 #: Pages that share more than this part of the lines of both are copies, which say nothing about the site.
 COPY = 0.9
 #: Rows of the alignment that are kept at once (bits); longer ones are halved first.
@@ -236,16 +239,15 @@ def _closeness(a: str, b: str) -> int:
     return n
 
 
-def choose(cur: tuple, around: list[tuple]) -> tuple | None:
-    """Of pages (key, rank, host, path, hashes, flags, own): the one of the host with the nearest path that is no copy."""
-    best, mine = None, set(cur[4])
-    for x in around:
-        near = (_closeness(x[3], cur[3]), -abs(x[1] - cur[1]), -x[1])
-        if x[2] == cur[2] and x[1] != cur[1] and (best is None or near > best[0]):
-            both = len(mine.intersection(x[4]))
-            if both <= COPY * max(len(mine), len(set(x[4]))):
-                best = near, x
-    return best and best[1]
+def copies(a: tuple, b: tuple) -> bool:
+    """Whether two pages (key, rank, host, path, hashes, flags) share nearly all their lines."""
+    mine, other = set(a[4]), set(b[4])
+    return len(mine & other) > COPY * max(len(mine), len(other))
+
+
+def nearness(cur: tuple, other: tuple) -> tuple[int, int, int]:
+    """Greater for nearer pages of a host: the path they share, then places between them, then the earlier one."""
+    return _closeness(other[3], cur[3]), -abs(other[1] - cur[1]), -other[1]
 
 
 def verdict(cur: tuple, other: tuple) -> tuple[bytes, int, list[int]]:
@@ -278,22 +280,34 @@ def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([cols[0], b.column(0), b.column(1), *cols[1:]], [c.split()[0] for c in _PAGES.split(", ")])
 
 
+_VERDICTS = pa.schema([("key", pa.binary()), ("rank", pa.int64()), ("part", pa.int64()), ("starts", pa.bool_()), ("open", pa.bool_()), ("n_shared", pa.int64()), ("lose", pa.list_(pa.int32()))])
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by block and rank: for each page of its own block, what goes by its pair."""
-    held: list[tuple] = []  # the rows of a block: BLOCK + 2 * REACH at most
+    """Rows sorted by block and rank: for each page of its own block, what goes by the page before or after it.
+
+    starts: it is no copy of the page before; open: it is a copy of one of the
+    two, so its pair lies outside the run.
+    """
+    held: list[tuple] = []  # the rows of a block: BLOCK + 2 at most
     block = None
 
     def told() -> pa.RecordBatch:
         out = []
         for i, cur in enumerate(held):
-            if cur[6] and cur[4] and (other := choose(cur, held[max(0, i - REACH) : i + REACH + 1])):
-                out.append(verdict(cur, other))
-        cols = list(zip(*out, strict=True)) or [()] * 3
+            if not cur[7]:
+                continue
+            sides = [x for x in (held[i - 1] if i else None, held[i + 1] if i + 1 < len(held) else None) if x and x[2] == cur[2]]
+            alike = [x for x in sides if copies(cur, x)]
+            got = (None, None)
+            if sides and not alike and cur[4]:
+                got = verdict(cur, max(sides, key=lambda x: nearness(cur, x)))[1:]
+            out.append((cur[0], cur[1], cur[6], not any(x[1] < cur[1] for x in alike), bool(alike), *got))
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int32()))], ["key", "n_shared", "lose"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * 7, _VERDICTS.types, strict=True)], schema=_VERDICTS)
 
     for b in batches:
-        for blk, own, *row in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
+        for blk, own, *row in zip(*(b.column(i).to_pylist() for i in range(9)), strict=True):
             if blk != block:
                 yield told()
                 block = blk
@@ -301,6 +315,44 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield told()
 
 
+def _outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a page in a run and a page beside the run: how near, and what goes by it; none for copies and other hosts."""
+    schema = pa.schema([("key", pa.binary()), ("near", pa.list_(pa.int64())), ("n_shared", pa.int64()), ("lose", pa.list_(pa.int32()))])
+    for b in batches:
+        out = []
+        for row in zip(*(b.column(i).to_pylist() for i in range(12)), strict=True):
+            cur, other = row[:6], row[6:]
+            if cur[2] == other[2] and not copies(cur, other):
+                out.append((cur[0], list(nearness(cur, other)), *verdict(cur, other)[1:]))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * 4, schema.types, strict=True)], schema=schema)
+
+
+def _beside_runs(verdicts: DataFrame, ranked: DataFrame) -> DataFrame:
+    """key, n_shared, lose of the open pages, by the page before or after their run.
+
+    Runs may go on over any number of parts of the order: what a part takes from
+    those around it is a row for each part.
+    """
+    spark = verdicts.sparkSession
+    start = F.when(F.col("starts"), F.col("rank"))
+    ends = verdicts.groupBy("part").agg(F.min(start).alias("first"), F.max(start).alias("last")).orderBy("part").collect()  # a row for each part of the order
+    firsts = [r["first"] for r in ends]
+    carried, before = [], None
+    for i, r in enumerate(ends):
+        carried.append((r["part"], before, next((x for x in firsts[i + 1 :] if x is not None), None)))
+        before = before if r["last"] is None else r["last"]
+    carry = F.broadcast(spark.createDataFrame(carried, "part long, _before long, _after long"))
+    w = Window.partitionBy("part").orderBy("rank")
+    runs = verdicts.select("key", "rank", "part", "open", F.max(start).over(w).alias("_start"), F.min(start).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_next")).filter("open").join(carry, "part")
+    wanted = runs.select("key", F.explode(F.array_compact(F.array(F.coalesce("_start", "_before") - 1, F.coalesce("_next", "_after")))).alias("at"))
+    own = ["key", "rank", "host", "path", "hashes", "flags"]
+    other = ranked.select(F.col("rank").alias("at"), *[F.col(c).alias("_" + c) for c in own])
+    # many pages of one run want the same one, of which there is one row: adaptive execution can split them
+    sides = ranked.select(*own).join(wanted, "key").join(other, "at").select(*own, *["_" + c for c in own])
+    found = arrow_map(sides, _outside, "key binary, near array<long>, n_shared long, lose array<int>")
+    return found.groupBy("key").agg(F.max_by(F.struct("n_shared", "lose"), "near").alias("x")).select("key", "x.n_shared", "x.lose")
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, n_shared, n_cut for every row of pages (page_id, url, html).
 
@@ -324,13 +376,18 @@ def main_text(pages: DataFrame) -> DataFrame:
         offsets.append((r[0], total))
         total += r[1]
     starts = F.broadcast(spark.createDataFrame(offsets, "_part long, _off long"))
-    ranks = order.withColumn("_part", F.col("_part").cast("long")).join(starts, "_part").select("key", (F.col("_off") + F.col("_at")).alias("rank"))
+    ranks = order.withColumn("_part", F.col("_part").cast("long")).join(starts, "_part").select("key", (F.col("_off") + F.col("_at")).alias("rank"), F.col("_part").alias("part"))
     ranked = unique.join(ranks, "key").withColumn("blk", F.floor(F.col("rank") / BLOCK))
     at = F.col("rank") % BLOCK
-    blocks = F.array_compact(F.array(F.struct(F.col("blk").alias("blk"), F.lit(True).alias("own")), F.when(at < REACH, F.struct((F.col("blk") - 1).alias("blk"), F.lit(False).alias("own"))), F.when(at >= BLOCK - REACH, F.struct((F.col("blk") + 1).alias("blk"), F.lit(False).alias("own")))))
-    near = ranked.withColumn("b", F.explode(blocks)).select("b.blk", "b.own", "key", "rank", "host", "path", "hashes", "flags")
+    beside = lambda cond, n: F.when(cond, F.struct((F.col("blk") + n).alias("blk"), F.lit(False).alias("own")))
+    blocks = F.array_compact(F.array(F.struct(F.col("blk").alias("blk"), F.lit(True).alias("own")), beside(at == 0, -1), beside(at == BLOCK - 1, 1)))
+    near = ranked.withColumn("b", F.explode(blocks)).select("b.blk", "b.own", "key", "rank", "host", "path", "hashes", "flags", "part")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    verdicts = stage(arrow_map(near.repartition(n, "blk").sortWithinPartitions("blk", "rank"), _compare, "key binary, n_shared long, lose array<int>"), "page-verdicts")
+    verdicts = stage(arrow_map(near.repartition(n, "blk").sortWithinPartitions("blk", "rank"), _compare, "key binary, rank long, part long, starts boolean, open boolean, n_shared long, lose array<int>"), "page-verdicts")
+    if verdicts.filter("open").head(1):
+        verdicts = stage(verdicts.filter("NOT open").select("key", "n_shared", "lose").unionByName(_beside_runs(verdicts, ranked)), "page-run-verdicts")
+    else:
+        verdicts = verdicts.select("key", "n_shared", "lose")
     for done in (unique, order):  # nothing reads these any more
         for path in {f.rsplit("/", 1)[0] for f in done.inputFiles()}:
             drop_path(spark, path)

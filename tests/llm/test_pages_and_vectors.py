@@ -128,6 +128,46 @@ def test_pairing_against_all_pairs(spark):
     assert cut > 20
 
 
+def test_runs_of_near_copies(spark):
+    """Runs within a block, over several blocks and over a whole host, against a plain walk over each host."""
+    rng = random.Random(8)
+    body = lambda tag, own: "".join(f"<div>{x}</div>" for x in [f"{tag} {k}" for k in range(24)] + own + ["All of the site"])
+    rows = [(0, "http://h/p/0000", body("first", ["own"]))]
+    rows += [(i, f"http://h/p/{i:04d}", body("copy", [f"own {i}"])) for i in range(1, 200)]
+    rows += [(200, "http://h/p/0200", body("last", ["own"])), (201, "http://h/p/0201", body("after", []))]
+    rows += [(300 + i, f"http://all/{i:03d}", body("alike", [f"own {i}"])) for i in range(40)]
+    for i in range(120):  # a slow drift, other pages and copies in turn
+        tag = rng.choice("ab") if i > 60 else "a"
+        rows.append((400 + i, f"http://mixed/{rng.choice('xyz')}/{i:03d}", "".join(f"<div>{tag} {k}</div>" for k in range(i // 2, i // 2 + 30)) + f"<div>own {i}</div><div>site</div>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in pages.main_text(df.repartition(7)).collect()}
+    assert got == {r.page_id: r for r in pages.main_text(df.repartition(3)).collect()}
+    by_host = {}
+    for i, url, html in rows:
+        host, path = pages._address(url)
+        by_host.setdefault(host, []).append((path, i, [x for x, _, _ in pages.lines_of(html)]))
+    same = lambda a, b: len(set(a) & set(b)) > pages.COPY * max(len(set(a)), len(set(b)))
+    beyond = 0
+    for of in by_host.values():
+        of.sort()
+        for k, (path, i, mine) in enumerate(of):
+            lo = hi = k
+            while lo and same(of[lo][2], of[lo - 1][2]):
+                lo -= 1
+            while hi + 1 < len(of) and same(of[hi][2], of[hi + 1][2]):
+                hi += 1
+            sides = [x for x in (lo - 1, hi + 1) if 0 <= x < len(of) and not same(mine, of[x][2])]
+            text = mine
+            if sides:
+                other = max(sides, key=lambda x: (pages._closeness(of[x][0], path), -abs(x - k), -x))
+                gone = pages.shared_lines([hash(x) for x in mine], [hash(x) for x in of[other][2]])
+                text = [x for j, x in enumerate(mine) if j not in gone] or mine
+                beyond += abs(other - k) > 8
+            assert got[i].text == "\n".join(text), i
+    assert beyond > 100
+    assert all("All of the site" not in got[i].text for i in range(202))
+
+
 def test_hostile_markup_takes_linear_time():
     for part in ("<a \"", "<a ='>' =\"", "</script", "<!--", "<", "<div>", "</p>"):
         for lead in ("", "<script>", "<div>" * 1000):
