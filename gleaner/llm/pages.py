@@ -261,50 +261,66 @@ def verdict(cur: tuple, other: tuple) -> tuple[bytes, int, list[int]]:
     return cur[0], len(got), lose
 
 
-_PAGES = "key binary, page_id long, url string, host string, path string, hashes array<long>, flags binary, packed binary"
+_OUTLINE = "key binary, page_id long, host string, path string, hashes array<long>, flags binary"
+_LINES = "key binary, page_id long, url string, flags binary, packed binary"
 
 
-def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lines of each page: hashes, flags (1: kept by structure, 2: in an article or main), and packed."""
-    z = zstandard.ZstdCompressor(3)
-    kinds = (pa.binary(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.binary(), pa.binary())
-    for b in batches:
-        rows = []
-        for url, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            lines = lines_of(h or "")
-            host, path = _address(url)
-            hashes = np.array([xxhash.xxh3_64_intdigest(x) for x, _, _ in lines], np.uint64)
-            flags = bytes(k + 2 * i for _, k, i in lines)
-            rows.append((xxhash.xxh3_128_digest(host.encode("utf-8", "replace") + b"\0" + hashes.tobytes() + flags), host, path, hashes.view(np.int64).tolist(), flags, z.compress("\n".join(x for x, _, _ in lines).encode())))
-        cols = [pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 6, kinds, strict=True)]
-        yield pa.RecordBatch.from_arrays([cols[0], b.column(0), b.column(1), *cols[1:]], [c.split()[0] for c in _PAGES.split(", ")])
+def _outline(texts: bool):
+    """The lines of each page (page_id, url, html): hashes and flags (1: kept by structure, 2: in an article or main), or with texts flags and the packed lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(3)
+        kinds = (pa.binary(), pa.binary(), pa.binary()) if texts else (pa.binary(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.binary())
+        for b in batches:
+            rows = []
+            for url, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                lines = lines_of(h or "")
+                host, path = _address(url)
+                hashes = np.array([xxhash.xxh3_64_intdigest(x) for x, _, _ in lines], np.uint64)
+                flags = bytes(k + 2 * i for _, k, i in lines)
+                key = xxhash.xxh3_128_digest(host.encode("utf-8", "replace") + b"\0" + hashes.tobytes() + flags)
+                rows.append((key, flags, z.compress("\n".join(x for x, _, _ in lines).encode())) if texts else (key, host, path, hashes.view(np.int64).tolist(), flags))
+            cols = [pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * len(kinds), kinds, strict=True)]
+            given = [b.column(0), b.column(1)] if texts else [b.column(0)]
+            yield pa.RecordBatch.from_arrays([cols[0], *given, *cols[1:]], [c.split()[0] for c in (_LINES if texts else _OUTLINE).split(", ")])
+
+    return run
 
 
-_VERDICTS = pa.schema([("key", pa.binary()), ("rank", pa.int64()), ("part", pa.int64()), ("starts", pa.bool_()), ("open", pa.bool_()), ("n_shared", pa.int64()), ("lose", pa.list_(pa.int32()))])
+_VERDICT = "key binary, rank long, part long, starts boolean, open boolean, n_shared long, lose array<int>, host string, path string, hashes array<long>, flags binary"
+_KINDS = {"binary": pa.binary(), "long": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
+
+
+def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
+    fields = [c.split() for c in ddl.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[t]) for c, (_, t) in zip(list(zip(*rows, strict=True)) or [()] * len(fields), fields, strict=True)], [n for n, _ in fields])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by block and rank: for each page of its own block, what goes by the page before or after it.
 
-    starts: it is no copy of the page before; open: it is a copy of one of the
-    two, so its pair lies outside the run.
+    starts: it is no copy of the page before.  open: it is a copy of one of the
+    two, so its pair lies outside the run.  The lines come along for open pages
+    and for those beside a run.
     """
-    held: list[tuple] = []  # the rows of a block: BLOCK + 2 at most
+    held: list[tuple] = []  # the rows of a block: BLOCK + 4 at most
     block = None
 
     def told() -> pa.RecordBatch:
         out = []
+        joined = [False] + [x[2] == y[2] and copies(x, y) for x, y in zip(held, held[1:], strict=False)] + [False, False]  # joined[i]: held[i] is a copy of the one before
         for i, cur in enumerate(held):
             if not cur[7]:
                 continue
             sides = [x for x in (held[i - 1] if i else None, held[i + 1] if i + 1 < len(held) else None) if x and x[2] == cur[2]]
-            alike = [x for x in sides if copies(cur, x)]
+            starts, open_ = not joined[i], joined[i] or joined[i + 1]
             got = (None, None)
-            if sides and not alike and cur[4]:
+            if sides and not open_ and cur[4]:
                 got = verdict(cur, max(sides, key=lambda x: nearness(cur, x)))[1:]
-            out.append((cur[0], cur[1], cur[6], not any(x[1] < cur[1] for x in alike), bool(alike), *got))
+            beside = joined[i + 2] or i and joined[i - 1]
+            out.append((cur[0], cur[1], cur[6], starts, open_, *got, *(cur[2:6] if open_ or beside else (None,) * 4)))
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * 7, _VERDICTS.types, strict=True)], schema=_VERDICTS)
+        return _batch(out, _VERDICT)
 
     for b in batches:
         for blk, own, *row in zip(*(b.column(i).to_pylist() for i in range(9)), strict=True):
@@ -315,19 +331,21 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield told()
 
 
+_SIDE = "key binary, near array<long>, n_shared long, lose array<int>"
+
+
 def _outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a page in a run and a page beside the run: how near, and what goes by it; none for copies and other hosts."""
-    schema = pa.schema([("key", pa.binary()), ("near", pa.list_(pa.int64())), ("n_shared", pa.int64()), ("lose", pa.list_(pa.int32()))])
     for b in batches:
         out = []
         for row in zip(*(b.column(i).to_pylist() for i in range(12)), strict=True):
             cur, other = row[:6], row[6:]
             if cur[2] == other[2] and not copies(cur, other):
                 out.append((cur[0], list(nearness(cur, other)), *verdict(cur, other)[1:]))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * 4, schema.types, strict=True)], schema=schema)
+        yield _batch(out, _SIDE)
 
 
-def _beside_runs(verdicts: DataFrame, ranked: DataFrame) -> DataFrame:
+def _beside_runs(verdicts: DataFrame) -> DataFrame:
     """key, n_shared, lose of the open pages, by the page before or after their run.
 
     Runs may go on over any number of parts of the order: what a part takes from
@@ -342,14 +360,15 @@ def _beside_runs(verdicts: DataFrame, ranked: DataFrame) -> DataFrame:
         carried.append((r["part"], before, next((x for x in firsts[i + 1 :] if x is not None), None)))
         before = before if r["last"] is None else r["last"]
     carry = F.broadcast(spark.createDataFrame(carried, "part long, _before long, _after long"))
-    w = Window.partitionBy("part").orderBy("rank")
-    runs = verdicts.select("key", "rank", "part", "open", F.max(start).over(w).alias("_start"), F.min(start).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_next")).filter("open").join(carry, "part")
+    up = Window.partitionBy("part").orderBy("rank")
+    down = Window.partitionBy("part").orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, -1)
+    runs = verdicts.select("key", "rank", "part", "open", F.max(start).over(up).alias("_start"), F.min(start).over(down).alias("_next")).filter("open").join(carry, "part")
     wanted = runs.select("key", F.explode(F.array_compact(F.array(F.coalesce("_start", "_before") - 1, F.coalesce("_next", "_after")))).alias("at"))
-    own = ["key", "rank", "host", "path", "hashes", "flags"]
-    other = ranked.select(F.col("rank").alias("at"), *[F.col(c).alias("_" + c) for c in own])
+    lines = verdicts.filter("host IS NOT NULL").select("key", "rank", "host", "path", "hashes", "flags")
+    other = lines.select(F.col("rank").alias("at"), *[F.col(c).alias("_" + c) for c in lines.columns])
     # many pages of one run want the same one, of which there is one row: adaptive execution can split them
-    sides = ranked.select(*own).join(wanted, "key").join(other, "at").select(*own, *["_" + c for c in own])
-    found = arrow_map(sides, _outside, "key binary, near array<long>, n_shared long, lose array<int>")
+    sides = lines.join(wanted, "key").join(other, "at").select(*lines.columns, *["_" + c for c in lines.columns])
+    found = arrow_map(sides, _outside, _SIDE)
     return found.groupBy("key").agg(F.max_by(F.struct("n_shared", "lose"), "near").alias("x")).select("key", "x.n_shared", "x.lose")
 
 
@@ -366,31 +385,27 @@ def main_text(pages: DataFrame) -> DataFrame:
     """
     spark = pages.sparkSession
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    rows = stage(arrow_map(p, _outline, _PAGES), "page-lines")
-    alike = rows.groupBy("key").agg(F.min(F.struct("path", "page_id")).alias("x"), F.first("host").alias("host"), F.first("hashes").alias("hashes"), F.first("flags").alias("flags"))
-    unique = stage(alike.select("key", "host", "x.path", "hashes", "flags"), "page-outlines")
-    order, part = global_order(unique.select("key", "host", "path"), ["host", "path", "key"], "page-order")
+    alike = arrow_map(p, _outline(texts=False), _OUTLINE).groupBy("key").agg(F.min(F.struct("path", "page_id")).alias("x"), *[F.first(c).alias(c) for c in ("host", "hashes", "flags")])
+    order, part = global_order(alike.select("key", "host", "x.path", "hashes", "flags"), ["host", "path", "key"], "page-order")
     counts = order.groupBy(part).count().orderBy(part).collect()  # a row for each partition
     offsets, total = [], 0
     for r in counts:
         offsets.append((r[0], total))
         total += r[1]
-    starts = F.broadcast(spark.createDataFrame(offsets, "_part long, _off long"))
-    ranks = order.withColumn("_part", F.col("_part").cast("long")).join(starts, "_part").select("key", (F.col("_off") + F.col("_at")).alias("rank"), F.col("_part").alias("part"))
-    ranked = unique.join(ranks, "key").withColumn("blk", F.floor(F.col("rank") / BLOCK))
+    starts = F.broadcast(spark.createDataFrame(offsets, "part long, _off long"))
+    ranked = order.withColumn("part", F.col("_part").cast("long")).join(starts, "part").withColumn("rank", F.col("_off") + F.col("_at")).withColumn("blk", F.floor(F.col("rank") / BLOCK))
     at = F.col("rank") % BLOCK
     beside = lambda cond, n: F.when(cond, F.struct((F.col("blk") + n).alias("blk"), F.lit(False).alias("own")))
-    blocks = F.array_compact(F.array(F.struct(F.col("blk").alias("blk"), F.lit(True).alias("own")), beside(at == 0, -1), beside(at == BLOCK - 1, 1)))
+    blocks = F.array_compact(F.array(F.struct(F.col("blk").alias("blk"), F.lit(True).alias("own")), beside(at < 2, -1), beside(at >= BLOCK - 2, 1)))
     near = ranked.withColumn("b", F.explode(blocks)).select("b.blk", "b.own", "key", "rank", "host", "path", "hashes", "flags", "part")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    verdicts = stage(arrow_map(near.repartition(n, "blk").sortWithinPartitions("blk", "rank"), _compare, "key binary, rank long, part long, starts boolean, open boolean, n_shared long, lose array<int>"), "page-verdicts")
+    verdicts = stage(arrow_map(near.repartition(n, "blk").sortWithinPartitions("blk", "rank"), _compare, _VERDICT), "page-verdicts")
+    for path in {f.rsplit("/", 1)[0] for f in order.inputFiles()}:  # nothing reads it any more
+        drop_path(spark, path)
     if verdicts.filter("open").head(1):
-        verdicts = stage(verdicts.filter("NOT open").select("key", "n_shared", "lose").unionByName(_beside_runs(verdicts, ranked)), "page-run-verdicts")
+        verdicts = stage(verdicts.filter("NOT open").select("key", "n_shared", "lose").unionByName(_beside_runs(verdicts)), "page-run-verdicts")
     else:
         verdicts = verdicts.select("key", "n_shared", "lose")
-    for done in (unique, order):  # nothing reads these any more
-        for path in {f.rsplit("/", 1)[0] for f in done.inputFiles()}:
-            drop_path(spark, path)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
@@ -402,4 +417,6 @@ def main_text(pages: DataFrame) -> DataFrame:
                 texts.append("\n".join(x for j, (x, f) in enumerate(zip(z.decompress(packed).decode().split("\n"), flags, strict=False)) if f & 1 and j not in lost))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), b.column(4).fill_null(0), pa.array(cut, pa.int64())], ["page_id", "url", "text", "n_chars", "n_shared", "n_cut"])
 
-    return arrow_map(rows.select("key", "page_id", "url", "packed", "flags").join(verdicts, "key", "left").select("page_id", "url", "packed", "flags", "n_shared", "lose"), write, "page_id long, url string, text string, n_chars long, n_shared long, n_cut long")
+    # pages are cut into lines a second time, which costs less than keeping the lines of all pages meanwhile
+    lines = arrow_map(p, _outline(texts=True), _LINES)
+    return arrow_map(lines.join(verdicts, "key", "left").select("page_id", "url", "packed", "flags", "n_shared", "lose"), write, "page_id long, url string, text string, n_chars long, n_shared long, n_cut long")
