@@ -8,7 +8,8 @@ minimiser.  The index is a table for each level, bucketed and sorted by
 minimiser; each batch appended is an immutable run, a sorted file in each
 bucket.  A batch of documents is dealt to the same buckets and merge-joined with
 the runs of each level where they lie, so that history is read but never
-shuffled.  Runs of one level are compacted into one of the next, bucket by
+shuffled.  A bucket is merged in slices by minimiser, more of them as history
+grows, so that what a task holds doesn't grow with it.  Runs of one level are compacted into one of the next, bucket by
 bucket, when there are FANOUT of them.
 
 A window whose minimiser and hash are found again is a candidate, with the place
@@ -26,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +50,8 @@ TEXTS = 400
 REMEMBER = 100_000
 #: Bytes of text for each bucket, about.
 BUCKET = 12 << 20
+#: Bytes, of a batch's texts or of the files of a level, that a task takes into Python at once, about.
+SLICE = 24 << 20
 #: A null doc_id comes after all others.
 AFTER = (1 << 63) - 1
 #: Odd multipliers of the two hashes.
@@ -303,6 +307,18 @@ def _with_level(tag: int):
     return run
 
 
+@contextmanager
+def slices_stay(spark: SparkSession) -> Iterator[None]:
+    """While a plan is made: what is dealt by bucket needn't be dealt again by bucket and slice."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class FingerprintIndex:
     """Sorted immutable runs of the windows of earlier batches, bucketed, in a folder that all executors share."""
 
@@ -348,17 +364,37 @@ class FingerprintIndex:
     def _bucket(self, mini: str = "mini") -> Column:
         return F.pmod(F.xxhash64(mini), F.lit(self.buckets)).cast("int")
 
-    def candidates(self, docs: DataFrame, append: bool = True) -> DataFrame:
-        """Spans of windows of docs that seem to occur earlier, in the index or in docs, and where (see verified).
+    def _slices(self, size: int) -> int:
+        return max(1, -(-size // (self.buckets * SLICE)))
 
-        With append, the windows that are new to the batch become a run.
-        """
+    def _level_bytes(self, level: int) -> int:
+        fs, path = self._fs()
+        at = path(f"{self.path}/buckets-{self.buckets}/level-{level}")
+        return fs.getContentSummary(at).getLength() if fs.exists(at) else 0
+
+    def merged(self, docs: DataFrame, append: bool = True, size: int | None = None) -> DataFrame:
+        """The windows of docs against themselves and each level: spans, and with append the rows of a run."""
+        if size is None:
+            size = docs.select(F.octet_length(F.col("text").cast("string")).alias("n")).agg(F.sum("n")).head()[0] or 0
+        sliced = lambda df, n: df.withColumn("slice", F.pmod(F.xxhash64("mini", F.lit(1)), F.lit(n)).cast("int")).groupBy("bucket", "slice")
         rows = arrow_map(only(docs, doc_id="long", text="string"), _scan(self.tag), _ROWS).withColumn("bucket", self._bucket())
-        own = rows.groupBy("bucket").applyInArrow(_own(append, self.tag), _SPANS)
+        rows = rows.repartition(self.buckets, "bucket")  # as the runs lie, so that slices of both need no further shuffle
+        own = sliced(rows, self._slices(size)).applyInArrow(_own(append, self.tag), _SPANS)
         for level in self.levels():
-            own = own.unionByName(rows.groupBy("bucket").cogroup(self.table(level).groupBy("bucket")).applyInArrow(_with_level(self.tag), _SPANS))
+            n = self._slices(max(size, self._level_bytes(level)))
+            own = own.unionByName(sliced(rows, n).cogroup(sliced(self.table(level), n)).applyInArrow(_with_level(self.tag), _SPANS))
+        return own
+
+    def candidates(self, docs: DataFrame, append: bool = True, size: int | None = None) -> DataFrame:
+        """Spans of windows of docs that seem to occur earlier, in the index or in docs, and where (see verified).
+
+        With append, the windows that are new to the batch become a run.  size:
+        bytes of the texts of docs, about; counted if not given.
+        """
+        own = self.merged(docs, append, size)
         out = new_path(self.spark, "substring-merge")
-        own.withColumn("part", F.when(F.col("kind") == 2, "run").otherwise("spans")).write.partitionBy("part").parquet(out)
+        with slices_stay(self.spark):
+            own.withColumn("part", F.when(F.col("kind") == 2, "run").otherwise("spans")).write.partitionBy("part").parquet(out)
         fs, path = self._fs()
         read = lambda part: self.spark.read.schema(_SPANS).parquet(f"{out}/part={part}") if fs.exists(path(f"{out}/part={part}")) else self.spark.createDataFrame([], _SPANS)
         if append:  # what a task wrote is of few buckets: no need to deal it again
@@ -519,7 +555,7 @@ def dedup_corpus(docs: DataFrame, batches: int = 4, extra: dict[str, str] | None
     for k in range(len(cuts) + 1):
         low, high = (key > cuts[k - 1]) if k else F.lit(True), (key <= cuts[k]) if k < len(cuts) else F.lit(True)
         part = docs.filter((low & high) if k < len(cuts) else (low | key.isNull()))
-        got = index.candidates(part, append=k < len(cuts))
+        got = index.candidates(part, k < len(cuts), (size or 0) // (len(cuts) + 1))
         spans = got if spans is None else spans.unionByName(got)
     index.close()
     drop_path(spark, index.path)

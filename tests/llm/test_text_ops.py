@@ -194,7 +194,9 @@ def plain_windows(rows, size=20):
     return out
 
 
-def test_substring(spark, tmp_path):
+@pytest.mark.parametrize("slice_bytes", [substring.SLICE, 300])
+def test_substring(spark, tmp_path, monkeypatch, slice_bytes):
+    monkeypatch.setattr(substring, "SLICE", slice_bytes)
     rng = random.Random(5)
     voc = ["w%d" % i for i in range(6)]
     passages = [rng.choices(voc, k=rng.randint(15, 45)) for _ in range(4)]
@@ -218,6 +220,11 @@ def test_substring(spark, tmp_path):
     assert index.buckets == 4 and max(index.levels()) == 1 and all(len(index.runs(k)) < 3 for k in index.levels())
     plan = spark.table(index._name(1)).groupBy("bucket").count()._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan  # history stays in its buckets
+    if slice_bytes < substring.BUCKET:
+        assert index._slices(index._level_bytes(1)) > 3
+    with substring.slices_stay(spark):
+        plan = index.merged(docs(spark, texts[:9])).select("doc_id", "start")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan  # the batch is dealt once, slices of both sides meet there
     index.close()
 
 
