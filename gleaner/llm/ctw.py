@@ -23,10 +23,13 @@ from __future__ import annotations
 import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,12 +42,12 @@ END = 0xFF
 LOWER, UPPER = 3, 1
 #: Of crc32(doc_id as text): the remainder of held-out rows.
 FOLDS, HELD = 7, 2
-#: Strings of a model that goes to the executors whole (16 bytes each); a larger one is joined to the strings of the texts.
-SENT = 4_000_000
+#: Strings of a model that goes to the executors whole (16 bytes each), and of a part of a larger one, which goes there part by part.
+SENT, PART = 4_000_000, 2_000_000
 #: Bytes that are worked on at once, distinct strings that a task gathers before it passes them on, rows of a stratum worked on at once (a group stays whole).
 BYTES, GATHERED, ROWS = 2 << 20, 3 << 20, 200_000
 #: Bytes of text whose words are told apart together.
-WORD_BYTES = 16 << 20
+WORD_BYTES = 8 << 20
 _PAD = bytes([END]) * DEPTH
 _LN2, _LN10 = np.log(2), np.log(10)
 
@@ -116,7 +119,7 @@ def string_counts(docs: DataFrame) -> DataFrame:
                     u, c = distinct(k)
                     new.append((u, c if flag else np.zeros(len(u), np.int64)))
                     size += len(u)
-                    if size >= GATHERED:
+                    if size >= GATHERED // 4:  # a merge holds several copies of what it merges
                         keys, sums = merged()
                         new, size = [], 0
                         if len(keys) >= GATHERED:
@@ -286,10 +289,10 @@ def _merged(key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, weighted: np.n
 
 
 class Model:
-    """lp by key, in a table with open addresses."""
+    """lp by key, in a table with open addresses; keys that it doesn't have add nothing."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.bits = max(4, (3 * len(keys) // 2).bit_length())
         self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits)
         left, at = np.arange(len(keys)), self._place(keys)
         while len(left):
@@ -305,12 +308,12 @@ class Model:
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         at = self._place(keys)
         out = self.values[at]
-        left = np.flatnonzero(self.keys[at] != keys)
+        left = np.flatnonzero((self.keys[at] != keys) & (self.keys[at] != -1))
         at = at[left]
         while len(left):
             at = (at + 1) & ((1 << self.bits) - 1)
             out[left] = self.values[at]
-            more = self.keys[at] != keys[left]
+            more = (self.keys[at] != keys[left]) & (self.keys[at] != -1)
             left, at = left[more], at[more]
         return out
 
@@ -374,11 +377,14 @@ def _words(texts: list[str], rids: np.ndarray, learn: np.ndarray) -> Iterator[pa
         yield out()
 
 
-_ROWS = "rid long, doc_id long, train boolean, n_tokens long, n_bytes long, lp double, word binary, n long, rids array<long>, counts array<long>"
+_ROWS = "rid long, doc_id long, train boolean, n_tokens long, n_bytes long, lp double, word binary, n long, pairs array<long>"
 
 
 def _read(docs: DataFrame, score: Callable[[list[str]], np.ndarray] | None) -> DataFrame:
-    """Rows of two kinds, staged: one for each row of docs (word null; lp null without a score), and the words of some texts together."""
+    """Rows of two kinds, staged: one for each row of docs (word null; lp null without a score), and the words of some texts together.
+
+    A word has a number for each of its texts, in one list to keep rows small: (the text's rid - its own) << 32 | count.
+    """
     names = [x.split()[0] for x in _ROWS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,15 +393,18 @@ def _read(docs: DataFrame, score: Callable[[list[str]], np.ndarray] | None) -> D
 
         def words() -> Iterator[pa.RecordBatch]:
             for w in _words([t for x in held for t in x[0]], np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])):
-                of_rows = [pa.nulls(w.num_rows, t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64())]
-                yield pa.RecordBatch.from_arrays([*of_rows, *w.columns], names)
+                of_rows = [pa.nulls(w.num_rows, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64())]
+                word, n, rids, counts = w.columns
+                first = pc.min(rids.values)
+                pairs = pa.ListArray.from_arrays(rids.offsets, pc.bit_wise_or(pc.shift_left(pc.subtract(rids.values, first), 32), counts.values))
+                yield pa.RecordBatch.from_arrays([pa.repeat(first, w.num_rows), *of_rows, word, n, pairs], names)
 
         for b in batches:
             texts = strings(b.column(3))
             data = [t.encode() for t in texts]
             tokens, lengths = [len(x.split()) + 1 for x in data], [len(x) for x in data]
             lp = pa.array(score(texts)) if score else pa.nulls(len(texts), pa.float64())
-            of_words = [pa.nulls(len(texts), t) for t in (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
+            of_words = [pa.nulls(len(texts), t) for t in (pa.binary(), pa.int64(), pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(tokens, pa.int64()), pa.array(lengths, pa.int64()), lp, *of_words], names)
             if texts:
                 held.append((texts, b.column(0).to_numpy(), b.column(2).to_numpy(zero_copy_only=False)))
@@ -409,17 +418,40 @@ def _read(docs: DataFrame, score: Callable[[list[str]], np.ndarray] | None) -> D
     return stage(arrow_map(docs, run, _ROWS, keeps="byte-model"), "lm-rows")
 
 
-def _joined(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """rid, lp by a model too large to be sent whole: the distinct strings of each text are joined to it."""
+def _scorer(model: DataFrame) -> tuple[Callable[[list[str]], np.ndarray], Broadcast]:
+    """What texts have by the strings of this model, which goes to the executors."""
+    name = "byte-model", uuid.uuid4().hex
+    found = model.sparkSession.sparkContext.broadcast(_gathered(model))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for rid, text in zip(b.column(0).to_pylist(), strings(b.column(1)), strict=True):
-                for k, _ in windows([text]):
-                    u, c = distinct(k)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), rid)), pa.array(u), pa.array(c)], ["rid", "key", "times"])
+    def score(texts: list[str]) -> np.ndarray:
+        cache = worker_cache()
+        if name not in cache:
+            forget()  # another run's
+            cache[name] = Model(*found.value)
+        out = np.zeros(len(texts))
+        for keys, owner in windows(texts):
+            out += np.bincount(owner, cache[name](keys), len(texts))
+        return out
+
+    return score, found
+
+
+def _by_parts(docs: DataFrame, model: DataFrame, parts: int) -> DataFrame:
+    """rid, lp by a model too large to be sent whole: a pass over the texts for each part of it, and no string of a text is shuffled."""
+
+    def of(score: Callable[[list[str]], np.ndarray]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score(strings(b.column(1))))], ["rid", "lp"])
+
+        return run
 
-    return arrow_map(docs.select("rid", "text"), run, "rid long, key long, times long").join(model, "key").groupBy("rid").agg(F.sum(F.col("times") * F.col("lp")).alias("lp"))
+    sums = []
+    for k in range(parts):
+        score, found = _scorer(model.filter(F.pmod(F.xxhash64("key"), F.lit(parts)) == k))
+        sums.append(stage(arrow_map(docs.select("rid", "text"), of(score), "rid long, lp double", keeps="byte-model"), "lm-part"))
+        found.destroy()
+    return reduce(DataFrame.unionByName, sums).groupBy("rid").agg(F.sum("lp").alias("lp"))
 
 
 def score_texts(docs: DataFrame, sent: int = SENT) -> DataFrame:
@@ -433,30 +465,18 @@ def score_texts(docs: DataFrame, sent: int = SENT) -> DataFrame:
     rows = only(docs, doc_id="long", text="string").withColumn("train", _train(F.col("doc_id")))
     model = learn(string_counts(rows))
     rows = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "train", "text")
-    if model.count() <= sent:
-        name = "byte-model", uuid.uuid4().hex
-        found = docs.sparkSession.sparkContext.broadcast(_gathered(model))
-
-        def score(texts: list[str]) -> np.ndarray:
-            cache = worker_cache()
-            if name not in cache:
-                forget()  # another run's
-                cache[name] = Model(*found.value)
-            out = np.zeros(len(texts))
-            for keys, owner in windows(texts):
-                out += np.bincount(owner, cache[name](keys), len(texts))
-            return out
-
-        read = _read(rows, score)
+    if (size := model.count()) <= sent:
+        read = _read(rows, _scorer(model)[0])
         scores = read.filter("word IS NULL")
     else:
         rows = stage(rows, "lm-texts")
         read = _read(rows, None)
-        scores = read.filter("word IS NULL").drop("lp").join(_joined(rows, model), "rid")
+        scores = read.filter("word IS NULL").drop("lp").join(_by_parts(rows, model, max(2, -(-size // PART))), "rid")
     words = read.filter("word IS NOT NULL")
     known = stage(words.groupBy("word").agg(F.sum("n").alias("c")), "lm-words")
     total = known.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).head()
-    each = words.select("word", "rids", "counts").join(known, "word").select("c", F.inline(F.arrays_zip(F.col("rids").alias("rid"), F.col("counts").alias("times"))).alias("rid", "times"))
+    each = words.select("word", "rid", "pairs").join(known, "word").select("c", "rid", F.explode("pairs").alias("pair"))
+    each = each.select("c", (F.col("rid") + F.shiftright("pair", 32)).alias("rid"), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("times"))
     share = F.log10((F.col("c") + 1) / F.lit(float(total["n"] + total["v"] + 1)))
     base = each.groupBy("rid").agg(F.sum(F.col("times") * share).alias("base_score"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_known"))
     bits = (-F.col("lp") * F.lit(np.log2(10)) / (F.col("n_bytes") + 1)).alias("bits_per_byte")

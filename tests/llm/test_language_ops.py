@@ -163,6 +163,18 @@ def test_model_table():
     assert ctw.Model(keys[:0], values[:0])(keys[:0]).tolist() == []
 
 
+def test_a_model_in_parts(spark):
+    """A model too large to be sent whole: each part gives what its strings do, others add nothing, and the sum is that of the whole."""
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 1 << 48, 5000))
+    values = rng.random(len(keys))
+    parts = [ctw.Model(keys[k::3], values[k::3])(keys) for k in range(3)]
+    assert np.array_equal(sum(parts), values) and all(np.count_nonzero(p) == len(keys[k::3]) for k, p in enumerate(parts))
+    corpus = docs(spark, [(i, f"Some words {i % 7} in text {i}" * (i % 5), "en") for i in range(60)])
+    whole, apart = ({r.doc_id: (r.n_known, r.base_score, r.score) for r in ctw.score_texts(corpus, sent=sent).collect()} for sent in (ctw.SENT, 0))
+    assert len(whole) == 60 and all(apart[i] == pytest.approx(x, rel=1e-12) for i, x in whole.items())
+
+
 def test_lm_of_empty_and_untrained_tables(spark):
     assert ctw.score_texts(docs(spark, [])).count() == 0
     held = next(i for i in range(100) if not is_train(i))
