@@ -4,11 +4,14 @@ import json
 import os
 import sqlite3
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from gleaner.operators import catalog, postings, rank, retrieve
 from gleaner.operators.catalog import Catalog
+from gleaner.plans.oracle import ORACLE
+from gleaner.plans.queries import QUERIES
 from gleaner.sources import files
 from gleaner.streaming import ingest as stream
 from gleaner.workspace import Workspace
@@ -234,3 +237,12 @@ def test_passages_in_documents(spark, monkeypatch):
     for size in (100, 1):
         monkeypatch.setattr(evaluate, "MAX_PASSAGES", size)
         assert {(r.doc, r.item_id) for r in evaluate.containing(docs, passages).collect()} == {("a", 1), ("a", 2), ("a", 3), ("a", 6), ("b", 1), ("b", 2), ("b", 3)}
+
+
+def test_vectors_are_floats_before_they_are_normalised(spark, tmp_path):
+    """Three times a float is a float, as in the SQL: in double the first component rounds to another fifth place."""
+    spark.createDataFrame([(1, [0.402, 0.647])], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    c = duckdb.connect()
+    c.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = QUERIES["l2_normalize_vectors"](spark, str(tmp_path)).select("vec_id", "norm", "first", "weighted").first()
+    assert tuple(got) == c.execute(ORACLE["l2_normalize_vectors"]).fetchone()
