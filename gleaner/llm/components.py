@@ -56,31 +56,43 @@ def local_forest(links: DataFrame) -> DataFrame:
 def connected_components(links: DataFrame) -> DataFrame:
     """node, root for every node in links (a, b longs, not null): the smallest node that can be reached.
 
-    Labels take the least label among their neighbours, then that label's own
-    label, until none changes.  Each round is written to the shared folder; the
-    joins are to tables with one row for each node, so a hub is split by
-    adaptive execution.  No links: no rows.
+    Each round draws an order of the nodes, and every node moves to the first
+    among itself and its neighbours.  Links move with their ends, and those whose
+    ends meet or that have become equal go, so that a round joins a part of
+    what the one before it did: all rounds together join some multiple of the links,
+    whatever the size of a component.  The moves are then followed backwards, from the
+    smallest table on.  Each round is written to the shared folder; the joins are
+    to tables with one row for each node, so a hub is split by adaptive
+    execution.  No links: no rows.
     """
     spark = links.sparkSession
     base = new_path(spark, "components")
-    both = links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).filter("a <> b").distinct()
-    both.write.parquet(f"{base}/links")
-    edges = spark.read.schema("a long, b long").parquet(f"{base}/links")
-    first = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root"), F.lit(True).alias("new"))
-    first.write.parquet(f"{base}/0")
-    step = 0
-    while True:
-        cur = spark.read.schema("node long, root long, new boolean").parquet(f"{base}/{step}")
-        if not cur.filter("new").head(1):
-            return cur.select("node", "root")
-        labels = cur.select("node", "root")
-        near = edges.join(labels.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("node")).agg(F.min("r").alias("r"))
-        low = labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "r").alias("root"))
-        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        out = low.join(jump, "root").select("node", F.least("root", "further").alias("root"), (F.least("root", "further") < F.col("was")).alias("new"))
-        step += 1
-        out.write.parquet(f"{base}/{step}")
-        drop_path(spark, f"{base}/{step - 1}")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{base}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{base}/{name}")
+
+    def plain(df: DataFrame, x: str, y: str) -> DataFrame:
+        return df.filter(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+    edges, moves = kept(plain(links, "a", "b"), "links-0"), []
+    while edges.head(1):
+        step = len(moves)
+        drawn = lambda c: F.xxhash64(F.lit(step), c)  # noqa: B023, E731
+        both = edges.union(edges.select("b", "a"))
+        near = both.groupBy(F.col("a").alias("node")).agg(F.min_by("b", drawn("b")).alias("to"))
+        moves.append(kept(near.select("node", F.when(drawn("node") < drawn("to"), F.col("node")).otherwise(F.col("to")).alias("to")), f"moves-{step}"))
+        x, y = moves[-1].toDF("a", "x"), moves[-1].toDF("b", "y")
+        edges = kept(plain(edges.join(x, "a").join(y, "b"), "x", "y"), f"links-{step + 1}")
+        drop_path(spark, f"{base}/links-{step}")
+    if not moves:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    ends = moves.pop()
+    while moves:
+        move = moves.pop()
+        ends = kept(move.join(ends.toDF("to", "end"), "to", "left").select("node", F.coalesce("end", "to").alias("to")), f"ends-{len(moves)}")
+    least = ends.groupBy("to").agg(F.min("node").alias("root"))
+    return kept(ends.join(least, "to").select("node", "root"), "roots")
 
 
 def name_components(nodes: DataFrame, links: DataFrame, node: str) -> DataFrame:
