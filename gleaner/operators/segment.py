@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 from ..functions.markup import hide_frontmatter
 
+#: Code points of texts, and paragraphs, that a task gathers before it passes them on (and those of one document more).
+GATHERED, PIECES = 2_000_000, 20_000
 _HEADING = regex.compile(r"(#{1,6}) (.*)", regex.S)
 #: Unicode's White_Space.
 _SPACE = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
@@ -52,11 +54,21 @@ def split_paragraphs(docs: DataFrame, content: str = "content", frontmatter: boo
     tail = (("seq", pa.int32()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("text", pa.string()), ("heading", pa.string()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(i, n, *p) for i, t in enumerate(b.column(b.num_columns - 1).to_pylist()) for n, p in enumerate(paragraphs_of(t))]
+        def out(b: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
             at, *cols = list(zip(*rows, strict=True)) or [()] * 6
             at = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in b.columns[:-1]), *(pa.array(c, t) for c, (_, t) in zip(cols, tail, strict=True))], [*keys, *(n for n, _ in tail)])
+            return pa.RecordBatch.from_arrays([*(c.take(at) for c in b.columns[:-1]), *(pa.array(c, t) for c, (_, t) in zip(cols, tail, strict=True))], [*keys, *(n for n, _ in tail)])
+
+        for b in batches:
+            rows, held = [], 0
+            for i, t in enumerate(b.column(b.num_columns - 1)):
+                t = t.as_py()
+                rows += [(i, n, *p) for n, p in enumerate(paragraphs_of(t))]
+                held += len(t)
+                if held >= GATHERED or len(rows) >= PIECES:
+                    yield out(b, rows)
+                    rows, held = [], 0
+            yield out(b, rows)
 
     d = docs.select(*keys, text.alias("_text"))
     schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in d.schema.fields[:-1]), *(T.StructField(n, T.StringType() if t == pa.string() else T.IntegerType()) for n, t in tail)])

@@ -161,3 +161,33 @@ def test_contexts_like_a_range_join(spark, context):
     assert {(r.path, r.para): r.content for r in got.collect()} == want
     bands = len({(p, b) for p, i in set(wanted) for b in range(max(i - context, 0) // (context + 1), (i + context) // (context + 1) + 1)})
     assert bands <= 3 * len(set(wanted))
+
+
+def test_contexts_are_cut_where_their_band_lies(spark):
+    """No text is shuffled for each paragraph that wants it: one exchange, by band, whose rows are few more than those given."""
+    rows = [("a", i, f"t{i}") for i in range(1000)] + [("b", 0, "x")]
+    paras = spark.createDataFrame(rows, "path string, seq int, text string")
+    got = retrieve.get_paragraphs(paras, paras.select("path", F.col("seq").alias("para")), 50)
+    text = {r.para: r.content for r in got.filter("path = 'a'").collect()}
+    assert text == {i: "\n\n".join(f"t{j}" for j in range(max(0, i - 50), min(1000, i + 51))) for i in range(1000)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning(path") == 1
+
+
+def test_paragraphs_are_passed_on_in_pieces(spark, monkeypatch):
+    """What a task holds of paragraphs is bounded, however many a batch of documents has."""
+    import pyarrow as pa
+
+    from gleaner.operators import segment
+
+    docs = spark.createDataFrame([(i, "\n\n".join(f"line {i} {k}" for k in range(50))) for i in range(100)], "id long, content string").coalesce(1)
+    whole = sorted(map(tuple, segment.split_paragraphs(docs).collect()))
+    runs, plain = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: runs.append(f) or plain(self, f, schema))
+    batch = pa.RecordBatch.from_pydict({"id": [*range(300)], "t": ["\n\n".join("x" * 500)] * 300})
+    for pieces, gathered, most in ((1000, 10**9, 1500), (10**9, 3000, 1500), (10**9, 1, 500)):
+        monkeypatch.setattr(segment, "PIECES", pieces)
+        monkeypatch.setattr(segment, "GATHERED", gathered)
+        assert sorted(map(tuple, segment.split_paragraphs(docs).collect())) == whole and len(whole) == 5000
+        sizes = [b.num_rows for b in runs[-1](iter([batch]))]
+        assert max(sizes) <= most and sum(sizes) == 150_000
