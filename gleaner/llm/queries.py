@@ -47,7 +47,10 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substring.dedup_corpus(table(spark, sf_dir, "documents"))
-    words = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
+    words = F.col("text")
+    for c in "\t\n\v\f\r":
+        words = F.replace(words, F.lit(c), F.lit(" "))
+    words = F.trim(F.when(F.contains(words, F.lit("  ")), F.regexp_replace(words, " {2,}", " ")).otherwise(words))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
 
 

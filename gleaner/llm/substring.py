@@ -25,7 +25,6 @@ a task.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -56,7 +55,39 @@ SLICE = 24 << 20
 AFTER = (1 << 63) - 1
 #: Odd multipliers of the two hashes.
 _M, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+#: Of each byte, whether it is white space.
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+def _bytes(col: pa.Array) -> list[bytes]:
+    """The UTF-8 of texts; nulls become empty."""
+    return [x if x is not None else b"" for x in col.cast(pa.binary()).to_pylist()]
+
+
+def _bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word: its first byte, and the byte after its last."""
+    space = np.ones(len(data) + 2, bool)
+    space[1:-1] = _SPACE[np.frombuffer(data, np.uint8)]
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    return edges[::2], edges[1::2]
+
+
+def _split(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, one after another, and how many each text has."""
+    data = b"\n".join(texts)
+    first, end = _bounds(data)
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)  # of each text, past the white space after it
+    ends_at = np.r_[0, np.cumsum(end - first)].astype(np.int64)
+    buf = np.frombuffer(data, np.uint8)
+    words = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends_at), pa.py_buffer(buf[~_SPACE[buf]])])
+    return words, np.diff(np.searchsorted(first, np.r_[0, ends]))
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    """Of each word of a large_binary array without nulls, that begins its buffers: the hash that _Words gives."""
+    data = words.buffers()[2].to_pybytes()
+    ends = np.frombuffer(words.buffers()[1], np.int64)[: len(words) + 1].tolist()
+    return np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(ends, ends[1:], strict=False)), np.uint64, len(words))
 
 
 class _Words(dict):
@@ -121,6 +152,8 @@ def _blobs(tags: np.ndarray, sizes: np.ndarray) -> pa.Array:
 
 
 _ROWS = "mini long, doc_id long, start int, n int, tags binary"
+#: Columns of hashes don't repeat: no dictionaries are tried when they are written.
+_PLAIN = {f"parquet.enable.dictionary#{c}": "false" for c in ("mini", "tags")}
 _NAMES = ["mini", "doc_id", "start", "n", "tags"]
 
 
@@ -133,27 +166,29 @@ class _Task:
 
     def forget(self) -> None:
         none = np.empty(0, np.uint64)
-        self.words = _Words()
-        # repeated windows, sorted by hash: hash, minimiser, doc, start, the numbers of the words
+        self.words = pa.array([], pa.large_binary())  # those of hot
+        # repeated windows, sorted by hash: hash, minimiser, doc, start, the places of the words in words
         self.hot = (none, none, np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, WINDOW), np.int32))
 
-    def batch(self, ids: np.ndarray, texts: list[str]) -> pa.RecordBatch | None:
+    def batch(self, ids: np.ndarray, texts: list[bytes]) -> pa.RecordBatch | None:
         """Rows of windows not known to be repeated, and of stretches (tags null, n windows) that are."""
         if len(self.words) > 2 * REMEMBER:
             self.forget()
-        parts, said, at_word = [], [], 0
-        for i in np.argsort(ids, kind="stable"):
-            words = texts[i].encode().split()
-            if len(words) >= WINDOW:
-                numbers = self.words.numbers(words)
-                m, at, w = windows(self.words.hashes[numbers])
-                parts.append((m, at, w, np.full(len(w), ids[i]), np.arange(len(w)), np.full(len(w), i), at_word + np.arange(len(w))))
-                said.append(numbers)
-                at_word += len(words)
-        if not parts:
+        by_id = np.argsort(ids, kind="stable")
+        words, many = _split([texts[i] for i in by_id])
+        if len(words) < WINDOW:
             return None
-        mini, at, whole, doc, start, row, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-        view = np.lib.stride_tricks.sliding_window_view(np.concatenate(said), WINDOW)
+        coded = words.dictionary_encode()
+        said, numbers = coded.dictionary, coded.indices.to_numpy()
+        mini, at, whole = windows(_hashes(said)[numbers])
+        row, ends = np.repeat(np.arange(len(many)), many)[: len(whole)], np.cumsum(many)
+        place = np.flatnonzero(np.arange(len(whole)) + WINDOW <= ends[row])  # windows of one text
+        if not len(place):
+            return None
+        mini, at, whole, row = mini[place], at[place], whole[place], row[place]
+        doc, start = ids[by_id][row], place - (ends - many)[row]
+        view = np.lib.stride_tricks.sliding_window_view(numbers, WINDOW)
+        code = pa.compute.index_in(said, value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False).copy()  # places in words
         order = np.argsort(whole, kind="stable")
         s = whole[order]
         same = np.r_[False, s[1:] == s[:-1]]
@@ -167,11 +202,15 @@ class _Task:
         if len(hw):
             p = np.minimum(np.searchsorted(hw, whole), len(hw) - 1)
             known = np.flatnonzero((hw[p] == whole) & ((doc > hd[p]) | (doc == hd[p]) & (start > hs[p])))
-            repeated[known[(view[place[known]] == hv[p[known]]).all(1)]] = True
+            repeated[known[(code[view[place[known]]] == hv[p[known]]).all(1)]] = True
         lead = np.unique(head[later])
         lead = lead[~repeated[lead]]
         if len(lead):
-            hot = [np.concatenate(x) for x in zip((whole[lead], mini[lead], doc[lead], start[lead].astype(np.int64), view[place[lead]]), self.hot, strict=True)]
+            fresh = np.unique(view[place[lead]])
+            fresh = fresh[code[fresh] < 0]
+            code[fresh] = len(self.words) + np.arange(len(fresh))
+            self.words = pa.concat_arrays([self.words, said.take(pa.array(fresh))])
+            hot = [np.concatenate(x) for x in zip((whole[lead], mini[lead], doc[lead], start[lead].astype(np.int64), code[view[place[lead]]]), self.hot, strict=True)]
             keep = np.lexsort((hot[3], hot[2], hot[0]))  # by hash, the earliest first
             hot = [x[keep] for x in hot]
             keep = np.r_[True, hot[0][1:] != hot[0][:-1]]
@@ -200,7 +239,7 @@ def _scan(tag: int):
         for whole in batches:
             for at in range(0, whole.num_rows, TEXTS):
                 b = whole.slice(at, TEXTS)
-                if (out := task.batch(b.column(0).fill_null(AFTER).to_numpy(), strings(b.column(1)))) is not None:
+                if (out := task.batch(b.column(0).fill_null(AFTER).to_numpy(), _bytes(b.column(1)))) is not None:
                     yield out
 
     return run
@@ -244,14 +283,21 @@ def _found(new: _Flat, old: _Flat | None) -> tuple[np.ndarray, np.ndarray, np.nd
     j = lambda c: np.concatenate([getattr(old, c), getattr(new, c)]) if old is not None else getattr(new, c)
     mini, tag, doc, start = (j(c) for c in ("mini", "tag", "doc", "start"))
     k = len(old.tag) if old is not None else 0
-    order = np.lexsort((start, doc, np.arange(len(tag)) >= k, tag, mini))
+    keys = tag ^ _mix(mini.view(np.uint64))
+    twice = np.sort(keys)
+    twice = twice[1:][twice[1:] == twice[:-1]]
+    again = np.zeros(len(new.tag), bool)
+    some = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, keys), len(twice) - 1)] == keys) if len(twice) else np.empty(0, np.int64)
+    mini, tag, doc, start, of_new = mini[some], tag[some], doc[some], start[some], some >= k  # only these are put in order
+    order = np.lexsort((start, doc, of_new, tag, mini))
     same = np.r_[False, (mini[order[1:]] == mini[order[:-1]]) & (tag[order[1:]] == tag[order[:-1]])][: len(order)]
     head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))] if len(order) else order
-    at = (order >= k) & same & ((head < k) | (doc[order] != doc[head]) | (start[order] != start[head]))
+    at = of_new[order] & same & (~of_new[head] | (doc[order] != doc[head]) | (start[order] != start[head]))
     if old is not None:
-        at &= head < k
-    i, h = order[at] - k, head[at]
-    return i, doc[h], start[h], np.isin(np.arange(len(new.tag)), i)
+        at &= ~of_new[head]
+    i, h = some[order[at]] - k, head[at]
+    again[i] = True
+    return i, doc[h], start[h], again
 
 
 def _as_spans(new: _Flat, i: np.ndarray, doc0: np.ndarray, start0: np.ndarray) -> pa.Table:
@@ -292,6 +338,16 @@ def _own(append: bool, tag: int):
     return run
 
 
+def _own_with_level(append: bool, tag: int):
+    """Both over a bucket of the batch and of a level: what _own and _with_level tell, of a batch that is passed on once."""
+    own, with_level = _own(append, tag), _with_level(tag)
+
+    def run(batch: pa.Table, runs: pa.Table) -> pa.Table:
+        return pa.concat_tables([own(batch), with_level(batch, runs)]) if batch.num_rows else _spans()
+
+    return run
+
+
 def _with_level(tag: int):
     """Over a bucket of the batch and of a level: windows of the batch that are in a run."""
 
@@ -309,14 +365,16 @@ def _with_level(tag: int):
 
 @contextmanager
 def slices_stay(spark: SparkSession) -> Iterator[None]:
-    """While a plan is made: what is dealt by bucket needn't be dealt again by bucket and slice."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+    """While a plan is made: what is dealt by bucket needn't be dealt again by bucket and slice, and a task writes its two parts side by side, unsorted."""
+    names = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.maxConcurrentOutputFileWriters": "2"}
+    before = {n: spark.conf.get(n) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for n, v in before.items():
+            spark.conf.set(n, v)
 
 
 class FingerprintIndex:
@@ -347,7 +405,7 @@ class FingerprintIndex:
         """The runs of a level, read where they lie: bucketed and sorted."""
         self.spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self._name(level)} (bucket INT, run STRING, mini BIGINT, doc_id BIGINT, start INT, tags BINARY) "
-            f"USING parquet CLUSTERED BY (bucket) SORTED BY (bucket, mini) INTO {self.buckets} BUCKETS LOCATION '{self.path}/buckets-{self.buckets}/level-{level}'"
+            f"USING parquet OPTIONS ({', '.join(f"'{k}' '{v}'" for k, v in _PLAIN.items())}) CLUSTERED BY (bucket) SORTED BY (bucket, mini) INTO {self.buckets} BUCKETS LOCATION '{self.path}/buckets-{self.buckets}/level-{level}'"
         )
         return self.spark.table(self._name(level))
 
@@ -379,11 +437,12 @@ class FingerprintIndex:
         sliced = lambda df, n: df.withColumn("slice", F.pmod(F.xxhash64("mini", F.lit(1)), F.lit(n)).cast("int")).groupBy("bucket", "slice")
         rows = arrow_map(only(docs, doc_id="long", text="string"), _scan(self.tag), _ROWS).withColumn("bucket", self._bucket())
         rows = rows.repartition(self.buckets, "bucket")  # as the runs lie, so that slices of both need no further shuffle
-        own = sliced(rows, self._slices(size)).applyInArrow(_own(append, self.tag), _SPANS)
-        for level in self.levels():
+        out = None
+        for level in reversed(self.levels()):
             n = self._slices(max(size, self._level_bytes(level)))
-            own = own.unionByName(sliced(rows, n).cogroup(sliced(self.table(level), n)).applyInArrow(_with_level(self.tag), _SPANS))
-        return own
+            both = sliced(rows, n).cogroup(sliced(self.table(level), n)).applyInArrow(_with_level(self.tag) if out is not None else _own_with_level(append, self.tag), _SPANS)
+            out = both if out is None else out.unionByName(both)
+        return out if out is not None else sliced(rows, self._slices(size)).applyInArrow(_own(append, self.tag), _SPANS)
 
     def candidates(self, docs: DataFrame, append: bool = True, size: int | None = None) -> DataFrame:
         """Spans of windows of docs that seem to occur earlier, in the index or in docs, and where (see verified).
@@ -394,7 +453,7 @@ class FingerprintIndex:
         own = self.merged(docs, append, size)
         out = new_path(self.spark, "substring-merge")
         with slices_stay(self.spark):
-            own.withColumn("part", F.when(F.col("kind") == 2, "run").otherwise("spans")).write.partitionBy("part").parquet(out)
+            own.withColumn("part", F.when(F.col("kind") == 2, "run").otherwise("spans")).write.options(**_PLAIN).partitionBy("part").parquet(out)
         fs, path = self._fs()
         read = lambda part: self.spark.read.schema(_SPANS).parquet(f"{out}/part={part}") if fs.exists(path(f"{out}/part={part}")) else self.spark.createDataFrame([], _SPANS)
         if append:  # what a task wrote is of few buckets: no need to deal it again
@@ -412,8 +471,11 @@ class FingerprintIndex:
         """
         return self.verified(self.candidates(docs, append), corpus)
 
-    def verified(self, spans: DataFrame, corpus: DataFrame) -> DataFrame:
-        """doc_id, start, n of the spans whose words are those of the places where they were found."""
+    def verified(self, spans: DataFrame, corpus: DataFrame, packed: DataFrame | None = None) -> DataFrame:
+        """doc_id, start, n of the spans whose words are those of the places where they were found.
+
+        packed: packed_texts of corpus, if there is such a table.
+        """
         texts = only(corpus, doc_id="long", text="string")
         told, new = spans.filter("kind = 0").select("doc_id", "start", "n"), spans.filter("kind = 1").select("doc_id", "start", "n", "doc0", "start0")
         wanted = new.select("doc_id", "start", "n").union(new.select("doc0", "start0", "n")).distinct()
@@ -429,7 +491,7 @@ class FingerprintIndex:
                 cols = list(zip(*out, strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "start", "n", "words"])
 
-        pieces = arrow_map(packed_texts(texts).join(wanted, "key").select("key", "packed", "starts", "sizes"), digests, "doc_id long, start int, n int, words binary")
+        pieces = arrow_map((packed if packed is not None else packed_texts(texts)).join(wanted, "key").select("key", "packed", "starts", "sizes"), digests, "doc_id long, start int, n int, words binary")
         pieces = stage(pieces.groupBy("doc_id", "start", "n").agg(F.collect_set("words").alias("words")), "window-words")  # several where a doc_id repeats
         there = pieces.select(F.col("doc_id").alias("doc0"), F.col("start").alias("start0"), "n", F.col("words").alias("words0"))
         checked = new.join(pieces, ["doc_id", "start", "n"], "left").join(there, ["doc0", "start0", "n"], "left")
@@ -487,7 +549,7 @@ def packed_texts(docs: DataFrame, extra: dict[str, str] | None = None) -> DataFr
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(1)
         for b in batches:
-            packed = pa.array([z.compress(t.encode()) for t in strings(b.column(1))], pa.binary())
+            packed = pa.array([z.compress(t) for t in _bytes(b.column(1))], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(0).fill_null(AFTER), packed, *b.columns[2:]], ["doc_id", "key", "packed", *extra])
 
     return arrow_map(only(docs, doc_id="long", text="string", **extra), pack, "doc_id long, key long, packed binary" + "".join(f", {c} {t}" for c, t in extra.items()))
@@ -495,11 +557,15 @@ def packed_texts(docs: DataFrame, extra: dict[str, str] | None = None) -> DataFr
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> tuple[int, int, str]:
     """Words, removed words, and the text without the words that spans (first window, windows) cover."""
-    data = text.encode()
-    words = data.split()
-    n = len(words)
+    n, removed, kept = _cut(text.encode(), spans)
+    return n, removed, kept.decode()
+
+
+def _cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
+    at, _ = _bounds(data)
+    n = len(at)
     if not spans:
-        return n, 0, text
+        return n, 0, data
     step = np.zeros(n + 1, np.int64)
     for s, k in spans:
         if s < n:
@@ -508,18 +574,17 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> tuple[int, int, str]:
     gone = np.cumsum(step[:n]) > 0
     removed = int(gone.sum())
     if removed == n:
-        return n, n, ""
-    ends = np.array([m.span() for m in _WORD.finditer(data)], np.int64)
+        return n, n, b""
     out, first, size = [], *_runs(~gone)
     for f, k in zip(first.tolist(), size.tolist(), strict=True):
-        out.append(data[ends[f, 0] : ends[f + k, 0] if f + k < n else len(data)])
-    return n, removed, b"".join(out).decode()
+        out.append(data[at[f] : at[f + k] if f + k < n else len(data)])
+    return n, removed, b"".join(out)
 
 
-def remove_spans(docs: DataFrame, spans: DataFrame, extra: dict[str, str] | None = None) -> DataFrame:
+def remove_spans(docs: DataFrame, spans: DataFrame, extra: dict[str, str] | None = None, packed: DataFrame | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, text (what is kept, with its own white space) and extra for every row of docs.
 
-    extra: further columns of docs that come along, name -> type.
+    extra: further columns of docs that come along, name -> type.  packed: packed_texts of docs with extra, if there is such a table.
     """
     extra = extra or {}
     tail = "".join(f", {c} {t}" for c, t in extra.items())
@@ -528,11 +593,11 @@ def remove_spans(docs: DataFrame, spans: DataFrame, extra: dict[str, str] | None
         z = zstandard.ZstdDecompressor()
         for b in batches:
             starts, sizes = b.column(2).to_pylist(), b.column(3).to_pylist()
-            rows = [cut_words(z.decompress(t).decode(), list(zip(s or [], k or [], strict=True))) for t, s, k in zip(b.column(1).to_pylist(), starts, sizes, strict=True)]
+            rows = [_cut(z.decompress(t), list(zip(s or [], k or [], strict=True))) for t, s, k in zip(b.column(1).to_pylist(), starts, sizes, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string()), *b.columns[4:]], ["doc_id", "n_words", "n_removed", "text", *extra])
 
     by_doc = spans.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("sizes"))  # no more than a document's words
-    return arrow_map(packed_texts(docs, extra).join(by_doc, "key", "left").select("doc_id", "packed", "starts", "sizes", *extra), cut, "doc_id long, n_words long, n_removed long, text string" + tail)
+    return arrow_map((packed if packed is not None else packed_texts(docs, extra)).join(by_doc, "key", "left").select("doc_id", "packed", "starts", "sizes", *extra), cut, "doc_id long, n_words long, n_removed long, text string" + tail)
 
 
 def dedup_corpus(docs: DataFrame, batches: int = 4, extra: dict[str, str] | None = None, tag: int = TAG) -> DataFrame:
@@ -559,4 +624,5 @@ def dedup_corpus(docs: DataFrame, batches: int = 4, extra: dict[str, str] | None
         spans = got if spans is None else spans.unionByName(got)
     index.close()
     drop_path(spark, index.path)
-    return remove_spans(docs, index.verified(spans, docs), extra)
+    packed = stage(packed_texts(docs, extra), "window-texts")
+    return remove_spans(docs, index.verified(spans, docs, packed), extra, packed)

@@ -563,3 +563,32 @@ def test_mixing(spark):
 def test_digest_of_ids(spark, codec):
     row = bpe.encode_documents(docs(spark, ["hello  world"])).select(F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)).head()[0]
     assert row == hashlib.sha256(" ".join(map(str, codec.encode("hello  world"))).encode()).hexdigest()
+
+
+def test_substring_work_of_a_batch(spark, tmp_path):
+    """A batch is passed on once beside a level, words are found and numbered for many texts at once, and only what may repeat is put in order."""
+    import numpy as np
+    import xxhash
+
+    rng = random.Random(20)
+    texts = [b"", b" \t", b"a", b"a\x0bb\x0cc \n", "é x \x00y\x1fz".encode(), b"a b " * 30]
+    words, many = substring._split(texts)
+    assert words.to_pylist() == [w for t in texts for w in t.split()] and many.tolist() == [len(t.split()) for t in texts]
+    coded = words.dictionary_encode().dictionary
+    assert substring._hashes(coded).tolist() == [xxhash.xxh3_64_intdigest(w) for w in coded.to_pylist()]
+    for earlier in (None, [(rng.randrange(6), rng.randrange(4), d, s) for d in range(9) for s in range(9)]):
+        of = lambda rows: type("W", (), dict(zip(("mini", "tag", "doc", "start"), (np.array(c, t) for c, t in zip(zip(*rows), (np.int64, np.uint64, np.int64, np.int64))))))  # noqa: B023, B905, E731
+        rows = [(rng.randrange(40), rng.randrange(4), d, s) for d in range(9, 18) for s in range(9)]
+        i, doc, start, again = substring._found(of(rows), of(earlier) if earlier else None)
+        first = {}
+        for m, t, d, s in earlier or rows:
+            first[m, t] = min(first.get((m, t), (d, s)), (d, s))
+        want = {k: first[r[:2]] for k, r in enumerate(rows) if first.get(r[:2], r[2:]) != r[2:]}
+        assert dict(zip(i.tolist(), zip(doc.tolist(), start.tolist()))) == want and sorted(i) == np.flatnonzero(again).tolist()  # noqa: B905
+    part = docs(spark, [prose(rng, 60) for _ in range(9)])
+    index = substring.FingerprintIndex(spark, f"file://{tmp_path}/ix", 4)
+    index.candidates(part)
+    with substring.slices_stay(spark):
+        plan = index.merged(part)._jdf.queryExecution().executedPlan().toString()
+    index.close()
+    assert "FlatMapCoGroupsInArrow" in plan and "FlatMapGroupsInArrow" not in plan
