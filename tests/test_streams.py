@@ -78,6 +78,19 @@ def test_tracks_in_any_order(spark, store, tmp_path):
         assert [(p, s.replace(tzinfo=None), x) for p, s, x in got] == naive
 
 
+@pytest.mark.parametrize("step", [None, 7, 10, 25])
+def test_tracks_without_python(spark, tmp_path, step):
+    """Statuses are told by aggregations alone, no path is passed to Python; for any step they are those of the sightings in order."""
+    rng = random.Random(step)
+    rows = [(f"p{i}", rng.randint(0, 1), rng.choice("ab"), START + rng.randint(0, 24) * HOUR / 4) for i in range(40) for _ in range(8)]
+    spark.createDataFrame(rows, track.LISTING).write.parquet(str(tmp_path / "in"))
+    as_ = lambda df: track.track(df, 3_600_000, "1 hour", step and step * 60_000)
+    plan = as_(spark.readStream.schema(track.LISTING).parquet(str(tmp_path / "in")))._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" not in plan and plan.count("Aggregate") == 2
+    got = as_(spark.read.schema(track.LISTING).parquet(str(tmp_path / "in"))).collect()  # as a table, all windows are over
+    assert sorted((r.path, r.seen.replace(tzinfo=None), r.status) for r in got) == [(p, s.replace(tzinfo=None), x) for p, s, x in plain(rows, START + timedelta(days=9))]
+
+
 def test_tracks_like_classify(spark, store, tmp_path):
     """The last statuses of two snapshots of the documents are those of the batch classification."""
     d = "/root/testdata/sf0.001"
