@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, drop_path, new_path, stage
 
+#: So many links at most are followed to their ends by one task.
+FEW = 10_000
+
 
 class Forest:
     """Union-find over the nodes that one partition links."""
@@ -40,6 +43,10 @@ class Forest:
         a = [x for x in self.up if self.root(x) != x]
         return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array([self.root(x) for x in a], pa.int64())})
 
+    def nodes(self) -> pa.RecordBatch:
+        """Each node with its root."""
+        return pa.RecordBatch.from_pydict({"node": pa.array(list(self.up), pa.int64()), "to": pa.array([self.root(x) for x in list(self.up)], pa.int64())})
+
 
 def local_forest(links: DataFrame) -> DataFrame:
     """Links a, b with the same components, fewer than the nodes in each partition."""
@@ -53,6 +60,13 @@ def local_forest(links: DataFrame) -> DataFrame:
     return arrow_map(links.select("a", "b"), run, "a long, b long")
 
 
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    f = Forest()
+    for b in batches:
+        f.link(b.column(0).to_numpy(), b.column(1).to_numpy())
+    yield f.nodes()
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """node, root for every node in links (a, b longs, not null): the smallest node that can be reached.
 
@@ -60,7 +74,9 @@ def connected_components(links: DataFrame) -> DataFrame:
     among itself and its neighbours.  Links move with their ends, and those whose
     ends meet or that have become equal go, so that a round joins a part of
     what the one before it did: all rounds together join some multiple of the links,
-    whatever the size of a component.  The moves are then followed backwards, from the
+    whatever the size of a component.  Once FEW links or fewer are left, one task moves
+    every node to its end, as a round would write several small tables for next to nothing.
+    The moves are then followed backwards, from the
     smallest table on.  Each round is written to the shared folder; the joins are
     to tables with one row for each node, so a hub is split by adaptive
     execution.  No links: no rows.
@@ -76,12 +92,16 @@ def connected_components(links: DataFrame) -> DataFrame:
         return df.filter(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
     edges, moves = kept(plain(links, "a", "b"), "links-0"), []
-    while edges.head(1):
+    while left := edges.count():
         step = len(moves)
-        drawn = lambda c: F.xxhash64(F.lit(step), c)  # noqa: B023, E731
-        both = edges.union(edges.select("b", "a"))
-        near = both.groupBy(F.col("a").alias("node")).agg(F.min_by("b", drawn("b")).alias("to"))
-        moves.append(kept(near.select("node", F.when(drawn("node") < drawn("to"), F.col("node")).otherwise(F.col("to")).alias("to")), f"moves-{step}"))
+        if left <= FEW:
+            move = arrow_map(edges.coalesce(1), _ends, "node long, to long")
+        else:
+            drawn = lambda c: F.xxhash64(F.lit(step), c)  # noqa: B023, E731
+            both = edges.union(edges.select("b", "a"))
+            near = both.groupBy(F.col("a").alias("node")).agg(F.min_by("b", drawn("b")).alias("to"))
+            move = near.select("node", F.when(drawn("node") < drawn("to"), F.col("node")).otherwise(F.col("to")).alias("to"))
+        moves.append(kept(move, f"moves-{step}"))
         x, y = moves[-1].toDF("a", "x"), moves[-1].toDF("b", "y")
         edges = kept(plain(edges.join(x, "a").join(y, "b"), "x", "y"), f"links-{step + 1}")
         drop_path(spark, f"{base}/links-{step}")

@@ -199,6 +199,32 @@ def test_components_join_a_multiple_of_their_links(spark, monkeypatch):
     assert written[0] == len({(min(e), max(e)) for e in links if e[0] != e[1]}) and written[-1] == 0 and sum(written) < 3 * written[0]
 
 
+@pytest.mark.parametrize("few", [0, 600, 10_000])
+def test_components_end_in_one_task(spark, monkeypatch, few):
+    """Once few links are left a single round moves all nodes to their ends; how many are few changes no root."""
+    from gleaner.llm import components
+
+    written = []
+    read = DataFrameReader.parquet
+
+    def parquet(self, *paths):
+        df = read(self, *paths)
+        if "/links-" in paths[0]:
+            written.append(df.count())
+        return df
+
+    monkeypatch.setattr(DataFrameReader, "parquet", parquet)
+    monkeypatch.setattr(components, "FEW", few)
+    rng = random.Random(6)
+    links = [(-i, -i - 1) for i in range(700)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(900)] + [(5000, i) for i in range(5001, 5200)] + [(7, 7)]
+    got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    forest = components.Forest()
+    forest.link(*(np.array(x) for x in zip(*links, strict=True)))
+    assert got == {x: forest.root(x) for e in links if e[0] != e[1] for x in e}
+    short = next(i for i, n in enumerate(written) if n <= few)  # no further round than the one that ends it
+    assert written[-1] == 0 and len(written) <= short + 2
+
+
 def prose(rng, n):
     return " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(n))
 
