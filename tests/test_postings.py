@@ -1,6 +1,5 @@
 """Postings at size: what is staged and shuffled of them."""
 
-from pyspark.sql import functions as F
 
 from gleaner import staging
 from gleaner.operators import postings, rank
@@ -32,3 +31,10 @@ def test_lists_of_matches_from_postings(spark, monkeypatch):
             assert {(r.para_id, words[c - 10]): tf for r in rows for c, tf in zip(r.codes, r.tfs, strict=True)} == {k: n for k, n in want.items() if n}
             if together:
                 assert [(r.para_id, r.n_tri) for r in rows] == [(i, max(0, len(t) - 2)) for i, t in enumerate(texts)]
+
+
+def test_first_from_postings_that_are_not_staged(spark):
+    before = len(staging._made)
+    got = sorted(map(tuple, QUERIES["text_topk_from_postings"](spark, SF).select("query_id", "para_id", "rank").collect()))
+    assert not [path for _, path in staging._made[before:] if path.endswith(("-postings", "-word-blocks"))]
+    assert got and got == sorted(map(tuple, QUERIES["text_search_topk"](spark, SF).select("query_id", "para_id", "rank").collect()))
