@@ -33,6 +33,8 @@ from .segment import split_paragraphs
 
 #: Buckets of a new index, and documents a bucket (on average) from which on their number grows.
 BUCKETS, LOAD = 8, 20_000
+#: How files of the index are compressed.
+CODEC = "zstd"
 #: Seconds for which snapshots that are no longer the newest, and folders that none names, are kept: longer than any reader or writer is at work.
 KEEP = 3600
 #: Seconds that a writer waits for another that has begun to write a manifest, and how often it begins anew.
@@ -164,11 +166,16 @@ class Catalog:
         folders = (of or self.current())["tables"][name]
         return self._read(name, [f for b, f in sorted(folders.items()) if buckets is None or int(b) in buckets])
 
-    def _put(self, name: str, rows: DataFrame, bucket: Column, *by: str) -> dict[str, str]:
-        """Write rows to a new folder; the folder of each bucket that has any."""
+    def _put(self, name: str, rows: DataFrame, bucket: Column, *by: str, dealt: bool = False) -> dict[str, str]:
+        """Write rows to a new folder; the folder of each bucket that has any.
+
+        dealt: the rows come from files of one bucket each, and are written where they are, without a shuffle.
+        """
         fs, p = self._fs()
         at = f"data-{uuid.uuid4().hex}/{name}"
-        rows.select(*_names(name), bucket.alias("bucket")).repartition("bucket").sortWithinPartitions("bucket", *by).write.partitionBy("bucket").parquet(f"{self.path}/{at}")
+        rows = rows.select(*_names(name), bucket.alias("bucket"))
+        rows = rows if dealt else rows.repartition("bucket")
+        rows.sortWithinPartitions("bucket", *by).write.partitionBy("bucket").option("compression", CODEC).parquet(f"{self.path}/{at}")
         found = [f.getPath().getName() for f in fs.listStatus(p(f"{self.path}/{at}"))]
         return {n[7:]: f"{at}/{n}" for n in found if n.startswith("bucket=")}
 
@@ -259,8 +266,10 @@ class Catalog:
             with_ = lambda t, new: (kept(t).select(_names(t)) if new is None else kept(t).select(_names(t)).unionByName(new.select(_names(t))))
             tables["paragraphs"] = self._put("paragraphs", with_("paragraphs", None if docs is None else self.paragraphs_of(docs)), bucket)
             tables["doc_tags"] = self._put("doc_tags", with_("doc_tags", None if docs is None else self.tags_of(docs)), bucket)
-            fresh = None if docs is None else self._read("paragraphs", list(tables["paragraphs"].values())).join(docs.select("path"), "path", "left_semi")  # as written
-            tables["postings"] = self._put("postings", with_("postings", None if fresh is None else build(fresh, ("path",))), bucket, "gram")
+            written = self._read("paragraphs", list(tables["paragraphs"].values()))
+            fresh = None if docs is None else written.join(docs.select("path"), "path", "left_semi")  # as written
+            # postings are several times as large as their paragraphs, so those of kept ones are built again too, where these lie, and none is shuffled
+            tables["postings"] = self._put("postings", build(written, ("path",)), bucket, "gram", dealt=True)
             vectors = None if fresh is None or not self.embedder else fresh.select("para_id", embed(embed_text(F.col("heading"), F.col("text")), self.embedder).alias("embedding"), "path")
             tables["vectors"] = self._put("vectors", with_("vectors", vectors), bucket)
         written = sorted({*whole, *range(old, n)})
